@@ -7,7 +7,6 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.operators.shape import where_equal
 
@@ -147,7 +146,8 @@ def run_records(events: DataFrame) -> DataFrame:
         F.min(F.when(started, F.col("at"))).alias("started_at"),
         last.alias("end"),
     )
-    seconds = (F.unix_micros("end.at") - F.unix_micros("started_at")) / 1e6
+    ended, began = F.col("end.at").cast("timestamp"), F.col("started_at").cast("timestamp")
+    seconds = (F.unix_micros(ended) - F.unix_micros(began)) / 1e6
     return grouped.select(
         "run_id",
         "project_id",
@@ -189,5 +189,6 @@ def run_totals(loads: DataFrame) -> DataFrame:
 
 def younger_than(rows: DataFrame, at: str, days: int, *, now: datetime | None = None) -> DataFrame:
     """Rows no older than the retention period."""
-    end = F.lit(now).cast(T.TimestampType()) if now else F.current_timestamp()
+    end = F.lit(now.isoformat(" ")) if now else F.current_timestamp()
+    end = end.cast(rows.schema[at].dataType)
     return rows.filter(F.col(at) >= end - F.make_dt_interval(F.lit(days)))

@@ -111,9 +111,11 @@ class TableStore:
     def _publish(
         self, name: str, version: int, schema: T.StructType, folders: Sequence[str]
     ) -> None:
-        row = (version, schema.json(), list(folders))
-        commit = self.spark.createDataFrame([row], COMMIT_SCHEMA).coalesce(1)
-        commit.write.mode("append").json(f"{self.root}/{name}/commits")
+        commit = json.dumps(
+            {"version": version, "table_schema": schema.json(), "folders": list(folders)}
+        )
+        row = self.spark.range(1, numPartitions=1).select(F.lit(commit).alias("value"))
+        row.write.mode("append").text(f"{self.root}/{name}/commits")
 
     def write(self, spec: TableSpec, batch: DataFrame, mode: str | None = None) -> LoadResult:
         """Load a batch that already has the table's columns.
@@ -213,12 +215,11 @@ class TableStore:
         self._publish(name, version + 1, schema, [f for f in folders if f not in gone])
         return removed
 
-    def append_rows(self, name: str, df: DataFrame, partition: str | None = None) -> int:
+    def append_rows(self, name: str, df: DataFrame, partition: str | None = None) -> None:
         """Append to a table without a key."""
         version, _, folders = self._commit(name)
         new = self._write(name, version + 1, df, partition, ())
         self._publish(name, version + 1, df.schema, [*folders, *new])
-        return self._count(name, df.schema, new)
 
     def remove_dead(self, name: str) -> int:
         """Delete the folders of versions the latest commit no longer names.
