@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.template import render
+from millrace.functions.template import plain_parts, render
 from millrace.functions.text import column_display
 from millrace.scratch import Scratch
 from millrace.spec import DocumentSpec, check_chunk_bounds
@@ -109,6 +109,15 @@ def with_row_index(
     )
 
 
+ID_STRATEGIES = ("deterministic_hash", "row_index")
+
+
+def can_fail(spec: DocumentSpec) -> bool:
+    """Whether rows can fail at all: templates of bare fields render any row."""
+    templates = [t for t in (spec.title_template, spec.body_template) if t]
+    return spec.id_strategy not in ID_STRATEGIES or any(plain_parts(t) is None for t in templates)
+
+
 def project_documents(
     df: DataFrame, spec: DocumentSpec, *, scratch: Scratch | None = None
 ) -> tuple[DataFrame, DataFrame]:

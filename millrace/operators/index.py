@@ -60,7 +60,7 @@ def merge_index(stored: DataFrame, new: DataFrame, *, replace_existing: bool = T
 def obsolete_chunks(stored: DataFrame, new: DataFrame, semantic_id: str) -> DataFrame:
     """Stored chunks of the semantic id that the new set no longer has."""
     own = stored.filter(F.col("semantic_id") == semantic_id)
-    return own.join(new.select("chunk_id"), "chunk_id", "left_anti")
+    return own.join(new.select("chunk_id"), "chunk_id", "left_anti").select(*stored.columns)
 
 
 def sync_index(
@@ -101,7 +101,7 @@ def get_chunk(index: DataFrame, chunk_id: str) -> DataFrame:
 
 def cascade_vectors(vectors: DataFrame, index: DataFrame, *, on: str = "chunk_id") -> DataFrame:
     """Vectors whose chunk is still in the index."""
-    return vectors.join(index.select(on), on, "left_semi")
+    return vectors.join(index.select(on), on, "left_semi").select(*vectors.columns)
 
 
 def vector_sources(

@@ -14,6 +14,9 @@ from millrace.scratch import Scratch
 # so a table of hot keys stays small: a million of them takes 1e12 rows.
 HOT_ROWS = 1_000_000
 
+# Written size up to which the lookup rows of hot keys are broadcast.
+MAX_HOT_BYTES = 256 * 1024 * 1024
+
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame; exact file sizes for written tables."""
@@ -70,7 +73,9 @@ def join_lookup(
     broadcasts. Above it, rows of hot keys meet a broadcast of just those
     lookup rows (at most rows / hot_rows of them) and never enter the shuffle;
     only the remaining keys are shuffled, none of which has more than
-    ``hot_rows`` rows. ``how`` is left, inner, left_semi or left_anti.
+    ``hot_rows`` rows. Should the hot lookup rows themselves be too large to
+    broadcast, the shuffle is left to Spark's own handling of skew. ``how`` is
+    left, inner, left_semi or left_anti.
     """
     if planned_bytes(lookup) <= broadcast_limit(lookup):
         return _joined(rows, lookup, on, how, null_safe)
@@ -78,8 +83,11 @@ def join_lookup(
         hot = hot_keys(rows, on, scratch, hot_rows=hot_rows)
     if hot.isEmpty():
         return _joined(rows, lookup, on, how, null_safe)
-    keys = F.broadcast(hot.select(*on))
-    hot_lookup = scratch.stage(_joined(lookup, keys, on, "left_semi", null_safe), "hot-lookup")
+    hot = hot.select(*on)
+    hot_lookup = scratch.stage(_joined(lookup, hot, on, "left_semi", null_safe), "hot-lookup")
+    if planned_bytes(hot) + planned_bytes(hot_lookup) > MAX_HOT_BYTES:
+        return _joined(rows, lookup, on, how, null_safe)
+    keys = F.broadcast(hot)
     hot_part = _joined(
         _joined(rows, keys, on, "left_semi", null_safe),
         F.broadcast(hot_lookup),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.lookups import HOT_ROWS, join_lookup
@@ -27,9 +27,9 @@ def _unmatched(left: DataFrame, right: DataFrame, key: Sequence[str], nullable:
     """
     keys = right.select(*key)
     if not nullable:
-        return left.join(keys, list(key), "left_anti")
+        return left.join(keys, list(key), "left_anti").select(*left.columns)
     keyed = left.filter(full_key(key)).join(keys.filter(full_key(key)), list(key), "left_anti")
-    return keyed.unionByName(left.filter(~full_key(key)))
+    return keyed.select(*left.columns).unionByName(left.filter(~full_key(key)))
 
 
 def merge_rows(
@@ -46,6 +46,38 @@ def merge_rows(
     return _unmatched(target, batch, key, nullable_key).unionByName(batch)
 
 
+def merge_buckets(
+    target: DataFrame,
+    batch: DataFrame,
+    key: Sequence[str],
+    bucket: str,
+    *,
+    nullable_key: bool = False,
+) -> DataFrame:
+    """Keyed upsert of rows that carry their storage bucket, in one shuffle.
+
+    Both sides are moved by bucket together, and of each key the batch's row is
+    kept. The result is still grouped and sorted by bucket, as the write wants
+    it, whereas a join by key would need a second shuffle for that. Keys are
+    unique on either side, so buckets are even and no key has over two rows.
+    """
+    both = target.withColumn("_newer", F.lit(0)).unionByName(batch.withColumn("_newer", F.lit(1)))
+    keyed = both.filter(full_key(key)) if nullable_key else both
+    order = Window.partitionBy(bucket, *key).orderBy(F.desc("_newer"))
+    merged = (
+        keyed.repartition(F.col(bucket))
+        .withColumn("_place", F.row_number().over(order))
+        .filter(F.col("_place") == 1)
+        .drop("_place", "_newer")
+    )
+    if not nullable_key:
+        return merged
+    # Rows without a full key match nothing. There may be very many of them in
+    # one bucket, so Spark sizes their tasks by what it finds.
+    loose = both.filter(~full_key(key)).drop("_newer").hint("rebalance", bucket)
+    return merged.unionByName(loose)
+
+
 def insert_absent(
     target: DataFrame, batch: DataFrame, key: Sequence[str], *, nullable_key: bool = False
 ) -> DataFrame:
@@ -89,7 +121,7 @@ def changed_rows(
     return (
         batch.join(stored, list(key), "left")
         .filter(~F.col(hash_column).eqNullSafe(F.col("_stored_hash")))
-        .drop("_stored_hash")
+        .select(*batch.columns)
     )
 
 

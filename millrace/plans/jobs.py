@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions.keys import with_record_hash
 from millrace.operators import audit
 from millrace.operators.derive import Transform, run_chain
-from millrace.operators.documents import chunk_documents, project_documents
+from millrace.operators.documents import can_fail, chunk_documents, project_documents
 from millrace.operators.index import index_rows
 from millrace.operators.lookups import HOT_ROWS
 from millrace.operators.quality import (
@@ -238,9 +238,9 @@ def load_index(
     result = IndexResult(spec.semantic_id, spec.source_table)
     rows = store.read(spec.source_table)
     documents, failures = project_documents(rows, spec, scratch=scratch)
-    if spec.id_strategy not in ("deterministic_hash", "row_index"):
-        result.failed_rows = rows.count()
-    elif not unique_rows and spec.id_strategy == "deterministic_hash":
+    if can_fail(spec):
+        result.failed_rows = failures.count()
+    if not unique_rows and spec.id_strategy == "deterministic_hash":
         documents = documents.distinct()
     staged = scratch.stage(documents, f"documents-{spec.semantic_id}")
     result.documents = staged.count()
@@ -281,6 +281,7 @@ def run_project(
     counts as failed.
     """
     spark = store.spark
+    own_scratch = scratch is None
     scratch = scratch or Scratch(spark)
     run_id = run_id or audit.new_run_id()
     result = RunResult(run_id)
@@ -333,6 +334,8 @@ def run_project(
         error=result.error,
     )
     store.append_rows(RUN_TABLE, ended)
+    if own_scratch:
+        scratch.clear()
     return result
 
 

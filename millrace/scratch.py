@@ -47,3 +47,8 @@ class Scratch:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+    def clear(self) -> None:
+        """Delete what this object staged; frames read from it are unusable afterwards."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

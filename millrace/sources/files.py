@@ -195,7 +195,8 @@ def select_changed_between(
 
 def skip_known(files: DataFrame, known: DataFrame, *, column: str = "content_hash") -> DataFrame:
     """Files whose content was not loaded before."""
-    return files.join(known.select(F.col(column).alias("content_hash")), "content_hash", "left_anti")
+    loaded = known.select(F.col(column).alias("content_hash"))
+    return files.join(loaded, "content_hash", "left_anti").select(*files.columns)
 
 
 def group_single(files: DataFrame) -> DataFrame:

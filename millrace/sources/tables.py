@@ -1,4 +1,4 @@
-"""Stored tables: Parquet folders per write, made visible by an appended commit row."""
+"""Stored tables: Parquet folders per write, made visible by a commit that names them."""
 
 from __future__ import annotations
 
@@ -6,23 +6,32 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.keys import key_bucket
-from millrace.operators.merge import key_collisions, merge_rows
+from millrace.operators.merge import key_collisions, merge_buckets
 from millrace.spec import TableSpec
 
 BUCKET = "_bucket"
-COMMIT_SCHEMA = "version bigint, table_schema string, folders array<string>"
 
 
 class KeyCollision(ValueError):
     """An append brought keys that the table already holds."""
 
 
+@dataclass(frozen=True)
+class Commit:
+    """State of a table: the number of its next version, its schema and live folders."""
+
+    next_version: int
+    schema: T.StructType | None
+    folders: tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class LoadResult:
     table_name: str
@@ -38,8 +47,8 @@ class LoadResult:
 class TableStore:
     """Tables below one root folder, one writer at a time.
 
-    A write goes to new folders ``data/v=<n>/...`` and becomes visible when a row
-    naming all live folders is appended to the table's commits, so readers see
+    A write goes to new folders ``data/_write=<n>/...`` and becomes visible when a commit
+    naming all live folders is added to the table's commits, so readers see
     the table before or after a write and never in between, and a failed write
     leaves only files that nothing refers to.
     """
@@ -50,27 +59,32 @@ class TableStore:
 
     # Reading
 
-    def _commit(self, name: str) -> tuple[int, T.StructType | None, list[str]]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/commits")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return 0, None, []
-        commits = self.spark.read.schema(COMMIT_SCHEMA).json(path.toString())
-        last = commits.orderBy(F.desc("version")).limit(1).collect()
-        if not last:
-            return 0, None, []
-        schema = T.StructType.fromJson(json.loads(last[0]["table_schema"]))
-        return last[0]["version"], schema, list(last[0]["folders"])
+    def _commit(self, name: str) -> Commit:
+        """The newest commit.
+
+        Each commit is a folder of its own and names all live folders, so only
+        one is read. A folder that a lost writer left without content is passed
+        over, and its number is not used again.
+        """
+        attempts = self._children(f"{self.root}/{name}/commits")
+        following = int(attempts[-1].removeprefix("v=")) + 1 if attempts else 1
+        for attempt in reversed(attempts):
+            row = self.spark.read.text(f"{self.root}/{name}/commits/{attempt}").first()
+            if row:
+                content = json.loads(row["value"])
+                schema = T.StructType.fromJson(content["schema"])
+                return Commit(following, schema, tuple(content["folders"]))
+        return Commit(following, None, ())
 
     def exists(self, name: str) -> bool:
-        return self._commit(name)[0] > 0
+        return self._commit(name).schema is not None
 
     def read(self, name: str) -> DataFrame:
         """The table as of its latest commit; an empty table keeps its columns."""
-        version, schema, folders = self._commit(name)
-        if version == 0:
+        commit = self._commit(name)
+        if commit.schema is None:
             raise FileNotFoundError(f"Table '{name}' does not exist below {self.root}.")
-        return self._read(name, schema, folders)
+        return self._read(name, commit.schema, commit.folders)
 
     def _read(self, name: str, schema: T.StructType, folders: Sequence[str]) -> DataFrame:
         if not folders:
@@ -86,36 +100,40 @@ class TableStore:
     # Writing
 
     def _write(
-        self, name: str, version: int, df: DataFrame, partition: str | None, sort: Sequence[str]
+        self,
+        name: str,
+        version: int,
+        df: DataFrame,
+        partition: str | None,
+        sort: Sequence[str] = (),
     ) -> list[str]:
         """Write a new version; its folders, one per partition value."""
-        path = f"{self.root}/{name}/data/v={version}"
-        if partition is None:
-            if sort:
-                df = df.sortWithinPartitions(*sort)
-            df.write.mode("overwrite").parquet(path)
-            return [f"v={version}"]
-        # Spark sizes the writing tasks by what each partition value holds:
-        # a large one is written by several tasks, small ones share a task.
-        df = df.hint("rebalance", partition)
+        # The suffix keeps apart two writers that mistake themselves for the only one;
+        # the second of them then fails to publish.
+        folder = f"_write={version}-{uuid4().hex[:8]}"
+        path = f"{self.root}/{name}/data/{folder}"
         if sort:
-            df = df.sortWithinPartitions(partition, *sort)
-        df.write.mode("overwrite").partitionBy(partition).parquet(path)
-        return [f"v={version}/{child}" for child in self._children(path) if "=" in child]
+            df = df.sortWithinPartitions(*([partition] if partition else []), *sort)
+        if partition is None:
+            df.write.parquet(path)
+            return [folder]
+        df.write.partitionBy(partition).parquet(path)
+        return [f"{folder}/{child}" for child in self._children(path) if "=" in child]
 
     def _children(self, path: str) -> list[str]:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
         return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory())
 
     def _publish(
         self, name: str, version: int, schema: T.StructType, folders: Sequence[str]
     ) -> None:
-        commit = json.dumps(
-            {"version": version, "table_schema": schema.json(), "folders": list(folders)}
-        )
-        row = self.spark.range(1, numPartitions=1).select(F.lit(commit).alias("value"))
-        row.write.mode("append").text(f"{self.root}/{name}/commits")
+        """Make a version visible. A version that exists already fails a second writer."""
+        content = {"version": version, "schema": schema.jsonValue(), "folders": list(folders)}
+        row = self.spark.range(1, numPartitions=1).select(F.lit(json.dumps(content)).alias("value"))
+        row.write.mode("errorifexists").text(f"{self.root}/{name}/commits/v={version:012d}")
 
     def write(self, spec: TableSpec, batch: DataFrame, mode: str | None = None) -> LoadResult:
         """Load a batch that already has the table's columns.
@@ -138,6 +156,14 @@ class TableStore:
             return batch, None
         return batch.withColumn(BUCKET, key_bucket(batch, spec.key, spec.buckets)), BUCKET
 
+    def _write_rows(
+        self, spec: TableSpec, version: int, rows: DataFrame, partition: str | None
+    ) -> list[str]:
+        # Spark sizes the writing tasks by what the buckets hold: a large one is
+        # written by several tasks, small ones share a task.
+        spread = rows.hint("rebalance", partition) if partition else rows
+        return self._write(spec.name, version, spread, partition, spec.indexed_names)
+
     def _nullable_key(self, spec: TableSpec) -> bool:
         return any(spec.nullable(c) for c in spec.columns if c.name in spec.key)
 
@@ -147,50 +173,54 @@ class TableStore:
         return {f for f in folders if f.split("/")[-1] in names}
 
     def _append(self, spec: TableSpec, batch: DataFrame) -> LoadResult:
-        version, schema, folders = self._commit(spec.name)
+        commit = self._commit(spec.name)
         bucketed, partition = self._bucketed(spec, batch)
-        if partition and folders:
-            stored = self._read(spec.name, schema, sorted(self._touched(spec, bucketed, folders)))
+        if partition and commit.folders:
+            touched = sorted(self._touched(spec, bucketed, commit.folders))
+            stored = self._read(spec.name, commit.schema, touched)
             if not key_collisions(stored, batch, spec.key).isEmpty():
                 raise KeyCollision(f"Append to '{spec.name}' repeats stored keys {spec.key}.")
-        new = self._write(spec.name, version + 1, bucketed, partition, spec.indexed_names)
-        self._publish(spec.name, version + 1, batch.schema, [*folders, *new])
+        new = self._write_rows(spec, commit.next_version, bucketed, partition)
+        self._publish(spec.name, commit.next_version, batch.schema, [*commit.folders, *new])
         return LoadResult(spec.name, "append", self._count(spec.name, batch.schema, new), 0)
 
     def _replace(self, spec: TableSpec, batch: DataFrame) -> LoadResult:
-        version, _, _ = self._commit(spec.name)
+        version = self._commit(spec.name).next_version
         bucketed, partition = self._bucketed(spec, batch)
-        new = self._write(spec.name, version + 1, bucketed, partition, spec.indexed_names)
-        self._publish(spec.name, version + 1, batch.schema, new)
+        new = self._write_rows(spec, version, bucketed, partition)
+        self._publish(spec.name, version, batch.schema, new)
         return LoadResult(spec.name, "replace", self._count(spec.name, batch.schema, new), 0)
 
     def _upsert(self, spec: TableSpec, batch: DataFrame) -> LoadResult:
         """Merge into the buckets the batch touches; other buckets are not read or written."""
-        version, schema, folders = self._commit(spec.name)
+        commit = self._commit(spec.name)
         arriving = batch.count()
-        if arriving == 0 and version > 0:
+        if arriving == 0 and commit.schema is not None:
             return LoadResult(spec.name, "upsert", 0, 0)
         if not spec.key:
             appended = self._append(spec, batch)
             return LoadResult(spec.name, "upsert", appended.inserted_rows, 0)
-        bucketed, partition = self._bucketed(spec, batch)
-        touched = self._touched(spec, bucketed, folders)
-        stored = self._read(spec.name, schema or batch.schema, sorted(touched))
-        merged = merge_rows(stored, batch, spec.key, nullable_key=self._nullable_key(spec))
-        new = self._write(
-            spec.name,
-            version + 1,
-            merged.withColumn(BUCKET, key_bucket(merged, spec.key, spec.buckets)),
-            partition,
-            spec.indexed_names,
-        )
-        self._publish(
-            spec.name, version + 1, batch.schema, [*[f for f in folders if f not in touched], *new]
-        )
+        bucketed, _ = self._bucketed(spec, batch)
+        touched = self._touched(spec, bucketed, commit.folders) if commit.folders else set()
+        if touched:
+            stored = self._read(spec.name, commit.schema, sorted(touched))
+            merged = merge_buckets(
+                self._bucketed(spec, stored)[0],
+                bucketed,
+                spec.key,
+                BUCKET,
+                nullable_key=self._nullable_key(spec),
+            )
+            new = self._write(spec.name, commit.next_version, merged, BUCKET, spec.indexed_names)
+        else:
+            new = self._write_rows(spec, commit.next_version, bucketed, BUCKET)
+        kept = [f for f in commit.folders if f not in touched]
+        self._publish(spec.name, commit.next_version, batch.schema, [*kept, *new])
         # Every stored key that the batch repeats is one row fewer in the result.
-        before = self._count(spec.name, batch.schema, sorted(touched))
-        after = self._count(spec.name, batch.schema, new)
-        updated = before + arriving - after
+        updated = 0
+        if touched:
+            before = self._count(spec.name, batch.schema, sorted(touched))
+            updated = before + arriving - self._count(spec.name, batch.schema, new)
         return LoadResult(spec.name, "upsert", arriving - updated, updated)
 
     def _count(self, name: str, schema: T.StructType, folders: Sequence[str]) -> int:
@@ -199,40 +229,41 @@ class TableStore:
 
     def replace_partition(self, name: str, df: DataFrame, partition: str, value: str) -> int:
         """Make ``df`` the whole content of one partition value; returns its row count."""
-        version, _, folders = self._commit(name)
-        new = self._write(name, version + 1, df, partition, ())
-        kept = [f for f in folders if not _holds(f, value)]
-        self._publish(name, version + 1, df.schema, [*kept, *new])
+        commit = self._commit(name)
+        new = self._write(name, commit.next_version, df, partition)
+        kept = [f for f in commit.folders if not _holds(f, value)]
+        self._publish(name, commit.next_version, df.schema, [*kept, *new])
         return self._count(name, df.schema, new)
 
     def drop_partition(self, name: str, value: str) -> int:
         """Remove one partition value; returns the number of rows it held."""
-        version, schema, folders = self._commit(name)
-        gone = [f for f in folders if _holds(f, value)]
+        commit = self._commit(name)
+        gone = [f for f in commit.folders if _holds(f, value)]
         if not gone:
             return 0
-        removed = self._count(name, schema, gone)
-        self._publish(name, version + 1, schema, [f for f in folders if f not in gone])
+        removed = self._count(name, commit.schema, gone)
+        kept = [f for f in commit.folders if f not in gone]
+        self._publish(name, commit.next_version, commit.schema, kept)
         return removed
 
     def append_rows(self, name: str, df: DataFrame, partition: str | None = None) -> None:
         """Append to a table without a key."""
-        version, _, folders = self._commit(name)
-        new = self._write(name, version + 1, df, partition, ())
-        self._publish(name, version + 1, df.schema, [*folders, *new])
+        commit = self._commit(name)
+        new = self._write(name, commit.next_version, df, partition)
+        self._publish(name, commit.next_version, df.schema, [*commit.folders, *new])
 
     def remove_dead(self, name: str) -> int:
         """Delete the folders of versions the latest commit no longer names.
 
         For use when no reader of an older version is left.
         """
-        version, _, folders = self._commit(name)
+        live = set(self._commit(name).folders)
         base = f"{self.root}/{name}/data"
         removed = 0
-        for written in self._children(base) if version else []:
+        for written in self._children(base):
             parts = [f"{written}/{c}" for c in self._children(f"{base}/{written}") if "=" in c]
             for folder in parts or [written]:
-                if folder not in folders:
+                if folder not in live:
                     path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{folder}")
                     path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
                     removed += 1
