@@ -11,9 +11,36 @@ from pyspark.sql import types as T
 from millrace.functions.text import text_of
 
 
-def safe_cast(value: Column, data_type: T.DataType | str, default: Any = None) -> Column:
+# Shapes that text must have to be readable as a type at all.
+EDGE = r"[\s\p{Cntrl}]*"
+WHOLE_NUMBER = rf"^{EDGE}[+-]?[0-9]+{EDGE}$"
+NUMBER = rf"^{EDGE}[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?{EDGE}$"
+DATE = rf"^{EDGE}[+-]?[0-9]{{4,7}}(-[0-9]{{1,2}}){{0,2}}([ T].*)?{EDGE}$"
+
+
+def text_cast(value: Column, target: T.DataType) -> Column:
+    """``try_cast`` of text.
+
+    A failing ``try_cast`` raises and catches an exception inside, which takes
+    many times as long as a good one. Text without the right shape never gets there.
+    """
+    shape = None
+    if isinstance(target, T.IntegralType):
+        shape = WHOLE_NUMBER
+    elif isinstance(target, T.DecimalType):
+        shape = NUMBER
+    elif isinstance(target, (T.DateType, T.TimestampNTZType)):
+        shape = DATE
+    cast = value.try_cast(target)
+    return cast if shape is None else F.when(value.rlike(shape), cast)
+
+
+def safe_cast(
+    value: Column, target: T.DataType, default: Any = None, *, source: T.DataType | None = None
+) -> Column:
     """Cast that turns unreadable values into the default instead of failing the job."""
-    result = value.try_cast(data_type)
+    is_text = isinstance(source, T.StringType)
+    result = text_cast(value, target) if is_text else value.try_cast(target)
     return result if default is None else F.coalesce(result, F.lit(default))
 
 
@@ -38,13 +65,13 @@ def lossless_cast(value: Column, source: T.DataType, target: T.DataType) -> Colu
         return value
     if isinstance(target, T.StringType):
         return text_of(value, source)
-    fractional = isinstance(source, (T.DoubleType, T.FloatType, T.DecimalType, T.StringType))
-    if isinstance(target, T.IntegralType) and fractional:
-        number = value.try_cast(T.DecimalType(38, 10))
+    is_text = isinstance(source, T.StringType)
+    fractional = isinstance(source, (T.DoubleType, T.FloatType, T.DecimalType))
+    if isinstance(target, T.IntegralType) and (is_text or fractional):
+        decimal = T.DecimalType(38, 10)
+        number = text_cast(value, decimal) if is_text else value.try_cast(decimal)
         whole = F.when(number == F.floor(number), number.try_cast(target))
-        if isinstance(source, T.StringType):
-            return F.coalesce(value.try_cast(target), whole)
-        return whole
-    if isinstance(target, T.IntegralType) and isinstance(source, T.BooleanType):
-        return value.cast(target)
+        return F.coalesce(text_cast(value, target), whole) if is_text else whole
+    if is_text:
+        return text_cast(value, target)
     return value.try_cast(target)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.cleaning import lossless_cast
+from millrace.functions.cleaning import lossless_cast, text_cast
 from millrace.operators.lookups import HOT_ROWS, join_lookup
 from millrace.scratch import Scratch
 from millrace.spec import TableSpec
@@ -58,7 +58,7 @@ def non_negative(name: str) -> Rule:
 
 def parsable_date(name: str, pattern: str | None = None) -> Rule:
     value = F.col(f"`{name}`").cast("string")
-    parsed = F.try_to_timestamp(value, F.lit(pattern)) if pattern else value.try_cast(T.DateType())
+    parsed = F.try_to_timestamp(value, F.lit(pattern)) if pattern else text_cast(value, T.DateType())
     return Rule(f"Column '{name}' is not a date.", value.isNotNull() & parsed.isNull())
 
 

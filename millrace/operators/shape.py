@@ -150,7 +150,9 @@ def clean(
     """Safe casts with null defaults, and upper-cased text with null defaults."""
     changes: dict[str, Column] = {}
     for name, (data_type, default) in (casts or {}).items():
-        changes[name] = safe_cast(F.col(f"`{name}`"), data_type, default)
+        source = df.schema[name].dataType
+        target = T.DataType.fromDDL(data_type)
+        changes[name] = safe_cast(F.col(f"`{name}`"), target, default, source=source)
     for name, default in (uppers or {}).items():
         changes[name] = filled_upper(F.col(f"`{name}`"), default)
     return df.withColumns(changes)

@@ -446,10 +446,8 @@ SELECT CAST(query_id AS BIGINT) AS query_id, vec_id, CAST(rank AS INTEGER) AS ra
 def vector_knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five vectors nearest to the centre of each label."""
     vectors = table(spark, sf_dir, "embeddings")
-    parts = vectors.select("label", F.posexplode("embedding").alias("i", "x"))
-    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    centres = means.groupBy("label").agg(
-        F.sort_array(F.collect_list(F.struct("i", "m"))).alias("c")
-    ).select("label", F.col("c.m").alias("centre"))
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    means = [F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(width)]
+    centres = vectors.groupBy("label").agg(F.array(*means).alias("centre"))
     queries = [(r["label"], r["centre"]) for r in centres.toLocalIterator()]
     return nearest_vectors(vectors, queries, 5).select("query_id", "vec_id", "rank")

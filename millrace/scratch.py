@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,26 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="millrace-")
 
 
+# Few enough to be held open by one task at the same time.
+FEW_FILES = 8
+
+
+@contextmanager
+def several_open_files(spark: SparkSession) -> Iterator[None]:
+    """Let a task write a few partition values side by side.
+
+    Otherwise Spark sorts all rows by the partition columns before it writes them.
+    With more values than this a task goes back to sorting.
+    """
+    option = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(option)
+    spark.conf.set(option, str(FEW_FILES))
+    try:
+        yield
+    finally:
+        spark.conf.set(option, before)
+
+
 class Scratch:
     """Writes intermediate results as Parquet and reads them back.
 
@@ -42,10 +63,8 @@ class Scratch:
     ) -> DataFrame:
         """The same rows, read back from a written table."""
         path = self.path(label)
-        writer = df.write.mode("errorifexists")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        with several_open_files(self.spark):
+            df.write.partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
     def clear(self) -> None:

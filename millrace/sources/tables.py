@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.keys import key_bucket
 from millrace.operators.merge import key_collisions, merge_buckets
+from millrace.scratch import several_open_files
 from millrace.spec import TableSpec
 
 BUCKET = "_bucket"
@@ -117,7 +118,11 @@ class TableStore:
         if partition is None:
             df.write.parquet(path)
             return [folder]
-        df.write.partitionBy(partition).parquet(path)
+        if partition == BUCKET:
+            df.write.partitionBy(partition).parquet(path)
+        else:
+            with several_open_files(self.spark):
+                df.write.partitionBy(partition).parquet(path)
         return [f"{folder}/{child}" for child in self._children(path) if "=" in child]
 
     def _children(self, path: str) -> list[str]:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.cleaning import guarded_ratio, lossless_cast, safe_cast
+from millrace.functions.cleaning import guarded_ratio, lossless_cast, safe_cast, text_cast
 from millrace.functions.keys import (
     concat_key,
     hash_all_columns,
@@ -76,11 +76,24 @@ def test_safe_cast_and_ratio(spark):
         [("12", 4.0, 2.0), ("2026.0", 4.0, 0.0), (None, 4.0, None)], "t string, p double, w double"
     )
     got = df.select(
-        safe_cast(F.col("t"), "int", 1900), guarded_ratio(F.col("p"), F.col("w"))
+        safe_cast(F.col("t"), T.IntegerType(), 1900, source=T.StringType()), guarded_ratio(F.col("p"), F.col("w"))
     ).collect()
     assert [tuple(r) for r in got] == [(12, 2.0), (1900, 0.0), (1900, 0.0)]
 
 
+@pytest.mark.parametrize(
+    "target", [T.IntegerType(), T.LongType(), T.DecimalType(20, 4), T.DateType(), T.TimestampNTZType()]
+)
+def test_text_cast_is_try_cast(spark, target):
+    texts = ["1", " 12 ", "+5", "-7", "\t8\n", "1.5", ".5", "5.", "1e3", "-1E-2", "x", "", " ", "1 2"]
+    texts += ["2024", "2024-2", "2024-02-30", "2024-02-29", " 2024-02-29 ", "2024-1-1T10:00:00"]
+    texts += ["2024-01-01 10:11:12.5", "12345-01-01", "99999999999", "0x10", "--1", "1d", "today"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    ours, plain = text_cast(F.col("t"), target), F.col("t").try_cast(target)
+    for text, ours, plain in df.select("t", ours.cast("string"), plain.cast("string")).collect():
+        assert ours == plain, text
+
+
 @pytest.mark.parametrize(
     ("value", "source", "target", "expected"),
     [
