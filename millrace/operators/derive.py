@@ -50,9 +50,15 @@ def share_of_total(
 ) -> DataFrame:
     """Each part with the total of its group and its share of that total.
 
-    Both inputs are aggregates, so the join moves groups and not rows.
+    Both inputs are aggregates, so the join moves groups and not rows. A null
+    group has no total, as in a plain left join. It is still compared null-safe,
+    because the plain form makes Spark filter nulls below one side only: totals
+    made from the same parts would then scan the source a second time instead of
+    reusing the shuffled parts.
     """
-    joined = parts.join(totals.select(on, F.col(whole).alias(whole_as)), on, "left")
+    total = F.when(F.col(on).isNotNull(), F.col(whole))
+    totals = totals.select(F.col(on).alias("_group"), total.alias(whole_as))
+    joined = parts.join(totals, F.col(on).eqNullSafe(F.col("_group")), "left").drop("_group")
     return joined.withColumn(share, guarded_ratio(F.col(part), F.col(whole_as)))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.cleaning import lossless_cast, text_cast
 from millrace.operators.lookups import HOT_ROWS, join_lookup
+from millrace.operators.shape import where_equal
 from millrace.scratch import Scratch
 from millrace.spec import TableSpec
 
@@ -175,6 +176,13 @@ def quarantine_rows(
     )
 
 
+def quarantined(
+    rows: DataFrame, *, run_id: str | None = None, table_name: str | None = None
+) -> DataFrame:
+    """Quarantined rows of a run, of a table, or of both."""
+    return where_equal(rows, run_id=run_id, table_name=table_name)
+
+
 def reconcile(
     source: DataFrame, target: DataFrame, key: Sequence[str], measures: Sequence[str]
 ) -> DataFrame:

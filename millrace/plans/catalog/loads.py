@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.keys import with_record_hash
 from millrace.operators.derive import Transform
 from millrace.operators.merge import changed_rows, key_collisions, merge_counts, merge_rows
+from millrace.operators.quality import quarantined
 from millrace.operators.shape import clean
 from millrace.plans.catalog.registry import query, table
 from millrace.plans.catalog.shape import segment_stats
@@ -416,9 +417,7 @@ def quarantine_of_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         canonical=[CanonicalTable(spec, (Source("warehouse", lambda spark: lines),))],
         run_id="run-1",
     )
-    rejected = store.read("etl_dlq").filter(
-        (F.col("run_id") == "run-1") & (F.col("table_name") == "lines")
-    )
+    rejected = quarantined(store.read("etl_dlq"), run_id="run-1", table_name="lines")
     return rejected.groupBy("table_name", "run_id", "error_message").agg(
         F.count("*").alias("row_count")
     )

@@ -19,11 +19,11 @@ from millrace.operators.quality import (
     non_negative,
     parsable_date,
     quarantine_rows,
+    quarantined,
     reconcile,
     split_counts,
     valid_rows,
 )
-from millrace.operators.shape import where_equal
 from millrace.plans.catalog.registry import query, table
 from millrace.scratch import Scratch
 from millrace.spec import Column, TableSpec
@@ -179,7 +179,7 @@ def quarantine_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         source_id="warehouse",
         table_name="lines",
     )
-    return where_equal(rejected, run_id="run-1", table_name="lines").drop("persisted_at")
+    return quarantined(rejected, run_id="run-1", table_name="lines").drop("persisted_at")
 
 
 @query(

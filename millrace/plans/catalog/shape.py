@@ -76,19 +76,19 @@ FROM parts p LEFT JOIN stats s ON p.segment = s.segment
 def derived_share_of_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = clean_customers(spark, sf_dir)
     parts = group_sums(customers, ["nation", "segment"], nation_balance="balance")
-    parts = parts.withColumn("nation_balance", F.col("nation_balance").cast("double"))
-    stats = segment_stats(customers).withColumn(
-        "total_balance", F.col("total_balance").cast("double")
-    )
-    return share_of_total(
+    totals = group_sums(parts, ["segment"], total_balance="nation_balance")
+    shares = share_of_total(
         parts,
-        stats,
+        totals,
         "segment",
         part="nation_balance",
         whole="total_balance",
         whole_as="global_segment_balance",
         share="percent_of_global",
-    ).select("nation", "segment", "nation_balance", "global_segment_balance", "percent_of_global")
+    )
+    return shares.withColumns(
+        {c: F.col(c).cast("double") for c in ("nation_balance", "global_segment_balance")}
+    )
 
 
 @query("derived_segment_stats", SEGMENTS_SQL + "SELECT * FROM stats")

@@ -7,6 +7,7 @@ from millrace.operators import audit
 from millrace.operators.derive import Transform, group_stats, group_sums, share_of_total
 from millrace.operators.quality import non_negative
 from millrace.operators.shape import clean
+from millrace.plans.inputs import file_source, sqlite_source
 from millrace.plans.jobs import (
     CHILD_ERRORS,
     CanonicalTable,
@@ -16,6 +17,7 @@ from millrace.plans.jobs import (
     load_results,
     run_project,
 )
+from millrace.sources.files import select_latest
 from millrace.spec import Column, DocumentSpec, ForeignKey, TableSpec
 
 COMPANIES = TableSpec(
@@ -188,6 +190,72 @@ def test_load_repeat_modify(store, rows):
     assert events[-1]["target_ref"] == "semantic::industry_semantics"
 
 
+@pytest.fixture
+def backups(tmp_path):
+    import sqlite3
+
+    folder = tmp_path / "backups"
+    folder.mkdir()
+    path = folder / "companies.db"
+    con = sqlite3.connect(path)
+    con.execute(
+        "CREATE TABLE companies (id TEXT, name TEXT, year_founded TEXT, industry TEXT, country TEXT, current_employees TEXT)"
+    )
+    con.executemany("INSERT INTO companies VALUES (?, ?, ?, ?, ?, ?)", FIRST)
+    con.commit()
+    yield folder, con
+    con.close()
+
+
+def test_load_from_sqlite_files(store, backups):
+    folder, con = backups
+    source = sqlite_source(
+        "backups",
+        str(folder),
+        "SELECT rowid AS row, * FROM companies",
+        include=["*.db"],
+        select=select_latest,
+        split_column="row",
+        splits=3,
+    )
+    table = CanonicalTable(COMPANIES, (source,), before_validation=(Transform(clean_companies),))
+    first = run(store, FIRST, "r1", canonical=[table])
+    assert first.error is None and first.rows_loaded == 40
+    row = store.read("companies").first()
+    assert row["_source_file"] == str(folder / "companies.db") and len(row["_file_hash"]) == 64
+    con.execute("UPDATE companies SET current_employees = '9999' WHERE id = '15'")
+    con.execute("INSERT INTO companies VALUES ('99', 'New', '2026.0', 'AI', 'T', '42')")
+    con.commit()
+    second = run(store, FIRST, "r2", canonical=[table])
+    assert (second.tables[0].load.inserted_rows, second.tables[0].load.updated_rows) == (1, 40)
+    assert store.read("companies").filter("id = '15'").first()["current_employees"] == 9999
+    assert index_counts(store) == {"companies": 41, "industry_stats": 7}
+
+
+def test_load_from_csv_files(store, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id;name;current_employees\n1;x;5\n2;y;6\n")
+    (folder / "b.csv").write_text("id;name;current_employees\n3;z;bad\n")
+    (folder / "c.txt").write_text("other")
+    source = file_source(
+        "drop",
+        str(folder),
+        "csv",
+        include=["*.csv"],
+        sql="SELECT id, upper(name) AS name, current_employees, _source_file FROM {source}",
+        read_options={"delimiter": ";"},
+    )
+    table = CanonicalTable(COMPANIES, (source,), check_types=True)
+    result = run(store, FIRST, "r1", canonical=[table], derived=[], documents=[])
+    assert result.error is None and (result.rows_loaded, result.rows_invalid) == (2, 1)
+    loaded = {r["id"]: (r["name"], r["_source_file"]) for r in store.read("companies").collect()}
+    assert loaded == {"1": ("X", str(folder / "a.csv")), "2": ("Y", str(folder / "a.csv"))}
+    nothing = file_source("none", str(folder), "csv", include=["*.nothing"])
+    result = run(store, FIRST, "r2", canonical=[CanonicalTable(COMPANIES, (nothing,))], derived=[], documents=[])
+    assert "Batch frame is None" in result.tables[0].error
+
+
 def test_invalid_rows_are_quarantined(store):
     data = [*FIRST, FIRST[0], (None, "no id", "1", "i", "x", "1"), ("77", "n", "1", "i", "x", "-5")]
     frame = store.spark.createDataFrame(data, LAYOUT)
