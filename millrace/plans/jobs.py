@@ -16,6 +16,7 @@ from millrace.operators.derive import Transform, run_chain
 from millrace.operators.documents import can_fail, chunk_documents, project_documents
 from millrace.operators.index import index_rows
 from millrace.operators.lookups import HOT_ROWS
+from millrace.operators.merge import orphan_keys
 from millrace.operators.quality import (
     ERROR_FLAG,
     Rule,
@@ -31,6 +32,7 @@ from millrace.operators.shape import (
     fill_required_defaults,
     relaxed_union,
     target_projection,
+    where_equal,
 )
 from millrace.scratch import Scratch
 from millrace.sources.tables import LoadResult, TableStore
@@ -149,6 +151,7 @@ def load_canonical(
     scratch: Scratch,
     lineage: audit.LineageLog,
     hot_rows: int = HOT_ROWS,
+    quarantine_table: str = QUARANTINE_TABLE,
 ) -> TableResult:
     """Read, shape, check, quarantine and load one canonical table."""
     spec = table.spec
@@ -183,7 +186,7 @@ def load_canonical(
         rejected = quarantine_rows(
             invalid, run_id=run_id, stage="validation", source_id=source_id, table_name=spec.name
         )
-        store.append_rows(QUARANTINE_TABLE, rejected, "table_name")
+        store.append_rows(quarantine_table, rejected, "table_name")
     valid = target_projection(valid_rows(staged), spec)
     result.load = store.write(spec, valid)
     result.valid_rows = result.load.inserted_rows + result.load.updated_rows
@@ -230,6 +233,7 @@ def load_index(
 ) -> IndexResult:
     """Project, chunk and index the rows of one table.
 
+    Rows become chunks in one pass that ends in the write: nothing is shuffled.
     The new chunks become the whole content of the semantic id's partition.
     Nothing projected is an error that leaves the stored chunks alone, unless
     ``allow_empty``. Set ``unique_rows`` to False for a table without a key,
@@ -242,18 +246,18 @@ def load_index(
         result.failed_rows = failures.count()
     if not unique_rows and spec.id_strategy == "deterministic_hash":
         documents = documents.distinct()
-    staged = scratch.stage(documents, f"documents-{spec.semantic_id}")
-    result.documents = staged.count()
-    if result.documents == 0:
+    chunks = chunk_documents(documents, size=spec.chunk_size, overlap=spec.chunk_overlap)
+    result.chunks = store.replace_partition(
+        INDEX_TABLE, index_rows(chunks, run_id), "semantic_id", spec.semantic_id
+    )
+    if result.chunks == 0:
         if allow_empty and result.failed_rows == 0:
             store.drop_partition(INDEX_TABLE, spec.semantic_id)
         else:
             result.error = "No documents projected — source table may be empty."
         return result
-    chunks = chunk_documents(staged, size=spec.chunk_size, overlap=spec.chunk_overlap)
-    result.chunks = store.replace_partition(
-        INDEX_TABLE, index_rows(chunks, run_id), "semantic_id", spec.semantic_id
-    )
+    indexed = where_equal(store.read(INDEX_TABLE), semantic_id=spec.semantic_id, chunk_index=0)
+    result.documents = indexed.count()
     lineage.output(spec.source_table, f"semantic::{spec.semantic_id}", "semantic")
     return result
 
@@ -274,6 +278,7 @@ def run_project(
     documents: Sequence[DocumentSpec] = (),
     run_id: str | None = None,
     scratch: Scratch | None = None,
+    quarantine_table: str = QUARANTINE_TABLE,
 ) -> RunResult:
     """Load canonical tables, build derived ones, index documents, record the run.
 
@@ -293,7 +298,12 @@ def run_project(
         result.tables.append(
             _guarded(
                 lambda table=table: load_canonical(
-                    store, table, run_id=run_id, scratch=scratch, lineage=lineage
+                    store,
+                    table,
+                    run_id=run_id,
+                    scratch=scratch,
+                    lineage=lineage,
+                    quarantine_table=quarantine_table,
                 ),
                 lambda error, name=name: TableResult(name, "canonical", error=error),
             )
@@ -365,3 +375,31 @@ def load_results(spark: SparkSession, result: RunResult) -> DataFrame:
         for r in result.tables
     ]
     return spark.createDataFrame(rows, audit.LOAD_SCHEMA)
+
+
+def foreign_key_report(store: TableStore, spec: TableSpec) -> DataFrame | None:
+    """Keys without a parent for each declared foreign key, with their row counts.
+
+    Foreign keys are not enforced at load. None when the table declares none.
+    """
+    child = store.read(spec.name)
+    reports = []
+    for fk in spec.foreign_keys:
+        parent = store.read(fk.target_table)
+        orphans = orphan_keys(child, parent, fk.columns, fk.target_columns)
+        reports.append(
+            orphans.select(
+                F.lit(spec.name).alias("table_name"),
+                F.lit(fk.target_table).alias("target_table"),
+                F.to_json(F.struct(*fk.columns)).alias("key"),
+                "child_rows",
+            )
+        )
+    return relaxed_union(reports)
+
+
+def apply_retention(store: TableStore, days: int = 90) -> None:
+    """Drop run records and lineage events older than the retention period."""
+    for name, at in ((RUN_TABLE, "at"), (LINEAGE_TABLE, "recorded_at")):
+        if store.exists(name):
+            store.rewrite(name, audit.younger_than(store.read(name), at, days))

@@ -148,6 +148,10 @@ class TableStore:
         repeated tasks cannot change them.
         """
         mode = mode or spec.load_mode
+        declared = [(f.name, f.dataType) for f in spec.schema()]
+        if [(f.name, f.dataType) for f in batch.schema] != declared:
+            # Buckets are hashes of typed values: other types would miss stored keys.
+            raise ValueError(f"Batch for '{spec.name}' does not have the columns of the table.")
         if mode == "append":
             return self._append(spec, batch)
         if mode == "replace":
@@ -233,9 +237,14 @@ class TableStore:
         return self._read(name, schema, folders).count() if folders else 0
 
     def replace_partition(self, name: str, df: DataFrame, partition: str, value: str) -> int:
-        """Make ``df`` the whole content of one partition value; returns its row count."""
+        """Make ``df`` the whole content of one partition value; returns its row count.
+
+        Without any rows nothing is changed: dropping a partition is a call of its own.
+        """
         commit = self._commit(name)
         new = self._write(name, commit.next_version, df, partition)
+        if not new:
+            return 0
         kept = [f for f in commit.folders if not _holds(f, value)]
         self._publish(name, commit.next_version, df.schema, [*kept, *new])
         return self._count(name, df.schema, new)
@@ -251,6 +260,12 @@ class TableStore:
         self._publish(name, commit.next_version, commit.schema, kept)
         return removed
 
+    def rewrite(self, name: str, df: DataFrame, partition: str | None = None) -> None:
+        """Make ``df``, which may come from the table itself, the whole content of a table."""
+        commit = self._commit(name)
+        new = self._write(name, commit.next_version, df, partition)
+        self._publish(name, commit.next_version, df.schema, new)
+
     def append_rows(self, name: str, df: DataFrame, partition: str | None = None) -> None:
         """Append to a table without a key."""
         commit = self._commit(name)

@@ -13,7 +13,10 @@ from millrace.plans.jobs import (
     CanonicalTable,
     DerivedTable,
     Source,
+    apply_retention,
     build_order,
+    foreign_key_report,
+    load_index,
     load_results,
     run_project,
 )
@@ -332,6 +335,56 @@ def test_empty_projection_keeps_stored_chunks(store):
     assert index_counts(store)["companies"] == 40
 
 
+def test_allowed_empty_projection_drops_the_chunks(store, scratch):
+    run(store, FIRST, "r1")
+    store.rewrite("companies", store.read("companies").filter("false"))
+    log = audit.LineageLog("r2")
+    result = load_index(
+        store, DOCUMENTS[0], run_id="r2", scratch=scratch, lineage=log, allow_empty=True
+    )
+    assert result.error is None and index_counts(store) == {"industry_stats": 6}
+
+
+def test_equal_rows_make_one_document(store, scratch):
+    df = store.spark.createDataFrame([("a",), ("a",), ("b",)], "name string")
+    store.append_rows("plain", df)
+    spec = DocumentSpec("plain_docs", "plain", "{name}")
+    log = audit.LineageLog("r1")
+    result = load_index(store, spec, run_id="r1", scratch=scratch, lineage=log, unique_rows=False)
+    assert (result.documents, result.chunks) == (2, 2)
+
+
+def test_rows_that_cannot_be_rendered_are_counted(store, scratch):
+    df = store.spark.createDataFrame([(1.5,), (None,)], "x double")
+    store.append_rows("plain", df)
+    log = audit.LineageLog("r1")
+    spec = DocumentSpec("plain_docs", "plain", "{x:.2f}")
+    result = load_index(store, spec, run_id="r1", scratch=scratch, lineage=log)
+    assert (result.documents, result.failed_rows, result.error) == (1, 1, None)
+    unknown = DocumentSpec("plain_docs", "plain", "{x}", id_strategy="by_guess")
+    result = load_index(store, unknown, run_id="r2", scratch=scratch, lineage=log)
+    assert (result.documents, result.failed_rows) == (0, 2) and result.error
+    assert store.read("etl_semantic_index").count() == 1
+
+
+def test_foreign_keys_are_reported(store):
+    run(store, FIRST, "r1", documents=[])
+    assert foreign_key_report(store, SUMMARY).count() == 0
+    store.rewrite("industry_stats", store.read("industry_stats").filter("industry != 'I1'"))
+    found = foreign_key_report(store, SUMMARY).collect()
+    assert [(r["key"], r["child_rows"]) for r in found] == [('{"industry":"I1"}', 3)]
+    assert foreign_key_report(store, COMPANIES) is None
+
+
+def test_retention(store):
+    run(store, FIRST, "r1", derived=[], documents=[])
+    apply_retention(store, 1)
+    assert store.read("etl_run_tracking").count() == 2
+    apply_retention(store, 0)
+    assert store.read("etl_run_tracking").count() == 0
+    assert store.read("etl_lineage").count() == 0
+
+
 def test_build_order():
     ordered = [t.spec.name for t in build_order([DerivedTable(SUMMARY, summary), DerivedTable(INDUSTRIES, industry_stats)])]
     assert ordered == ["industry_stats", "country_industry_summary"]

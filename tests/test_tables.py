@@ -81,6 +81,8 @@ def test_empty_table_keeps_its_columns(spark, store):
     assert empty.columns == ["k", "v"] and empty.count() == 0
     with pytest.raises(FileNotFoundError):
         store.read("absent")
+    with pytest.raises(ValueError, match="columns of the table"):
+        store.write(KEYED, spark.createDataFrame([(1, "a")], "k int, v string"))
     with pytest.raises(ValueError, match="Unsupported"):
         store.write(KEYED, batch(spark, (1, "a")), "shuffle")
 
