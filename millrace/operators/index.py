@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -131,17 +132,39 @@ def nearest_vectors(
     *,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
+    max_floats: int = MAX_QUERY_FLOATS,
 ) -> DataFrame:
     """Exact cosine top-k of the vectors for each query vector; ties go to the smaller id.
 
-    The vectors are read once and stay where they are. Every task scores its
-    batches against the query vectors as one matrix product and keeps k rows per
-    query, so what is shuffled is k rows per query and task, never a pair list.
+    The vectors stay where they are. Every task scores its batches against the
+    query vectors as one matrix product and keeps k rows per query, so what is
+    shuffled is k rows per query and task, never a pair list. More query vectors
+    than a task should hold take several passes.
     """
+    per_pass = max(1, max_floats // max(len(queries[0][1]), 1))
+    passes = [
+        _task_winners(vectors, queries[start : start + per_pass], k, id_column, vector_column)
+        for start in range(0, len(queries), per_pass)
+    ]
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return (
+        reduce(DataFrame.unionAll, passes)
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= k)
+        .select("query_id", F.col("id").alias(id_column), "score", "rank")
+    )
+
+
+def _task_winners(
+    vectors: DataFrame,
+    queries: Sequence[tuple[int, Sequence[float]]],
+    k: int,
+    id_column: str,
+    vector_column: str,
+) -> DataFrame:
+    """The k best vectors of each task for each query vector."""
     ids = np.array([q[0] for q in queries], dtype=np.int64)
     block = np.array([q[1] for q in queries], dtype=np.float64)
-    if block.size > MAX_QUERY_FLOATS:
-        raise ValueError("Too many query vectors for one pass: split them.")
     norms = np.linalg.norm(block, axis=1, keepdims=True)
     block = block / np.where(norms == 0, 1.0, norms)
 
@@ -172,12 +195,6 @@ def nearest_vectors(
             )
         yield best
 
-    scored = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).alias("v")).mapInPandas(
-        score, "query_id bigint, id bigint, score double"
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return (
-        scored.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", F.col("id").alias(id_column), "score", "rank")
-    )
+    return vectors.select(
+        F.col(id_column).alias("id"), F.col(vector_column).alias("v")
+    ).mapInPandas(score, "query_id bigint, id bigint, score double")

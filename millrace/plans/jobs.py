@@ -247,17 +247,18 @@ def load_index(
     if not unique_rows and spec.id_strategy == "deterministic_hash":
         documents = documents.distinct()
     chunks = chunk_documents(documents, size=spec.chunk_size, overlap=spec.chunk_overlap)
-    result.chunks = store.replace_partition(
+    written = store.replace_partition(
         INDEX_TABLE, index_rows(chunks, run_id), "semantic_id", spec.semantic_id
     )
-    if result.chunks == 0:
+    if not written:
         if allow_empty and result.failed_rows == 0:
             store.drop_partition(INDEX_TABLE, spec.semantic_id)
         else:
             result.error = "No documents projected — source table may be empty."
         return result
-    indexed = where_equal(store.read(INDEX_TABLE), semantic_id=spec.semantic_id, chunk_index=0)
-    result.documents = indexed.count()
+    indexed = where_equal(store.read(INDEX_TABLE), semantic_id=spec.semantic_id)
+    firsts = F.count_if(F.col("chunk_index") == 0)
+    result.chunks, result.documents = indexed.agg(F.count("*"), firsts).first()
     lineage.output(spec.source_table, f"semantic::{spec.semantic_id}", "semantic")
     return result
 

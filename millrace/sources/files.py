@@ -62,10 +62,14 @@ def list_files(
     """Files below ``root`` with sizes and times; contents are not read.
 
     A missing path fails here. Spark reports no creation time, so the time of
-    the last change stands in for it.
+    the last change stands in for it, and leaves out empty files and files whose
+    names start with ``_`` or a dot.
     """
-    if not _is_folder(spark, root):
-        raise NotADirectoryError(f"Source path must be an existing directory: {root}")
+    path, fs = _hadoop_path(spark, root)
+    if not fs.exists(path):
+        raise FileNotFoundError(f"Source path does not exist: {root}")
+    if not fs.getFileStatus(path).isDirectory():
+        raise NotADirectoryError(f"Source path must be a directory: {root}")
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
@@ -99,11 +103,6 @@ def _hadoop_path(spark: SparkSession, root: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _is_folder(spark: SparkSession, root: str) -> bool:
-    path, fs = _hadoop_path(spark, root)
-    return fs.exists(path) and fs.getFileStatus(path).isDirectory()
-
-
 def _qualified(spark: SparkSession, root: str) -> str:
     path, fs = _hadoop_path(spark, root)
     return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString().rstrip("/")

@@ -26,11 +26,13 @@ class KeyCollision(ValueError):
 
 @dataclass(frozen=True)
 class Commit:
-    """State of a table: the number of its next version, its schema and live folders."""
+    """State of a table: the number of its next version, its schema, live folders and bucketing."""
 
     next_version: int
-    schema: T.StructType | None
-    folders: tuple[str, ...]
+    schema: T.StructType | None = None
+    folders: tuple[str, ...] = ()
+    buckets: int | None = None
+    key: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -74,8 +76,14 @@ class TableStore:
             if row:
                 content = json.loads(row["value"])
                 schema = T.StructType.fromJson(content["schema"])
-                return Commit(following, schema, tuple(content["folders"]))
-        return Commit(following, None, ())
+                return Commit(
+                    following,
+                    schema,
+                    tuple(content["folders"]),
+                    content["buckets"],
+                    tuple(content["key"]),
+                )
+        return Commit(following)
 
     def exists(self, name: str) -> bool:
         return self._commit(name).schema is not None
@@ -133,10 +141,23 @@ class TableStore:
         return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory())
 
     def _publish(
-        self, name: str, version: int, schema: T.StructType, folders: Sequence[str]
+        self,
+        name: str,
+        version: int,
+        schema: T.StructType,
+        folders: Sequence[str],
+        *,
+        buckets: int | None = None,
+        key: Sequence[str] = (),
     ) -> None:
         """Make a version visible. A version that exists already fails a second writer."""
-        content = {"version": version, "schema": schema.jsonValue(), "folders": list(folders)}
+        content = {
+            "version": version,
+            "schema": schema.jsonValue(),
+            "folders": list(folders),
+            "buckets": buckets,
+            "key": list(key),
+        }
         row = self.spark.range(1, numPartitions=1).select(F.lit(json.dumps(content)).alias("value"))
         row.write.mode("errorifexists").text(f"{self.root}/{name}/commits/v={version:012d}")
 
@@ -160,14 +181,28 @@ class TableStore:
             return self._upsert(spec, batch)
         raise ValueError(f"Unsupported write mode: {mode}")
 
-    def _bucketed(self, spec: TableSpec, batch: DataFrame) -> tuple[DataFrame, str | None]:
+    def _bucketed(self, spec: TableSpec, batch: DataFrame, buckets: int) -> DataFrame:
         if not spec.key:
-            return batch, None
-        return batch.withColumn(BUCKET, key_bucket(batch, spec.key, spec.buckets)), BUCKET
+            return batch
+        return batch.withColumn(BUCKET, key_bucket(batch, spec.key, buckets))
 
-    def _write_rows(
-        self, spec: TableSpec, version: int, rows: DataFrame, partition: str | None
-    ) -> list[str]:
+    def _fitting_commit(self, spec: TableSpec, batch: DataFrame) -> tuple[Commit, int]:
+        """The newest commit and the bucket count to go on with.
+
+        A stored table keeps its bucket count whatever the specification says by
+        now; with another count its keys would be looked for in the wrong
+        buckets. A replacement starts afresh.
+        """
+        commit = self._commit(spec.name)
+        if not commit.folders:
+            return commit, spec.buckets
+        stored = [(f.name, f.dataType) for f in commit.schema]
+        if stored != [(f.name, f.dataType) for f in batch.schema] or commit.key != tuple(spec.key):
+            raise ValueError(f"Table '{spec.name}' is stored with other columns or another key.")
+        return commit, commit.buckets or spec.buckets
+
+    def _write_rows(self, spec: TableSpec, version: int, rows: DataFrame) -> list[str]:
+        partition = BUCKET if spec.key else None
         # Spark sizes the writing tasks by what the buckets hold: a large one is
         # written by several tasks, small ones share a task.
         spread = rows.hint("rebalance", partition) if partition else rows
@@ -176,55 +211,54 @@ class TableStore:
     def _nullable_key(self, spec: TableSpec) -> bool:
         return any(spec.nullable(c) for c in spec.columns if c.name in spec.key)
 
-    def _touched(self, spec: TableSpec, bucketed: DataFrame, folders: Sequence[str]) -> set[str]:
-        """Live folders of the buckets the batch has rows for; at most ``spec.buckets``."""
+    def _touched(self, bucketed: DataFrame, folders: Sequence[str]) -> set[str]:
+        """Live folders of the buckets the batch has rows for: one value per bucket at most."""
         names = {f"{BUCKET}={r[0]}" for r in bucketed.select(BUCKET).distinct().collect()}
         return {f for f in folders if f.split("/")[-1] in names}
 
     def _append(self, spec: TableSpec, batch: DataFrame) -> LoadResult:
-        commit = self._commit(spec.name)
-        bucketed, partition = self._bucketed(spec, batch)
-        if partition and commit.folders:
-            touched = sorted(self._touched(spec, bucketed, commit.folders))
+        commit, buckets = self._fitting_commit(spec, batch)
+        rows = self._bucketed(spec, batch, buckets)
+        if spec.key and commit.folders:
+            touched = sorted(self._touched(rows, commit.folders))
             stored = self._read(spec.name, commit.schema, touched)
             if not key_collisions(stored, batch, spec.key).isEmpty():
                 raise KeyCollision(f"Append to '{spec.name}' repeats stored keys {spec.key}.")
-        new = self._write_rows(spec, commit.next_version, bucketed, partition)
-        self._publish(spec.name, commit.next_version, batch.schema, [*commit.folders, *new])
+        new = self._write_rows(spec, commit.next_version, rows)
+        self._publish_rows(spec, commit.next_version, batch, [*commit.folders, *new], buckets)
         return LoadResult(spec.name, "append", self._count(spec.name, batch.schema, new), 0)
 
     def _replace(self, spec: TableSpec, batch: DataFrame) -> LoadResult:
         version = self._commit(spec.name).next_version
-        bucketed, partition = self._bucketed(spec, batch)
-        new = self._write_rows(spec, version, bucketed, partition)
-        self._publish(spec.name, version, batch.schema, new)
+        new = self._write_rows(spec, version, self._bucketed(spec, batch, spec.buckets))
+        self._publish_rows(spec, version, batch, new, spec.buckets)
         return LoadResult(spec.name, "replace", self._count(spec.name, batch.schema, new), 0)
 
     def _upsert(self, spec: TableSpec, batch: DataFrame) -> LoadResult:
         """Merge into the buckets the batch touches; other buckets are not read or written."""
-        commit = self._commit(spec.name)
+        commit, buckets = self._fitting_commit(spec, batch)
         arriving = batch.count()
         if arriving == 0 and commit.schema is not None:
             return LoadResult(spec.name, "upsert", 0, 0)
         if not spec.key:
             appended = self._append(spec, batch)
             return LoadResult(spec.name, "upsert", appended.inserted_rows, 0)
-        bucketed, _ = self._bucketed(spec, batch)
-        touched = self._touched(spec, bucketed, commit.folders) if commit.folders else set()
+        rows = self._bucketed(spec, batch, buckets)
+        touched = self._touched(rows, commit.folders) if commit.folders else set()
         if touched:
             stored = self._read(spec.name, commit.schema, sorted(touched))
             merged = merge_buckets(
-                self._bucketed(spec, stored)[0],
-                bucketed,
+                self._bucketed(spec, stored, buckets),
+                rows,
                 spec.key,
                 BUCKET,
                 nullable_key=self._nullable_key(spec),
             )
             new = self._write(spec.name, commit.next_version, merged, BUCKET, spec.indexed_names)
         else:
-            new = self._write_rows(spec, commit.next_version, bucketed, BUCKET)
+            new = self._write_rows(spec, commit.next_version, rows)
         kept = [f for f in commit.folders if f not in touched]
-        self._publish(spec.name, commit.next_version, batch.schema, [*kept, *new])
+        self._publish_rows(spec, commit.next_version, batch, [*kept, *new], buckets)
         # Every stored key that the batch repeats is one row fewer in the result.
         updated = 0
         if touched:
@@ -232,22 +266,33 @@ class TableStore:
             updated = before + arriving - self._count(spec.name, batch.schema, new)
         return LoadResult(spec.name, "upsert", arriving - updated, updated)
 
+    def _publish_rows(
+        self, spec: TableSpec, version: int, batch: DataFrame, folders: Sequence[str], buckets: int
+    ) -> None:
+        self._publish(
+            spec.name,
+            version,
+            batch.schema,
+            folders,
+            buckets=buckets if spec.key else None,
+            key=spec.key,
+        )
+
     def _count(self, name: str, schema: T.StructType, folders: Sequence[str]) -> int:
         """Rows in the folders; Parquet answers from its file footers."""
         return self._read(name, schema, folders).count() if folders else 0
 
-    def replace_partition(self, name: str, df: DataFrame, partition: str, value: str) -> int:
-        """Make ``df`` the whole content of one partition value; returns its row count.
+    def replace_partition(self, name: str, df: DataFrame, partition: str, value: str) -> bool:
+        """Make ``df`` the whole content of one partition value; says whether it did.
 
         Without any rows nothing is changed: dropping a partition is a call of its own.
         """
         commit = self._commit(name)
         new = self._write(name, commit.next_version, df, partition)
-        if not new:
-            return 0
-        kept = [f for f in commit.folders if not _holds(f, value)]
-        self._publish(name, commit.next_version, df.schema, [*kept, *new])
-        return self._count(name, df.schema, new)
+        if new:
+            kept = [f for f in commit.folders if not _holds(f, value)]
+            self._publish(name, commit.next_version, df.schema, [*kept, *new])
+        return bool(new)
 
     def drop_partition(self, name: str, value: str) -> int:
         """Remove one partition value; returns the number of rows it held."""

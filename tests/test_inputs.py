@@ -39,9 +39,17 @@ def test_inventory(spark, folder):
 
 
 def test_missing_folders_fail(spark, folder):
-    for path in (folder / "absent", folder / "a.csv"):
-        with pytest.raises(NotADirectoryError):
-            f.list_files(spark, str(path))
+    with pytest.raises(FileNotFoundError):
+        f.list_files(spark, str(folder / "absent"))
+    with pytest.raises(NotADirectoryError):
+        f.list_files(spark, str(folder / "a.csv"))
+
+
+def test_empty_and_hidden_files_are_not_listed(spark, folder):
+    for name in ("empty", ".hidden", "_hidden"):
+        (folder / name).write_bytes(b"" if name == "empty" else b"x")
+    listed = names_in(f.list_files(spark, str(folder)))
+    assert not {"empty", ".hidden", "_hidden"} & set(listed)
 
 
 @pytest.mark.parametrize("pattern", ["*.csv", "b?.txt", "b[12].txt", "b[!1].*", "sub/*", "*", "a.csv", "[x]", "*+z*"])

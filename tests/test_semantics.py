@@ -203,6 +203,7 @@ def test_nearest_vectors_match_brute_force(spark, rows):
         score = data @ q / np.where(norms == 0, 1, norms) / np.linalg.norm(q)
         order = sorted(range(300), key=lambda i: (-round(score[i], 12), i))[:5]
         expected += [(qid, i, r + 1) for r, i in enumerate(order)]
-    got = rows(nearest_vectors(df, queries, 5).select("query_id", "vec_id", "rank"))
-    assert got == sorted(expected, key=repr)
+    for max_floats in (1000, 8):
+        nearest = nearest_vectors(df, queries, 5, max_floats=max_floats)
+        assert rows(nearest.select("query_id", "vec_id", "rank")) == sorted(expected, key=repr)
     assert nearest_vectors(df, queries, 1000).count() == 600

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,31 @@ def test_upsert_leaves_other_buckets_alone(spark, store):
     assert store.read("t").count() == 100
 
 
+def test_stored_bucket_count_is_kept(spark, store):
+    many = spark.range(100).select(F.col("id").alias("k"), F.lit("a").alias("v"))
+    store.write(KEYED, many, "upsert")
+    other = replace(KEYED, buckets=7)
+    result = store.write(other, many.withColumn("v", F.lit("b")), "upsert")
+    assert (result.inserted_rows, result.updated_rows) == (0, 100)
+    assert store.read("t").filter("v = 'b'").count() == store.read("t").count() == 100
+    with pytest.raises(KeyCollision):
+        store.write(other, many, "append")
+    store.write(other, many, "replace")
+    assert len(store._commit("t").folders) == 7
+
+
+def test_stored_table_with_another_layout_is_refused(spark, store):
+    store.write(KEYED, batch(spark, (1, "a")), "upsert")
+    wider = replace(KEYED, columns=(*KEYED.columns, Column("w", "int")))
+    df = spark.createDataFrame([(1, "a", 2)], "k long, v string, w long")
+    with pytest.raises(ValueError, match="stored with other columns"):
+        store.write(wider, df, "upsert")
+    assert store.write(wider, df, "replace").inserted_rows == 1
+    rekeyed = replace(wider, primary_key=("v",))
+    with pytest.raises(ValueError, match="another key"):
+        store.write(rekeyed, df, "upsert")
+
+
 def test_upsert_without_key_appends(spark, store):
     spec = TableSpec("n", (Column("v", "str"),), kind="derived", depends_on=("x",))
     df = spark.createDataFrame([("a",)], "v string")
@@ -115,7 +142,8 @@ def test_second_writer_of_a_version_fails(spark, store):
 def test_partitions(spark, store, rows):
     df = spark.createDataFrame([("a/b", 1), ("a/b", 2), ("c d", 3)], "s string, v int")
     store.append_rows("p", df, "s")
-    assert store.replace_partition("p", df.filter("v = 1"), "s", "a/b") == 1
+    assert store.replace_partition("p", df.filter("v = 1"), "s", "a/b")
+    assert not store.replace_partition("p", df.filter("v = 9"), "s", "a/b")
     assert rows(store.read("p")) == [("a/b", 1), ("c d", 3)]
     assert store.drop_partition("p", "c d") == 1
     assert store.drop_partition("p", "c d") == 0
