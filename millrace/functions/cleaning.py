@@ -55,6 +55,18 @@ def guarded_ratio(part: Column, whole: Column) -> Column:
     return F.when(F.coalesce(whole, F.lit(0.0)) > 0, part.cast("double") / whole).otherwise(0.0)
 
 
+def always_fits(source: T.DataType, target: T.DataType) -> bool:
+    """Whether every value of the one type has its place in the other."""
+    if source == target or isinstance(target, T.StringType):
+        return True
+    small = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType)
+    if isinstance(target, T.LongType):
+        return isinstance(source, small)
+    if isinstance(target, T.DoubleType):
+        return isinstance(source, (*small, T.LongType, T.FloatType))
+    return False
+
+
 def lossless_cast(value: Column, source: T.DataType, target: T.DataType) -> Column:
     """Value in the target type, or null where the target cannot hold it.
 

@@ -9,15 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.cleaning import lossless_cast, text_cast
+from millrace.functions.cleaning import always_fits, lossless_cast, text_cast
 from millrace.operators.lookups import HOT_ROWS, join_lookup
 from millrace.operators.shape import where_equal
 from millrace.scratch import Scratch
 from millrace.spec import TableSpec
 
-# Names of the two columns that flagged frames carry.
+# Names of the two columns that flagged frames carry, and the messages.
 ERROR_TEXT = "__error_messages__"
 ERROR_FLAG = "__has_error__"
+REQUIRED_ERROR = "Column '{}' is required but null."
+DUPLICATE_ERROR = "Duplicate primary key on columns {}."
 DEFAULT_ERROR = "Row failed validation."
 
 
@@ -31,7 +33,7 @@ class Rule:
 
 def required_rules(df: DataFrame, spec: TableSpec) -> list[Rule]:
     return [
-        Rule(f"Column '{c.name}' is required but null.", F.col(f"`{c.name}`").isNull())
+        Rule(REQUIRED_ERROR.format(c.name), F.col(f"`{c.name}`").isNull())
         for c in spec.columns
         if c.name in df.columns and not spec.nullable(c) and c.default is None
     ]
@@ -41,7 +43,7 @@ def castable_rules(df: DataFrame, spec: TableSpec) -> list[Rule]:
     """Values that the declared type cannot hold."""
     rules = []
     for c in spec.columns:
-        if c.name not in df.columns or df.schema[c.name].dataType == c.data_type:
+        if c.name not in df.columns or always_fits(df.schema[c.name].dataType, c.data_type):
             continue
         value = F.col(f"`{c.name}`")
         lost = lossless_cast(value, df.schema[c.name].dataType, c.data_type).isNull()
@@ -91,7 +93,7 @@ def mark_duplicates(
 
 
 def duplicate_message(key: Sequence[str]) -> str:
-    return f"Duplicate primary key on columns {list(key)}."
+    return DUPLICATE_ERROR.format(list(key))
 
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:

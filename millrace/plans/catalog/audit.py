@@ -29,6 +29,7 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type") == "purchase", "completed"
     )
     return events.select(
+        "event_id",
         F.concat_ws("@", "user_id", F.date_format("ts", "yyyy-MM-dd HH")).alias("run_id"),
         F.lit("shop").alias("project_id"),
         F.coalesce(status, F.lit("started")).alias("status"),
@@ -85,11 +86,17 @@ def run_records_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "run_lookup",
-    RUNS_SQL + "SELECT run_id, coalesce(status, 'started') AS status FROM runs WHERE run_id = '8@2024-01-01 00'",
+    RUNS_SQL
+    + """
+SELECT run_id, coalesce(status, 'started') AS status FROM runs
+WHERE run_id = (SELECT arg_min(run_id, event_id) FROM e)
+""",
 )
 def run_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = run_records(run_events(spark, sf_dir))
-    return get_run(records, "8@2024-01-01 00").select("run_id", "status")
+    """The run that the first event belongs to."""
+    events = run_events(spark, sf_dir)
+    first = events.agg(F.min_by("run_id", "event_id")).first()[0]
+    return get_run(run_records(events), first).select("run_id", "status")
 
 
 @query(

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from millrace.operators.derive import Transform
-from millrace.operators.shape import with_provenance
+from millrace.operators.shape import relaxed_union
 from millrace.plans.jobs import Source
 from millrace.scratch import Scratch
 from millrace.sources.files import inventory, select_all
 from millrace.sources.scan import query, scan, with_file_hash
 from millrace.sources.sqlite import sqlite_query
+from millrace.spec import SOURCE_FILE
 
 
 def file_source(
@@ -78,27 +79,41 @@ def sqlite_source(
     splits: int = 1,
     after_read: Sequence[Transform] = (),
 ) -> Source:
-    """The result of a statement on each selected SQLite file, one frame per file."""
+    """The result of a statement on the selected SQLite files.
+
+    With a schema all files are one scan. Without, each file is a frame of its
+    own with the types found in it, and the frames are united.
+    """
 
     def read(spark: SparkSession) -> list[DataFrame]:
-        files = select(
-            inventory(
-                spark,
-                root,
-                source_id=source_id,
-                recursive=recursive,
-                include=include,
-                exclude=exclude,
-            )
+        scratch = Scratch(spark)
+        listed = inventory(
+            spark,
+            root,
+            source_id=source_id,
+            recursive=recursive,
+            include=include,
+            exclude=exclude,
         )
-        frames = []
-        for file in files.select("path", "content_hash").toLocalIterator():
-            rows = sqlite_query(
-                spark, file["path"], sql, schema=schema, split_column=split_column, splits=splits
-            )
-            frames.append(
-                with_provenance(rows, file_hash=file["content_hash"], source_file=file["path"])
+        files = scratch.stage(select(listed), "selected-files")
+        paths = [r["path"] for r in files.select("path").toLocalIterator()]
+        if not paths:
+            return []
+
+        def rows_of(some: list[str]) -> DataFrame:
+            return sqlite_query(
+                spark,
+                some,
+                sql,
+                schema=schema,
+                split_column=split_column,
+                splits=splits,
+                source_column=SOURCE_FILE,
             )
-        return frames
+
+        if schema is not None:
+            return [with_file_hash(rows_of(paths), files, scratch=scratch)]
+        united = relaxed_union([rows_of([path]) for path in paths])
+        return [with_file_hash(united, files, scratch=scratch)]
 
     return Source(source_id, read, tuple(after_read))

@@ -19,7 +19,10 @@ from millrace.operators.lookups import HOT_ROWS
 from millrace.operators.merge import orphan_keys
 from millrace.operators.quality import (
     ERROR_FLAG,
+    ERROR_TEXT,
     Rule,
+    apply_rules,
+    castable_rules,
     duplicate_keys,
     duplicate_message,
     flag_rows,
@@ -40,12 +43,14 @@ from millrace.spec import DocumentSpec, TableSpec, gate_errors, schema_gate
 
 log = logging.getLogger(__name__)
 
-# Names of the system tables.
+# Names of the system tables and wording of failed steps.
 QUARANTINE_TABLE = "etl_dlq"
 LINEAGE_TABLE = "etl_lineage"
 RUN_TABLE = "etl_run_tracking"
 INDEX_TABLE = "etl_semantic_index"
 CHILD_ERRORS = "Pipeline completed with child errors."
+NO_DOCUMENTS = "No documents projected — source table may be empty."
+GATE_FAILED = "Schema validation failed: "
 
 
 @dataclass(frozen=True)
@@ -63,12 +68,18 @@ class Source:
 
 @dataclass(frozen=True)
 class CanonicalTable:
+    """A table loaded from sources.
+
+    With ``check_types``, rows with a value that the declared type cannot hold
+    are rejected; without, such values become null.
+    """
+
     spec: TableSpec
     sources: tuple[Source, ...]
     before_validation: tuple[Transform, ...] = ()
     before_load: tuple[Transform, ...] = ()
     rules: Callable[[DataFrame], Sequence[Rule]] = field(default=lambda df: ())
-    check_types: bool = False
+    check_types: bool = True
 
 
 @dataclass(frozen=True)
@@ -164,7 +175,7 @@ def load_canonical(
     result.issues = schema_gate(batch, spec)
     errors = gate_errors(result.issues)
     if errors:
-        result.error = "Schema validation failed: " + "; ".join(i.reason for i in errors)
+        result.error = GATE_FAILED + "; ".join(i.reason for i in errors)
         return result
 
     batch = fill_required_defaults(fill_missing(batch, spec), spec)
@@ -201,7 +212,11 @@ def load_canonical(
 def load_derived(
     store: TableStore, table: DerivedTable, *, scratch: Scratch, lineage: audit.LineageLog
 ) -> TableResult:
-    """Build and load one derived table. A key that comes out twice is an error."""
+    """Build and load one derived table.
+
+    A key that comes out twice is an error, and so is a value that the declared
+    type cannot hold: a build has no quarantine.
+    """
     spec = table.spec
     result = TableResult(spec.name, spec.kind)
     built = table.build({name: store.read(name) for name in spec.depends_on})
@@ -211,11 +226,17 @@ def load_derived(
     built = run_chain(built, table.after_build)
     if spec.record_hash:
         built = with_record_hash(built, spec.declared_names, length=32)
-    staged = scratch.stage(target_projection(built, spec), f"built-{spec.name}")
-    if spec.key and not duplicate_keys(staged, spec.key).isEmpty():
+    checked = apply_rules(built, castable_rules(built, spec))
+    staged = scratch.stage(checked, f"built-{spec.name}")
+    misfit = staged.filter(F.col(ERROR_FLAG)).first()
+    if misfit:
+        result.error = misfit[ERROR_TEXT]
+        return result
+    rows = target_projection(valid_rows(staged), spec)
+    if spec.key and not duplicate_keys(rows, spec.key).isEmpty():
         result.error = duplicate_message(spec.key)
         return result
-    result.load = store.write(spec, staged)
+    result.load = store.write(spec, rows)
     result.valid_rows = result.load.total_affected
     lineage.output(spec.name, spec.name, "derive")
     return result
@@ -254,7 +275,7 @@ def load_index(
         if allow_empty and result.failed_rows == 0:
             store.drop_partition(INDEX_TABLE, spec.semantic_id)
         else:
-            result.error = "No documents projected — source table may be empty."
+            result.error = NO_DOCUMENTS
         return result
     indexed = where_equal(store.read(INDEX_TABLE), semantic_id=spec.semantic_id)
     firsts = F.count_if(F.col("chunk_index") == 0)

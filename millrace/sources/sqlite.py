@@ -37,7 +37,8 @@ class SqliteQuerySource(DataSource):
 
     Options: ``query``; ``paths`` (one per line, readable by every executor);
     ``splitColumn``, an integer column of the result such as a rowid, and
-    ``numSplits``, into how many ranges of it each file is divided. Each task
+    ``numSplits``, into how many ranges of it each file is divided;
+    ``sourceColumn``, a name under which to add the path of the file. Each task
     finds the bounds of its range itself; with an indexed column that is a
     lookup, as is the scan of its range.
     """
@@ -64,9 +65,11 @@ class SqliteQuerySource(DataSource):
                         kinds.add(type(value))
         finally:
             connection.close()
-        return T.StructType(
+        found = T.StructType(
             [T.StructField(n, _spark_type(kinds)) for n, kinds in zip(names, seen, strict=True)]
         )
+        added = self.options.get("sourceColumn")
+        return found.add(added, T.StringType()) if added else found
 
     def reader(self, schema: T.StructType) -> SqliteQueryReader:
         return SqliteQueryReader(schema, dict(self.options))
@@ -90,6 +93,7 @@ class SqliteQueryReader(DataSourceReader):
         self.split_column = options.get("splitcolumn") or options.get("splitColumn")
         parts = options.get("numsplits") or options.get("numSplits") or "1"
         self.parts = int(parts) if self.split_column else 1
+        self.adds_path = bool(options.get("sourcecolumn") or options.get("sourceColumn"))
 
     def partitions(self) -> Sequence[FileRange]:
         return [FileRange(p, i, self.parts) for p in self.paths for i in range(self.parts)]
@@ -99,8 +103,9 @@ class SqliteQueryReader(DataSourceReader):
         try:
             sql, bounds = self._range_sql(connection, partition)
             cursor = connection.execute(sql, bounds)
+            added = (partition.path,) if self.adds_path else ()
             while rows := cursor.fetchmany(BATCH_ROWS):
-                yield self._batch(rows)
+                yield self.batch([row + added for row in rows] if added else rows)
         finally:
             connection.close()
 
@@ -121,7 +126,7 @@ class SqliteQueryReader(DataSourceReader):
             where = f"({where}) OR {name} IS NULL"
         return f"SELECT * FROM ({self.query}) WHERE {where}", (start, start + width)
 
-    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
         arrays = []
         for position, field in enumerate(self.arrow_schema):
             values = [row[position] for row in rows]
@@ -145,8 +150,12 @@ def sqlite_query(
     schema: T.StructType | str | None = None,
     split_column: str | None = None,
     splits: int = 1,
+    source_column: str | None = None,
 ) -> DataFrame:
-    """Rows of a SQL statement run on each of the SQLite files."""
+    """Rows of a SQL statement run on each of the SQLite files.
+
+    ``source_column`` adds the path of the file under that name.
+    """
     if not sql or not sql.strip():
         raise ValueError("A query scan needs SQL.")
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -155,8 +164,13 @@ def sqlite_query(
     reader = reader.option("paths", "\n".join(paths))
     if split_column:
         reader = reader.option("splitColumn", split_column).option("numSplits", str(splits))
+    if source_column:
+        reader = reader.option("sourceColumn", source_column)
     if schema is not None:
-        reader = reader.schema(schema)
+        declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if source_column:
+            declared = T.StructType([*declared, T.StructField(source_column, T.StringType())])
+        reader = reader.schema(declared)
     return reader.load()
 
 
@@ -181,7 +195,7 @@ def sqlite_query_bytes(
                     connection.deserialize(cell.as_py())
                     cursor = connection.execute(reader.query)
                     while rows := cursor.fetchmany(BATCH_ROWS):
-                        yield reader._batch(rows)
+                        yield reader.batch(rows)
                 finally:
                     connection.close()
 

@@ -235,6 +235,16 @@ def test_load_from_sqlite_files(store, backups):
     assert index_counts(store) == {"companies": 41, "industry_stats": 7}
 
 
+def test_sqlite_files_with_a_schema_are_one_scan(spark, backups):
+    folder, _ = backups
+    sql = "SELECT id, name FROM companies"
+    typed = sqlite_source("s", str(folder), sql, schema="id string, name string").read(spark)
+    found = sqlite_source("s", str(folder), sql).read(spark)
+    assert sorted(typed[0].collect()) == sorted(found[0].collect())
+    assert typed[0].columns == ["id", "name", "_file_hash", "_source_file"]
+    assert sqlite_source("s", str(folder), sql, include=["*.none"]).read(spark) == []
+
+
 def test_load_from_csv_files(store, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -306,6 +316,16 @@ def test_a_failing_table_leaves_the_others(store):
     assert loaded == {"companies": 40, "twice": 0, "industry_stats": 6}
 
 
+def test_derived_values_must_fit_their_types(store):
+    spec = TableSpec(
+        "halves", (Column("id", key=True), Column("n", "int")), kind="derived", depends_on=("companies",)
+    )
+    build = DerivedTable(spec, lambda f: f["companies"].select("id", F.lit(0.5).alias("n")))
+    result = run(store, FIRST, "r1", derived=[build], documents=[])
+    assert result.tables[1].error == "Column 'n' is not a valid int."
+    assert not store.exists("halves")
+
+
 def test_sources_with_different_columns_are_united(store):
     spark = store.spark
     a = spark.createDataFrame(FIRST[:2], LAYOUT).withColumns(
