@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,3 +72,22 @@ def column_text(df: DataFrame, name: str) -> Column:
 def column_display(df: DataFrame, name: str) -> Column:
     """``display_text`` for a named column of ``df``."""
     return display_text(F.col(f"`{name}`"), df.schema[name].dataType)
+
+
+def json_field(df: DataFrame, name: str) -> Column:
+    """A column as it goes into JSON: times, dates and decimals as their display text.
+
+    Spark's own form of times has a ``T`` in it and, for zoned ones, an offset.
+    """
+    as_text = (T.TimestampType, T.TimestampNTZType, T.DateType, T.DecimalType)
+    value = F.col(f"`{name}`")
+    data_type = df.schema[name].dataType
+    shown = display_text(value, data_type) if isinstance(data_type, as_text) else value
+    return shown.alias(name)
+
+
+def row_json(df: DataFrame, columns: Sequence[str]) -> Column:
+    """JSON object of the columns in the given order, nulls included."""
+    return F.to_json(
+        F.struct(*[json_field(df, c) for c in columns]), {"ignoreNullFields": "false"}
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.template import plain_parts, render
-from millrace.functions.text import column_display
+from millrace.functions.text import column_display, json_field, row_json
 from millrace.scratch import Scratch
 from millrace.spec import DocumentSpec, check_chunk_bounds
 
@@ -31,7 +31,7 @@ def metadata_json(df: DataFrame, fields: Sequence[str], extra: Mapping[str, Any]
     """JSON object of the chosen fields (null where absent), overridden by the extra values."""
     values: dict[str, Column] = {}
     for name in fields:
-        values[name] = F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("string")
+        values[name] = json_field(df, name) if name in df.columns else F.lit(None).cast("string")
     for name, value in extra.items():
         values[name] = _literal(value)
     if not values:
@@ -62,8 +62,7 @@ def content_id(df: DataFrame, semantic_id: str, columns: Sequence[str] = ()) ->
     Covering all columns includes the hash of the source file, so any change of
     that file renames all its documents. Key plus ``_record_hash`` avoids that.
     """
-    names = sorted(columns or df.columns)
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"})
+    row = row_json(df, sorted(columns or df.columns))
     return F.substring(F.sha2(F.concat(F.lit(f"{semantic_id}::"), row), 256), 1, 32)
 
 
@@ -163,12 +162,10 @@ def project_documents(
         tags_array(source, spec.tag_fields).alias("tags"),
         index.alias("source_row_index"),
         F.coalesce(title_error, body_error, strategy_error).alias("reason"),
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
+        row_json(source, columns).alias("raw_row_json"),
     )
     documents = projected.filter(F.col("reason").isNull()).select(*DOCUMENT_COLUMNS)
-    failures = projected.filter(F.col("reason").isNotNull()).select(
-        F.to_json("row", {"ignoreNullFields": "false"}).alias("raw_row_json"), "reason"
-    )
+    failures = projected.filter(F.col("reason").isNotNull()).select("raw_row_json", "reason")
     return documents, failures
 
 

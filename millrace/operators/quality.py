@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.cleaning import always_fits, lossless_cast, text_cast
+from millrace.functions.text import row_json
 from millrace.operators.lookups import HOT_ROWS, join_lookup
 from millrace.operators.shape import where_equal
 from millrace.scratch import Scratch
@@ -166,13 +167,12 @@ def quarantine_rows(
     """Rejected rows as JSON with what was wrong, by run, stage, source and table."""
     data = [c for c in invalid.columns if c not in (ERROR_FLAG, ERROR_TEXT)]
     own = F.col(ERROR_TEXT) if ERROR_TEXT in invalid.columns else F.lit(None).cast("string")
-    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in data]), {"ignoreNullFields": "false"})
     return invalid.select(
         F.lit(run_id).alias("run_id"),
         F.lit(stage).alias("stage"),
         F.lit(source_id).alias("source_id"),
         F.lit(table_name).alias("table_name"),
-        body.alias("raw_row_json"),
+        row_json(invalid, data).alias("raw_row_json"),
         F.coalesce(F.nullif(own, F.lit("")), F.lit(default_message)).alias("error_message"),
         F.current_timestamp().alias("persisted_at"),
     )

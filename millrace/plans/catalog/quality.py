@@ -163,17 +163,14 @@ def error_histogram_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'run-1' AS run_id, 'validation' AS stage, 'warehouse' AS source_id, 'lines' AS table_name,
        CAST(to_json({'l_orderkey': l_orderkey, 'l_linenumber': l_linenumber,
                 'l_returnflag': nullif(l_returnflag, 'R'), 'l_quantity': l_quantity,
-                'shipped': CAST(l_shipdate AS VARCHAR)}) AS VARCHAR) AS raw_row_json,
+                'l_shipdate': CAST(l_shipdate AS VARCHAR)}) AS VARCHAR) AS raw_row_json,
        errors AS error_message
 FROM flagged WHERE errors <> ''
 """,
 )
 def quarantine_rows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = flagged_lines(spark, sf_dir, "l_shipdate").withColumn(
-        "shipped", F.col("l_shipdate").cast("string")
-    )
     rejected = quarantine_rows(
-        invalid_rows(flagged.drop("l_shipdate")),
+        invalid_rows(flagged_lines(spark, sf_dir, "l_shipdate")),
         run_id="run-1",
         stage="validation",
         source_id="warehouse",

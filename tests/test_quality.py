@@ -137,6 +137,11 @@ def test_quarantine(spark):
     assert json.loads(out[0]["raw_row_json"]) == {"id": 1, "name": None}
     assert [r["error_message"] for r in out] == ["bad", "Row failed validation."]
     assert out[0]["persisted_at"] is not None
+    typed = spark.sql("SELECT 1.50BD AS d, TIMESTAMP_NTZ'2024-01-02 03:04:05' AS t, DATE'2024-01-02' AS y, 2.0D AS x")
+    row = quarantine_rows(typed, run_id="r", stage="v", source_id="s", table_name="t").first()
+    assert json.loads(row["raw_row_json"]) == {
+        "d": "1.50", "t": "2024-01-02 03:04:05", "y": "2024-01-02", "x": 2.0
+    }
     bare = spark.createDataFrame([(1,)], "id int")
     row = quarantine_rows(
         bare, run_id="r", stage="v", source_id="s", table_name="t", default_message="why"
