@@ -73,17 +73,19 @@ def with_row_index(
 
     Rows are range-partitioned and sorted; a row's number is its place in its
     partition plus the rows in the partitions before. Rows with equal order
-    columns fall back on their place in the input, so that a run of equal rows
-    can be divided between tasks.
+    columns go by a hash of all columns, and equal rows by their place in the
+    input, so that a run of them can be divided between tasks. ``df`` should be
+    read from files or staged: then a repeated task sees the same places.
     """
     if not order_by:
         raise ValueError("Row numbers need order columns.")
-    order = [F.col(f"`{c}`") for c in order_by] + [F.col("_input_place")]
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    order = [F.col(f"`{c}`") for c in [*order_by, "_content", "_input_place"]]
     sorted_rows = (
-        df.withColumn("_input_place", F.monotonically_increasing_id())
+        df.withColumns({"_content": content, "_input_place": F.monotonically_increasing_id()})
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .drop("_input_place")
+        .drop("_content", "_input_place")
         .withColumn("_place", F.monotonically_increasing_id())
     )
     staged = scratch.stage(sorted_rows, "sorted")

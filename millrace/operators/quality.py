@@ -22,6 +22,7 @@ ERROR_FLAG = "__has_error__"
 REQUIRED_ERROR = "Column '{}' is required but null."
 DUPLICATE_ERROR = "Duplicate primary key on columns {}."
 DEFAULT_ERROR = "Row failed validation."
+SEPARATOR = "; "
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,10 @@ class Rule:
     message: str
     fails: Column
 
+    def __post_init__(self) -> None:
+        if SEPARATOR in self.message:
+            raise ValueError(f"A message must not contain '{SEPARATOR}', which parts messages.")
+
 
 def required_rules(df: DataFrame, spec: TableSpec) -> list[Rule]:
     return [
@@ -100,7 +105,7 @@ def duplicate_message(key: Sequence[str]) -> str:
 def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Add the joined messages of the failed rules and the error flag."""
     messages = [F.when(r.fails, F.lit(r.message)) for r in rules]
-    text = F.concat_ws("; ", *messages) if messages else F.lit("")
+    text = F.concat_ws(SEPARATOR, *messages) if messages else F.lit("")
     return df.withColumn(ERROR_TEXT, text).withColumn(
         ERROR_FLAG, F.char_length(F.col(ERROR_TEXT)) > 0
     )
@@ -149,7 +154,7 @@ def error_histogram(flagged: DataFrame) -> DataFrame:
         invalid_rows(flagged)
         .groupBy(ERROR_TEXT)
         .agg(F.count("*").alias("_rows"))
-        .select(F.explode(F.split(ERROR_TEXT, "; ")).alias("message"), "_rows")
+        .select(F.explode(F.split(ERROR_TEXT, SEPARATOR)).alias("message"), "_rows")
         .groupBy("message")
         .agg(F.sum("_rows").alias("row_count"))
     )

@@ -12,12 +12,40 @@ from millrace.operators.derive import Transform
 from millrace.operators.shape import relaxed_union
 from millrace.plans.jobs import Source
 from millrace.scratch import Scratch
-from millrace.sources.files import inventory, select_all
+from millrace.sources.files import (
+    list_files,
+    loadable,
+    select_all,
+    skip_known,
+    with_content_hash,
+)
 from millrace.sources.scan import query, scan, with_file_hash
 from millrace.sources.sqlite import sqlite_query
 from millrace.spec import SOURCE_FILE
 
 
+def chosen_files(
+    spark: SparkSession,
+    scratch: Scratch,
+    root: str,
+    *,
+    select: Callable[[DataFrame], DataFrame],
+    known: DataFrame | None,
+    **listing: Any,
+) -> tuple[DataFrame, list[str]]:
+    """Selected files with their hashes, and their paths.
+
+    Selection sees names, sizes and times; only what it leaves is read for its
+    hash. ``known`` holds a ``content_hash`` column: files with these are skipped.
+    The paths go to Spark's reader, which holds them on the driver in any case.
+    """
+    files = with_content_hash(select(list_files(spark, root, **listing)))
+    if known is not None:
+        files = skip_known(files, known)
+    files = scratch.stage(files, "selected-files")
+    return files, [r["path"] for r in files.select("path").toLocalIterator()]
+
+
 def file_source(
     source_id: str,
     root: str,
@@ -27,37 +55,35 @@ def file_source(
     include: Sequence[str] = (),
     exclude: Sequence[str] = (),
     select: Callable[[DataFrame], DataFrame] = select_all,
+    known: DataFrame | None = None,
     sql: str | None = None,
     schema: T.StructType | str | None = None,
     read_options: Mapping[str, Any] | None = None,
     after_read: Sequence[Transform] = (),
 ) -> Source:
-    """Files below ``root`` as a source: listed, hashed, selected, read and stamped.
+    """Files below ``root`` as a source: listed, selected, hashed, read and stamped.
 
     ``sql`` is a statement with ``{source}`` for the rows read; it has to pass on
-    ``_source_file`` to keep the provenance. The paths of the selected files go
-    to Spark's reader, which holds them on the driver in any case.
+    ``_source_file`` to keep the provenance.
     """
 
     def read(spark: SparkSession) -> list[DataFrame]:
         scratch = Scratch(spark)
-        files = scratch.stage(
-            select(
-                inventory(
-                    spark,
-                    root,
-                    source_id=source_id,
-                    recursive=recursive,
-                    include=include,
-                    exclude=exclude,
-                )
-            ),
-            "selected-files",
+        files, paths = chosen_files(
+            spark,
+            scratch,
+            root,
+            select=select,
+            known=known,
+            source_id=source_id,
+            recursive=recursive,
+            include=include,
+            exclude=exclude,
         )
-        paths = [r["path"] for r in files.select("path").toLocalIterator()]
         if not paths:
             return []
-        rows = scan(spark, paths, file_format, schema=schema, **(read_options or {}))
+        loaded = [loadable(p) for p in paths]
+        rows = scan(spark, loaded, file_format, schema=schema, **(read_options or {}))
         if sql is not None:
             rows = query(spark, sql, {"source": rows})
         return [with_file_hash(rows, files, scratch=scratch)]
@@ -74,6 +100,7 @@ def sqlite_source(
     include: Sequence[str] = (),
     exclude: Sequence[str] = (),
     select: Callable[[DataFrame], DataFrame] = select_all,
+    known: DataFrame | None = None,
     schema: T.StructType | str | None = None,
     split_column: str | None = None,
     splits: int = 1,
@@ -87,16 +114,17 @@ def sqlite_source(
 
     def read(spark: SparkSession) -> list[DataFrame]:
         scratch = Scratch(spark)
-        listed = inventory(
+        files, paths = chosen_files(
             spark,
+            scratch,
             root,
+            select=select,
+            known=known,
             source_id=source_id,
             recursive=recursive,
             include=include,
             exclude=exclude,
         )
-        files = scratch.stage(select(listed), "selected-files")
-        paths = [r["path"] for r in files.select("path").toLocalIterator()]
         if not paths:
             return []
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 from datetime import datetime
 
@@ -76,7 +77,8 @@ def list_files(
         .load(root)
         .select(plain_path(F.col("path")).alias("path"), "length", "modificationTime")
     )
-    base = spark.range(1).select(plain_path(F.lit(_qualified(spark, root)))).first()[0]
+    base = re.sub(r"^file:/+", "/", path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString())
+    base = base.rstrip("/")
     name = F.substring_index("path", "/", -1)
     relative = F.expr(f"substring(path, {len(base) + 2})")
     # A leading dot is part of the name and not the start of a suffix.
@@ -103,32 +105,31 @@ def _hadoop_path(spark: SparkSession, root: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _qualified(spark: SparkSession, root: str) -> str:
-    path, fs = _hadoop_path(spark, root)
-    return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString().rstrip("/")
+def loadable(path: str) -> str:
+    """A listed path as Spark's readers take it: with its scheme, and no part read as a pattern."""
+    escaped = re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+    return f"file://{escaped}" if path.startswith("/") else escaped
 
 
-def with_content_hash(
-    files: DataFrame, root: str, *, recursive: bool = False, max_cell_bytes: int = MAX_CELL_BYTES
-) -> DataFrame:
-    """Add the SHA-256 of each file's bytes.
+def with_content_hash(files: DataFrame, *, max_cell_bytes: int = MAX_CELL_BYTES) -> DataFrame:
+    """Add the SHA-256 of each file's bytes; only the given files are read.
 
-    Ordinary files are read by Spark's binary source, whose size filter keeps
-    the large ones out; those are read in blocks by the task that gets their path.
+    The binary source reads a file's content before it can look at its name,
+    hence the explicit paths, which Spark's file index holds on the driver in any
+    case. Large files are read in blocks by the task that gets their path.
     """
     spark = files.sparkSession
-    small = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(root)
-        .filter(F.col("length") <= max_cell_bytes)
-        .select(
-            plain_path(F.col("path")).alias("path"), F.sha2("content", 256).alias("content_hash")
-        )
-    )
     large = files.filter(F.col("size_bytes") > max_cell_bytes).select("path")
     hashed = large.repartition("path").mapInPandas(_hash_blocks, "path string, content_hash string")
-    return files.join(small.unionByName(hashed), "path")
+    small = files.filter(F.col("size_bytes") <= max_cell_bytes).select("path")
+    paths = [loadable(r["path"]) for r in small.toLocalIterator()]
+    if paths:
+        content = spark.read.format("binaryFile").load(paths)
+        by_cell = content.select(
+            plain_path(F.col("path")).alias("path"), F.sha2("content", 256).alias("content_hash")
+        )
+        hashed = by_cell.unionByName(hashed)
+    return files.join(hashed, "path")
 
 
 def _hash_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +158,7 @@ def inventory(
     listed = list_files(
         spark, root, source_id=source_id, recursive=recursive, include=include, exclude=exclude
     )
-    hashed = with_content_hash(listed, root, recursive=recursive)
+    hashed = with_content_hash(listed)
     return hashed.select(*INVENTORY_COLUMNS).orderBy(F.lower("path"))
 
 

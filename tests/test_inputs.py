@@ -67,12 +67,22 @@ def test_patterns_agree_with_fnmatch(spark, folder, pattern):
 
 def test_large_files_are_hashed_in_blocks(spark, folder):
     files = f.list_files(spark, str(folder), recursive=True)
-    by_cell = f.with_content_hash(files, str(folder), recursive=True)
-    by_block = f.with_content_hash(files, str(folder), recursive=True, max_cell_bytes=12)
+    by_cell = f.with_content_hash(files)
+    by_block = f.with_content_hash(files, max_cell_bytes=12)
     both = [{r["path"]: r["content_hash"] for r in df.collect()} for df in (by_cell, by_block)]
     assert both[0] == both[1] and len(both[0]) == 7
 
 
+def test_names_that_look_like_patterns(spark, tmp_path):
+    for name in ("a[1].csv", "b{x,y}.csv", "c*.csv", "d e%20.csv"):
+        (tmp_path / name).write_text("k\n1\n")
+    files = f.inventory(spark, str(tmp_path))
+    assert files.count() == 4
+    paths = [f.loadable(p) for p in names_in(files, "path")]
+    read = scan(spark, paths, "csv")
+    assert sorted(names_in(read, "_source_file")) == sorted(names_in(files, "path"))
+
+
 def test_selection(spark, folder):
     files = f.list_files(spark, str(folder), source_id="s", recursive=True)
     # b1.txt and c.csv share the latest time: the greater path wins.

@@ -264,6 +264,9 @@ def test_load_from_csv_files(store, tmp_path):
     assert result.error is None and (result.rows_loaded, result.rows_invalid) == (2, 1)
     loaded = {r["id"]: (r["name"], r["_source_file"]) for r in store.read("companies").collect()}
     assert loaded == {"1": ("X", str(folder / "a.csv")), "2": ("Y", str(folder / "a.csv"))}
+    loaded = store.read("companies").select(F.col("_file_hash").alias("content_hash")).distinct()
+    fresh = file_source("drop", str(folder), "csv", include=["*.csv"], known=loaded, read_options={"delimiter": ";"})
+    assert [r["id"] for r in fresh.read(store.spark)[0].collect()] == ["3"]
     nothing = file_source("none", str(folder), "csv", include=["*.nothing"])
     result = run(store, FIRST, "r2", canonical=[CanonicalTable(COMPANIES, (nothing,))], derived=[], documents=[])
     assert "Batch frame is None" in result.tables[0].error
