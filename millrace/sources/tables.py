@@ -13,12 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.keys import key_bucket
+from millrace.operators.lookups import planned_bytes
 from millrace.operators.merge import key_collisions, merge_buckets
 from millrace.scratch import several_open_files
 from millrace.spec import TableSpec
 
 BUCKET = "_bucket"
 
+# Parquet bytes a bucket is meant to hold: what one task merges in memory.
+BUCKET_BYTES = 256 * 1024 * 1024
+MAX_BUCKETS = 20_000
+
+# Bucket count for data whose size Spark does not know, such as rows from Python.
+BUCKETS_OF_UNKNOWN_SIZE = 64
+
 
 class KeyCollision(ValueError):
     """An append brought keys that the table already holds."""
@@ -47,6 +55,16 @@ class LoadResult:
         return self.inserted_rows + self.updated_rows
 
 
+def bucket_count(spec: TableSpec, *frames: DataFrame) -> int:
+    """The specified number of buckets, or one that suits the size of the frames."""
+    if spec.buckets:
+        return spec.buckets
+    size = sum(planned_bytes(f) for f in frames)
+    if size >= frames[0].sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes():
+        return BUCKETS_OF_UNKNOWN_SIZE
+    return max(1, min(MAX_BUCKETS, -(-size // BUCKET_BYTES)))
+
+
 class TableStore:
     """Tables below one root folder, one writer at a time.
 
@@ -189,17 +207,16 @@ class TableStore:
     def _fitting_commit(self, spec: TableSpec, batch: DataFrame) -> tuple[Commit, int]:
         """The newest commit and the bucket count to go on with.
 
-        A stored table keeps its bucket count whatever the specification says by
-        now; with another count its keys would be looked for in the wrong
-        buckets. A replacement starts afresh.
+        A stored table keeps its bucket count as long as any of its buckets stay:
+        with another count their keys would be looked for in the wrong place.
         """
         commit = self._commit(spec.name)
         if not commit.folders:
-            return commit, spec.buckets
+            return commit, bucket_count(spec, batch)
         stored = [(f.name, f.dataType) for f in commit.schema]
         if stored != [(f.name, f.dataType) for f in batch.schema] or commit.key != tuple(spec.key):
             raise ValueError(f"Table '{spec.name}' is stored with other columns or another key.")
-        return commit, commit.buckets or spec.buckets
+        return commit, commit.buckets or 1
 
     def _write_rows(self, spec: TableSpec, version: int, rows: DataFrame) -> list[str]:
         partition = BUCKET if spec.key else None
@@ -230,8 +247,9 @@ class TableStore:
 
     def _replace(self, spec: TableSpec, batch: DataFrame) -> LoadResult:
         version = self._commit(spec.name).next_version
-        new = self._write_rows(spec, version, self._bucketed(spec, batch, spec.buckets))
-        self._publish_rows(spec, version, batch, new, spec.buckets)
+        buckets = bucket_count(spec, batch)
+        new = self._write_rows(spec, version, self._bucketed(spec, batch, buckets))
+        self._publish_rows(spec, version, batch, new, buckets)
         return LoadResult(spec.name, "replace", self._count(spec.name, batch.schema, new), 0)
 
     def _upsert(self, spec: TableSpec, batch: DataFrame) -> LoadResult:
@@ -247,9 +265,12 @@ class TableStore:
         touched = self._touched(rows, commit.folders) if commit.folders else set()
         if touched:
             stored = self._read(spec.name, commit.schema, sorted(touched))
+            if len(touched) == len(commit.folders):
+                # All is written anew anyway: the time to follow the table's growth.
+                buckets = max(buckets, bucket_count(spec, stored, batch))
             merged = merge_buckets(
                 self._bucketed(spec, stored, buckets),
-                rows,
+                self._bucketed(spec, batch, buckets),
                 spec.key,
                 BUCKET,
                 nullable_key=self._nullable_key(spec),

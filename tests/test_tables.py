@@ -67,6 +67,25 @@ def test_stored_bucket_count_is_kept(spark, store):
     assert len(store._commit("t").folders) == 7
 
 
+def test_buckets_follow_the_size(spark, store, scratch, monkeypatch):
+    spec = replace(KEYED, buckets=None)
+    wide = F.sha2(F.col("id").cast("string"), 256)
+    small = scratch.stage(spark.range(50).select(F.col("id").alias("k"), wide.alias("v")))
+    large = scratch.stage(spark.range(5000).select(F.col("id").alias("k"), wide.alias("v")))
+    store.write(spec, small, "upsert")
+    assert len(store._commit("t").folders) == 1
+    monkeypatch.setattr("millrace.sources.tables.BUCKET_BYTES", 100_000)
+    result = store.write(spec, large, "upsert")
+    assert (result.inserted_rows, result.updated_rows) == (4950, 50)
+    grown = len(store._commit("t").folders)
+    assert grown > 2
+    again = store.write(spec, small, "upsert")
+    assert (again.inserted_rows, again.updated_rows) == (0, 50)
+    assert store.read("t").count() == store.read("t").select("k").distinct().count() == 5000
+    unknown = store.write(replace(spec, name="u"), batch(spark, (1, "a")), "upsert")
+    assert unknown.inserted_rows == 1 and store._commit("u").buckets == 64
+
+
 def test_stored_table_with_another_layout_is_refused(spark, store):
     store.write(KEYED, batch(spark, (1, "a")), "upsert")
     wider = replace(KEYED, columns=(*KEYED.columns, Column("w", "int")))
