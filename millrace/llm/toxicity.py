@@ -31,8 +31,9 @@ FACTORS = 8
 # Bound of the labelled rows the machine is fitted on, those with the smallest hashes.
 SAMPLE_ROWS = 20_000
 
-# Labelled rows a term must occur in to get weights at all.
-LEAST_ROWS = 3
+# Evidence a term must give on the labels to get weights, as the likelihood ratio
+# statistic 2 ln L: by chance about one term in 100,000 reaches it.
+LEAST_EVIDENCE = 20.0
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -67,7 +68,7 @@ def slot_pairs(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.nd
 
 @dataclass(frozen=True)
 class Machine:
-    """Weights by slot; slots never seen in the sample have none."""
+    """Weights by slot; slots that tell nothing about the labels have none."""
 
     bias: float
     weights: np.ndarray
@@ -86,14 +87,28 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(rows, slots, len(texts)), -40, 40)))
 
 
+def evidence(terms: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Likelihood ratio statistic of each slot: labels of texts with it and without."""
+    slots = np.concatenate(terms)
+    kinds = np.repeat(labels, [len(t) for t in terms])
+    with_term = np.stack([np.bincount(slots[kinds == k], minlength=SLOTS) for k in (0, 1)])
+    all_ = np.array([[np.sum(labels == k)] for k in (0, 1)], float)
+    total = np.zeros(SLOTS)
+    for counts in (with_term, all_ - with_term):
+        expected = counts.sum(0) * all_ / all_.sum()
+        ratio = np.where(counts > 0, counts / np.maximum(expected, 1e-12), 1.0)
+        total += 2 * (counts * np.log(ratio)).sum(0)
+    return total
+
+
 def fit(
     terms: list[np.ndarray],
     labels: np.ndarray,
     *,
-    epochs: int = 12,
+    epochs: int = 40,
     batch: int = 256,
-    rate: float = 0.1,
-    decay: float = 1e-5,
+    rate: float = 0.2,
+    decay: float = 1e-4,
     seed: int = 17,
 ) -> Machine:
     """Logistic loss by AdaGrad over the distinct slots of each labelled text.
@@ -105,8 +120,7 @@ def fit(
     if share in (0.0, 1.0):
         bias = 40.0 if share else -40.0
         return Machine(bias, np.zeros(SLOTS, np.float32), np.zeros((SLOTS, FACTORS), np.float32))
-    seen = np.bincount(np.concatenate(terms), minlength=SLOTS)
-    used = np.flatnonzero(seen >= LEAST_ROWS)
+    used = np.flatnonzero(evidence(terms, labels) >= LEAST_EVIDENCE)
     place = np.full(SLOTS, -1)
     place[used] = np.arange(len(used))
     terms = [p[p >= 0] for p in (place[t] for t in terms)]
