@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.bag_minhash import near_duplicates
 from millrace.llm.catalog.registry import query, table
 from millrace.llm.exact_dedup import exact_duplicates
 from millrace.scratch import Scratch
@@ -23,3 +24,9 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(
         table(spark, sf_dir, "documents"), scratch=Scratch(spark), keep="largest"
     )
+
+
+@query("op7_bag_minhash")
+def bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its near duplicates and whether it stays."""
+    return near_duplicates(table(spark, sf_dir, "documents"), scratch=Scratch(spark))
