@@ -76,7 +76,8 @@ def exact_duplicates(
         F.count("*").alias("size"), F.max("doc_id").alias("best_id")
     )
     several = scratch.stage(counted.filter("size > 1").select("hash", "best_id"), "several")
-    copies = scratch.stage(texts.join(several, "hash"), "copies")
+    # A sort-merge join at every size: adaptive execution splits its hot hashes.
+    copies = scratch.stage(texts.join(several.hint("merge"), "hash"), "copies")
     chosen = copies.filter(F.col("doc_id").eqNullSafe(F.col("best_id")))
     chosen = scratch.stage(chosen.groupBy("hash").agg(F.min("text").alias("one_text")), "chosen")
     unlike = copies.join(chosen, "hash").filter(F.col("text") != F.col("one_text"))
