@@ -34,7 +34,10 @@ from millrace.scratch import Scratch
 SHINGLE_WORDS = 5
 COMPONENTS = 128
 BAND_ROWS = 4
-PIVOT_ROUNDS = 4
+
+# Pivot rounds go on while exhaustion would cost more comparisons per member than this.
+COMPARISONS = 2
+PIVOT_ROUNDS = 12
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SLICE = 4 << 20
@@ -49,6 +52,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _scaled(number: int) -> np.uint64:
+    return np.uint64(number * int(_STEP) & 0xFFFFFFFFFFFFFFFF)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, lower case, and each text's count."""
     texts = pc.utf8_lower(texts.cast(pa.large_string()))
@@ -137,12 +144,12 @@ def _points(values, owner, weights, limit, m, best, mark) -> None:
         in_it = weights > low
         if not in_it.any():
             return
-        seed = mix(values[in_it] + np.uint64(stratum) * _STEP)
+        seed = mix(values[in_it] + _scaled(stratum))
         text, weight = owner[in_it], weights[in_it]
         time, number = np.zeros(len(seed)), 0
         while len(seed):
             number += 1
-            draw = mix(seed + np.uint64(number) * _STEP)
+            draw = mix(seed + _scaled(number))
             time = time - np.log(((draw >> np.uint64(11)) + np.uint64(1)) / 2.0**53) / rate
             early = time <= limit[text]
             seed, text, weight, time, draw = (x[early] for x in (seed, text, weight, time, draw))
@@ -225,7 +232,6 @@ class _Buckets:
 
     def __init__(self, members: DataFrame, sets: DataFrame, limit: float, scratch: Scratch) -> None:
         self.members, self.sets, self.limit, self.scratch = members, sets, limit, scratch
-        self.measured = None
 
     def measure(self, pairs: DataFrame, sets_a: DataFrame, label: str) -> DataFrame:
         """Exact similarity of pairs ``a``, ``b``."""
@@ -234,11 +240,16 @@ class _Buckets:
         joined = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
         schema = "a long, b long, similarity double"
         found = self.scratch.stage(joined.mapInArrow(_similarities, schema), label)
-        self.measured = found if self.measured is None else self.measured.unionByName(found)
         return found
 
-    def components(self) -> DataFrame:
-        links = self.measured.filter(F.col("similarity") >= self.limit).select("a", "b")
+    def components(self, measured: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+        """Components of the earlier ones and the links among the pairs measured now."""
+        links = measured.filter(F.col("similarity") >= self.limit).select("a", "b")
+        if earlier is not None:
+            if links.isEmpty():
+                return earlier
+            stars = earlier.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            links = links.unionByName(stars)
         found = connected_components(links, self.scratch)
         return self.scratch.stage(found, "components")
 
@@ -253,6 +264,17 @@ class _Buckets:
         mixed = self.scratch.stage(mixed.filter("low < high").select("band", "key"), "mixed")
         return self.scratch.stage(placed.join(mixed, ["band", "key"], "left_semi"), "open")
 
+    def largest(self, open_: DataFrame) -> DataFrame:
+        """The largest component of each bucket, and the comparisons with all others."""
+        sizes = open_.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+        main = F.max(F.struct("n", "root")).alias("l")
+        found = sizes.groupBy("band", "key").agg(main, F.sum("n").alias("all"))
+        found = found.select(
+            "band", "key", F.col("l.root").alias("main"),
+            ((F.col("all") - F.col("l.n")) * F.col("all")).alias("cost"),
+        )
+        return self.scratch.stage(found, "largest")
+
 
 def _link(texts: DataFrame, docs: DataFrame, limit: float, k: int, scratch: Scratch) -> DataFrame:
     """Components of the texts, each by its number."""
@@ -280,11 +302,13 @@ def _link(texts: DataFrame, docs: DataFrame, limit: float, k: int, scratch: Scra
     run = _Buckets(members, sets, limit, scratch)
     pivots = sets.filter("pivot").dropDuplicates(["node"])
     measured = run.measure(first, pivots, "similarities-0")
-    components = run.components()
+    components = run.components(measured)
     for number in range(1, PIVOT_ROUNDS + 1):
         open_ = run.open_members(components)
-        if open_.isEmpty():
-            return components
+        largest = run.largest(open_)
+        cost, n = largest.agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0], open_.count()
+        if cost <= COMPARISONS * n:
+            break
         order = F.struct(F.xxhash64(F.lit(number), "node").alias("o"), "node", "root")
         chosen = open_.groupBy("band", "key").agg(F.min(order).alias("c"))
         chosen = scratch.stage(
@@ -293,22 +317,21 @@ def _link(texts: DataFrame, docs: DataFrame, limit: float, k: int, scratch: Scra
         )
         pairs = open_.join(chosen, ["band", "key"]).filter("root != ra")
         pairs = pairs.select("a", F.col("node").alias("b")).distinct()
-        run.measure(scratch.stage(pairs, "pairs"), sets, f"similarities-{number}")
-        components = run.components()
-    # What is left: pairs across components that the first pivot does not rule out.
-    open_ = run.open_members(components)
+        found = run.measure(scratch.stage(pairs, "pairs"), sets, f"similarities-{number}")
+        components = run.components(found, components)
+    else:
+        open_ = run.open_members(components)
+        largest = run.largest(open_)
     if open_.isEmpty():
         return components
+    # What is left: pairs across components that the first pivot does not rule out.
     distance = measured.select(
         F.col("a").alias("pivot"), F.col("b").alias("node"),
         (1 - F.col("similarity")).alias("far"),
     )
     open_ = open_.join(distance, ["pivot", "node"], "left")
     open_ = scratch.stage(open_.fillna(0.0, ["far"]), "open-far")
-    sizes = open_.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("l"))
-    largest = scratch.stage(largest.select("band", "key", F.col("l.root").alias("main")), "main")
-    mine = open_.join(largest, ["band", "key"]).filter("root != main")
+    mine = open_.join(largest.drop("cost"), ["band", "key"]).filter("root != main")
     mine = scratch.stage(
         mine.select("band", "key", F.col("node").alias("x"), F.col("root").alias("rx"),
                     F.col("far").alias("fx")),
@@ -319,8 +342,8 @@ def _link(texts: DataFrame, docs: DataFrame, limit: float, k: int, scratch: Scra
     pairs = pairs.select(
         F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")
     ).distinct()
-    run.measure(scratch.stage(pairs, "pairs"), sets, "similarities-rest")
-    return run.components()
+    found = run.measure(scratch.stage(pairs, "pairs"), sets, "similarities-rest")
+    return run.components(found, components)
 
 
 def near_duplicates(

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from millrace.scratch import Scratch
 
 
+def _state(edges: DataFrame) -> tuple:
+    """Number and checksum of a set of edges, which tell whether a round changed it."""
+    total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    return tuple(edges.agg(F.count("*"), total).first())
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node`` and ``component``, the smallest node reachable, for nodes with an edge.
 
@@ -21,7 +27,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
     now = scratch.stage(distinct.distinct(), "edges")
-    before = None
+    before = _state(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: larger neighbours go to the smallest of the node and its neighbours.
@@ -37,9 +43,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         others = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = own.unionByName(others).filter("a != b").distinct()
         now = scratch.stage(small, "small-star")
-        state = now.agg(
-            F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
+        state = _state(now)
         if state == before:
             break
         before = state
