@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.bag_minhash import near_duplicates
 from millrace.llm.catalog.registry import query, table
 from millrace.llm.exact_dedup import exact_duplicates
+from millrace.llm.pigeonhole_join import near_vectors
 from millrace.scratch import Scratch
 
 
@@ -30,3 +31,9 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near duplicates and whether it stays."""
     return near_duplicates(table(spark, sf_dir, "documents"), scratch=Scratch(spark))
+
+
+@query("op8_pigeonhole_join")
+def pigeonhole_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links of cosine 0.93 or more among those of its label."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), scratch=Scratch(spark), cosine=0.93)
