@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import backoff_automaton as backoff
 from millrace.llm.catalog.registry import query, table
 from millrace.llm.line_spread import without_boilerplate
 from millrace.llm.mixing import mix_sources
@@ -165,3 +166,14 @@ def hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(
         F.col("row.c0").alias("doc_id"), "domain", "lang", "source", "tokens", "epoch"
     )
+
+
+@query("op9_backoff_automaton")
+def backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document; a seventh of them is never learned from."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    held = backoff.held_out(F.col("doc_id"))
+    model = backoff.train(docs.filter(~held), scratch=scratch)
+    scores = backoff.score_texts(docs, model, scratch=scratch)
+    return scores.select("doc_id", held.alias("held_out"), *scores.columns[1:])
