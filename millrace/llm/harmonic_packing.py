@@ -102,7 +102,7 @@ def pack_documents(
         tokens = text_tokenizer(tokenizer)
         part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for piece in byte_slices(batch, "text", 4 << 20):
+            for piece in byte_slices(batch, "text", 8 << 20):
                 ids, counts = with_end(*tokens.encode(piece.column("text")), end_id)
                 lengths, pieces = cut_lengths(counts, capacity)
                 classes = np.minimum(lengths, capacity)

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 REMEMBERED_UNITS = 1_000_000
 
 _CUT = "\x1f"
+# Marks that follow a word's last letter never share a token with it.
+_TAIL = ".,!?;:*%$&#|"
 _BEFORE_WORD = re.compile(r" (?=\S)")
 # Where a blank or line end stands beside another blank, cuts need a closer look.
 _BLANK_RUN = r"[ \n][\s\v\p{Z}\x{85}\x1c-\x1f]|[\s\v\p{Z}\x{85}\x1c-\x1f]\n|\x1f"
@@ -61,6 +63,21 @@ def ragged_take(
     return values[at]
 
 
+def split_tails(units: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Units without the marks after their last letter, and these marks."""
+    words = pc.utf8_rtrim(units, characters=_TAIL)
+    lettered = pc.utf8_is_alpha(pc.utf8_slice_codeunits(words, -1))
+    words = pc.if_else(lettered, words, units)
+    ends = np.frombuffer(units.buffers()[1], np.int64)[units.offset :][1 : len(units) + 1]
+    sizes = pc.subtract(pc.binary_length(units), pc.binary_length(words)).to_numpy(False)
+    sizes = sizes.astype(np.int64)
+    data = np.frombuffer(units.buffers()[2] or b"", np.uint8)
+    tails = ragged_take(data, ends - sizes, sizes)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(tails)]
+    return words, pa.Array.from_buffers(pa.large_string(), len(units), buffers)
+
+
 class TextTokenizer:
     """Ids of texts as little-endian unsigned integers of ``dtype``."""
 
@@ -95,13 +112,24 @@ class TextTokenizer:
         if len(known) > REMEMBERED_UNITS:
             self._forget()
             known = self._known
-        new = [unit for unit in units if unit not in known]
+        new = list(dict.fromkeys(unit for unit in units if unit not in known))
         ids, sizes = self._ids(new)
         known.update(zip(new, range(len(known), len(known) + len(new))))
         self._values = np.concatenate([self._values, ids])
         self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(sizes)])
         return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
 
+    def _unit_ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units in a row, and each one's number of ids."""
+        parts = [part.dictionary_encode() for part in split_tails(units)]
+        names = [part.dictionary.to_pylist() for part in parts]
+        numbers = self._numbers([*names[0], *names[1]])
+        places = (numbers[: len(names[0])], numbers[len(names[0]) :])
+        both = np.stack([n[p.indices.to_numpy()] for n, p in zip(places, parts)], 1).ravel()
+        lengths = self._ends[both + 1] - self._ends[both]
+        values = ragged_take(self._values, self._ends[both], lengths)
+        return values, lengths.reshape(-1, 2).sum(1)
+
     def _cut_text(self, text: str) -> str:
         """A text with runs of blanks, cut before each blank that leads a word."""
         first, *rest = _BEFORE_WORD.split(text)
@@ -140,9 +168,9 @@ class TextTokenizer:
             named = pc.match_substring(units, "<|")
             lowered = pc.if_else(named, units, pc.ascii_lower(units)).dictionary_encode()
             units, codes = lowered.dictionary, lowered.indices.to_numpy()[codes]
-        numbers = self._numbers(units.to_pylist())[codes]
-        lengths = self._ends[numbers + 1] - self._ends[numbers]
-        ids = ragged_take(self._values, self._ends[numbers], lengths)
+        values, sizes = self._unit_ids(units)
+        starts, lengths = np.cumsum(sizes) - sizes, sizes[codes]
+        ids = ragged_take(values, starts[codes], lengths)
         reached = np.concatenate([[0], np.cumsum(lengths)])[bounds - bounds[0]]
         counts = np.diff(reached)
         if not whole:
