@@ -186,11 +186,12 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("doc_id"),
+                    piece.column("text_key"),
                     pa.array(sequence_hashes(words, counts), pa.binary()),
                     pa.array(counts > 0),
                     pa.ListArray.from_arrays(bounds, bands),
                 ],
-                names=["doc_id", "words", "any", "bands"],
+                names=["doc_id", "text_key", "words", "any", "bands"],
             )
 
 
@@ -355,8 +356,8 @@ def near_duplicates(
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """One row per input row: ``doc_id``, ``class_id`` (smallest id of its class) and
-    ``kept`` (whether it is that one).
+    """One row per input row: ``doc_id``, ``text_key`` (md5 of its text), ``class_id``
+    (smallest id of its class) and ``kept`` (whether it is that one).
 
     Classes are the components of links between texts of ``similarity`` or more. Words
     are lower case and part at blanks. Texts of the same words are one class, texts
@@ -371,9 +372,10 @@ def near_duplicates(
     rows = docs.select(
         named(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")
     )
-    schema = "doc_id long, words binary, any boolean, bands array<long>"
+    schema = "doc_id long, text_key binary, words binary, any boolean, bands array<long>"
+    keyed = rows.withColumn("text_key", F.unhex(F.md5("text")))
     signed = scratch.stage(
-        rows.mapInArrow(lambda b: _sign(b, shingle_words), schema), "signatures"
+        keyed.mapInArrow(lambda b: _sign(b, shingle_words), schema), "signatures"
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "any", "bands"))
     texts = signed.groupBy("words").agg(first.alias("f")).select(
@@ -387,6 +389,27 @@ def near_duplicates(
     classes = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
     classes = placed.select("root", "words").join(classes, "root").select("words", "class_id")
     classes = scratch.stage(classes, "classes")
-    return signed.select("doc_id", "words").join(classes, "words").select(
-        "doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
+    return signed.select("doc_id", "text_key", "words").join(classes, "words").select(
+        "doc_id", "text_key", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
     )
+
+
+def without_near_duplicates(docs: DataFrame, *, scratch: Scratch, **options) -> DataFrame:
+    """The rows that ``near_duplicates`` keeps, one of each class, columns unchanged.
+
+    Rows that share an id and a text stay or go together; so do rows of one id whose
+    texts are of one class.
+    """
+    id_column, text_column = (
+        options.get(f"{c}_column", d) for c, d in (("id", "doc_id"), ("text", "text"))
+    )
+    kept = near_duplicates(docs, scratch=scratch, **options).filter("kept")
+    kept = scratch.stage(kept.select("doc_id", "text_key"), "kept")
+    body = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    rows = docs.select(
+        body, named(id_column).cast("long").alias("id"),
+        F.unhex(F.md5(text_of(text_column))).alias("key"),
+    )
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))
+    rows = rows.join(kept, same, "left_semi")
+    return rows.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -30,7 +30,8 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_bag_minhash")
 def bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near duplicates and whether it stays."""
-    return near_duplicates(table(spark, sf_dir, "documents"), scratch=Scratch(spark))
+    found = near_duplicates(table(spark, sf_dir, "documents"), scratch=Scratch(spark))
+    return found.select("doc_id", "class_id", "kept")
 
 
 @query("op8_pigeonhole_join")
