@@ -379,7 +379,8 @@ def score_texts(
     end_known, end_log = int(model.n_texts > 0), float(np.log10(model.n_texts + 1))
     all_log = float(np.log10(total + kinds + 1))
     unknown_log = float(np.log10(d * kinds / total)) if total else 0.0
-    joined = scored.drop("rare", "times").join(met, "row", "left").fillna(0)
+    joined = scored.drop("rare", "times").join(met, "row", "left")
+    joined = joined.fillna(0, ["more_known", "more_logs", "more_path"])
     joined = joined.withColumn("known", F.col("n_known") + F.col("more_known") + end_known)
     unknown = F.col("n_tokens") - F.col("known") if total else F.lit(0)
     return joined.select(

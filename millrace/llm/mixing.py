@@ -63,7 +63,7 @@ def leaf_budgets(
         own = own.withColumn("weight", _weight(F.col(level), weights.get(level, {})))
         above = path[:-1]
         rows = own.join(nodes, above) if above else own.join(F.broadcast(nodes))
-        order = F.col("capacity").cast("double") / F.greatest("weight", F.lit(0)).cast("double")
+        order = F.try_divide(F.col("capacity").cast("double"), F.col("weight").cast("double"))
         order = F.coalesce(order, F.lit(float("inf")))
         siblings = Window.partitionBy(*[F.col(c) for c in above] or [F.lit(1)])
         upto = siblings.orderBy(order, level).rowsBetween(Window.unboundedPreceding, 0)

@@ -144,6 +144,8 @@ def fit(
             g = error.sum()
             gb += g * g
             bias -= rate * g / np.sqrt(gb)
+            if not len(slot):
+                continue
             hit, inverse = np.unique(slot, return_inverse=True)
             e = error[row]
             g = np.bincount(inverse, e, len(hit)) + decay * w[hit]
@@ -248,4 +250,6 @@ def without_toxic(
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) < limit))
 
-    return docs.mapInArrow(keep, docs.schema)
+    # Names with dots would be taken for fields on the way.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
