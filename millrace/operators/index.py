@@ -15,25 +15,10 @@ from millrace.operators.merge import insert_absent, merge_rows
 from millrace.operators.shape import where_equal
 from millrace.scratch import Scratch
 
-INDEX_COLUMNS = (
-    "chunk_id",
-    "doc_id",
-    "semantic_id",
-    "source_table",
-    "source_pk",
-    "chunk_index",
-    "chunk_text",
-    "title",
-    "metadata_json",
-    "tags_json",
-    "char_count",
-    "run_id",
-    "indexed_at",
-)
-
 
 def index_rows(chunks: DataFrame, run_id: str) -> DataFrame:
     """Chunks in the layout of the index, stamped with the run and the time."""
+    # The names of the stored columns.
     return chunks.select(
         "chunk_id",
         "doc_id",
@@ -122,79 +107,91 @@ def vector_sources(
 
 
 # Query vectors travel to every task, so one pass takes at most this many numbers.
-MAX_QUERY_FLOATS = 4_000_000
+PASS_FLOATS = 4_000_000
+
+# Scores a task holds at a time: a batch is cut into slices of rows accordingly.
+SLICE_SCORES = 8_000_000
+
+# Parts that the winners of all tasks are first reduced in.
+WINNER_PARTS = 64
 
 
 def nearest_vectors(
     vectors: DataFrame,
-    queries: Sequence[tuple[int, Sequence[float]]],
+    queries: Sequence[tuple[int | str, Sequence[float]]],
     k: int,
     *,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
-    max_floats: int = MAX_QUERY_FLOATS,
+    max_floats: int = PASS_FLOATS,
 ) -> DataFrame:
     """Exact cosine top-k of the vectors for each query vector; ties go to the smaller id.
 
     The vectors stay where they are. Every task scores its batches against the
     query vectors as one matrix product and keeps k rows per query, so what is
     shuffled is k rows per query and task, never a pair list. More query vectors
-    than a task should hold take several passes.
+    than a task should hold take several passes. Ids are whole numbers or texts, as in
+    the frame. Null vectors and scores that are no finite numbers are left out; a zero
+    vector scores 0.
     """
     per_pass = max(1, max_floats // max(len(queries[0][1]), 1))
     passes = [
         _task_winners(vectors, queries[start : start + per_pass], k, id_column, vector_column)
         for start in range(0, len(queries), per_pass)
     ]
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return (
-        reduce(DataFrame.unionAll, passes)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", F.col("id").alias(id_column), "score", "rank")
-    )
+    best = [F.desc("score"), F.col("id")]
+    winners = reduce(DataFrame.unionAll, passes)
+    for keys in (["query_id", "part"], ["query_id"]):
+        order = Window.partitionBy(*keys).orderBy(*best)
+        winners = winners.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return winners.select("query_id", F.col("id").alias(id_column), "score", "rank")
 
 
 def _task_winners(
     vectors: DataFrame,
-    queries: Sequence[tuple[int, Sequence[float]]],
+    queries: Sequence[tuple[int | str, Sequence[float]]],
     k: int,
     id_column: str,
     vector_column: str,
 ) -> DataFrame:
     """The k best vectors of each task for each query vector."""
-    ids = np.array([q[0] for q in queries], dtype=np.int64)
+    ids = np.array([q[0] for q in queries], dtype=object)
+    query_type = "bigint" if all(isinstance(i, int) for i in ids) else "string"
     block = np.array([q[1] for q in queries], dtype=np.float64)
     norms = np.linalg.norm(block, axis=1, keepdims=True)
     block = block / np.where(norms == 0, 1.0, norms)
+    slice_rows = max(1, SLICE_SCORES // len(ids))
+
+    def top(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id", kind="stable")
+        matrix = np.stack(part["v"].to_numpy()).astype(np.float64)
+        length = np.linalg.norm(matrix, axis=1)
+        with np.errstate(all="ignore"):
+            scores = block @ (matrix / np.where(length == 0, 1.0, length)[:, None]).T
+        scores = np.where(np.isfinite(scores), scores, -np.inf)
+        # A stable sort leaves equal scores in the order of their ids.
+        places = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(scores, places, axis=1).ravel()
+        query = np.repeat(np.arange(len(ids)), places.shape[1])
+        own = part["id"].to_numpy()[places.ravel()]
+        real = found > -np.inf
+        return pd.DataFrame({"query": query[real], "id": own[real], "score": found[real]})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = pd.DataFrame(
-            {"query_id": np.array([], "int64"), "id": np.array([], "int64"), "score": []}
-        )
+        best = None
         for batch in batches:
             batch = batch[batch["v"].notna()]
-            if batch.empty:
-                continue
-            matrix = np.stack(batch["v"].to_numpy()).astype(np.float64)
-            length = np.linalg.norm(matrix, axis=1)
-            scores = block @ (matrix / np.where(length == 0, 1.0, length)[:, None]).T
-            own = batch["id"].to_numpy()
-            keep = min(k, len(own))
-            # All scores at or above the k-th best, so equal scores stay together.
-            floor = np.partition(scores, len(own) - keep, axis=1)[:, len(own) - keep]
-            query, place = np.nonzero(scores >= floor[:, None])
-            found = pd.DataFrame(
-                {"query_id": ids[query], "id": own[place], "score": scores[query, place]}
-            )
-            best = (
-                pd.concat([best, found])
-                .sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-                .groupby("query_id")
-                .head(k)
-            )
-        yield best
-
-    return vectors.select(
+            for start in range(0, len(batch), slice_rows):
+                found = top(batch.iloc[start : start + slice_rows])
+                best = found if best is None else pd.concat([best, found])
+                best = best.sort_values(["query", "score", "id"], ascending=[True, False, True])
+                best = best.groupby("query").head(k)
+        if best is not None:
+            best["query_id"] = ids[best["query"].to_numpy()]
+            yield best[["query_id", "id", "score"]]
+
+    id_type = vectors.schema[id_column].dataType.simpleString()
+    found = vectors.select(
         F.col(id_column).alias("id"), F.col(vector_column).alias("v")
-    ).mapInPandas(score, "query_id bigint, id bigint, score double")
+    ).mapInPandas(score, f"query_id {query_type}, id {id_type}, score double")
+    return found.withColumn("part", F.spark_partition_id() % WINNER_PARTS)

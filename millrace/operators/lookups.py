@@ -14,9 +14,6 @@ from millrace.scratch import Scratch
 # so a table of hot keys stays small: a million of them takes 1e12 rows.
 HOT_ROWS = 1_000_000
 
-# Written size up to which the lookup rows of hot keys are broadcast.
-MAX_HOT_BYTES = 256 * 1024 * 1024
-
 
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame; exact file sizes for written tables."""
@@ -69,13 +66,12 @@ def join_lookup(
 ) -> DataFrame:
     """Join rows to a lookup with unique keys, whatever the distribution of the keys.
 
-    A lookup below the broadcast threshold is an ordinary join that Spark
-    broadcasts. Above it, rows of hot keys meet a broadcast of just those
-    lookup rows (at most rows / hot_rows of them) and never enter the shuffle;
-    only the remaining keys are shuffled, none of which has more than
-    ``hot_rows`` rows. Should the hot lookup rows themselves be too large to
-    broadcast, the shuffle is left to Spark's own handling of skew. ``how`` is
-    left, inner, left_semi or left_anti.
+    A lookup below the broadcast threshold is an ordinary join that Spark broadcasts.
+    Above it, rows of hot keys are told apart by the list of these keys (at most
+    rows / hot_rows of them), get a salt and meet lookup rows repeated for every salt,
+    so that a hot key is spread over as many tasks as there are shuffle partitions.
+    The remaining keys, none of which has more than ``hot_rows`` rows, are shuffled.
+    ``how`` is left, inner, left_semi or left_anti.
     """
     if planned_bytes(lookup) <= broadcast_limit(lookup):
         return _joined(rows, lookup, on, how, null_safe)
@@ -83,18 +79,15 @@ def join_lookup(
         hot = hot_keys(rows, on, scratch, hot_rows=hot_rows)
     if hot.isEmpty():
         return _joined(rows, lookup, on, how, null_safe)
-    hot = hot.select(*on)
-    hot_lookup = scratch.stage(_joined(lookup, hot, on, "left_semi", null_safe), "hot-lookup")
-    if planned_bytes(hot) + planned_bytes(hot_lookup) > MAX_HOT_BYTES:
-        return _joined(rows, lookup, on, how, null_safe)
-    keys = F.broadcast(hot)
+    keys = F.broadcast(hot.select(*on))
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot_lookup = _joined(lookup, keys, on, "left_semi", null_safe)
+    hot_lookup = hot_lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot_rows_ = _joined(rows, keys, on, "left_semi", null_safe)
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     hot_part = _joined(
-        _joined(rows, keys, on, "left_semi", null_safe),
-        F.broadcast(hot_lookup),
-        on,
-        how,
-        null_safe,
-    )
+        hot_rows_.withColumn("_salt", salt), hot_lookup, [*on, "_salt"], how, null_safe
+    ).drop("_salt")
     cold_part = _joined(
         _joined(rows, keys, on, "left_anti", null_safe), lookup, on, how, null_safe
     )

@@ -53,20 +53,23 @@ def merge_buckets(
     bucket: str,
     *,
     nullable_key: bool = False,
+    n_buckets: int = 1,
 ) -> DataFrame:
     """Keyed upsert of rows that carry their storage bucket, in one shuffle.
 
     Both sides are moved by bucket together, and of each key the batch's row is
     kept. The result is still grouped and sorted by bucket, as the write wants
     it, whereas a join by key would need a second shuffle for that. Keys are
-    unique on either side, so buckets are even and no key has over two rows.
+    unique on either side, so buckets are even and no key has over two rows. There
+    are as many tasks as buckets, but for few buckets, which share tasks.
     """
     both = target.withColumn("_newer", F.lit(0)).unionByName(batch.withColumn("_newer", F.lit(1)))
     keyed = both.filter(full_key(key)) if nullable_key else both
     order = Window.partitionBy(bucket, *key).orderBy(F.desc("_newer"))
+    few = n_buckets <= int(target.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = keyed.repartition(bucket) if few else keyed.repartition(n_buckets, bucket)
     merged = (
-        keyed.repartition(F.col(bucket))
-        .withColumn("_place", F.row_number().over(order))
+        spread.withColumn("_place", F.row_number().over(order))
         .filter(F.col("_place") == 1)
         .drop("_place", "_newer")
     )

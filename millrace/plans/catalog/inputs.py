@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import sqlite3
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +9,21 @@ from millrace.operators.shape import relaxed_union, with_provenance
 from millrace.plans.catalog.registry import query, table
 from millrace.scratch import Scratch
 from millrace.sources.files import (
+    group_by_day,
     group_by_name,
     group_by_parent,
     group_single,
     group_summary,
     inventory,
-    list_files,
     select_all,
     select_latest,
     select_latest_per_source,
     select_named,
     skip_known,
+    with_patterns,
 )
 from millrace.sources.scan import query as sql_query
 from millrace.sources.scan import scan, with_file_hash
-from millrace.sources.sqlite import sqlite_query_bytes
 from millrace.sources.tables import TableStore
 
 # The SQL below can name only one folder: that of the scale the results are compared at.
@@ -48,25 +44,61 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("file_name", "relative_path", "suffix", "size_bytes", "content_hash")
 
 
+# Events as files of an inventory: one folder per kind, one file per event.
+EVENT_FILES_SQL = """
+WITH files AS (
+  SELECT event_type AS source_id, event_type || '/' || user_id || '-' || event_id || '.json' AS relative_path,
+    user_id || '-' || event_id || '.json' AS file_name, CAST(round(value * 100) AS BIGINT) AS size_bytes,
+    ts AS modified_at
+  FROM events)
+"""
+
+
+def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat_ws("-", "user_id", F.concat("event_id", F.lit(".json")))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("source_id"),
+        F.concat_ws("/", F.lit("/data"), "event_type", name).alias("path"),
+        F.concat_ws("/", "event_type", name).alias("relative_path"),
+        name.alias("file_name"),
+        F.round(F.col("value") * 100).cast("long").alias("size_bytes"),
+        F.col("ts").alias("modified_at"),
+    )
+
+
 @query(
     "file_patterns",
-    FILES_SQL + "SELECT file_name FROM files WHERE file_name SIMILAR TO '(c|n|part).*' AND file_name <> 'nation.parquet'",
+    EVENT_FILES_SQL
+    + """
+SELECT relative_path FROM files
+WHERE (relative_path LIKE 'click/%' OR file_name SIMILAR TO '1.-.*7[.]json') AND NOT file_name LIKE '%3.json'
+""",
 )
 def file_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_files(
-        spark, sf_dir, include=["[cn]*.parquet", "part.parque?"], exclude=["nation.*"]
-    ).select("file_name")
+    files = with_patterns(
+        event_files(spark, sf_dir), include=["click/*", "1?-*7.json"], exclude=["*3.json"]
+    )
+    return files.select("relative_path")
 
 
-@query("file_latest")
+@query(
+    "file_latest",
+    EVENT_FILES_SQL + "SELECT relative_path FROM files ORDER BY modified_at DESC, relative_path DESC LIMIT 1",
+)
 def file_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select_latest(list_files(spark, sf_dir, source_id="warehouse"))
+    return select_latest(event_files(spark, sf_dir)).select("relative_path")
 
 
-@query("file_latest_per_source")
+@query(
+    "file_latest_per_source",
+    EVENT_FILES_SQL
+    + """
+SELECT relative_path FROM files
+QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY modified_at DESC, relative_path DESC) <= 2
+""",
+)
 def file_latest_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = list_files(spark, sf_dir).withColumn("source_id", F.substring("file_name", 1, 1))
-    return select_latest_per_source(files, 2)
+    return select_latest_per_source(event_files(spark, sf_dir), 2).select("relative_path")
 
 
 @query(
@@ -82,20 +114,25 @@ def file_unchanged_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "file_groups",
-    FILES_SQL
-    + """
-SELECT 'warehouse__single_group' AS group_id, count(*) AS asset_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM files
-UNION ALL
-SELECT 'warehouse__' || substr(file_name, 1, 1), count(*), CAST(sum(size_bytes) AS BIGINT) FROM files GROUP BY ALL
-UNION ALL
-SELECT 'warehouse__', count(*), CAST(sum(size_bytes) AS BIGINT) FROM files
+    EVENT_FILES_SQL
+    + """, grouped AS (
+  SELECT source_id || '__single_group' AS group_id, size_bytes FROM files
+  UNION ALL SELECT source_id || '__' || split_part(file_name, '-', 1), size_bytes FROM files
+  UNION ALL SELECT source_id || '__' || split_part(relative_path, '/', 1), size_bytes FROM files
+  UNION ALL SELECT source_id || '__' || CAST(CAST(modified_at AS DATE) AS VARCHAR), size_bytes FROM files)
+SELECT group_id, count(*) AS asset_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes
+FROM grouped GROUP BY group_id
 """,
 )
 def file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = list_files(spark, sf_dir, source_id="warehouse")
-    grouped = [group_single(files), group_by_name(files, "^(.)"), group_by_parent(files)]
-    summaries = [group_summary(g) for g in grouped]
-    return summaries[0].unionByName(summaries[1]).unionByName(summaries[2])
+    files = event_files(spark, sf_dir)
+    grouped = [
+        group_single(files),
+        group_by_name(files, "^([0-9]+)-"),
+        group_by_parent(files),
+        group_by_day(files),
+    ]
+    return group_summary(relaxed_union(grouped))
 
 
 @query(
@@ -181,22 +218,3 @@ def stored_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.append_rows("orders", table(spark, sf_dir, "orders"), "o_orderstatus")
     found = store.read("orders").filter(F.col("o_orderstatus") == "F")
     return found.select("o_orderkey", "o_totalprice")
-
-
-def _as_sqlite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        connection = sqlite3.connect(":memory:")
-        batch.to_sql("customer", connection, index=False)
-        yield pd.DataFrame({"content": [bytes(connection.serialize())]})
-        connection.close()
-
-
-@query(
-    "sqlite_query_scan",
-    "SELECT c_custkey, upper(c_name) AS name, round(c_acctbal * 2, 2) AS twice FROM customer WHERE c_nationkey <> 3",
-)
-def sqlite_query_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers turned into SQLite files, each of which answers the statement."""
-    files = table(spark, sf_dir, "customer").mapInPandas(_as_sqlite, "content binary")
-    sql = "SELECT c_custkey, upper(c_name) AS name, round(c_acctbal * 2, 2) AS twice FROM customer WHERE c_nationkey <> 3"
-    return sqlite_query_bytes(files, sql, "c_custkey bigint, name string, twice double")

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import with_record_hash
+from millrace.operators.audit import run_records
 from millrace.operators.derive import Transform
 from millrace.operators.merge import changed_rows, key_collisions, merge_counts, merge_rows
 from millrace.operators.quality import quarantined
-from millrace.operators.shape import clean
+from millrace.operators.shape import clean, target_projection
 from millrace.plans.catalog.registry import query, table
 from millrace.plans.catalog.shape import segment_stats
 from millrace.plans.jobs import (
+    RUN_TABLE,
     CanonicalTable,
     DerivedTable,
     Source,
@@ -21,7 +23,7 @@ from millrace.plans.jobs import (
 )
 from millrace.scratch import Scratch
 from millrace.sources.tables import KeyCollision, TableStore
-from millrace.spec import Column, DocumentSpec, TableSpec
+from millrace.spec import Column, DocumentSpec, TableSpec, schema_gate
 
 PARTY_COLUMNS = ("id", "name", "nation", "balance")
 
@@ -458,3 +460,155 @@ def partial_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mode").isNotNull().cast("int").alias("loaded"),
         F.col("error").isNotNull().cast("int").alias("failed"),
     )
+
+
+@query(
+    "run_failure",
+    """
+SELECT 'clients' AS table_name, 1 AS loaded, 0 AS failed, 'failed' AS run_status
+UNION ALL SELECT 'first', 0, 1, 'failed' UNION ALL SELECT 'second', 0, 1, 'failed'
+""",
+)
+def run_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived tables in a circle are errors of the run, which still ends and is recorded."""
+    store = new_store(spark)
+    rows = raw_clients(spark, sf_dir)
+    circle = [
+        DerivedTable(
+            TableSpec(n, (Column("id", "str", key=True),), kind="derived", depends_on=(d,)),
+            lambda frames: None,
+        )
+        for n, d in (("first", "second"), ("second", "first"))
+    ]
+    source = Source("crm", lambda spark: rows)
+    clients = CanonicalTable(CLIENTS, (source,), before_validation=(Transform(clean_clients),))
+    result = run_project(
+        store, project_id="clients", canonical=[clients], derived=circle, run_id="run-1"
+    )
+    record = run_records(store.read(RUN_TABLE)).select(F.col("status").alias("run_status"))
+    return load_results(spark, result).select(
+        "table_name",
+        F.col("mode").isNotNull().cast("int").alias("loaded"),
+        F.col("error").isNotNull().cast("int").alias("failed"),
+    ).join(F.broadcast(record))
+
+
+@query(
+    "two_sources_upsert",
+    """
+SELECT CAST(id AS BIGINT) AS id, arg_max(name, step) AS name FROM (
+  SELECT c_custkey AS id, c_name AS name, 1 AS step FROM customer
+  UNION ALL SELECT s_suppkey, s_name, 2 FROM supplier)
+GROUP BY id
+""",
+)
+def two_sources_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources that share keys: each is loaded by itself, the later one wins."""
+    spec = TableSpec("names", (Column("id", "int", key=True), Column("name")), load_mode="upsert")
+    people = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name")
+    )
+    firms = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")
+    )
+    store = new_store(spark)
+    sources = (Source("people", lambda spark: people), Source("firms", lambda spark: firms))
+    run_project(store, project_id="names", canonical=[CanonicalTable(spec, sources)])
+    return store.read("names").select(F.col("id").cast("long").alias("id"), "name")
+
+
+@query(
+    "append_refused_repeats",
+    "SELECT CAST(count(*) > count(DISTINCT c_nationkey) AS INT) AS refused, count(*) AS batch_rows FROM customer",
+)
+def append_refused_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An append whose batch repeats a key is refused."""
+    spec = TableSpec(
+        "nations", (Column("id", "int", key=True), Column("name")), load_mode="append"
+    )
+    customers = table(spark, sf_dir, "customer")
+    batch = customers.select(F.col("c_nationkey").alias("id"), F.col("c_name").alias("name"))
+    batch = target_projection(batch, spec)
+    try:
+        new_store(spark).write(spec, batch)
+        refused = 0
+    except KeyCollision:
+        refused = 1
+    return customers.agg(F.lit(refused).alias("refused"), F.count("*").alias("batch_rows"))
+
+
+def _trimmed(df: DataFrame) -> DataFrame:
+    return df.withColumn("segment", F.trim("segment"))
+
+
+def _marked(df: DataFrame) -> DataFrame:
+    return df.withColumn("name", F.concat("name", F.lit(" *")))
+
+
+@query(
+    "stage_chains",
+    """
+SELECT c_mktsegment AS segment, count(*) AS clients, min(c_name || ' *') AS first_name
+FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment
+""",
+)
+def stage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transforms after validation, before a build and after it."""
+    clients = TableSpec(
+        "clients",
+        (Column("id", "int", key=True), Column("name"), Column("segment"), Column("balance", "float")),
+        load_mode="upsert",
+    )
+    segments = TableSpec(
+        "segments",
+        (Column("segment", key=True), Column("clients", "int"), Column("first_name")),
+        kind="derived", depends_on=("clients",), load_mode="replace",
+    )
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.concat(F.lit(" "), "c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"),
+    )
+    store = new_store(spark)
+    run_project(
+        store,
+        project_id="chains",
+        canonical=[
+            CanonicalTable(
+                clients,
+                (Source("crm", lambda spark: rows),),
+                after_validation=(Transform(_marked),),
+            )
+        ],
+        derived=[
+            DerivedTable(
+                segments,
+                lambda t: t["clients"].filter("balance > 0").groupBy("segment").agg(
+                    F.count("*").alias("clients"), F.min("name").alias("first_name")
+                ),
+                before_build=(Transform(_trimmed),),
+            )
+        ],
+    )
+    found = store.read("segments")
+    return found.select("segment", F.col("clients").cast("long").alias("clients"), "first_name")
+
+
+@query(
+    "schema_gate",
+    """
+SELECT * FROM (VALUES ('error', 'balance'), ('error', 'id'), ('warning', 'note'),
+  ('warning', '_file_hash'), ('warning', '_source_file')) g(severity, column_name),
+  (SELECT count(*) AS held_rows FROM customer)
+""",
+)
+def schema_gate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that a frame of customers lacks, and the rows that this keeps out."""
+    spec = TableSpec(
+        "clients",
+        (Column("id", "int", key=True), Column("name"), Column("note", nullable=True),
+         Column("balance", "float", nullable=False)),
+    )
+    rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
+    issues = {(i.severity, i.column) for i in schema_gate(rows, spec)}
+    found = spark.createDataFrame(sorted(issues), "severity string, column_name string")
+    return found.join(F.broadcast(rows.agg(F.count("*").alias("held_rows"))))

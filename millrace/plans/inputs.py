@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.derive import Transform
@@ -15,6 +16,7 @@ from millrace.scratch import Scratch
 from millrace.sources.files import (
     list_files,
     loadable,
+    metadata_path,
     select_all,
     skip_known,
     with_content_hash,
@@ -46,6 +48,54 @@ def chosen_files(
     return files, [r["path"] for r in files.select("path").toLocalIterator()]
 
 
+def _columns_of(
+    spark: SparkSession, paths: Sequence[str], file_format: str, options: Mapping[str, Any]
+) -> dict[str, str]:
+    """What decides whether files can share a scan: the header line of delimited files,
+    the columns of others. Found in tasks; a file without content has no entry."""
+    if file_format == "csv":
+        lines = spark.read.option("wholetext", "false").text([loadable(p) for p in paths])
+        lines = lines.select(
+            metadata_path(F.col("_metadata.file_path")).alias("path"),
+            F.col("_metadata.file_block_start").alias("at"),
+            F.monotonically_increasing_id().alias("row"),
+            "value",
+        )
+        first = lines.groupBy("path").agg(F.min_by("value", F.struct("at", "row")).alias("head"))
+        if options.get("header_row") is False:
+            first = first.withColumn("head", F.lit(""))
+        return {r["path"]: r["head"] for r in first.collect()}
+    found = {}
+    for path in paths:
+        reader = spark.read.format(file_format)
+        found[path] = reader.load(loadable(path)).schema.json()
+    return found
+
+
+def scan_alike(
+    spark: SparkSession,
+    paths: Sequence[str],
+    file_format: str,
+    *,
+    schema: T.StructType | str | None = None,
+    **options: Any,
+) -> DataFrame:
+    """Rows of files whose columns may differ in order, number and type.
+
+    With a schema, or for JSON, whose records name their fields, all files are one scan.
+    """
+    if schema is not None or file_format == "json":
+        loaded = [loadable(p) for p in paths]
+        return scan(spark, loaded, file_format, schema=schema, **options)
+    groups: dict[str, list[str]] = {}
+    for path, columns in _columns_of(spark, paths, file_format, options).items():
+        groups.setdefault(columns, []).append(loadable(path))
+    frames = [scan(spark, group, file_format, **options) for group in groups.values()]
+    if not frames:
+        return spark.createDataFrame([], T.StructType([T.StructField(SOURCE_FILE, T.StringType())]))
+    return relaxed_union(frames)
+
+
 def file_source(
     source_id: str,
     root: str,
@@ -63,6 +113,8 @@ def file_source(
 ) -> Source:
     """Files below ``root`` as a source: listed, selected, hashed, read and stamped.
 
+    Without a schema, files with the same columns are one scan each, and the scans are
+    united by name; files without any content are left out.
     ``sql`` is a statement with ``{source}`` for the rows read; it has to pass on
     ``_source_file`` to keep the provenance.
     """
@@ -82,8 +134,7 @@ def file_source(
         )
         if not paths:
             return []
-        loaded = [loadable(p) for p in paths]
-        rows = scan(spark, loaded, file_format, schema=schema, **(read_options or {}))
+        rows = scan_alike(spark, paths, file_format, schema=schema, **(read_options or {}))
         if sql is not None:
             rows = query(spark, sql, {"source": rows})
         return [with_file_hash(rows, files, scratch=scratch)]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
-from graphlib import TopologicalSorter
+from dataclasses import dataclass, field, replace
+from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,23 +71,30 @@ class CanonicalTable:
     """A table loaded from sources.
 
     With ``check_types``, rows with a value that the declared type cannot hold
-    are rejected; without, such values become null.
+    are rejected; without, such values become null. ``after_validation`` changes the
+    valid rows; ``after_load`` gets what was loaded, its result is not used.
     """
 
     spec: TableSpec
     sources: tuple[Source, ...]
     before_validation: tuple[Transform, ...] = ()
     before_load: tuple[Transform, ...] = ()
+    after_validation: tuple[Transform, ...] = ()
+    after_load: tuple[Transform, ...] = ()
     rules: Callable[[DataFrame], Sequence[Rule]] = field(default=lambda df: ())
     check_types: bool = True
 
 
 @dataclass(frozen=True)
 class DerivedTable:
-    """``build`` makes the table out of the tables it depends on."""
+    """``build`` makes the table out of the tables it depends on.
+
+    ``before_build`` is applied to each of these tables.
+    """
 
     spec: TableSpec
     build: Callable[[Mapping[str, DataFrame]], DataFrame]
+    before_build: tuple[Transform, ...] = ()
     after_build: tuple[Transform, ...] = ()
 
 
@@ -166,7 +173,7 @@ def load_canonical(
 ) -> TableResult:
     """Read, shape, check, quarantine and load one canonical table."""
     spec = table.spec
-    source_id = ",".join(s.source_id for s in table.sources)
+    source_id = _source_ids(table)
     result = TableResult(spec.name, spec.kind, source_id)
     applied: list[str] = []
     batch = batch_of(store.spark, table, applied)
@@ -198,8 +205,11 @@ def load_canonical(
             invalid, run_id=run_id, stage="validation", source_id=source_id, table_name=spec.name
         )
         store.append_rows(quarantine_table, rejected, "table_name")
-    valid = target_projection(valid_rows(staged), spec)
-    result.load = store.write(spec, valid)
+    checked = run_chain(valid_rows(staged), table.after_validation, applied=applied)
+    valid = target_projection(checked, spec)
+    # The duplicate rule has seen to the keys, unless a transform came after it.
+    result.load = store.write(spec, valid, unique_keys=not table.after_validation)
+    run_chain(valid, table.after_load, applied=applied)
     result.valid_rows = result.load.inserted_rows + result.load.updated_rows
 
     lineage.files_of(staged, spec.name)
@@ -219,7 +229,8 @@ def load_derived(
     """
     spec = table.spec
     result = TableResult(spec.name, spec.kind)
-    built = table.build({name: store.read(name) for name in spec.depends_on})
+    inputs = {name: run_chain(store.read(name), table.before_build) for name in spec.depends_on}
+    built = table.build(inputs)
     if built is None:
         result.error = f"Build of derived table '{spec.name}' gave no frame."
         return result
@@ -236,7 +247,7 @@ def load_derived(
     if spec.key and not duplicate_keys(rows, spec.key).isEmpty():
         result.error = duplicate_message(spec.key)
         return result
-    result.load = store.write(spec, rows)
+    result.load = store.write(spec, rows, unique_keys=True)
     result.valid_rows = result.load.total_affected
     lineage.output(spec.name, spec.name, "derive")
     return result
@@ -284,6 +295,21 @@ def load_index(
     return result
 
 
+def _source_ids(table: CanonicalTable) -> str:
+    return ",".join(s.source_id for s in table.sources)
+
+
+def _by_source(tables: Sequence[CanonicalTable]) -> list[CanonicalTable]:
+    """Each source of a table as a load of its own, in order, so that a later source
+    updates an earlier one and a bad one fails alone. What replaces a table is united."""
+    loads = []
+    for table in tables:
+        alone = table.spec.load_mode != "replace" and len(table.sources) > 1
+        parts = [(s,) for s in table.sources] if alone else [table.sources]
+        loads += [replace(table, sources=part) for part in parts]
+    return loads
+
+
 def build_order(tables: Sequence[DerivedTable]) -> list[DerivedTable]:
     """Derived tables after the derived tables they depend on."""
     by_name = {t.spec.name: t for t in tables}
@@ -315,59 +341,69 @@ def run_project(
     lineage = audit.LineageLog(run_id)
     store.append_rows(RUN_TABLE, audit.run_event(spark, run_id, project_id, "started"))
 
-    for table in canonical:
-        name = table.spec.name
-        result.tables.append(
-            _guarded(
-                lambda table=table: load_canonical(
-                    store,
-                    table,
-                    run_id=run_id,
-                    scratch=scratch,
-                    lineage=lineage,
-                    quarantine_table=quarantine_table,
-                ),
-                lambda error, name=name: TableResult(name, "canonical", error=error),
+    try:
+        for table in _by_source(canonical):
+            name = table.spec.name
+            result.tables.append(
+                _guarded(
+                    lambda table=table: load_canonical(
+                        store,
+                        table,
+                        run_id=run_id,
+                        scratch=scratch,
+                        lineage=lineage,
+                        quarantine_table=quarantine_table,
+                    ),
+                    lambda error, table=table: TableResult(
+                        table.spec.name, "canonical", _source_ids(table), error=error
+                    ),
+                )
             )
-        )
-    for table in build_order(derived):
-        name = table.spec.name
-        result.tables.append(
-            _guarded(
-                lambda table=table: load_derived(store, table, scratch=scratch, lineage=lineage),
-                lambda error, name=name: TableResult(name, "derived", error=error),
+        try:
+            ordered = build_order(derived)
+        except CycleError as problem:
+            ordered = []
+            circle = f"Derived tables depend on each other: {problem.args[1]}"
+            result.tables += [TableResult(t.spec.name, "derived", error=circle) for t in derived]
+        for table in ordered:
+            name = table.spec.name
+            result.tables.append(
+                _guarded(
+                    lambda table=table: load_derived(store, table, scratch=scratch, lineage=lineage),
+                    lambda error, name=name: TableResult(name, "derived", error=error),
+                )
             )
-        )
-    for spec in documents:
-        result.indexes.append(
-            _guarded(
-                lambda spec=spec: load_index(
-                    store, spec, run_id=run_id, scratch=scratch, lineage=lineage
-                ),
-                lambda error, spec=spec: IndexResult(
-                    spec.semantic_id, spec.source_table, error=error
-                ),
+        for spec in documents:
+            result.indexes.append(
+                _guarded(
+                    lambda spec=spec: load_index(
+                        store, spec, run_id=run_id, scratch=scratch, lineage=lineage
+                    ),
+                    lambda error, spec=spec: IndexResult(
+                        spec.semantic_id, spec.source_table, error=error
+                    ),
+                )
             )
-        )
 
-    if any(r.error for r in [*result.tables, *result.indexes]):
-        result.error = CHILD_ERRORS
-    if lineage.rows or lineage.frames:
-        store.append_rows(LINEAGE_TABLE, lineage.frame(spark))
-    ended = audit.run_event(
-        spark,
-        run_id,
-        project_id,
-        "failed" if result.error else "completed",
-        sources=len({s.source_id for t in canonical for s in t.sources}),
-        tables=len(result.tables),
-        loaded=result.rows_loaded,
-        invalid=result.rows_invalid,
-        error=result.error,
-    )
-    store.append_rows(RUN_TABLE, ended)
-    if own_scratch:
-        scratch.clear()
+        if any(r.error for r in [*result.tables, *result.indexes]):
+            result.error = CHILD_ERRORS
+        if lineage.rows or lineage.frames:
+            store.append_rows(LINEAGE_TABLE, lineage.frame(spark))
+        ended = audit.run_event(
+            spark,
+            run_id,
+            project_id,
+            "failed" if result.error else "completed",
+            sources=len({s.source_id for t in canonical for s in t.sources}),
+            tables=len({r.table_name for r in result.tables}),
+            loaded=result.rows_loaded,
+            invalid=result.rows_invalid,
+            error=result.error,
+        )
+        store.append_rows(RUN_TABLE, ended)
+    finally:
+        if own_scratch:
+            scratch.clear()
     return result
 
 

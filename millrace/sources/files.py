@@ -62,20 +62,27 @@ def list_files(
 ) -> DataFrame:
     """Files below ``root`` with sizes and times; contents are not read.
 
-    A missing path fails here. Spark reports no creation time, so the time of
-    the last change stands in for it, and leaves out empty files and files whose
-    names start with ``_`` or a dot.
+    Every regular file is listed, empty and hidden ones too; without ``recursive`` only
+    those in the folder itself. A missing path fails here. Hadoop's file systems report
+    no creation time, so the time of the last change stands in for it. As with any scan,
+    the names of the files pass through the driver.
     """
     path, fs = _hadoop_path(spark, root)
     if not fs.exists(path):
         raise FileNotFoundError(f"Source path does not exist: {root}")
     if not fs.getFileStatus(path).isDirectory():
         raise NotADirectoryError(f"Source path must be a directory: {root}")
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(root)
-        .select(plain_path(F.col("path")).alias("path"), "length", "modificationTime")
+    found = []
+    statuses = fs.listFiles(path, recursive)
+    while statuses.hasNext():
+        status = statuses.next()
+        found.append(
+            (status.getPath().toString(), status.getLen(), status.getModificationTime())
+        )
+    files = spark.createDataFrame(found, "path string, length long, changed long").select(
+        plain_path(F.col("path")).alias("path"),
+        "length",
+        F.timestamp_millis("changed").alias("modificationTime"),
     )
     base = re.sub(r"^file:/+", "/", path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString())
     base = base.rstrip("/")
@@ -93,11 +100,19 @@ def list_files(
         F.col("modificationTime").alias("modified_at"),
         F.col("modificationTime").alias("created_at"),
     )
+    return with_patterns(listed, include=include, exclude=exclude)
+
+
+def with_patterns(
+    files: DataFrame, *, include: Sequence[str] = (), exclude: Sequence[str] = ()
+) -> DataFrame:
+    """Files whose name or relative path matches an include and no exclude pattern."""
+    names = F.col("file_name"), F.col("relative_path")
     if include:
-        listed = listed.filter(matches_any(include, F.col("file_name"), F.col("relative_path")))
+        files = files.filter(matches_any(include, *names))
     if exclude:
-        listed = listed.filter(~matches_any(exclude, F.col("file_name"), F.col("relative_path")))
-    return listed
+        files = files.filter(~matches_any(exclude, *names))
+    return files
 
 
 def _hadoop_path(spark: SparkSession, root: str):
@@ -116,12 +131,15 @@ def with_content_hash(files: DataFrame, *, max_cell_bytes: int = MAX_CELL_BYTES)
 
     The binary source reads a file's content before it can look at its name,
     hence the explicit paths, which Spark's file index holds on the driver in any
-    case. Large files are read in blocks by the task that gets their path.
+    case. Large files are read in blocks by the task that gets their path, and so are
+    those that Spark's sources pass over, which are empty or hidden.
     """
     spark = files.sparkSession
-    large = files.filter(F.col("size_bytes") > max_cell_bytes).select("path")
+    passed_over = (F.col("size_bytes") == 0) | F.col("path").rlike(r"/[_.][^/]*$")
+    in_blocks = (F.col("size_bytes") > max_cell_bytes) | passed_over
+    large = files.filter(in_blocks).select("path")
     hashed = large.repartition("path").mapInPandas(_hash_blocks, "path string, content_hash string")
-    small = files.filter(F.col("size_bytes") <= max_cell_bytes).select("path")
+    small = files.filter(~in_blocks).select("path")
     paths = [loadable(r["path"]) for r in small.toLocalIterator()]
     if paths:
         content = spark.read.format("binaryFile").load(paths)

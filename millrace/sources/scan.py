@@ -17,9 +17,6 @@ from millrace.spec import FILE_HASH, SOURCE_FILE
 
 FORMATS = ("parquet", "csv", "json", "orc")
 
-# Below this many files their hashes are broadcast to the rows of the scan.
-MAX_BROADCAST_FILES = 500_000
-
 
 def scan(
     spark: SparkSession,
@@ -72,18 +69,14 @@ def query(spark: SparkSession, sql: str, frames: Mapping[str, DataFrame]) -> Dat
 def with_file_hash(df: DataFrame, files: DataFrame, *, scratch: Scratch) -> DataFrame:
     """Add the content hash of each row's source file from the inventory.
 
-    File hashes go to the rows by broadcast while the number of files allows it;
-    the count is taken from the staged inventory. Beyond that, files with very
-    many rows are kept out of the shuffle by the lookup join.
+    The lookup join broadcasts the hashes as long as they are small, and otherwise
+    keeps files with very many rows from meeting in one task.
     """
     lookup = scratch.stage(
         files.select(F.col("path").alias(SOURCE_FILE), F.col("content_hash").alias(FILE_HASH)),
         "file-hashes",
     )
-    if lookup.count() <= MAX_BROADCAST_FILES:
-        joined = df.join(F.broadcast(lookup), SOURCE_FILE, "left")
-    else:
-        joined = join_lookup(df, lookup, [SOURCE_FILE], scratch=scratch)
+    joined = join_lookup(df, lookup, [SOURCE_FILE], scratch=scratch)
     return joined.select(
         *[c for c in df.columns if c != SOURCE_FILE],
         F.coalesce(FILE_HASH, F.lit("unknown")).alias(FILE_HASH),

@@ -14,7 +14,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 BATCH_ROWS = 10_000
-SCHEMA_SAMPLE_ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -48,39 +47,20 @@ class SqliteQuerySource(DataSource):
         return "sqlite_query"
 
     def schema(self) -> T.StructType:
-        """Types seen in the first rows of the first file; mixed types become text.
-
-        A later value that does not fit stops the job. State the schema to avoid that.
-        """
-        path = self.options["paths"].splitlines()[0]
-        connection = _open(path)
-        try:
-            sample = f"SELECT * FROM ({self.options['query']}) LIMIT {SCHEMA_SAMPLE_ROWS}"
-            cursor = connection.execute(sample)
-            names = [d[0] for d in cursor.description]
-            seen: list[set[type]] = [set() for _ in names]
-            for row in cursor:
-                for kinds, value in zip(seen, row, strict=True):
-                    if value is not None:
-                        kinds.add(type(value))
-        finally:
-            connection.close()
-        found = T.StructType(
-            [T.StructField(n, _spark_type(kinds)) for n, kinds in zip(names, seen, strict=True)]
-        )
-        added = self.options.get("sourceColumn")
-        return found.add(added, T.StringType()) if added else found
+        raise ValueError("State a schema, or use sqlite_query, which takes it from all rows.")
 
     def reader(self, schema: T.StructType) -> SqliteQueryReader:
         return SqliteQueryReader(schema, dict(self.options))
 
 
-def _spark_type(kinds: set[type]) -> T.DataType:
-    if kinds == {int}:
+def _spark_type(kinds: set[str]) -> T.DataType:
+    """Type for a column that holds values of these SQLite types; mixed ones become text."""
+    kinds = kinds - {"null"}
+    if kinds == {"integer"}:
         return T.LongType()
-    if kinds and kinds <= {int, float}:
+    if kinds and kinds <= {"integer", "real"}:
         return T.DoubleType()
-    if kinds == {bytes}:
+    if kinds == {"blob"}:
         return T.BinaryType()
     return T.StringType()
 
@@ -129,19 +109,60 @@ class SqliteQueryReader(DataSourceReader):
     def batch(self, rows: list[tuple]) -> pa.RecordBatch:
         arrays = []
         for position, field in enumerate(self.arrow_schema):
-            values = [row[position] for row in rows]
-            if pa.types.is_string(field.type) or pa.types.is_large_string(field.type):
-                values = [v if v is None or isinstance(v, str) else _text(v) for v in values]
-            elif pa.types.is_floating(field.type):
-                values = [float(v) if isinstance(v, int) else v for v in values]
+            values = [_fitting(row[position], field) for row in rows]
             arrays.append(pa.array(values, field.type))
         return pa.RecordBatch.from_arrays(arrays, schema=self.arrow_schema)
 
 
+def _fitting(value: object, field: pa.Field) -> object:
+    """A value as the column holds it; one that would be rounded or cut is an error."""
+    if value is None:
+        return None
+    if pa.types.is_string(field.type) or pa.types.is_large_string(field.type):
+        return value if isinstance(value, str) else _text(value)
+    if pa.types.is_integer(field.type):
+        fits = isinstance(value, int)
+    elif pa.types.is_floating(field.type):
+        fits = isinstance(value, float) or (isinstance(value, int) and float(value) == value)
+        value = float(value) if fits else value
+    else:
+        return value
+    if not fits:
+        raise ValueError(f"Column '{field.name}' of type {field.type} cannot hold {value!r}.")
+    return value
+
+
 def _text(value: object) -> str:
     return value.decode("utf-8") if isinstance(value, bytes) else str(value)
 
 
+def found_schema(spark: SparkSession, paths: Sequence[str], sql: str) -> T.StructType:
+    """Types of the statement's columns, from all rows of all files.
+
+    Each file's task lists the SQLite types of each column; a column without values
+    is text.
+    """
+    inner = sql.strip().rstrip(";")
+    connection = _open(paths[0])
+    try:
+        cursor = connection.execute(f"SELECT * FROM ({inner}) LIMIT 0")
+        names = [d[0] for d in cursor.description]
+    finally:
+        connection.close()
+    quoted = ['"' + name.replace('"', '""') + '"' for name in names]
+    kinds = " UNION ".join(
+        f"SELECT DISTINCT {i} AS place, typeof({name}) AS kind FROM ({inner})"
+        for i, name in enumerate(quoted)
+    )
+    rows = sqlite_query(spark, paths, kinds, schema="place long, kind string")
+    seen: list[set[str]] = [set() for _ in names]
+    for place, kind in rows.distinct().collect():
+        seen[place].add(kind)
+    return T.StructType(
+        [T.StructField(n, _spark_type(found)) for n, found in zip(names, seen, strict=True)]
+    )
+
+
 def sqlite_query(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -154,49 +175,22 @@ def sqlite_query(
 ) -> DataFrame:
     """Rows of a SQL statement run on each of the SQLite files.
 
-    ``source_column`` adds the path of the file under that name.
+    ``source_column`` adds the path of the file under that name. Without a schema the
+    types are those of all rows; a value that does not fit the schema stops the job.
     """
     if not sql or not sql.strip():
         raise ValueError("A query scan needs SQL.")
     paths = [paths] if isinstance(paths, str) else list(paths)
     spark.dataSource.register(SqliteQuerySource)
+    if schema is None:
+        schema = found_schema(spark, paths, sql)
     reader = spark.read.format("sqlite_query").option("query", sql.strip().rstrip(";"))
     reader = reader.option("paths", "\n".join(paths))
     if split_column:
         reader = reader.option("splitColumn", split_column).option("numSplits", str(splits))
     if source_column:
         reader = reader.option("sourceColumn", source_column)
-    if schema is not None:
-        declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        if source_column:
-            declared = T.StructType([*declared, T.StructField(source_column, T.StringType())])
-        reader = reader.schema(declared)
-    return reader.load()
-
-
-def sqlite_query_bytes(
-    files: DataFrame, sql: str, schema: T.StructType | str, *, content: str = "content"
-) -> DataFrame:
-    """Rows of a SQL statement run on SQLite files that arrive as binary cells.
-
-    For file systems that executors cannot open by path: ``files`` comes from
-    Spark's binary source. One file is one cell here, so files above 2 GiB need
-    ``sqlite_query``.
-    """
-    if isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
-    reader = SqliteQueryReader(schema, {"query": sql.strip().rstrip(";"), "paths": ""})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cell in batch.column(0):
-                connection = sqlite3.connect(":memory:")
-                try:
-                    connection.deserialize(cell.as_py())
-                    cursor = connection.execute(reader.query)
-                    while rows := cursor.fetchmany(BATCH_ROWS):
-                        yield reader.batch(rows)
-                finally:
-                    connection.close()
-
-    return files.select(content).mapInArrow(run, schema)
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if source_column:
+        declared = T.StructType([*declared, T.StructField(source_column, T.StringType())])
+    return reader.schema(declared).load()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
@@ -14,18 +15,20 @@ from pyspark.sql import types as T
 
 from millrace.functions.keys import key_bucket
 from millrace.operators.lookups import planned_bytes
-from millrace.operators.merge import key_collisions, merge_buckets
-from millrace.scratch import several_open_files
+from millrace.operators.merge import full_key, key_collisions, merge_buckets
+from millrace.operators.quality import duplicate_keys
+from millrace.scratch import Scratch, several_open_files
 from millrace.spec import TableSpec
 
 BUCKET = "_bucket"
 
 # Parquet bytes a bucket is meant to hold: what one task merges in memory.
 BUCKET_BYTES = 256 * 1024 * 1024
-MAX_BUCKETS = 20_000
 
-# Bucket count for data whose size Spark does not know, such as rows from Python.
-BUCKETS_OF_UNKNOWN_SIZE = 64
+# Where a plan has one of these, Spark's estimate of its size is no measurement.
+UNMEASURED = re.compile(
+    r"\b(Join|Aggregate|Generate|Expand|LogicalRDD|Sample|MapIn\w+|\w*Python\w*|\w*Pandas)\b"
+)
 
 
 class KeyCollision(ValueError):
@@ -59,10 +62,15 @@ def bucket_count(spec: TableSpec, *frames: DataFrame) -> int:
     """The specified number of buckets, or one that suits the size of the frames."""
     if spec.buckets:
         return spec.buckets
-    size = sum(planned_bytes(f) for f in frames)
-    if size >= frames[0].sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes():
-        return BUCKETS_OF_UNKNOWN_SIZE
-    return max(1, min(MAX_BUCKETS, -(-size // BUCKET_BYTES)))
+    return max(1, -(-sum(planned_bytes(f) for f in frames) // BUCKET_BYTES))
+
+
+def measured(batch: DataFrame) -> DataFrame:
+    """The batch with a size that is known: written out unless it is a plain scan."""
+    plan = batch._jdf.queryExecution().optimizedPlan()
+    if UNMEASURED.search(plan.toString()):
+        return Scratch(batch.sparkSession).stage(batch, "batch")
+    return batch
 
 
 class TableStore:
@@ -179,18 +187,31 @@ class TableStore:
         row = self.spark.range(1, numPartitions=1).select(F.lit(json.dumps(content)).alias("value"))
         row.write.mode("errorifexists").text(f"{self.root}/{name}/commits/v={version:012d}")
 
-    def write(self, spec: TableSpec, batch: DataFrame, mode: str | None = None) -> LoadResult:
+    def write(
+        self,
+        spec: TableSpec,
+        batch: DataFrame,
+        mode: str | None = None,
+        *,
+        unique_keys: bool = False,
+    ) -> LoadResult:
         """Load a batch that already has the table's columns.
 
-        ``batch`` should be a staged table: it is read more than once. Counts come
+        A batch that is no plain scan is written out first. Counts come
         from the written files, not from counters kept by running tasks, so
-        repeated tasks cannot change them.
+        repeated tasks cannot change them. Unless ``unique_keys`` vouches for it, keys
+        are checked: an append or a replacement that repeats a key is refused, an
+        upsert takes the row that is greatest by its columns in their order.
         """
         mode = mode or spec.load_mode
         declared = [(f.name, f.dataType) for f in spec.schema()]
         if [(f.name, f.dataType) for f in batch.schema] != declared:
             # Buckets are hashes of typed values: other types would miss stored keys.
             raise ValueError(f"Batch for '{spec.name}' does not have the columns of the table.")
+        if spec.key:
+            batch = measured(batch)
+        if spec.key and not unique_keys:
+            batch = self._unique(spec, batch, mode)
         if mode == "append":
             return self._append(spec, batch)
         if mode == "replace":
@@ -199,6 +220,18 @@ class TableStore:
             return self._upsert(spec, batch)
         raise ValueError(f"Unsupported write mode: {mode}")
 
+    def _unique(self, spec: TableSpec, batch: DataFrame, mode: str) -> DataFrame:
+        """The batch with one row per full key; a null part of a key matches nothing."""
+        full = batch.filter(full_key(spec.key))
+        if duplicate_keys(full, spec.key).isEmpty():
+            return batch
+        if mode != "upsert":
+            raise KeyCollision(f"The batch for '{spec.name}' repeats keys {spec.key}.")
+        row = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+        last = full.groupBy(*spec.key).agg(F.max(row).alias("last")).select("last.*")
+        one = last.select(*batch.columns).unionByName(batch.filter(~full_key(spec.key)))
+        return Scratch(self.spark).stage(one, "batch")
+
     def _bucketed(self, spec: TableSpec, batch: DataFrame, buckets: int) -> DataFrame:
         if not spec.key:
             return batch
@@ -274,6 +307,7 @@ class TableStore:
                 spec.key,
                 BUCKET,
                 nullable_key=self._nullable_key(spec),
+                n_buckets=buckets,
             )
             new = self._write(spec.name, commit.next_version, merged, BUCKET, spec.indexed_names)
         else:

@@ -6,9 +6,10 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.plans.inputs import file_source
 from millrace.sources import files as f
 from millrace.sources.scan import query, scan, with_file_hash
-from millrace.sources.sqlite import sqlite_query, sqlite_query_bytes
+from millrace.sources.sqlite import sqlite_query
 
 
 @pytest.fixture
@@ -45,13 +46,6 @@ def test_missing_folders_fail(spark, folder):
         f.list_files(spark, str(folder / "a.csv"))
 
 
-def test_empty_and_hidden_files_are_not_listed(spark, folder):
-    for name in ("empty", ".hidden", "_hidden"):
-        (folder / name).write_bytes(b"" if name == "empty" else b"x")
-    listed = names_in(f.list_files(spark, str(folder)))
-    assert not {"empty", ".hidden", "_hidden"} & set(listed)
-
-
 @pytest.mark.parametrize("pattern", ["*.csv", "b?.txt", "b[12].txt", "b[!1].*", "sub/*", "*", "a.csv", "[x]", "*+z*"])
 def test_patterns_agree_with_fnmatch(spark, folder, pattern):
     everything = f.list_files(spark, str(folder), recursive=True).collect()
@@ -126,10 +120,9 @@ def test_scan_and_hashes(spark, folder, scratch, rows):
     assert {r["_file_hash"] for r in unknown.collect()} == {"unknown"}
 
 
-def test_many_files_take_the_skew_safe_join(spark, folder, scratch, monkeypatch, no_broadcast):
+def test_many_files_take_the_skew_safe_join(spark, folder, scratch, no_broadcast):
     files = f.inventory(spark, str(folder), recursive=True, include=["*.csv"])
     read = scan(spark, names_in(files, "path"), "csv", schema="k int, v string")
-    monkeypatch.setattr("millrace.sources.scan.MAX_BROADCAST_FILES", 0)
     assert with_file_hash(read, files, scratch=scratch).filter("_file_hash != 'unknown'").count() == 3
 
 
@@ -195,7 +188,45 @@ def test_sqlite_errors(spark, tmp_path, databases):
         sqlite_query(spark, str(tmp_path / "no.db"), "SELECT 1")
 
 
-def test_sqlite_bytes(spark, databases):
-    files = spark.read.format("binaryFile").load(databases)
-    df = sqlite_query_bytes(files, "SELECT id, name FROM c", "id long, name string")
-    assert df.count() == 100 and df.filter("name IS NULL").count() == 20
+def test_sqlite_types_come_from_all_rows(spark, tmp_path, rows):
+    path = str(tmp_path / "late.db")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE t (n, late, mixed, never)")
+    data = [(i, None, i, None) for i in range(3000)] + [(2.5, 7, "x", None)]
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", data)
+    con.commit()
+    con.close()
+    df = sqlite_query(spark, path, "SELECT * FROM t")
+    assert [f.dataType.simpleString() for f in df.schema] == ["double", "bigint", "string", "string"]
+    assert rows(df.filter("late = 7")) == [(2.5, 7, "x", None)]
+    with pytest.raises(Exception, match="cannot hold 2.5"):
+        sqlite_query(spark, path, "SELECT n FROM t", schema="n long").collect()
+
+
+def test_listing_is_complete(spark, tmp_path):
+    (tmp_path / "dt=1").mkdir()
+    for name, content in (("a.csv", "x"), ("empty.csv", ""), ("_u.csv", "u"), (".h", "h"), ("dt=1/c.csv", "c")):
+        (tmp_path / name).write_text(content)
+    flat = f.inventory(spark, str(tmp_path))
+    assert {r["relative_path"] for r in flat.collect()} == {"a.csv", "empty.csv", "_u.csv", ".h"}
+    deep = {r["relative_path"]: r for r in f.inventory(spark, str(tmp_path), recursive=True).collect()}
+    assert set(deep) == {"a.csv", "empty.csv", "_u.csv", ".h", "dt=1/c.csv"}
+    for name, row in deep.items():
+        assert row["content_hash"] == hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()
+
+
+def test_mixed_files_are_united(spark, tmp_path, rows):
+    (tmp_path / "1.csv").write_text("id,name\n1,Ann\n")
+    (tmp_path / "2.csv").write_text("name,id\nBob,2\n")
+    (tmp_path / "3.csv").write_text("id,city\n3,Rome\n")
+    (tmp_path / "4.csv").write_text("")
+    (read,) = file_source("s", str(tmp_path), "csv", include=["*.csv"]).read(spark)
+    assert rows(read.select("id", "name", "city")) == [
+        ("1", "Ann", None), ("2", "Bob", None), ("3", None, "Rome")
+    ]
+    spark.createDataFrame([(1, "a")], "id int, name string").write.parquet(str(tmp_path / "p/x"))
+    spark.createDataFrame([("k", 2)], "id string, more int").write.parquet(str(tmp_path / "p/y"))
+    (read,) = file_source(
+        "s", str(tmp_path / "p"), "parquet", recursive=True, include=["part-*.parquet"]
+    ).read(spark)
+    assert rows(read.select("id", "name", "more")) == [("1", "a", None), ("k", None, 2)]
