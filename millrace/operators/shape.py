@@ -158,13 +158,17 @@ def clean(
     return df.withColumns(changes)
 
 
+# The kinds of trades that are kept by default.
+TRADE_TYPES = ("BUY", "SELL", "DIVIDEND", "BONUS")
+
+
 def normalise_transactions(
     df: DataFrame,
     *,
     drop_zero_quantity: bool = True,
     uppercase_symbol: bool = True,
     trim_account_name: bool = True,
-    allowed_types: Sequence[str] = ("BUY", "SELL", "DIVIDEND", "BONUS"),
+    allowed_types: Sequence[str] = TRADE_TYPES,
 ) -> DataFrame:
     """Tidy trades: no empty quantities, upper-case symbols, trimmed accounts, known types."""
     if uppercase_symbol:

@@ -197,7 +197,7 @@ def test_chain_order_and_failure_policies(spark):
 def test_contracts(spark):
     df = spark.createDataFrame([(1,)], "a int")
     needs_b = FrameContract(requires=("b",))
-    with pytest.raises(ValueError, match=r"missing required columns: \['b'\]"):
+    with pytest.raises(ValueError, match=r"lacks columns that the step needs: \['b'\]"):
         run_chain(df, [Transform(add_column, contract=needs_b)])
     keeps = FrameContract(mutation="preserves_schema")
     with pytest.raises(ValueError, match="preserved"):
