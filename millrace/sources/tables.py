@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from urllib.parse import unquote
 from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,7 @@ from millrace.scratch import Scratch, several_open_files
 from millrace.spec import TableSpec
 
 BUCKET = "_bucket"
+COMMIT_FILE = "commit.json"
 
 # Parquet bytes a bucket is meant to hold: what one task merges in memory.
 BUCKET_BYTES = 256 * 1024 * 1024
@@ -98,9 +100,8 @@ class TableStore:
         attempts = self._children(f"{self.root}/{name}/commits")
         following = int(attempts[-1].removeprefix("v=")) + 1 if attempts else 1
         for attempt in reversed(attempts):
-            row = self.spark.read.text(f"{self.root}/{name}/commits/{attempt}").first()
-            if row:
-                content = json.loads(row["value"])
+            content = self._content(f"{self.root}/{name}/commits/{attempt}")
+            if content:
                 schema = T.StructType.fromJson(content["schema"])
                 return Commit(
                     following,
@@ -111,6 +112,25 @@ class TableStore:
                 )
         return Commit(following)
 
+    def _file_system(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _content(self, attempt: str) -> dict | None:
+        """What a commit says; none where its writer did not get to the end."""
+        file, fs = self._file_system(f"{attempt}/{COMMIT_FILE}")
+        if not fs.exists(file):
+            return None
+        stream = fs.open(file)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        try:
+            return json.loads(text)
+        except ValueError:
+            return None
+
     def exists(self, name: str) -> bool:
         return self._commit(name).schema is not None
 
@@ -160,8 +180,7 @@ class TableStore:
         return [f"{folder}/{child}" for child in self._children(path) if "=" in child]
 
     def _children(self, path: str) -> list[str]:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        folder, fs = self._file_system(path)
         if not fs.exists(folder):
             return []
         return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory())
@@ -184,8 +203,18 @@ class TableStore:
             "buckets": buckets,
             "key": list(key),
         }
-        row = self.spark.range(1, numPartitions=1).select(F.lit(json.dumps(content)).alias("value"))
-        row.write.mode("errorifexists").text(f"{self.root}/{name}/commits/v={version:012d}")
+        # The file system itself refuses to create a file that exists.
+        file, fs = self._file_system(f"{self.root}/{name}/commits/v={version:012d}/{COMMIT_FILE}")
+        try:
+            stream = fs.create(file, False)
+        except Py4JJavaError as problem:
+            if fs.exists(file):
+                raise FileExistsError(f"Version {version} of '{name}' exists already.") from problem
+            raise
+        try:
+            stream.write(bytearray(json.dumps(content).encode()))
+        finally:
+            stream.close()
 
     def write(
         self,
