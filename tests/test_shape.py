@@ -206,7 +206,7 @@ def test_contracts(spark):
     with pytest.raises(ValueError, match="of other types"):
         run_chain(df, [Transform(add_column, contract=typed)])
     promised = FrameContract(provides=("zzz",))
-    with pytest.raises(ValueError, match="promised"):
+    with pytest.raises(ValueError, match="promises"):
         run_chain(df, [Transform(add_column, contract=promised)])
     adds = FrameContract(requires=("A",), provides=("n",), mutation="adds_columns")
     assert run_chain(df, [Transform(add_column, contract=adds)]).columns == ["a", "n"]
