@@ -166,6 +166,9 @@ def project_documents(
         F.coalesce(title_error, body_error, strategy_error).alias("reason"),
         row_json(source, columns).alias("raw_row_json"),
     )
+    if can_fail(spec):
+        # Written once: both sides of the split would else render every row again.
+        projected = (scratch or Scratch(df.sparkSession)).stage(projected, "projected")
     documents = projected.filter(F.col("reason").isNull()).select(*DOCUMENT_COLUMNS)
     failures = projected.filter(F.col("reason").isNotNull()).select("raw_row_json", "reason")
     return documents, failures

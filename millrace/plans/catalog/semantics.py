@@ -446,8 +446,39 @@ SELECT CAST(query_id AS BIGINT) AS query_id, vec_id, CAST(rank AS INTEGER) AS ra
 def vector_knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five vectors nearest to the centre of each label."""
     vectors = table(spark, sf_dir, "embeddings")
+    return nearest_vectors(vectors, label_centres(vectors), 5).select("query_id", "vec_id", "rank")
+
+
+def label_centres(vectors: DataFrame) -> list[tuple[int, list[float]]]:
+    """Mean vector of each label: the stated query set, one row per label."""
     width = vectors.agg(F.max(F.size("embedding"))).first()[0]
     means = [F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(width)]
     centres = vectors.groupBy("label").agg(F.array(*means).alias("centre"))
-    queries = [(r["label"], r["centre"]) for r in centres.toLocalIterator()]
-    return nearest_vectors(vectors, queries, 5).select("query_id", "vec_id", "rank")
+    return [(r["label"], r["centre"]) for r in centres.collect()]
+
+
+@query(
+    "vector_knn_chunks",
+    """
+WITH centres AS (
+  SELECT label AS query_id, list(m ORDER BY i) AS centre
+  FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m
+        FROM embeddings, range(1, 65) r(i) GROUP BY label, i)
+  GROUP BY label),
+scored AS (
+  SELECT query_id, 'chunk-' || vec_id AS chunk_id, row_number() OVER (PARTITION BY query_id
+           ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), centre) DESC, 'chunk-' || vec_id) AS rank
+  FROM embeddings, centres WHERE label <> 0)
+SELECT CAST(query_id AS BIGINT) AS query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM scored WHERE rank <= 3
+""",
+)
+def vector_knn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors by text id; vectors with a value that is no number are left out."""
+    vectors = table(spark, sf_dir, "embeddings")
+    broken = F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))
+    chunks = vectors.select(
+        F.concat(F.lit("chunk-"), "vec_id").alias("chunk_id"),
+        F.when(F.col("label") == 0, broken).otherwise(F.col("embedding")).alias("embedding"),
+    )
+    nearest = nearest_vectors(chunks, label_centres(vectors), 3, id_column="chunk_id")
+    return nearest.select("query_id", "chunk_id", "rank")
