@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +30,12 @@ from millrace.scratch import Scratch
 BLOCK_DIMS = 8
 
 # Vectors of one side of a tile; more of them in a cell make more tiles.
-TILE_ROWS = 512
+TILE_ROWS = 2_048
 
 # Vectors a cell should hold; it decides how many dimensions cells are cut in.
-CELL_ROWS = 2_000
+CELL_ROWS = 800
 
-CELLS = "node long, unit array<float>, block int, cell string, home boolean"
+CELLS = "node long, copies long, unit array<float>, block int, cell string, home boolean"
 FOUND = "node long, links long, other long"
 
 
@@ -104,12 +103,13 @@ def _assign(
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column("node").take(pa.array(at)),
+                            batch.column("copies").take(pa.array(at)),
                             batch.column("unit").take(pa.array(at)),
                             pa.array(np.full(len(hit), number, np.int32)),
                             pa.array([f"{k}/{dims}/{c}" for k, c in zip(kinds[at], names)]),
                             pa.array(np.full(len(hit), not any(step))),
                         ],
-                        names=["node", "unit", "block", "cell", "home"],
+                        names=["node", "copies", "unit", "block", "cell", "home"],
                     )
 
 
@@ -127,19 +127,20 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def tile_links(tile: pd.DataFrame, cosine: float) -> pd.DataFrame:
+def tile_links(tile: pa.Table, cosine: float) -> pa.Table:
     """Links between the left and the right rows of a tile.
 
     ``links`` of a row are those of its distinct partners, weighted by copies; ``other``
     is a node it is connected with.
     """
-    block = int(tile["block"].iloc[0])
-    left = np.flatnonzero(tile["left"].to_numpy())
-    right = np.flatnonzero(tile["right"].to_numpy())
-    empty = pd.DataFrame({"node": [], "links": [], "other": []}).astype("int64")
+    block = tile.column("block")[0].as_py()
+    left = np.flatnonzero(tile.column("left").to_numpy())
+    right = np.flatnonzero(tile.column("right").to_numpy())
+    empty = pa.table({c: pa.array([], pa.int64()) for c in ("node", "links", "other")})
     if not len(left) or not len(right):
         return empty
-    vectors = np.stack(tile["unit"].to_numpy()).astype(np.float64)
+    flat = tile.column("unit").combine_chunks().flatten()
+    vectors = np.asarray(flat, dtype=np.float64).reshape(tile.num_rows, -1)
     dims = vectors.shape[1]
     turned = rotated(vectors)
     part = blocks(dims)[block]
@@ -148,7 +149,7 @@ def tile_links(tile: pd.DataFrame, cosine: float) -> pd.DataFrame:
     square = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T
     i, j = np.nonzero(square <= budgets[block] + 1e-9)
     i, j = left[i], right[j]
-    node, home = tile["node"].to_numpy(), tile["home"].to_numpy()
+    node, home = tile.column("node").to_numpy(), tile.column("home").to_numpy()
     # Two vectors at home here meet once; a visitor meets those at home.
     once = home[i] & (~home[j] | (node[i] < node[j]))
     i, j = i[once], j[once]
@@ -163,12 +164,12 @@ def tile_links(tile: pd.DataFrame, cosine: float) -> pd.DataFrame:
     dots = np.einsum("ij,ij->i", vectors[i], vectors[j])
     linked = dots / (length[i] * length[j]) >= cosine
     i, j = i[linked], j[linked]
-    copies = tile["copies"].to_numpy()
-    n = len(tile)
+    copies = tile.column("copies").to_numpy()
+    n = tile.num_rows
     links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
     root = _roots(n, i, j)
     hit = np.flatnonzero(links)
-    return pd.DataFrame(
+    return pa.table(
         {"node": node[hit], "links": links[hit].astype("int64"), "other": node[root[hit]]}
     )
 
@@ -210,7 +211,7 @@ def near_vectors(
     cut_dims = max(1, int(np.ceil(np.log(max(largest, 1) / CELL_ROWS) / np.log(4))))
     cut_dims = min(cut_dims, BLOCK_DIMS)
     placed = scratch.stage(
-        distinct.select("node", "unit", "kind").mapInArrow(
+        distinct.select("node", "copies", "unit", "kind").mapInArrow(
             lambda b: _assign(b, cosine, cut_dims), CELLS
         ),
         "cells",
@@ -234,9 +235,8 @@ def near_vectors(
         "*", F.col("other").alias("p"), F.col("mine").alias("q"), F.lit(False).alias("left"),
         F.lit(True).alias("right"),
     )
-    copies = distinct.select("node", F.col("copies"))
-    tiles = as_left.unionByName(as_right).join(copies, "node")
-    found = tiles.groupBy("block", "cell", "p", "q").applyInPandas(
+    tiles = as_left.unionByName(as_right)
+    found = tiles.groupBy("block", "cell", "p", "q").applyInArrow(
         lambda tile: tile_links(tile, cosine), FOUND
     )
     found = scratch.stage(found, "links")
