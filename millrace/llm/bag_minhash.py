@@ -11,9 +11,9 @@ made. Signatures are cut into bands; texts with a band in common are compared ex
 
 Texts with the same words collapse first. Within a band's bucket, which may be large,
 texts are compared with a pivot, texts linked so are one component, and a few rounds
-with further pivots link what the first one missed. The pairs still in different
-components are then compared exhaustively, without those that the triangle inequality
-of the distance to the first pivot rules out.
+with further pivots link what the first one missed. Of the pairs still in different
+components those are compared that can be similar by what each text shares with a
+pivot and what both have besides.
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ SHINGLE_WORDS = 5
 COMPONENTS = 128
 BAND_ROWS = 4
 
-# Pivot rounds go on while exhaustion would cost more comparisons per member than this.
+# Pivot rounds go on while exhaustion would cost more comparisons per member than
+# COMPARISONS, as long as a round saves at least SAVING of that cost.
 COMPARISONS = 2
-PIVOT_ROUNDS = 12
+SAVING = 0.05
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SLICE = 4 << 20
@@ -228,6 +229,29 @@ def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each text shares with its pivot, and its shingles that the pivot lacks."""
+    for batch in batches:
+        sizes, shared, outside = [], [], []
+        for left, right in zip(batch.column("sa"), batch.column("sb")):
+            a, b = (np.frombuffer(s.as_buffer(), np.int64) for s in (left, right))
+            own = np.setdiff1d(b, a, assume_unique=True)
+            sizes.append(len(b))
+            shared.append(len(b) - len(own))
+            outside.append(own)
+        bounds = np.concatenate([[0], np.cumsum([len(o) for o in outside])]).astype(np.int32)
+        values = np.concatenate([np.zeros(0, np.int64), *outside])
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(c) for c in ("a", "b", "root")),
+                pa.array(sizes, pa.int64()),
+                pa.array(shared, pa.int64()),
+                pa.ListArray.from_arrays(bounds, pa.array(values)),
+            ],
+            names=["a", "b", "root", "n", "shared", "outside"],
+        )
+
+
 class _Buckets:
     """Candidate pairs of one run and the links found among them."""
 
@@ -265,13 +289,23 @@ class _Buckets:
         mixed = self.scratch.stage(mixed.filter("low < high").select("band", "key"), "mixed")
         return self.scratch.stage(placed.join(mixed, ["band", "key"], "left_semi"), "open")
 
-    def largest(self, open_: DataFrame) -> DataFrame:
-        """The largest component of each bucket, and the comparisons with all others."""
-        sizes = open_.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-        main = F.max(F.struct("n", "root")).alias("l")
+    def largest(self, open_: DataFrame, number: int) -> DataFrame:
+        """The largest component of each bucket, one of its texts, and the comparisons
+        of all others with the whole bucket.
+
+        The text is first the one closest to the bucket's pivot, for where copies of
+        one text meet it is closest to all of them; later it is any.
+        """
+        first = F.when(F.col("far") > 0, F.col("far")) if number == 0 else F.lit(0.0)
+        first = F.coalesce(first, F.lit(2.0))
+        order = F.struct(first, F.xxhash64(F.lit(number), "node"), "node")
+        sizes = open_.groupBy("band", "key", "root").agg(
+            F.count("*").alias("n"), F.min(order).alias("c")
+        )
+        main = F.max(F.struct("n", "root", "c.node")).alias("l")
         found = sizes.groupBy("band", "key").agg(main, F.sum("n").alias("all"))
         found = found.select(
-            "band", "key", F.col("l.root").alias("main"),
+            "band", "key", F.col("l.root").alias("main"), F.col("l.node").alias("a"),
             ((F.col("all") - F.col("l.n")) * F.col("all")).alias("cost"),
         )
         return self.scratch.stage(found, "largest")
@@ -301,50 +335,86 @@ def _link(texts: DataFrame, docs: DataFrame, limit: float, k: int, scratch: Scra
     )
     sets = scratch.stage(sets, "shingle-sets")
     run = _Buckets(members, sets, limit, scratch)
-    pivots = sets.filter("pivot").dropDuplicates(["node"])
+    # Staged, so that adaptive execution can split the join of a hot pivot.
+    pivots = scratch.stage(sets.filter("pivot").dropDuplicates(["node"]), "pivot-sets")
     measured = run.measure(first, pivots, "similarities-0")
     components = run.components(measured)
-    for number in range(1, PIVOT_ROUNDS + 1):
+    distance = measured.select(
+        F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far")
+    )
+    placed = members.join(distance, ["pivot", "node"], "left").fillna(0.0, ["far"])
+    run.members = scratch.stage(placed, "members-far")
+    number, before = 0, float("inf")
+    while True:
         open_ = run.open_members(components)
-        largest = run.largest(open_)
-        cost, n = largest.agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0], open_.count()
-        if cost <= COMPARISONS * n:
+        largest = run.largest(open_, number)
+        cost = largest.agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0]
+        if cost <= COMPARISONS * open_.count() or cost > (1 - SAVING) * before:
             break
-        order = F.struct(F.xxhash64(F.lit(number), "node").alias("o"), "node", "root")
-        chosen = open_.groupBy("band", "key").agg(F.min(order).alias("c"))
-        chosen = scratch.stage(
-            chosen.select("band", "key", F.col("c.node").alias("a"), F.col("c.root").alias("ra")),
-            "pivots",
-        )
-        pairs = open_.join(chosen, ["band", "key"]).filter("root != ra")
+        number, before = number + 1, cost
+        # Another pivot out of each bucket's largest component, for all the others.
+        pairs = open_.join(largest, ["band", "key"]).filter("root != main")
         pairs = pairs.select("a", F.col("node").alias("b")).distinct()
         found = run.measure(scratch.stage(pairs, "pairs"), sets, f"similarities-{number}")
         components = run.components(found, components)
-    else:
-        open_ = run.open_members(components)
-        largest = run.largest(open_)
     if open_.isEmpty():
         return components
-    # What is left: pairs across components that the first pivot does not rule out.
-    distance = measured.select(
-        F.col("a").alias("pivot"), F.col("b").alias("node"),
-        (1 - F.col("similarity")).alias("far"),
+    pairs = _possible_pairs(run, open_, largest, limit, scratch)
+    found = run.measure(pairs, sets, "similarities-rest")
+    return run.components(found, components)
+
+
+def _possible_pairs(
+    run: _Buckets, open_: DataFrame, largest: DataFrame, limit: float, scratch: Scratch
+) -> DataFrame:
+    """Pairs of different components in a bucket that can be similar enough, all of them.
+
+    With a pivot P, two texts share at most the lesser of what each shares with P, and
+    the shingles outside P that both have. So either what they share with P is enough
+    by itself, or they have a shingle outside P in common, and enough of these.
+    """
+    near = open_.join(largest.select("band", "key", "a"), ["band", "key"])
+    near = scratch.stage(near.select("a", F.col("node").alias("b"), "root").distinct(), "near")
+    sets = run.sets
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    left = scratch.stage(near.select("a").distinct(), "centres").join(
+        sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a"
     )
-    open_ = open_.join(distance, ["pivot", "node"], "left")
-    open_ = scratch.stage(open_.fillna(0.0, ["far"]), "open-far")
-    mine = open_.join(largest.drop("cost"), ["band", "key"]).filter("root != main")
-    mine = scratch.stage(
-        mine.select("band", "key", F.col("node").alias("x"), F.col("root").alias("rx"),
-                    F.col("far").alias("fx")),
-        "rest",
+    left = scratch.stage(left.dropDuplicates(["a"]), "centre-sets")
+    joined = near.join(right, "b").join(left, "a").select("a", "b", "root", "sa", "sb")
+    schema = "a long, b long, root long, n long, shared long, outside array<long>"
+    parts = scratch.stage(joined.mapInArrow(_outside, schema), "outside")
+    needed = limit / (1 + limit)
+    one, two = (
+        parts.select("a", *[F.col(c).alias(f"{c}{i}") for c in ("b", "root", "n", "shared", "outside")])
+        for i in (1, 2)
     )
-    close = F.abs(F.col("far") - F.col("fx")) <= 1 - limit + 1e-9
-    pairs = open_.join(mine, ["band", "key"]).filter((F.col("root") != F.col("rx")) & close)
-    pairs = pairs.select(
-        F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")
-    ).distinct()
-    found = run.measure(scratch.stage(pairs, "pairs"), sets, "similarities-rest")
-    return run.components(found, components)
+    shared = F.least("shared1", "shared2")
+    wanted = needed * (F.col("n1") + F.col("n2")) - 1e-6
+    distinct = (F.col("root1") != F.col("root2")) & (F.col("b1") > F.col("b2"))
+    # Only texts that share enough with the pivot for the shortest partner come in question.
+    least = parts.groupBy("a").agg(F.min("n").alias("least"))
+    enough = F.col("shared") >= needed * (F.col("n") + F.col("least")) - 1e-6
+    able = parts.join(least, "a").filter(enough)
+    able = scratch.stage(able.drop("least", "outside"), "able")
+    a1, a2 = (
+        able.select("a", *[F.col(c).alias(f"{c}{i}") for c in ("b", "root", "n", "shared")])
+        for i in (1, 2)
+    )
+    by_pivot = a1.join(a2, "a").filter(distinct & (shared >= wanted)).select("b1", "b2")
+    names = ["b", "root", "n", "shared"]
+    rows = [
+        part.select("a", *[f"{c}{i}" for c in names], F.explode(f"outside{i}").alias("shingle"))
+        for i, part in ((1, one), (2, two))
+    ]
+    both = rows[0].join(rows[1], ["a", "shingle"]).filter(distinct)
+    counted = both.groupBy("a", "b1", "b2").agg(
+        F.count("*").alias("common"), F.first("n1").alias("n1"), F.first("n2").alias("n2"),
+        F.first("shared1").alias("shared1"), F.first("shared2").alias("shared2"),
+    )
+    by_outside = counted.filter(F.col("common") + shared >= wanted).select("b1", "b2")
+    pairs = by_pivot.unionByName(by_outside).distinct()
+    return scratch.stage(pairs.select(F.col("b1").alias("a"), F.col("b2").alias("b")), "pairs")
 
 
 def near_duplicates(
