@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import byte_slices, named, text_of
@@ -385,10 +385,6 @@ def _possible_pairs(
     schema = "a long, b long, root long, n long, shared long, outside array<long>"
     parts = scratch.stage(joined.mapInArrow(_outside, schema), "outside")
     needed = limit / (1 + limit)
-    one, two = (
-        parts.select("a", *[F.col(c).alias(f"{c}{i}") for c in ("b", "root", "n", "shared", "outside")])
-        for i in (1, 2)
-    )
     shared = F.least("shared1", "shared2")
     wanted = needed * (F.col("n1") + F.col("n2")) - 1e-6
     distinct = (F.col("root1") != F.col("root2")) & (F.col("b1") > F.col("b2"))
@@ -402,17 +398,24 @@ def _possible_pairs(
         for i in (1, 2)
     )
     by_pivot = a1.join(a2, "a").filter(distinct & (shared >= wanted)).select("b1", "b2")
-    names = ["b", "root", "n", "shared"]
-    rows = [
-        part.select("a", *[f"{c}{i}" for c in names], F.explode(f"outside{i}").alias("shingle"))
-        for i, part in ((1, one), (2, two))
-    ]
-    both = rows[0].join(rows[1], ["a", "shingle"]).filter(distinct)
-    counted = both.groupBy("a", "b1", "b2").agg(
-        F.count("*").alias("common"), F.first("n1").alias("n1"), F.first("n2").alias("n2"),
-        F.first("shared1").alias("shared1"), F.first("shared2").alias("shared2"),
+    # A text that needs k of its m outside shingles in a partner meets it by one of its
+    # m - k + 1 rarest at the latest.
+    k = F.greatest(F.ceil(needed * (F.col("n") + F.col("least")) - 1e-6) - F.col("shared"), F.lit(1))
+    outside = parts.join(least, "a").withColumn("reach", F.size("outside") - k + 1)
+    outside = outside.filter("reach > 0").select(
+        "a", "b", "root", "n", "shared", "reach", F.explode("outside").alias("shingle")
+    )
+    outside = scratch.stage(outside, "outside-shingles")
+    often = outside.groupBy("a", "shingle").agg(F.count("*").alias("often"))
+    rarest = Window.partitionBy("a", "b").orderBy("often", "shingle")
+    ranked = outside.join(often, ["a", "shingle"]).withColumn("place", F.row_number().over(rarest))
+    prefix = scratch.stage(ranked.filter("place <= reach and often > 1"), "rare-shingles")
+    p1, p2 = (
+        prefix.select("a", "shingle", *[F.col(c).alias(f"{c}{i}") for c in ("b", "root")])
+        for i in (1, 2)
     )
-    by_outside = counted.filter(F.col("common") + shared >= wanted).select("b1", "b2")
+    met = p1.join(p2, ["a", "shingle"]).filter(distinct).select("a", "b1", "b2").distinct()
+    by_outside = met.select("b1", "b2")
     pairs = by_pivot.unionByName(by_outside).distinct()
     return scratch.stage(pairs.select(F.col("b1").alias("a"), F.col("b2").alias("b")), "pairs")
 
