@@ -15,6 +15,18 @@ no state; the end mark is the state a text starts in. Counts of words and of pai
 from the whole training text by aggregation. The automaton has a proven size, for at
 most 1 / share words or pairs can have a share. The root has none: words frequent
 enough to be few go to all tasks, all others meet their counts in a join.
+
+``train`` builds that model, whose states do not grow with the text. ``train_grams``
+builds one that does: every word is a state, every n-gram of up to three words seen
+twice or more an arc, and every n-gram that has arcs a state, each with the formula
+above over its next shorter one:
+
+    P(w | u v) = max(c(u, v, w) - D2, 0) / c(u, v) + fail(u v) P(w | v)
+
+The logarithm of the path is a sum of one value for each n-gram on it that the model
+has: what its arc adds to the failure path, and its own failure arc, which the next
+token takes or makes up for. So frequent n-grams go to all tasks, and all others meet
+their values in a join, as rare words do.
 """
 
 from __future__ import annotations
@@ -26,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import SparkContext, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +57,16 @@ ARC_SHARE = 1 / (1 << 20)
 
 PAIR_DISCOUNT = 0.75
 
+# N-grams of the growing model: their greatest length, and how often an arc is seen.
+ORDER = 3
+LEAST_COUNT = 2
+
+# Bits of the filter that spares the join most n-grams the model lacks, as a power of
+# two. Those it lets pass wrongly meet nothing there.
+FILTER_BITS = 28
+
+END_KEY = np.int64(xxhash.xxh64_intdigest(b"\n") - (1 << 64))
+
 _SLICE = 8 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -227,6 +249,60 @@ def _pair_counts(texts: pa.Array, states: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.unique((before[both] << 32) | path[both], return_counts=True)
 
 
+def _joined(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of the n-gram that two n-grams make which share all but a word each."""
+    x = before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.view(np.uint64)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+@dataclass(frozen=True)
+class Grams:
+    """N-grams of one length: at which tokens they end, what they are made of, hashes."""
+
+    at: np.ndarray
+    before: np.ndarray
+    last: np.ndarray
+    key: np.ndarray
+
+
+def grams(texts: pa.Array, order: int) -> tuple[list[Grams], np.ndarray]:
+    """N-grams of all texts by length from 1, and how many words the texts have."""
+    data, ends, words = plain_bytes(texts)
+    hashes, codes = word_codes(data, ends)
+    path, stops = with_end_marks(codes, words, len(hashes))
+    first = np.concatenate([[0], stops[:-1]])[: len(stops)].astype(np.int64)
+    place = np.arange(len(path)) - np.repeat(first, words + 1)
+    keys = np.append(hashes, END_KEY)[path]
+    found = [Grams(np.arange(len(path)), keys, keys, keys)]
+    for length in range(2, order + 1):
+        # A text starts after an end mark, and nothing comes before that.
+        at = np.flatnonzero(place >= length - 2)
+        before = np.where(place[at] > 0, keys[at - 1], END_KEY)
+        longer = np.zeros(len(path), np.int64)
+        longer[at] = _joined(before, keys[at])
+        found.append(Grams(at, before, keys[at], longer[at]))
+        keys = longer
+    return found, words
+
+
+def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter holds keys; sometimes it says so of others."""
+    place = (keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """One bit for each key, in a bounded number of words."""
+    shift = 64 - FILTER_BITS
+    bits = keys.groupBy(F.shiftrightunsigned("key", shift + 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(key, {shift}) & 63))")).alias("b")
+    ).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[np.asarray(bits.column("word"))] = np.asarray(bits.column("b")).view(np.uint64)
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     """The automaton, the counts of all words as a table, and totals with end marks."""
@@ -240,6 +316,26 @@ class Model:
     discount: float
 
 
+@dataclass(frozen=True)
+class GramModel:
+    """Values of all n-grams as a table, those of frequent ones by hash, and totals.
+
+    ``n`` is the count of a word, and null for the end mark and for longer n-grams.
+    ``bits`` is a filter over all of them.
+    """
+
+    keys: np.ndarray
+    counts: np.ndarray
+    values: np.ndarray
+    bits: np.ndarray
+    order: int
+    rare: DataFrame
+    n_texts: int
+    n_tokens: int
+    n_distinct: int
+    discount: float
+
+
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
     """Whether a row is kept from training; a null id is not."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
@@ -302,6 +398,115 @@ def train(docs: DataFrame, *, scratch: Scratch, text_column: str = "text") -> Mo
     return Model(automaton, often, words, n_texts, total, distinct, discount)
 
 
+def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        before, last = (np.asarray(batch.column(c)) for c in ("before", "last"))
+        key = pa.array(_joined(before, last))
+        yield pa.RecordBatch.from_arrays([key, *batch.columns], names=["key", *batch.schema.names])
+
+
+def train_grams(
+    docs: DataFrame, *, scratch: Scratch, text_column: str = "text", order: int = ORDER
+) -> GramModel:
+    """Count all n-grams of ``docs`` up to ``order`` words and give each its value.
+
+    A null text is an empty one, which is an end mark alone.
+    """
+    context = docs.sparkSession.sparkContext
+    texts = docs.select(text_of(text_column).alias("text"))
+    end, n = int(END_KEY), F.col("n")
+
+    def word_keys(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = _word_counts(part)
+        return np.append(keys, END_KEY), np.append(counts, len(part))
+
+    counted = texts.mapInArrow(lambda b: _counted(b, word_keys), "key long, n long")
+    words = scratch.stage(counted.groupBy("key").agg(F.sum("n").alias("n")), "words")
+    is_word = F.col("key") != end
+    once, twice, n_texts = (F.count_if(is_word & (n == 1)), F.count_if(is_word & (n == 2)),
+                            F.sum(F.when(~is_word, n)))
+    total, kinds, n1, n2, n_texts = words.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), once, twice, F.coalesce(n_texts, F.lit(0))
+    ).first()
+    discount = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
+
+    def arcs(length: int, bits) -> DataFrame:
+        """N-grams seen often enough; both their parts are, too."""
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in byte_slices(batch, "text", _SLICE):
+                    found = grams(piece.column("text"), length)[0][-1]
+                    before, last, key = found.before, found.last, found.key
+                    if bits is not None:
+                        both = _may_have(bits.value, before) & _may_have(bits.value, last)
+                        before, last, key = before[both], last[both], key[both]
+                    _, place, times = np.unique(key, return_index=True, return_counts=True)
+                    for at in range(0, len(place), 1 << 16):
+                        some = place[at : at + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(before[some]), pa.array(last[some]),
+                             pa.array(times[at : at + (1 << 16)])],
+                            names=["before", "last", "n"],
+                        )
+
+        found = texts.mapInArrow(count, "before long, last long, n long")
+        found = found.groupBy("before", "last").agg(F.sum("n").alias("n"))
+        found = found.filter(n >= LEAST_COUNT)
+        return scratch.stage(
+            found.mapInArrow(_with_keys, "key long, before long, last long, n long"), "arcs"
+        )
+
+    probability = (n - discount) / max(total, 1)
+    shorter = words.select("key", "n", probability.alias("p"), F.log10(probability).alias("value"))
+    levels, bits = [], None
+    for length in range(2, order + 1):
+        longer = arcs(length, bits)
+        taken = longer.groupBy(F.col("before").alias("key")).agg(
+            F.sum(n - PAIR_DISCOUNT).alias("taken")
+        )
+        # What the arcs of a state leave over is the weight of its failure arc.
+        rest = n - F.coalesce("taken", F.lit(0.0))
+        states = shorter.join(taken, "key", "left").select(
+            "key", "n", "p", rest.alias("rest"), (F.col("value") + F.log10(rest / n)).alias("value")
+        )
+        states = scratch.stage(states, "states")
+        levels.append(states.select("key", "n", "value"))
+        left = states.select(F.col("key").alias("before"), F.col("n").alias("all"), "rest")
+        right = states.select(F.col("key").alias("last"), "p")
+        failed, own = F.col("rest") * F.col("p"), n - PAIR_DISCOUNT
+        shorter = scratch.stage(
+            longer.join(left, "before").join(right, "last").select(
+                "key", "n", ((own + failed) / F.col("all")).alias("p"),
+                F.log10(1 + own / failed).alias("value"),
+            ),
+            "grams",
+        )
+        bits = context.broadcast(_filter(longer)) if length < order else None
+    levels.append(shorter.select("key", "n", "value"))
+
+    rare, often = [], []
+    for level, share in zip(levels, [FREQUENT_SHARE] + [ARC_SHARE] * len(levels)):
+        frequent = n >= max(1, total * share)
+        count = F.when(is_word, n) if not rare else F.lit(None).cast("long")
+        level = level.withColumn("frequent", frequent).withColumn("n", count)
+        often.append(level.filter("frequent").drop("frequent").toArrow())
+        rare.append(level.filter("NOT frequent").drop("frequent"))
+    known = pa.concat_tables(often).sort_by("key")
+    everything = levels[0].select("key")
+    for level in levels[1:]:
+        everything = everything.unionByName(level.select("key"))
+    table = rare[0]
+    for more in rare[1:]:
+        table = table.unionByName(more)
+    return GramModel(
+        np.asarray(known.column("key")).astype(np.int64),
+        np.asarray(pc.fill_null(known.column("n"), -1)).astype(np.int64),
+        np.asarray(known.column("value")).astype(float),
+        _filter(everything), order, table, n_texts, total, kinds, discount,
+    )
+
+
 SCORED = (
     "row long, doc_id long, n_tokens long, n_known long, logs double, path double, "
     "rare array<long>, times array<int>"
@@ -310,7 +515,7 @@ SCORED = (
 
 def score_texts(
     docs: DataFrame,
-    model: Model,
+    model: Model | GramModel,
     *,
     scratch: Scratch,
     id_column: str = "doc_id",
@@ -327,6 +532,9 @@ def score_texts(
         named(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")
     )
     context = docs.sparkSession.sparkContext
+    if isinstance(model, GramModel):
+        scored = rows.mapInArrow(_gram_scorer(model, context), SCORED)
+        return _with_rare(scratch.stage(scored, "scored"), model.rare, model)
     shared = context.broadcast((model.automaton, np.log10(model.frequent_counts + 1.0)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,14 +574,75 @@ def score_texts(
                 row += n
 
     scored = scratch.stage(rows.mapInArrow(score, SCORED), "scored")
+    weight = F.log10((F.col("n") - model.discount) / max(model.n_tokens, 1))
+    return _with_rare(scored, model.words.withColumn("value", weight), model)
+
+
+def _gram_scorer(model: GramModel, context: SparkContext):
+    """Scores of texts by frequent n-grams, and the others that the model may have."""
+    shared = context.broadcast((model.keys, model.counts, model.values, model.bits))
+    order = model.order
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, values, bits = shared.value
+        logs_of = np.log10(np.maximum(counts, 0) + 1.0)
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for piece in byte_slices(batch, "text", _SLICE):
+                n = len(piece)
+                levels, words = grams(piece.column("text"), order)
+                in_text = np.repeat(np.arange(n), words + 1)
+                known, logs, path = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+                owners, others = [], []
+                for found in levels:
+                    some = np.flatnonzero(_may_have(bits, found.key))
+                    key, owner = found.key[some], in_text[found.at[some]]
+                    often = np.zeros(len(key), bool)
+                    if len(keys):
+                        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                        often = keys[place] == key
+                        at, whose = place[often], owner[often]
+                        known += np.bincount(whose[counts[at] >= 0], minlength=n)
+                        logs += np.bincount(whose, logs_of[at], n)
+                        path += np.bincount(whose, values[at], n)
+                    owners.append(owner[~often])
+                    others.append(key[~often])
+                owner, other = np.concatenate(owners), np.concatenate(others)
+                by = np.lexsort((other, owner))
+                owner, other = owner[by], other[by]
+                new = np.ones(len(by), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])
+                new = np.flatnonzero(new)
+                times = np.diff(np.append(new, len(by)))
+                bounds = pa.array(np.searchsorted(owner[new], np.arange(n + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.arange(row, row + n)),
+                        piece.column("doc_id"),
+                        pa.array(words + 1),
+                        pa.array(known),
+                        pa.array(logs),
+                        pa.array(path),
+                        pa.ListArray.from_arrays(bounds, pa.array(other[new])),
+                        pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32())),
+                    ],
+                    names=[f.split()[0] for f in SCORED.split(", ")],
+                )
+                row += n
+
+    return score
+
+
+def _with_rare(scored: DataFrame, table: DataFrame, model: Model | GramModel) -> DataFrame:
+    """Scores with what the words and n-grams outside of tasks add, by row."""
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("z"))
     rare = rare.select("row", F.col("z.rare").alias("key"), F.col("z.times").alias("times"))
     total, kinds, d = model.n_tokens, model.n_distinct, model.discount
     times = F.col("times")
-    met = rare.join(model.words, "key").groupBy("row").agg(
-        F.sum("times").alias("more_known"),
+    met = rare.join(table, "key").groupBy("row").agg(
+        F.sum(F.when(F.col("n").isNotNull(), times)).alias("more_known"),
         F.sum(times * F.log10(F.col("n") + 1)).alias("more_logs"),
-        F.sum(times * F.log10((F.col("n") - d) / max(total, 1))).alias("more_path"),
+        F.sum(times * F.col("value")).alias("more_path"),
     )
     # The end mark is a token as well.
     end_known, end_log = int(model.n_texts > 0), float(np.log10(model.n_texts + 1))

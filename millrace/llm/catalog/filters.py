@@ -174,6 +174,6 @@ def backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     held = backoff.held_out(F.col("doc_id"))
-    model = backoff.train(docs.filter(~held), scratch=scratch)
+    model = backoff.train_grams(docs.filter(~held), scratch=scratch)
     scores = backoff.score_texts(docs, model, scratch=scratch)
     return scores.select("doc_id", held.alias("held_out"), *scores.columns[1:])

@@ -216,9 +216,67 @@ def test_language_model(spark, scratch, monkeypatch, share):
         assert sum(probability(v, w) for w in counts) + probability(v, "unseen!") == pytest.approx(1)
 
 
+@pytest.mark.parametrize("share", [1 / (1 << 20), 0.02])
+def test_language_model_of_all_grams(spark, scratch, monkeypatch, share):
+    """Pairs and triples of rare words count, whether or not tasks hold them."""
+    monkeypatch.setattr(lm, "FREQUENT_SHARE", share)
+    monkeypatch.setattr(lm, "ARC_SHARE", share)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 30) % 500) for _ in range(200)]
+    texts += ["seldom seen words", "seldom seen words here", "", None, "quite new"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm.train_grams(docs.filter("doc_id < 204"), scratch=scratch)
+    got = {r.doc_id: r for r in lm.score_texts(docs, model, scratch=scratch).collect()}
+    counts, follow = Counter(), Counter()
+    for t in texts[:204]:
+        w = [None, *tokens_of(t)]
+        for k in range(1, 4):
+            counts.update(tuple(w[i : i + k]) for i in range(k == 1, len(w) - k + 1))
+    words = {g[0]: c for g, c in counts.items() if len(g) == 1}
+    total = sum(words.values())
+    n1, n2 = (sum(c == k for w, c in words.items() if w is not None) for k in (1, 2))
+    d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
+    taken = Counter()
+    for g, c in counts.items():
+        if len(g) > 1 and c >= 2:
+            taken[g[:-1]] += c - 0.75
+
+    def probability(before, w):
+        if not before:
+            return (words[w] - d) / total if w in words else d * len(words) / total
+        shorter = probability(before[1:], w)
+        if before not in counts:
+            return shorter
+        arc, c = counts[(*before, w)], counts[before]
+        return (max(arc - 0.75, 0) if arc >= 2 else 0) / c + (1 - taken[before] / c) * shorter
+
+    for i, t in enumerate(texts):
+        w = [None, *tokens_of(t)]
+        truth = sum(
+            math.log10(probability(tuple(w[max(k - 2, 0) : k]), w[k])) for k in range(1, len(w))
+        )
+        assert got[i].score == pytest.approx(truth, rel=1e-9)
+        assert got[i].n_known == sum(x in words for x in w[1:])
+    assert counts[("seldom", "seen", "words")] == 2
+    assert sum(probability(("seldom", "seen"), w) for w in words) + probability(
+        ("seldom", "seen"), "unseen!"
+    ) == pytest.approx(1)
+
+
 def test_language_model_of_nothing(spark, scratch):
     empty = spark.createDataFrame([], EMPTY_SCHEMA)
     model = lm.train(empty, scratch=scratch)
     got = lm.score_texts(odd_documents(spark), model, scratch=scratch).collect()
     assert {(r.base_score, r.score, r.n_known) for r in got} == {(0.0, 0.0, 0)}
     assert lm.score_texts(empty, model, scratch=scratch).count() == 0
+
+
+def test_gram_model_of_nothing(spark, scratch):
+    empty = spark.createDataFrame([], EMPTY_SCHEMA)
+    model = lm.train_grams(empty, scratch=scratch)
+    got = lm.score_texts(odd_documents(spark), model, scratch=scratch).collect()
+    assert {(r.base_score, r.score, r.n_known) for r in got} == {(0.0, 0.0, 0)}
+    model = lm.train_grams(odd_documents(spark), scratch=scratch)
+    assert lm.score_texts(empty, model, scratch=scratch).count() == 0
+    odd = odd_documents(spark)
+    assert lm.score_texts(odd, model, scratch=scratch).count() == odd.count()
