@@ -23,6 +23,9 @@ from millrace.llm.mixing import mix_sources
 from millrace.llm.toxicity import fit_toxicity, without_toxic
 from millrace.scratch import Scratch
 
+# Sites that make a line of 50 words or more boilerplate.
+LONG_SITES = 3
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half for toxicity."""
@@ -31,8 +34,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand on many sites."""
-    cleaned = without_boilerplate(docs, scratch=Scratch(spark), min_sites=MIN_SITES)
+    """All documents, without the lines that stand on many sites for their length."""
+    cleaned = without_boilerplate(
+        docs, scratch=Scratch(spark), min_sites=MIN_SITES, long_sites=LONG_SITES, by_chance=True
+    )
     text = F.col("cleaned_text")
     changed = F.col("n_removed") > 0
     n_chars = F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))

@@ -97,6 +97,26 @@ def test_line_spread(spark, scratch, monkeypatch, near):
     assert without_boilerplate(odd, scratch=scratch).count() == odd.count()
 
 
+def test_line_spread_by_length(spark, scratch):
+    """Long lines need few sites; short ones must stand more often than by chance."""
+    rng = np.random.default_rng(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for i in range(400):
+        own = [f"own{i}x{j} " + " ".join(rng.choice(["on", "it", "le"], 5)) for j in range(20)]
+        lines = [*own, rng.choice(["On.", "It.", "Le."])]
+        lines += ["Rights reserved."] * (i % 4 == 0) + [passage] * (i < 3)
+        rows.append((i, "\n".join(lines), f"s{i % 20}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = without_boilerplate(df, scratch=scratch, long_sites=3, by_chance=True, min_sites=5)
+    for r in got.collect():
+        kept = r.cleaned_text.split("\n")
+        assert passage not in kept and "Rights reserved." not in kept
+        assert kept == [x for x in r.text.split("\n") if x not in (passage, "Rights reserved.")]
+    got = without_boilerplate(df, scratch=scratch, long_sites=4, by_chance=True, min_sites=5)
+    assert sum(passage in r.cleaned_text for r in got.collect()) == 3
+
+
 def test_shortages_go_to_siblings_first(spark):
     leaves = spark.createDataFrame(
         [("a", "x", 100), ("a", "y", 1000), ("b", "z", 5000), ("c", "w", 9)],
