@@ -26,6 +26,10 @@ from millrace.scratch import Scratch
 # Sites that make a line of 50 words or more boilerplate.
 LONG_SITES = 3
 
+# Two texts that share a part f of each have a Jaccard similarity of f / (2 - f), which
+# is the 0.8 of near duplicates from here on. Below, no later stage takes anything.
+COPY_SHARE = 8 / 9
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half for toxicity."""
@@ -36,7 +40,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that stand on many sites for their length."""
     cleaned = without_boilerplate(
-        docs, scratch=Scratch(spark), min_sites=MIN_SITES, long_sites=LONG_SITES, by_chance=True
+        docs,
+        scratch=Scratch(spark),
+        min_sites=MIN_SITES,
+        max_share=COPY_SHARE,
+        long_sites=LONG_SITES,
+        by_chance=True,
     )
     text = F.col("cleaned_text")
     changed = F.col("n_removed") > 0

@@ -32,6 +32,24 @@ def test_stages(spark, scratch):
     assert all(0 < r[1] <= 2048 for r in pieces)
 
 
+def test_boilerplate_of_most_of_a_text_goes(spark):
+    """Only texts that near dedup can take as copies stay whole."""
+    shared = " ".join(f"p{i}" for i in range(60))
+    own = {i: " ".join(f"own{i}x{j}" for j in range(n)) for i, n in enumerate([18, 9, 1, 0] * 5)}
+    texts = {i: shared + ("\n" + text if text else "") for i, text in own.items()}
+    rows = [(i, text, "en", f"s{i}", len(text)) for i, text in texts.items()]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    got = {r.doc_id: r for r in corpus_pipeline.drop_boilerplate(spark, docs, SF_DIR).collect()}
+    for i, text in texts.items():
+        # Between half and eight ninths of the characters are shared in the first two kinds.
+        share = len(shared) / (len(shared) + len(own[i]))
+        assert got[i].text == (own[i] if i % 4 < 2 else text)
+        assert (0.5 < share < 8 / 9) == (i % 4 < 2)
+        assert got[i].n_chars == len(got[i].text)
+
+
 def test_nothing(spark):
     docs = spark.createDataFrame([], EMPTY_SCHEMA).drop("kept")
     for _, stage in corpus_pipeline.STAGES:
