@@ -114,7 +114,7 @@ class TokenFile:
         rows = block[:, None] * width + np.arange(width)
         bytes_ = np.where(rows < len(bitmap), bitmap[np.minimum(rows, len(bitmap) - 1)], 0)
         whole = np.arange(width) < ((places % RANK_BLOCK) >> 3)[:, None]
-        inside = np.where(whole, np.bitwise_count(bytes_.astype(np.uint8)), 0).sum(1)
+        inside = np.where(whole, np.bitwise_count(bytes_.astype(np.uint8)), 0).sum(1, dtype=np.int64)
         own = bitmap[places >> 3] & ((1 << (places & 7)) - 1).astype(np.uint8)
         return ranks[block].astype(np.int64) + inside + np.bitwise_count(own)
 

@@ -38,7 +38,7 @@ def cut_lengths(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarr
     """Lengths of all pieces, document by document, and the pieces of each document."""
     shares = []
     size = capacity
-    while size >= max(capacity // SMALLEST_SHARE, 2) and size % 2 == 0:
+    while size // 2 >= max(capacity // SMALLEST_SHARE, 1) and size % 2 == 0:
         size //= 2
         shares.append(size)
     rest = counts % capacity
