@@ -40,7 +40,7 @@ SAMPLE_QUERIES = 256
 TARGET = 0.96
 
 # Buckets visited per table at most; if they do not suffice, buckets become larger.
-MAX_PROBES = 24
+MAX_PROBES = 8
 
 # Perturbed buckets that are put in order for a query, its own included.
 MAX_PERTURBATIONS = 6_561
