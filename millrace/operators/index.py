@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.lookups import HOT_ROWS, join_lookup
@@ -106,92 +106,201 @@ def vector_sources(
     )
 
 
-# Query vectors travel to every task, so one pass takes at most this many numbers.
-PASS_FLOATS = 4_000_000
+# Query vectors that every task may hold at once, as numbers.
+RESIDENT_FLOATS = 4_000_000
 
-# Scores a task holds at a time: a batch is cut into slices of rows accordingly.
+# Queries of a block, and scores a task holds at a time.
+BLOCK_QUERIES = 2_048
 SLICE_SCORES = 8_000_000
 
+# Bytes of vectors that meet a block in one task.
+CELL_BYTES = 256 * 1024 * 1024
+
 # Parts that the winners of all tasks are first reduced in.
 WINNER_PARTS = 64
 
 
 def nearest_vectors(
     vectors: DataFrame,
-    queries: Sequence[tuple[int | str, Sequence[float]]],
+    queries: DataFrame,
     k: int,
     *,
+    scratch: Scratch,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
-    max_floats: int = PASS_FLOATS,
+    query_id_column: str = "query_id",
+    query_vector_column: str = "embedding",
+    resident_floats: int = RESIDENT_FLOATS,
+    block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
-    """Exact cosine top-k of the vectors for each query vector; ties go to the smaller id.
-
-    The vectors stay where they are. Every task scores its batches against the
-    query vectors as one matrix product and keeps k rows per query, so what is
-    shuffled is k rows per query and task, never a pair list. More query vectors
-    than a task should hold take several passes. Ids are whole numbers or texts, as in
-    the frame. Null vectors and scores that are no finite numbers are left out; a zero
-    vector scores 0.
+    """Exact cosine top-k of the vectors for each row of ``queries``; ties go to the smaller id.
+
+    Tasks score batches of vectors against blocks of queries as matrix products and keep
+    a heap of k rows per query, so what they pass on is k rows per query and task, never
+    a list of pairs; heaps are merged in two steps. Queries that are few by count go to
+    all tasks, and the vectors stay where they are. More of them are dealt into blocks,
+    and every block meets every part of the vectors in a task of its own, where the
+    vectors stream past the block; neither side passes through the driver.
+
+    Ids are whole numbers or texts, those of queries unique. Null vectors and scores that
+    are no finite numbers are left out; a zero vector scores 0. All vectors have the same
+    length.
     """
-    per_pass = max(1, max_floats // max(len(queries[0][1]), 1))
-    passes = [
-        _task_winners(vectors, queries[start : start + per_pass], k, id_column, vector_column)
-        for start in range(0, len(queries), per_pass)
-    ]
-    best = [F.desc("score"), F.col("id")]
-    winners = reduce(DataFrame.unionAll, passes)
+    asked = scratch.stage(
+        queries.select(
+            F.col(query_id_column).alias("query_id"), F.col(query_vector_column).alias("v")
+        ).filter("query_id IS NOT NULL AND v IS NOT NULL"),
+        "queries",
+    )
+    found = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).alias("v"))
+    found = found.filter("v IS NOT NULL")
+    facts = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width"))
+    n, width = facts.first()
+    if n * width <= max(resident_floats, 0):
+        winners = _resident_winners(found, asked, k)
+    else:
+        numbers = vectors.count() * width
+        winners = _grid_winners(found, asked, k, -(-n // block_queries), 8 * numbers)
+    winners = winners.withColumn("part", F.spark_partition_id() % WINNER_PARTS)
     for keys in (["query_id", "part"], ["query_id"]):
-        order = Window.partitionBy(*keys).orderBy(*best)
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), "id")
         winners = winners.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return winners.select("query_id", F.col("id").alias(id_column), "score", "rank")
 
 
-def _task_winners(
-    vectors: DataFrame,
-    queries: Sequence[tuple[int | str, Sequence[float]]],
-    k: int,
-    id_column: str,
-    vector_column: str,
-) -> DataFrame:
-    """The k best vectors of each task for each query vector."""
-    ids = np.array([q[0] for q in queries], dtype=object)
-    query_type = "bigint" if all(isinstance(i, int) for i in ids) else "string"
-    block = np.array([q[1] for q in queries], dtype=np.float64)
-    norms = np.linalg.norm(block, axis=1, keepdims=True)
-    block = block / np.where(norms == 0, 1.0, norms)
-    slice_rows = max(1, SLICE_SCORES // len(ids))
-
-    def top(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id", kind="stable")
-        matrix = np.stack(part["v"].to_numpy()).astype(np.float64)
-        length = np.linalg.norm(matrix, axis=1)
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of a matrix; a null component is no number."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(lists), -1)
+
+
+class _Heaps:
+    """The k best vectors so far for each query of a block."""
+
+    def __init__(self, query_ids: pa.Array, matrix: np.ndarray, k: int) -> None:
+        self.query_ids, self.k = query_ids, k
+        self.queries = self._unit(matrix)
+        self.least = np.full(len(matrix), -np.inf)
+        self.best = pd.DataFrame({"query": [], "id": [], "score": []})
+
+    @staticmethod
+    def _unit(matrix: np.ndarray) -> np.ndarray:
+        length = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+        return matrix / np.where(length == 0, 1.0, length)[:, None]
+
+    def offer(self, ids: pa.Array, matrix: np.ndarray) -> None:
+        step = max(1, SLICE_SCORES // max(len(self.queries), 1))
+        for start in range(0, len(matrix), step):
+            self._offer(ids.slice(start, step), self._unit(matrix[start : start + step]))
+
+    def _offer(self, ids: pa.Array, vectors: np.ndarray) -> None:
         with np.errstate(all="ignore"):
-            scores = block @ (matrix / np.where(length == 0, 1.0, length)[:, None]).T
+            scores = self.queries @ vectors.T
+        # The product rounds as its shape has it; what may win is scored once more alone.
         scores = np.where(np.isfinite(scores), scores, -np.inf)
-        # A stable sort leaves equal scores in the order of their ids.
-        places = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(scores, places, axis=1).ravel()
-        query = np.repeat(np.arange(len(ids)), places.shape[1])
-        own = part["id"].to_numpy()[places.ravel()]
-        real = found > -np.inf
-        return pd.DataFrame({"query": query[real], "id": own[real], "score": found[real]})
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
+        least = self.least
+        if scores.shape[1] > self.k:
+            at = scores.shape[1] - self.k
+            least = np.maximum(least, np.partition(scores, at, axis=1)[:, at])
+        i, j = np.nonzero((scores >= (least - 1e-9)[:, None]) & (scores > -np.inf))
+        if not len(i):
+            return
+        new = pd.DataFrame(
+            {
+                "query": i,
+                "id": ids.take(pa.array(j)).to_pandas(),
+                "score": np.einsum("ij,ij->i", self.queries[i], vectors[j]),
+            }
+        )
+        both = pd.concat([self.best, new]) if len(self.best) else new
+        both = both.sort_values(["query", "score", "id"], ascending=[True, False, True])
+        self.best = both.groupby("query").head(self.k)
+        full = self.best.groupby("query")["score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.least[full.index.to_numpy(np.int64)] = full["min"].to_numpy()
+
+    def winners(self) -> Iterator[pa.RecordBatch]:
+        if len(self.best):
+            query = self.query_ids.take(pa.array(self.best["query"].to_numpy(np.int64)))
+            ids = pa.array(self.best["id"].tolist())
+            score = pa.array(self.best["score"].to_numpy(np.float64))
+            yield pa.RecordBatch.from_arrays([query, ids, score], names=["query_id", "id", "score"])
+
+
+def _winner_schema(vectors: DataFrame, queries: DataFrame) -> str:
+    kinds = queries.schema["query_id"].dataType, vectors.schema["id"].dataType
+    return "query_id {}, id {}, score double".format(*[t.simpleString() for t in kinds])
+
+
+def _resident_winners(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Winners of each task for queries that all tasks hold; their size is checked."""
+    asked = queries.toArrow()
+    query_ids = asked.column("query_id").combine_chunks()
+    block = _matrix(asked.column("v").combine_chunks()) if len(query_ids) else np.zeros((0, 1))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heaps = _Heaps(query_ids, block, k)
+        for batch in batches:
+            if batch.num_rows and len(query_ids):
+                heaps.offer(batch.column("id"), _matrix(batch.column("v")))
+        yield from heaps.winners()
+
+    return vectors.mapInArrow(score, _winner_schema(vectors, queries))
+
+
+def _grid_winners(
+    vectors: DataFrame, queries: DataFrame, k: int, blocks: int, n_bytes: int
+) -> DataFrame:
+    """Winners of a grid of tasks, each a block of queries by a part of the vectors.
+
+    In a task the queries of its block come first and the vectors follow, by a sort that
+    spills, so that a task holds one block and one batch of vectors.
+    """
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, n_bytes * blocks // CELL_BYTES)
+    parts = -(-tasks // blocks)
+
+    def dealt(column: str, count: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(count))
+
+    def each(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+
+    left = queries.select(
+        "query_id", "v", dealt("query_id", blocks).alias("block"), each(parts).alias("part")
+    )
+    right = vectors.select("id", "v", dealt("id", parts).alias("part"), each(blocks).alias("block"))
+    both = left.withColumn("side", F.lit(0)).unionByName(
+        right.withColumn("side", F.lit(1)), allowMissingColumns=True
+    )
+    both = both.withColumn("cell", F.col("block") * parts + F.col("part"))
+    both = both.select("cell", "side", "query_id", "id", F.col("v").cast("array<double>").alias("v"))
+    both = both.repartition(blocks * parts, "cell").sortWithinPartitions("cell", "side")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, waiting, heaps = None, [], None
         for batch in batches:
-            batch = batch[batch["v"].notna()]
-            for start in range(0, len(batch), slice_rows):
-                found = top(batch.iloc[start : start + slice_rows])
-                best = found if best is None else pd.concat([best, found])
-                best = best.sort_values(["query", "score", "id"], ascending=[True, False, True])
-                best = best.groupby("query").head(k)
-        if best is not None:
-            best["query_id"] = ids[best["query"].to_numpy()]
-            yield best[["query_id", "id", "score"]]
-
-    id_type = vectors.schema[id_column].dataType.simpleString()
-    found = vectors.select(
-        F.col(id_column).alias("id"), F.col(vector_column).alias("v")
-    ).mapInPandas(score, f"query_id {query_type}, id {id_type}, score double")
-    return found.withColumn("part", F.spark_partition_id() % WINNER_PARTS)
+            cells, sides = batch.column("cell").to_numpy(), batch.column("side").to_numpy()
+            changes = np.flatnonzero((np.diff(cells) != 0) | (np.diff(sides) != 0)) + 1
+            edges = [0, *changes.tolist(), batch.num_rows]
+            for start, end in zip(edges, edges[1:]):
+                run = batch.slice(start, end - start)
+                if end == start:
+                    continue
+                if cells[start] != cell:
+                    if heaps is not None:
+                        yield from heaps.winners()
+                    cell, waiting, heaps = cells[start], [], None
+                if sides[start] == 0:
+                    waiting.append(run)
+                    continue
+                if heaps is None and waiting:
+                    table = pa.Table.from_batches(waiting)
+                    asked = table.column("query_id").combine_chunks()
+                    heaps = _Heaps(asked, _matrix(table.column("v").combine_chunks()), k)
+                if heaps is not None:
+                    heaps.offer(run.column("id"), _matrix(run.column("v")))
+        if heaps is not None:
+            yield from heaps.winners()
+
+    return both.mapInArrow(score, _winner_schema(vectors, queries))

@@ -446,15 +446,36 @@ SELECT CAST(query_id AS BIGINT) AS query_id, vec_id, CAST(rank AS INTEGER) AS ra
 def vector_knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five vectors nearest to the centre of each label."""
     vectors = table(spark, sf_dir, "embeddings")
-    return nearest_vectors(vectors, label_centres(vectors), 5).select("query_id", "vec_id", "rank")
+    found = nearest_vectors(vectors, label_centres(vectors), 5, scratch=Scratch(spark))
+    return found.select("query_id", "vec_id", "rank")
 
 
-def label_centres(vectors: DataFrame) -> list[tuple[int, list[float]]]:
+def label_centres(vectors: DataFrame) -> DataFrame:
     """Mean vector of each label: the stated query set, one row per label."""
     width = vectors.agg(F.max(F.size("embedding"))).first()[0]
     means = [F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(width)]
-    centres = vectors.groupBy("label").agg(F.array(*means).alias("centre"))
-    return [(r["label"], r["centre"]) for r in centres.collect()]
+    query_id = F.col("label").cast("long").alias("query_id")
+    return vectors.groupBy(query_id).agg(F.array(*means).alias("embedding"))
+
+
+@query(
+    "vector_knn_blocks",
+    """
+WITH scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id
+           ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS rank
+  FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0)
+SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM scored WHERE rank <= 3
+""",
+)
+def vector_knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors of every tenth one; queries in blocks meet the vectors in parts."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = nearest_vectors(
+        vectors, queries, 3, scratch=Scratch(spark), resident_floats=0, block_queries=64
+    )
+    return found.select("query_id", "vec_id", "rank")
 
 
 @query(
@@ -480,5 +501,7 @@ def vector_knn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("chunk-"), "vec_id").alias("chunk_id"),
         F.when(F.col("label") == 0, broken).otherwise(F.col("embedding")).alias("embedding"),
     )
-    nearest = nearest_vectors(chunks, label_centres(vectors), 3, id_column="chunk_id")
+    nearest = nearest_vectors(
+        chunks, label_centres(vectors), 3, scratch=Scratch(spark), id_column="chunk_id"
+    )
     return nearest.select("query_id", "chunk_id", "rank")

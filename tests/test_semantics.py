@@ -188,22 +188,50 @@ def test_vectors(spark, scratch, no_broadcast, rows):
     )
 
 
-def test_nearest_vectors_match_brute_force(spark, rows):
+@pytest.mark.parametrize("resident, block", [(1000, 2048), (0, 2048), (0, 1)])
+def test_nearest_vectors_match_brute_force(spark, scratch, rows, monkeypatch, resident, block):
     rng = np.random.default_rng(1)
     data = rng.normal(size=(300, 8))
     data[17] = data[4]  # a tie
     data[9] = 0
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
-    df = df.unionByName(spark.createDataFrame([(999, None)], df.schema)).repartition(6)
-    queries = [(7, data[4].tolist()), (8, rng.normal(size=8).tolist())]
+    odd = [(999, None), (998, [None] * 8), (997, [float("inf")] * 8)]
+    df = df.unionByName(spark.createDataFrame(odd, df.schema)).repartition(6)
+    asked = [("a", data[4].tolist()), ("b", rng.normal(size=8).tolist()), ("c", [0.0] * 8)]
+    queries = spark.createDataFrame([*asked, ("d", None)], "query_id string, embedding array<double>")
     expected = []
-    for qid, q in queries:
+    for qid, q in asked:
         q = np.array(q)
-        norms = np.linalg.norm(data, axis=1)
-        score = data @ q / np.where(norms == 0, 1, norms) / np.linalg.norm(q)
+        lengths = np.linalg.norm(data, axis=1) * np.linalg.norm(q)
+        score = data @ q / np.where(lengths == 0, 1, lengths)
         order = sorted(range(300), key=lambda i: (-round(score[i], 12), i))[:5]
         expected += [(qid, i, r + 1) for r, i in enumerate(order)]
-    for max_floats in (1000, 8):
-        nearest = nearest_vectors(df, queries, 5, max_floats=max_floats)
-        assert rows(nearest.select("query_id", "vec_id", "rank")) == sorted(expected, key=repr)
-    assert nearest_vectors(df, queries, 1000).count() == 600
+
+    def nearest(k):
+        found = nearest_vectors(
+            df, queries, k, scratch=scratch, resident_floats=resident, block_queries=block
+        )
+        return found.select("query_id", "vec_id", "rank")
+
+    assert rows(nearest(5)) == sorted(expected, key=repr)
+    assert nearest(1000).count() == 900
+
+
+def test_nearest_vectors_of_nothing(spark, scratch):
+    schema = "query_id long, embedding array<float>"
+    none = spark.createDataFrame([], schema)
+    some = spark.createDataFrame([(1, [1.0, 0.0])], schema)
+    vectors = some.withColumnRenamed("query_id", "vec_id")
+    for resident in (0, 1000):
+        for v, q in ((vectors, none), (vectors.limit(0), some)):
+            assert nearest_vectors(v, q, 3, scratch=scratch, resident_floats=resident).count() == 0
+
+
+def test_a_block_meets_its_vectors_in_one_task(spark, scratch):
+    """The plan of many queries: no driver, no broadcast, one exchange before the heaps."""
+    vectors = spark.range(400).selectExpr("id AS vec_id", "array(cos(id), sin(id)) AS embedding")
+    queries = vectors.selectExpr("vec_id AS query_id", "embedding")
+    found = nearest_vectors(vectors, queries, 1, scratch=scratch, resident_floats=0, block_queries=50)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "RepartitionByExpression" in plan
+    assert found.filter("query_id = vec_id").count() == 400
