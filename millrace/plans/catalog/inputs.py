@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.shape import relaxed_union, with_provenance
 from millrace.plans.catalog.registry import query, table
+from millrace.plans.inputs import file_source
 from millrace.scratch import Scratch
 from millrace.sources.files import (
     group_by_day,
@@ -218,3 +219,39 @@ def stored_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.append_rows("orders", table(spark, sf_dir, "orders"), "o_orderstatus")
     found = store.read("orders").filter(F.col("o_orderstatus") == "F")
     return found.select("o_orderkey", "o_totalprice")
+
+
+@query(
+    "file_schema_drift",
+    """
+SELECT 'parquet' AS format, CASE WHEN o_orderstatus = 'P' THEN 'K' ELSE '' END || CAST(o_orderkey AS VARCHAR) AS key,
+       CASE WHEN o_orderstatus <> 'O' THEN o_totalprice END AS price, o_orderpriority AS priority
+FROM orders
+UNION ALL
+SELECT 'csv', CASE WHEN o_orderstatus = 'P' THEN 'K' ELSE '' END || CAST(o_orderkey AS VARCHAR),
+       CASE WHEN o_orderstatus <> 'O' THEN o_totalprice END, o_orderpriority FROM orders
+""",
+)
+def file_schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a source that lack a column, have them in another order, or of another type."""
+    scratch = Scratch(spark)
+    orders = table(spark, sf_dir, "orders")
+    key, price = F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price")
+    priority = F.col("o_orderpriority").alias("priority")
+    layouts = {
+        "F": [key, price, priority],
+        "O": [priority, key],
+        "P": [price, F.concat(F.lit("K"), F.col("o_orderkey").cast("string")).alias("key"), priority],
+    }
+    frames = []
+    for name in ("parquet", "csv"):
+        root = scratch.path(name)
+        for status, columns in layouts.items():
+            rows = orders.filter(F.col("o_orderstatus") == status).select(*columns)
+            rows.write.option("header", "true").format(name).save(f"{root}/{status}")
+        source = file_source("orders", root, name, recursive=True, include=[f"*.{name}"])
+        (read,) = source.read(spark)
+        frames.append(
+            read.select(F.lit(name).alias("format"), "key", F.col("price").cast("double"), "priority")
+        )
+    return frames[0].unionByName(frames[1])

@@ -16,12 +16,12 @@ from millrace.scratch import Scratch
 from millrace.sources.files import (
     list_files,
     loadable,
-    metadata_path,
     select_all,
     skip_known,
     with_content_hash,
 )
 from millrace.sources.scan import query, scan, with_file_hash
+from millrace.sources.schemas import file_columns, fold_schemas
 from millrace.sources.sqlite import sqlite_query
 from millrace.spec import SOURCE_FILE
 
@@ -34,65 +34,57 @@ def chosen_files(
     select: Callable[[DataFrame], DataFrame],
     known: DataFrame | None,
     **listing: Any,
-) -> tuple[DataFrame, list[str]]:
-    """Selected files with their hashes, and their paths.
+) -> DataFrame:
+    """Selected files with their hashes.
 
     Selection sees names, sizes and times; only what it leaves is read for its
     hash. ``known`` holds a ``content_hash`` column: files with these are skipped.
-    The paths go to Spark's reader, which holds them on the driver in any case.
     """
     files = with_content_hash(select(list_files(spark, root, **listing)))
     if known is not None:
         files = skip_known(files, known)
-    files = scratch.stage(files, "selected-files")
-    return files, [r["path"] for r in files.select("path").toLocalIterator()]
-
-
-def _columns_of(
-    spark: SparkSession, paths: Sequence[str], file_format: str, options: Mapping[str, Any]
-) -> dict[str, str]:
-    """What decides whether files can share a scan: the header line of delimited files,
-    the columns of others. Found in tasks; a file without content has no entry."""
-    if file_format == "csv":
-        lines = spark.read.option("wholetext", "false").text([loadable(p) for p in paths])
-        lines = lines.select(
-            metadata_path(F.col("_metadata.file_path")).alias("path"),
-            F.col("_metadata.file_block_start").alias("at"),
-            F.monotonically_increasing_id().alias("row"),
-            "value",
-        )
-        first = lines.groupBy("path").agg(F.min_by("value", F.struct("at", "row")).alias("head"))
-        if options.get("header_row") is False:
-            first = first.withColumn("head", F.lit(""))
-        return {r["path"]: r["head"] for r in first.collect()}
-    found = {}
-    for path in paths:
-        reader = spark.read.format(file_format)
-        found[path] = reader.load(loadable(path)).schema.json()
-    return found
+    return scratch.stage(files, "selected-files")
 
 
 def scan_alike(
-    spark: SparkSession,
-    paths: Sequence[str],
+    files: DataFrame,
     file_format: str,
     *,
+    scratch: Scratch,
     schema: T.StructType | str | None = None,
     **options: Any,
 ) -> DataFrame:
     """Rows of files whose columns may differ in order, number and type.
 
-    With a schema, or for JSON, whose records name their fields, all files are one scan.
+    ``files`` has their paths in ``path``. With a schema, or for JSON, whose records name
+    their fields, all files are one scan. Otherwise tasks look at headers and footers,
+    and only distinct schemas come to the driver: delimited files with the same header
+    are one scan, other files are one scan as long as no column has two types. Scans
+    are united by name, files without content are left out.
     """
+    spark = files.sparkSession
     if schema is not None or file_format == "json":
-        loaded = [loadable(p) for p in paths]
-        return scan(spark, loaded, file_format, schema=schema, **options)
-    groups: dict[str, list[str]] = {}
-    for path, columns in _columns_of(spark, paths, file_format, options).items():
-        groups.setdefault(columns, []).append(loadable(path))
-    frames = [scan(spark, group, file_format, **options) for group in groups.values()]
-    if not frames:
+        paths = [loadable(r["path"]) for r in files.select("path").toLocalIterator()]
+        return scan(spark, paths, file_format, schema=schema, **options)
+    found = file_columns(files, file_format, scratch=scratch, options=options)
+    found = scratch.stage(found, "file-columns")
+    kinds = found.groupBy("columns").agg(F.min("path").alias("first")).orderBy("first").collect()
+    if not kinds:
         return spark.createDataFrame([], T.StructType([T.StructField(SOURCE_FILE, T.StringType())]))
+    number = {r["columns"]: i for i, r in enumerate(kinds)}
+    paths: list[list[str]] = [[] for _ in kinds]
+    # Spark's reader holds the paths of a scan on the driver in any case.
+    for r in found.collect():
+        paths[number[r["columns"]]].append(loadable(r["path"]))
+    if file_format == "csv":
+        return relaxed_union([scan(spark, group, file_format, **options) for group in paths])
+    frames = []
+    for members in fold_schemas([r["columns"] for r in kinds]):
+        firsts = [loadable(kinds[i]["first"]) for i in members]
+        reader = spark.read.format(file_format).options(**(options.get("options") or {}))
+        united = reader.option("mergeSchema", "true").load(firsts).schema
+        group = [path for i in members for path in paths[i]]
+        frames.append(scan(spark, group, file_format, schema=united, **options))
     return relaxed_union(frames)
 
 
@@ -121,7 +113,7 @@ def file_source(
 
     def read(spark: SparkSession) -> list[DataFrame]:
         scratch = Scratch(spark)
-        files, paths = chosen_files(
+        files = chosen_files(
             spark,
             scratch,
             root,
@@ -132,9 +124,11 @@ def file_source(
             include=include,
             exclude=exclude,
         )
-        if not paths:
+        if files.isEmpty():
             return []
-        rows = scan_alike(spark, paths, file_format, schema=schema, **(read_options or {}))
+        rows = scan_alike(
+            files, file_format, scratch=scratch, schema=schema, **(read_options or {})
+        )
         if sql is not None:
             rows = query(spark, sql, {"source": rows})
         return [with_file_hash(rows, files, scratch=scratch)]
@@ -165,7 +159,7 @@ def sqlite_source(
 
     def read(spark: SparkSession) -> list[DataFrame]:
         scratch = Scratch(spark)
-        files, paths = chosen_files(
+        files = chosen_files(
             spark,
             scratch,
             root,
@@ -176,6 +170,7 @@ def sqlite_source(
             include=include,
             exclude=exclude,
         )
+        paths = [r["path"] for r in files.select("path").toLocalIterator()]
         if not paths:
             return []
 

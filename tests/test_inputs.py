@@ -1,14 +1,19 @@
 import fnmatch
 import hashlib
+import io
 import os
 import sqlite3
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.plans.inputs import file_source
+from millrace.plans.inputs import file_source, scan_alike
 from millrace.sources import files as f
+from millrace.sources import schemas
 from millrace.sources.scan import query, scan, with_file_hash
+from millrace.sources.schemas import file_columns, fold_schemas
 from millrace.sources.sqlite import sqlite_query
 
 
@@ -230,3 +235,53 @@ def test_mixed_files_are_united(spark, tmp_path, rows):
         "s", str(tmp_path / "p"), "parquet", recursive=True, include=["part-*.parquet"]
     ).read(spark)
     assert rows(read.select("id", "name", "more")) == [("1", "a", None), ("k", None, 2)]
+
+
+def test_schemas_are_found_in_tasks(spark, scratch, tmp_path, rows):
+    """Layouts of many files in a fixed number of jobs, and in as few scans as types allow."""
+    layouts = [
+        pa.table({"id": [1], "name": ["a"]}),
+        pa.table({"name": ["b"], "id": [2]}),
+        pa.table({"id": [3], "more": [0.5]}),
+        pa.table({"id": ["x"], "name": ["c"]}),
+        pa.table({"id": pa.array([4], pa.int32()), "deep": [{"a": 1, "b": [1, 2]}]}),
+    ]
+    for i in range(40):
+        pq.write_table(layouts[i % 5], tmp_path / f"{i:02d}.parquet")
+    (tmp_path / "none.parquet").write_bytes(b"")
+    files = f.list_files(spark, str(tmp_path))
+    found = file_columns(files, "parquet", scratch=scratch)
+    kinds = sorted({r["columns"] for r in found.collect()})
+    assert found.count() == 40 and len(kinds) == 4
+    assert [len(members) for members in fold_schemas(kinds)].count(1) >= 1
+
+    spark.sparkContext.setJobGroup("drift", "schemas of many files")
+    read = scan_alike(files, "parquet", scratch=scratch)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("drift")) < 20
+    assert read.count() == 40 and dict(read.dtypes)["id"] == "string"
+    assert rows(read.filter("more IS NOT NULL").select("id", "name", "more").distinct()) == [("3", None, 0.5)]
+    assert read.filter("deep.a = 1").count() == 8
+
+
+def test_schemas_in_a_store_that_arrow_cannot_open(spark, scratch, tmp_path, rows, monkeypatch):
+    for i, text in enumerate(["id,name\n1,Ann\n", "\r\n﻿name,id\r\nBob,2\r\n", "", "id,name\n3,Cy\n"]):
+        (tmp_path / f"{i}.csv").write_text(text, newline="", encoding="utf-8")
+    files = f.list_files(spark, str(tmp_path))
+    want = [("0.csv", "id,name"), ("1.csv", "name,id"), ("3.csv", "id,name")]
+    for closed in (False, True):
+        # A path with a scheme unknown to Arrow; Spark resolves it as a local one.
+        named = files.withColumn("path", F.concat(F.lit("viewfs:"), "path")) if closed else files
+        if closed:
+            monkeypatch.setattr(schemas, "loadable", lambda path: path.removeprefix("viewfs:"))
+        found = file_columns(named, "csv", scratch=scratch)
+        got = found.select(F.substring_index("path", "/", -1), "columns")
+        assert rows(got) == want
+
+
+@pytest.mark.parametrize("text, line", [
+    (b"", None), (b"\n \n", None), (b"a;b", "a;b"), (b"\n\na,b\r\nc,d\n", "a,b"),
+    (b"x" * 200_000 + b"\nrest", "x" * 200_000),
+])
+def test_header_lines(text, line):
+    assert schemas.header_line(io.BytesIO(text), "utf-8") == line
