@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import with_record_hash
 from millrace.operators.audit import run_records
 from millrace.operators.derive import Transform
+from millrace.operators.maintain import GroupStates
 from millrace.operators.merge import changed_rows, key_collisions, merge_counts, merge_rows
 from millrace.operators.quality import quarantined
 from millrace.operators.shape import clean, target_projection
@@ -342,6 +345,46 @@ def incremental_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("segments").drop("_record_hash")
 
 
+MAINTAINED_SEGMENTS = GroupStates(
+    ("segment",),
+    count="customer_count",
+    sums={"total_balance": "balance"},
+    means={"avg_nation": "nation"},
+)
+
+
+@query(
+    "maintained_derived",
+    REVISED_SQL
+    + """
+SELECT segment, count(*) AS customer_count, CAST(sum(balance) AS BIGINT) AS total_balance,
+       CAST(trunc(avg(nation)) AS BIGINT) AS avg_nation
+FROM clients WHERE id LIKE 'S%' OR CAST(id AS BIGINT) % 7 > 0 GROUP BY segment
+""",
+)
+def maintained_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment statistics kept up to date from the buckets that later batches touch.
+
+    The first run brings six sevenths of the clients, the second the revised ones of
+    one nation and the new ones, each to one of many buckets.
+    """
+    spec = replace(CLIENTS, buckets=64)
+    store = new_store(spark)
+    there = F.col("id").startswith("S") | (F.try_to_number("id", F.lit("999999999999")) % 7 > 0)
+    revised = revised_clients(spark, sf_dir).filter(there)
+    changed = revised.filter(F.col("id").startswith("S") | (F.col("nation") == "3"))
+    for run, rows in (("run-1", raw_clients(spark, sf_dir).filter(there)), ("run-2", changed)):
+        source = Source("crm", lambda spark, rows=rows: rows)
+        run_project(
+            store,
+            project_id="clients",
+            canonical=[CanonicalTable(spec, (source,), before_validation=(Transform(clean_clients),))],
+            derived=[DerivedTable(SEGMENTS, maintained=MAINTAINED_SEGMENTS)],
+            run_id=run,
+        )
+    return store.read("segments").drop("_record_hash")
+
+
 @query(
     "incremental_index",
     REVISED_SQL

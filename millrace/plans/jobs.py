@@ -16,6 +16,7 @@ from millrace.operators.derive import Transform, run_chain
 from millrace.operators.documents import can_fail, chunk_documents, project_documents
 from millrace.operators.index import index_rows
 from millrace.operators.lookups import HOT_ROWS
+from millrace.operators.maintain import GroupStates
 from millrace.operators.merge import orphan_keys
 from millrace.operators.quality import (
     ERROR_FLAG,
@@ -43,6 +44,9 @@ from millrace.spec import DocumentSpec, TableSpec, gate_errors, schema_gate
 
 log = logging.getLogger(__name__)
 
+# What the name of a maintained table's states ends in.
+STATES = "__states"
+
 # Names of the system tables and wording of failed steps.
 QUARANTINE_TABLE = "etl_dlq"
 LINEAGE_TABLE = "etl_lineage"
@@ -89,13 +93,22 @@ class CanonicalTable:
 class DerivedTable:
     """``build`` makes the table out of the tables it depends on.
 
-    ``before_build`` is applied to each of these tables.
+    ``before_build`` is applied to each of these tables. With ``maintained`` in place of
+    ``build``, the table is made of group states of the one table it depends on, which
+    are kept up to date from what changed in that table.
     """
 
     spec: TableSpec
-    build: Callable[[Mapping[str, DataFrame]], DataFrame]
+    build: Callable[[Mapping[str, DataFrame]], DataFrame] | None = None
     before_build: tuple[Transform, ...] = ()
     after_build: tuple[Transform, ...] = ()
+    maintained: GroupStates | None = None
+
+    def __post_init__(self) -> None:
+        if (self.build is None) == (self.maintained is None):
+            raise ValueError("A derived table is either built or maintained.")
+        if self.maintained and len(self.spec.depends_on) != 1:
+            raise ValueError("A maintained table depends on one table.")
 
 
 @dataclass
@@ -219,6 +232,34 @@ def load_canonical(
     return result
 
 
+def maintained_states(store: TableStore, table: DerivedTable) -> DataFrame:
+    """Group states of the table's source, brought up to its present version.
+
+    Folders that came or went since the version of the stored states are all that is
+    read; where that is impossible or no less than the whole, states are made anew. A
+    run that was lost before it noted the version is made up for in the same way.
+    """
+    (source,) = table.spec.depends_on
+    name = f"{table.spec.name}{STATES}"
+    version = store.version(source)
+    stored = store.read(name) if store.exists(name) else None
+    since = stored.agg(F.max("_version")).first()[0] if stored is not None else None
+    if stored is not None and since == version:
+        return stored.drop("_version")
+    changes = store.changes(source, since) if since else None
+    if changes is None:
+        rows = run_chain(store.read(source), table.before_build)
+        states = table.maintained.states(rows)
+    else:
+        states = table.maintained.merged(
+            stored.drop("_version"),
+            table.maintained.states(run_chain(changes, table.before_build), sign="_sign"),
+        )
+    # States and version are one commit: neither is ever seen without the other.
+    store.rewrite(name, states.withColumn("_version", F.lit(version)))
+    return store.read(name).drop("_version")
+
+
 def load_derived(
     store: TableStore, table: DerivedTable, *, scratch: Scratch, lineage: audit.LineageLog
 ) -> TableResult:
@@ -229,8 +270,11 @@ def load_derived(
     """
     spec = table.spec
     result = TableResult(spec.name, spec.kind)
-    inputs = {name: run_chain(store.read(name), table.before_build) for name in spec.depends_on}
-    built = table.build(inputs)
+    if table.maintained:
+        built = table.maintained.finish(maintained_states(store, table))
+    else:
+        inputs = {n: run_chain(store.read(n), table.before_build) for n in spec.depends_on}
+        built = table.build(inputs)
     if built is None:
         result.error = f"Build of derived table '{spec.name}' gave no frame."
         return result

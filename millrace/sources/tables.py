@@ -131,6 +131,40 @@ class TableStore:
         except ValueError:
             return None
 
+    def version(self, name: str) -> int:
+        """Number of the newest commit that says something; 0 without a table."""
+        attempts = self._children(f"{self.root}/{name}/commits")
+        for attempt in reversed(attempts):
+            if self._content(f"{self.root}/{name}/commits/{attempt}"):
+                return int(attempt.removeprefix("v="))
+        return 0
+
+    def changes(self, name: str, since: int) -> DataFrame | None:
+        """What differs from an earlier version, as rows with a ``_sign``.
+
+        Rows of folders that came have 1, those of folders that went have -1; a row
+        that stayed but was written anew has both and cancels out. None where the
+        earlier version cannot be compared: it never was, has other columns, its folders
+        are deleted, or the folders to read are no fewer than those of the table.
+        """
+        then = self._content(f"{self.root}/{name}/commits/v={since:012d}") if since else None
+        now = self._commit(name)
+        if then is None or T.StructType.fromJson(then["schema"]) != now.schema:
+            return None
+        came = sorted(set(now.folders) - set(then["folders"]))
+        gone = sorted(set(then["folders"]) - set(now.folders))
+        if (came or gone) and len(came) + len(gone) >= len(now.folders):
+            return None
+        for folder in gone:
+            path, fs = self._file_system(f"{self.root}/{name}/data/{folder}")
+            if not fs.exists(path):
+                return None
+        signed = [
+            self._read(name, now.schema, folders).withColumn("_sign", F.lit(sign))
+            for folders, sign in ((came, 1), (gone, -1))
+        ]
+        return signed[0].unionByName(signed[1])
+
     def exists(self, name: str) -> bool:
         return self._commit(name).schema is not None
 
