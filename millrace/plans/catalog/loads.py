@@ -271,7 +271,9 @@ def clean_clients(df: DataFrame) -> DataFrame:
     )
 
 
-def run_clients(store: TableStore, rows: DataFrame, run_id: str, *, index: bool = True):
+def run_clients(
+    store: TableStore, rows: DataFrame, run_id: str, *, index: bool = True, documents=None
+):
     return run_project(
         store,
         project_id="clients",
@@ -283,7 +285,7 @@ def run_clients(store: TableStore, rows: DataFrame, run_id: str, *, index: bool
             )
         ],
         derived=[DerivedTable(SEGMENTS, lambda frames: segment_stats(frames["clients"]))],
-        documents=[CLIENT_DOCUMENTS, SEGMENT_DOCUMENTS] if index else [],
+        documents=(documents or [CLIENT_DOCUMENTS, SEGMENT_DOCUMENTS]) if index else [],
         run_id=run_id,
     )
 
@@ -385,8 +387,8 @@ def maintained_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("segments").drop("_record_hash")
 
 
-@query(
-    "incremental_index",
+# Chunks of the revised clients and their segments.
+INCREMENTAL_INDEX_SQL = (
     REVISED_SQL
     + """
 , docs AS (
@@ -400,10 +402,13 @@ def maintained_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
            || CAST(CAST(sum(balance) AS BIGINT) AS VARCHAR) || '.'
   FROM clients GROUP BY segment)
 SELECT semantic_id, source_pk, title, CAST(p // step AS INTEGER) AS chunk_index,
-       substr(body, p + 1, size) AS chunk_text, 'run-2' AS run_id
+       substr(body, p + 1, size) AS chunk_text
 FROM (SELECT *, unnest(generate_series(CAST(0 AS BIGINT), length(body) - 1, step)) AS p FROM docs)
-""",
+"""
 )
+
+
+@query("incremental_index", f"SELECT *, 'run-2' AS run_id FROM ({INCREMENTAL_INDEX_SQL})")
 def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = new_store(spark)
     run_clients(store, raw_clients(spark, sf_dir), "run-1")
@@ -413,6 +418,18 @@ def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("incremental_index_buckets", INCREMENTAL_INDEX_SQL)
+def incremental_index_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same index with only those buckets written whose documents changed."""
+    store = new_store(spark)
+    documents = [replace(d, index_buckets=16) for d in (CLIENT_DOCUMENTS, SEGMENT_DOCUMENTS)]
+    run_clients(store, raw_clients(spark, sf_dir), "run-1", documents=documents)
+    run_clients(store, revised_clients(spark, sf_dir), "run-2", documents=documents)
+    return store.read("etl_semantic_index").select(
+        "semantic_id", "source_pk", "title", "chunk_index", "chunk_text"
+    )
+
+
 @query(
     "load_results",
     """

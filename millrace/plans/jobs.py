@@ -39,11 +39,17 @@ from millrace.operators.shape import (
     where_equal,
 )
 from millrace.scratch import Scratch
-from millrace.sources.tables import LoadResult, TableStore
+from millrace.sources.tables import BUCKET, LoadResult, TableStore
 from millrace.spec import DocumentSpec, TableSpec, gate_errors, schema_gate
 
 log = logging.getLogger(__name__)
 
+# The state of each index bucket when it was written.
+INDEX_DIGESTS = "etl_index_digests"
+DIGEST_SCHEMA = (
+    "semantic_id string, _bucket int, documents long, low string, high string, folder string"
+)
+
 # What the name of a maintained table's states ends in.
 STATES = "__states"
 
@@ -310,7 +316,8 @@ def load_index(
     """Project, chunk and index the rows of one table.
 
     Rows become chunks in one pass that ends in the write: nothing is shuffled.
-    The new chunks become the whole content of the semantic id's partition.
+    The new chunks become the whole content of the semantic id's partition; with
+    ``index_buckets`` only buckets with changed documents are chunked and written.
     Nothing projected is an error that leaves the stored chunks alone, unless
     ``allow_empty``. Set ``unique_rows`` to False for a table without a key,
     whose equal rows would give equal documents.
@@ -322,10 +329,13 @@ def load_index(
         result.failed_rows = failures.count()
     if not unique_rows and spec.id_strategy == "deterministic_hash":
         documents = documents.distinct()
-    chunks = chunk_documents(documents, size=spec.chunk_size, overlap=spec.chunk_overlap)
-    written = store.replace_partition(
-        INDEX_TABLE, index_rows(chunks, run_id), "semantic_id", spec.semantic_id
-    )
+    if spec.index_buckets:
+        written = _index_changed(store, spec, documents, run_id)
+    else:
+        chunks = chunk_documents(documents, size=spec.chunk_size, overlap=spec.chunk_overlap)
+        written = store.replace_partition(
+            INDEX_TABLE, index_rows(chunks, run_id), "semantic_id", spec.semantic_id
+        )
     if not written:
         if allow_empty and result.failed_rows == 0:
             store.drop_partition(INDEX_TABLE, spec.semantic_id)
@@ -339,6 +349,56 @@ def load_index(
     return result
 
 
+def _index_changed(
+    store: TableStore, spec: DocumentSpec, documents: DataFrame, run_id: str
+) -> bool:
+    """Write the index buckets whose documents changed; says whether there are documents.
+
+    A document belongs to the bucket of its source key. Sums of hashes over the documents
+    of a bucket tell whether it is as it was when its folder was written; such buckets
+    are neither chunked nor written, and their chunks keep the run that wrote them. The
+    digests are stored after the index: where a run is lost in between, or a folder is
+    no longer live, its bucket is written again.
+    """
+    bucket = F.pmod(F.xxhash64(F.coalesce("source_pk", "doc_id")), F.lit(spec.index_buckets))
+    bucketed = documents.withColumn(BUCKET, bucket.cast("int"))
+    content = [F.col(c) for c in ("doc_id", "source_pk", "title", "body", "metadata", "tags")]
+    shape = [F.lit(spec.chunk_size), F.lit(spec.chunk_overlap), F.lit(spec.index_buckets)]
+    sums = [
+        F.sum(F.xxhash64(F.lit(seed), *shape, *content).cast("decimal(38,0)")).cast("string").alias(name)
+        for seed, name in ((1, "low"), (2, "high"))
+    ]
+    digests = bucketed.groupBy(BUCKET).agg(F.count("*").alias("documents"), *sums).collect()
+    if not digests:
+        return False
+    live = set(store.partition_folders(INDEX_TABLE, spec.semantic_id))
+    known = {}
+    if store.exists(INDEX_DIGESTS):
+        stored = where_equal(store.read(INDEX_DIGESTS), semantic_id=spec.semantic_id)
+        known = {r[BUCKET]: r for r in stored.collect() if r["folder"] in live}
+    same = {
+        r[BUCKET]: known[r[BUCKET]]["folder"]
+        for r in digests
+        if r[BUCKET] in known and all(known[r[BUCKET]][c] == r[c] for c in ("documents", "low", "high"))
+    }
+    gone = live - set(same.values())
+    changed = [r[BUCKET] for r in digests if r[BUCKET] not in same]
+    if not changed and not gone:
+        return True
+    if same:
+        bucketed = bucketed.filter(F.col(BUCKET).isin(changed))
+    chunks = chunk_documents(bucketed, size=spec.chunk_size, overlap=spec.chunk_overlap)
+    bucket = F.pmod(F.xxhash64(F.coalesce("source_pk", "doc_id")), F.lit(spec.index_buckets))
+    rows = index_rows(chunks, run_id).withColumn(BUCKET, bucket.cast("int"))
+    folders = same | store.replace_buckets(INDEX_TABLE, rows, "semantic_id", gone)
+    noted = [
+        (spec.semantic_id, r[BUCKET], r["documents"], r["low"], r["high"], folders[r[BUCKET]])
+        for r in digests
+    ]
+    frame = store.spark.createDataFrame(noted, DIGEST_SCHEMA)
+    return store.replace_partition(INDEX_DIGESTS, frame, "semantic_id", spec.semantic_id)
+
+
 def _source_ids(table: CanonicalTable) -> str:
     return ",".join(s.source_id for s in table.sources)
 

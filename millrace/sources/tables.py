@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from urllib.parse import unquote
 from uuid import uuid4
 
@@ -179,12 +180,16 @@ class TableStore:
         if not folders:
             return self.spark.createDataFrame([], schema)
         base = f"{self.root}/{name}/data"
-        return (
-            self.spark.read.schema(schema)
-            .option("basePath", base)
-            .parquet(*[f"{base}/{f}" for f in folders])
-            .select(*schema.names)
-        )
+        # Spark takes the folders of one scan to be partitioned alike.
+        alike: dict[tuple[str, ...], list[str]] = {}
+        for folder in folders:
+            levels = tuple(part.split("=")[0] for part in folder.split("/"))
+            alike.setdefault(levels, []).append(f"{base}/{folder}")
+        scans = [
+            self.spark.read.schema(schema).option("basePath", base).parquet(*group).select(*schema.names)
+            for group in alike.values()
+        ]
+        return reduce(DataFrame.unionByName, scans)
 
     # Writing
 
@@ -197,10 +202,7 @@ class TableStore:
         sort: Sequence[str] = (),
     ) -> list[str]:
         """Write a new version; its folders, one per partition value."""
-        # The suffix keeps apart two writers that mistake themselves for the only one;
-        # the second of them then fails to publish.
-        folder = f"_write={version}-{uuid4().hex[:8]}"
-        path = f"{self.root}/{name}/data/{folder}"
+        folder, path = self._fresh(name, version)
         if sort:
             df = df.sortWithinPartitions(*([partition] if partition else []), *sort)
         if partition is None:
@@ -213,6 +215,15 @@ class TableStore:
                 df.write.partitionBy(partition).parquet(path)
         return [f"{folder}/{child}" for child in self._children(path) if "=" in child]
 
+    def _fresh(self, name: str, version: int) -> tuple[str, str]:
+        """A folder for a new version, and its path.
+
+        The suffix keeps apart two writers that mistake themselves for the only one;
+        the second of them then fails to publish.
+        """
+        folder = f"_write={version}-{uuid4().hex[:8]}"
+        return folder, f"{self.root}/{name}/data/{folder}"
+
     def _children(self, path: str) -> list[str]:
         folder, fs = self._file_system(path)
         if not fs.exists(folder):
@@ -412,6 +423,30 @@ class TableStore:
             self._publish(name, commit.next_version, df.schema, [*kept, *new])
         return bool(new)
 
+    def partition_folders(self, name: str, value: str) -> list[str]:
+        """Live folders of one partition value."""
+        return [f for f in self._commit(name).folders if _holds(f, value)]
+
+    def replace_buckets(
+        self, name: str, df: DataFrame, partition: str, gone: Collection[str]
+    ) -> dict[int, str]:
+        """Write buckets of one partition value in place of the folders in ``gone``.
+
+        ``df`` has its bucket in ``_bucket``. Folders that are not named stay as they are;
+        the new folder of each bucket is returned.
+        """
+        commit = self._commit(name)
+        folder, path = self._fresh(name, commit.next_version)
+        df.hint("rebalance", BUCKET).write.partitionBy(partition, BUCKET).parquet(path)
+        new = {}
+        for outer in self._children(path):
+            for inner in self._children(f"{path}/{outer}"):
+                new[int(inner.split("=")[1])] = f"{folder}/{outer}/{inner}"
+        kept = [f for f in commit.folders if f not in gone]
+        schema = T.StructType([f for f in df.schema if f.name != BUCKET])
+        self._publish(name, commit.next_version, schema, [*kept, *new.values()])
+        return new
+
     def drop_partition(self, name: str, value: str) -> int:
         """Remove one partition value; returns the number of rows it held."""
         commit = self._commit(name)
@@ -435,6 +470,11 @@ class TableStore:
         new = self._write(name, commit.next_version, df, partition)
         self._publish(name, commit.next_version, df.schema, [*commit.folders, *new])
 
+    def _leaves(self, base: str, folder: str) -> list[str]:
+        """Folders of the innermost partition level below a written folder."""
+        below = [f"{folder}/{c}" for c in self._children(f"{base}/{folder}") if "=" in c]
+        return [leaf for c in below for leaf in self._leaves(base, c) or [c]]
+
     def remove_dead(self, name: str) -> int:
         """Delete the folders of versions the latest commit no longer names.
 
@@ -444,7 +484,7 @@ class TableStore:
         base = f"{self.root}/{name}/data"
         removed = 0
         for written in self._children(base):
-            parts = [f"{written}/{c}" for c in self._children(f"{base}/{written}") if "=" in c]
+            parts = self._leaves(base, written)
             for folder in parts or [written]:
                 if folder not in live:
                     path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{folder}")
@@ -454,5 +494,6 @@ class TableStore:
 
 
 def _holds(folder: str, value: str) -> bool:
-    """Whether a partition folder is the one of the value; Spark percent-encodes names."""
-    return unquote(folder.split("/")[-1].split("=", 1)[1]) == value
+    """Whether a folder is one of a partition value; Spark percent-encodes names."""
+    levels = folder.split("/")
+    return len(levels) > 1 and unquote(levels[1].split("=", 1)[1]) == value
