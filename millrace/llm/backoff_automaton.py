@@ -1,32 +1,24 @@
 """Language-model scores by a weighted backoff automaton.
 
-Tokens are lower-case words and an end mark. Smoothed n-grams become an automaton: the
-words that make up a stated share of the training text are states, the pairs of them
-that do are arcs with the probability of the second word after the first, and every
-state has a failure arc to the root, with the weight that its discounted arcs leave
-over. The root holds the discounted counts of all words, and what they leave over is
-the probability of a word never seen:
-
-    P(w | v) = max(c(v, w) - D2, 0) / c(v) + fail(v) P(w)
-    P(w)     = (c(w) - D) / N for known words, D V / N for unknown ones
-
-A text is scored from left to right: the state is the last word, or the root if that is
-no state; the end mark is the state a text starts in. Counts of words and of pairs come
-from the whole training text by aggregation. The automaton has a proven size, for at
-most 1 / share words or pairs can have a share. The root has none: words frequent
-enough to be few go to all tasks, all others meet their counts in a join.
-
-``train`` builds that model, whose states do not grow with the text. ``train_grams``
-builds one that does: every word is a state, every n-gram of up to three words seen
-twice or more an arc, and every n-gram that has arcs a state, each with the formula
-above over its next shorter one:
-
-    P(w | u v) = max(c(u, v, w) - D2, 0) / c(u, v) + fail(u v) P(w | v)
-
-The logarithm of the path is a sum of one value for each n-gram on it that the model
-has: what its arc adds to the failure path, and its own failure arc, which the next
-token takes or makes up for. So frequent n-grams go to all tasks, and all others meet
-their values in a join, as rare words do.
+Tokens are lower-case words and an end mark. Every word that was learned is a state,
+every pair of neighbours an arc, and every state has a failure arc to the root, which
+holds all words. Pairs are smoothed towards the root by a Dirichlet prior of strength
+K, so that an arc and the failure arc beside it weigh
+
+    arc(v, w) = c(v, w) / (c(v) + K)        fail(v) = K / (c(v) + K)
+    P(w | v)  = arc(v, w) + fail(v) P(w)
+    P(w)      = (c(w) - D) / N for known words, D V / N for unknown ones
+
+and the probabilities of a state sum to one. A text is read from left to right: the
+state is the last word, or the root if that was never learned; the end mark is the
+state a text starts in.
+
+All words and pairs are learned, so the automaton grows with the text and no task
+holds it. Texts come in slices; a slice asks for the counts of its own distinct words
+and pairs, and adds its own: keys are sorted hashes, dealt by range into shards and
+packed, one block per slice and shard. A shard sums the counts of all its blocks and
+answers each block. With its answers a slice has the part of the automaton that its
+texts can reach, and walks it.
 """
 
 from __future__ import annotations
@@ -38,37 +30,27 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import SparkContext, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import byte_slices, named, text_of
+from millrace.operators.lookups import planned_bytes
 from millrace.scratch import Scratch
+from millrace.sources.tables import UNMEASURED
 
 END = 10
 BLANK = 32
 
-# A word is frequent with this share of all training tokens: at most 262,144 are.
-FREQUENT_SHARE = 1 / (1 << 18)
+# Strength of the prior; on held-out texts of the test tables the best of 1 to 3,000.
+STRENGTH = 200.0
 
-# It is a state with this share: at most 4,096 are. Arcs: at most 1,048,576.
-STATE_SHARE = 1 / (1 << 12)
-ARC_SHARE = 1 / (1 << 20)
-
-PAIR_DISCOUNT = 0.75
-
-# N-grams of the growing model: their greatest length, and how often an arc is seen.
-ORDER = 3
-LEAST_COUNT = 2
-
-# Bits of the filter that spares the join most n-grams the model lacks, as a power of
-# two. Those it lets pass wrongly meet nothing there.
-FILTER_BITS = 28
+# Bytes of text in a slice, and bytes of stored documents for each shard.
+SLICE = 12 << 20
+SHARD_BYTES = 8 << 20
 
 END_KEY = np.int64(xxhash.xxh64_intdigest(b"\n") - (1 << 64))
 
-_SLICE = 8 << 20
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[9:14] = BLANK
@@ -120,545 +102,320 @@ def word_codes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes.view(np.int64), coded.indices.to_numpy()
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
-    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
-
-
-class _Counter:
-    """Counts of integers, kept sorted; the largest parts are merged now and then."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.base = 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, counts))
-        if sum(len(k) for k, _ in self.parts) > 2 * self.base + (4 << 20):
-            self.merge()
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        empty = np.zeros(0, np.int64)
-        keys, counts = zip(*self.parts) if self.parts else ((empty,), (empty,))
-        merged = _summed(np.concatenate(keys), np.concatenate(counts))
-        self.parts, self.base = [merged], len(merged[0])
-        return merged
+def with_end_marks(
+    codes: np.ndarray, words: np.ndarray, mark: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all texts with the end mark after each text, and where texts end."""
+    ends = np.cumsum(words + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, mark, np.int64)
+    kept = np.ones(len(out), bool)
+    kept[ends - 1] = False
+    out[kept] = codes
+    return out, ends
 
 
 @dataclass(frozen=True)
 class Automaton:
-    """Root weights of frequent words, and states with their arcs.
+    """Root weights of words, and the arcs of their states.
 
-    Words are numbered by the order of their hashes; the end mark comes after them.
-    ``state`` is the number of a word's state, 0 where it has none. ``arcs`` are sorted
-    ``state * n_words + word``.
+    Words have numbers, the end mark the last. The state of a word has its number plus
+    one, 0 is the root. ``fail`` is the weight of each state's failure arc; ``arcs`` are
+    sorted ``state * words + word``.
     """
 
-    words: np.ndarray
     root: np.ndarray
     state: np.ndarray
     fail: np.ndarray
     arcs: np.ndarray
-    arc_weight: np.ndarray
-
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of words; -1 for those that are not frequent."""
-        if not len(self.words):
-            return np.full(len(hashes), -1)
-        place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[place] == hashes, place, -1)
-
-    def arc(self, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of arcs from states by words, 0 where there is none, and what the
-        failure arc weighs."""
-        wanted = before * (len(self.words) + 1) + word
-        weight = np.zeros(len(word))
+    weights: np.ndarray
+
+    @classmethod
+    def of_counts(
+        cls, words: np.ndarray, arcs: np.ndarray, counts: np.ndarray, totals: Totals, strength: float
+    ) -> Automaton:
+        """The part of the automaton that has these words, and arcs ``first * words +
+        second`` among them, sorted, with their counts."""
+        n = len(words)
+        known = words > 0
+        state = np.where(known, np.arange(1, n + 1), 0)
+        fail = np.concatenate([[1.0], strength / (words + strength)])
+        first = arcs // max(n, 1)
+        weights = counts / (words[first] + strength)
+        return cls(totals.root(words), state, fail, arcs + n, weights)
+
+    def weight(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Weight of the arc by each word, and of the failure arc and the root's arc."""
+        wanted = state * len(self.root) + word
+        found = np.zeros(len(word))
         if len(self.arcs):
             place = np.minimum(np.searchsorted(self.arcs, wanted), len(self.arcs) - 1)
-            hit = (self.arcs[place] == wanted) & (before > 0) & (word >= 0)
-            weight[hit] = self.arc_weight[place[hit]]
-        return weight, self.fail[before]
+            hit = (self.arcs[place] == wanted) & (state > 0)
+            found[hit] = self.weights[place[hit]]
+        return found + self.fail[state] * self.root[word]
 
 
-def walk(
-    automaton: Automaton, numbers: np.ndarray, ends: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Log10 weights along the path of all texts, by token.
+def walk(automaton: Automaton, path: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Log10 weights along the way of all texts, by token.
 
-    ``numbers`` are word numbers, the end mark last in each text. For words that are
-    not frequent the weight is that of the failure arcs alone.
+    ``path`` has the words of all texts, the end mark last in each. What a word leads
+    to is its own state or the root, whatever came before it; so the states that a
+    reader carries from token to token are those of the words one place earlier.
     """
-    mark = len(automaton.words)
-    state = np.where(numbers >= 0, automaton.state[numbers], 0)
-    before = np.empty(len(numbers), np.int64)
-    before[1:] = state[:-1]
-    before[np.concatenate([[0], ends[:-1]])[: len(ends)]] = automaton.state[mark]
-    weight, fail = automaton.arc(before, numbers)
-    known = numbers >= 0
-    total = np.where(known, weight + fail * automaton.root[numbers], fail)
-    return np.log10(total), known
-
-
-def with_end_marks(
-    codes: np.ndarray, words: np.ndarray, mark: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Words of all texts with the end mark after each text, and where texts end."""
-    ends = np.cumsum(words + 1)
-    out = np.full(int(ends[-1]) if len(ends) else 0, mark, np.int64)
-    kept = np.ones(len(out), bool)
-    kept[ends - 1] = False
-    out[kept] = codes
-    return out, ends
+    carried = np.empty(len(path), np.int64)
+    carried[1:] = automaton.state[path[:-1]]
+    carried[np.concatenate([[0], ends[:-1]])[: len(ends)]] = automaton.state[-1]
+    return np.log10(automaton.weight(carried, path))
 
 
-def _counted(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
-    """Counts of the integers that ``keys_of`` finds in one task's texts."""
-    counter = _Counter()
-    for batch in batches:
-        for piece in byte_slices(batch, "text", _SLICE):
-            counter.add(*keys_of(piece.column("text")))
-    keys, counts = counter.merge()
-    for at in range(0, len(keys), 1 << 16):
-        some = slice(at, at + (1 << 16))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[some]), pa.array(counts[some])], names=["key", "n"]
-        )
-
-
-def _word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data, ends, _ = plain_bytes(texts)
-    hashes, codes = word_codes(data, ends)
-    return hashes, np.bincount(codes, minlength=len(hashes))
+@dataclass(frozen=True)
+class Totals:
+    """Of the texts learned from: tokens, distinct tokens, and the words' discount."""
 
+    tokens: int
+    distinct: int
+    discount: float
 
-def _pair_counts(texts: pa.Array, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of neighbouring states, as ``first << 32 | second``; the end mark is 0."""
-    data, ends, words = plain_bytes(texts)
-    hashes, codes = word_codes(data, ends)
-    if len(states):
-        place = np.minimum(np.searchsorted(states, hashes), len(states) - 1)
-        number = np.where(states[place] == hashes, place + 1, -1)
-    else:
-        number = np.full(len(hashes), -1)
-    path, stops = with_end_marks(number[codes], words, 0)
-    before = np.concatenate([[0], path[:-1]])
-    before[np.concatenate([[0], stops[:-1]])[: len(stops)]] = 0
-    both = (path >= 0) & (before >= 0)
-    return np.unique((before[both] << 32) | path[both], return_counts=True)
+    def root(self, counts: np.ndarray) -> np.ndarray:
+        """Probabilities of tokens; all are 1 if nothing was learned."""
+        if not self.tokens:
+            return np.ones(len(counts))
+        unknown = self.discount * self.distinct / self.tokens
+        return np.where(counts > 0, (counts - self.discount) / self.tokens, unknown)
 
 
 def _joined(before: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of the n-gram that two n-grams make which share all but a word each."""
+    """Hash of the pairs of two words each."""
     x = before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.view(np.uint64)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 
 
-@dataclass(frozen=True)
-class Grams:
-    """N-grams of one length: at which tokens they end, what they are made of, hashes."""
-
-    at: np.ndarray
-    before: np.ndarray
-    last: np.ndarray
-    key: np.ndarray
-
-
-def grams(texts: pa.Array, order: int) -> tuple[list[Grams], np.ndarray]:
-    """N-grams of all texts by length from 1, and how many words the texts have."""
-    data, ends, words = plain_bytes(texts)
-    hashes, codes = word_codes(data, ends)
-    path, stops = with_end_marks(codes, words, len(hashes))
-    first = np.concatenate([[0], stops[:-1]])[: len(stops)].astype(np.int64)
-    place = np.arange(len(path)) - np.repeat(first, words + 1)
-    keys = np.append(hashes, END_KEY)[path]
-    found = [Grams(np.arange(len(path)), keys, keys, keys)]
-    for length in range(2, order + 1):
-        # A text starts after an end mark, and nothing comes before that.
-        at = np.flatnonzero(place >= length - 2)
-        before = np.where(place[at] > 0, keys[at - 1], END_KEY)
-        longer = np.zeros(len(path), np.int64)
-        longer[at] = _joined(before, keys[at])
-        found.append(Grams(at, before, keys[at], longer[at]))
-        keys = longer
-    return found, words
-
-
-def _may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether the filter holds keys; sometimes it says so of others."""
-    place = (keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    return (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
-
-
-def _filter(keys: DataFrame) -> np.ndarray:
-    """One bit for each key, in a bounded number of words."""
-    shift = 64 - FILTER_BITS
-    bits = keys.groupBy(F.shiftrightunsigned("key", shift + 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(key, {shift}) & 63))")).alias("b")
-    ).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[np.asarray(bits.column("word"))] = np.asarray(bits.column("b")).view(np.uint64)
-    return out
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in as many bytes each as the largest needs."""
+    numbers = np.ascontiguousarray(numbers, "<u8")
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + numbers.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-@dataclass(frozen=True)
-class Model:
-    """The automaton, the counts of all words as a table, and totals with end marks."""
-
-    automaton: Automaton
-    frequent_counts: np.ndarray
-    words: DataFrame
-    n_texts: int
-    n_tokens: int
-    n_distinct: int
-    discount: float
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    found = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    out = np.zeros((len(found), 8), np.uint8)
+    out[:, :width] = found
+    return out.view("<u8").ravel()
 
 
 @dataclass(frozen=True)
-class GramModel:
-    """Values of all n-grams as a table, those of frequent ones by hash, and totals.
+class Slice:
+    """Distinct words and pairs of some texts, in the order of their hashes.
 
-    ``n`` is the count of a word, and null for the end mark and for longer n-grams.
-    ``bits`` is a filter over all of them.
+    ``path`` and ``pair`` have the number of each token's word and of the pair that
+    ends there, ``ends`` the places after each text. The end mark is the last word:
+    ``rank`` has each word's place by hash, ``pairs`` are ``first * words + second``.
     """
 
-    keys: np.ndarray
-    counts: np.ndarray
-    values: np.ndarray
-    bits: np.ndarray
-    order: int
-    rare: DataFrame
-    n_texts: int
-    n_tokens: int
-    n_distinct: int
-    discount: float
+    path: np.ndarray
+    pair: np.ndarray
+    ends: np.ndarray
+    rank: np.ndarray
+    pairs: np.ndarray
+    pair_rank: np.ndarray
+    word_keys: np.ndarray
+    pair_keys: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Slice:
+        data, text_ends, words = plain_bytes(texts)
+        hashes, codes = word_codes(data, text_ends)
+        path, ends = with_end_marks(codes, words, len(hashes))
+        keys = np.append(hashes, END_KEY)
+        before = np.empty(len(path), np.int64)
+        before[1:] = path[:-1]
+        before[np.concatenate([[0], ends[:-1]])[: len(ends)]] = len(hashes)
+        pairs, pair = np.unique(before * len(keys) + path, return_inverse=True)
+        pair_keys = _joined(keys[pairs // len(keys)], keys[pairs % len(keys)]).view(np.uint64)
+        keys = keys.view(np.uint64)
+        order, pair_order = np.argsort(keys), np.argsort(pair_keys)
+        return cls(
+            path, pair, ends, _inverse(order), pairs, _inverse(pair_order),
+            keys[order], pair_keys[pair_order],
+        )
 
+    def counts(self, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words and pairs, by hash, in the texts that are learned from."""
+        token = np.repeat(learned, np.diff(self.ends, prepend=0))
+        words = np.bincount(self.rank[self.path[token]], minlength=len(self.word_keys))
+        pairs = np.bincount(self.pair_rank[self.pair[token]], minlength=len(self.pair_keys))
+        return words, pairs
 
-def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
-    """Whether a row is kept from training; a null id is not."""
-    return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
+def _inverse(order: np.ndarray) -> np.ndarray:
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank
 
-def _sorted_words(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A bounded number of words and their counts, by hash."""
-    found = rows.select("key", "n").toArrow()
-    keys, n = np.asarray(found.column("key")), np.asarray(found.column("n"))
-    order = np.argsort(keys)
-    return keys[order].astype(np.int64), n[order].astype(np.int64)
 
+def _bounds(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where the keys of each shard begin among sorted keys, and where the last ends."""
+    limits = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, limits), [len(keys)]])
 
-def train(docs: DataFrame, *, scratch: Scratch, text_column: str = "text") -> Model:
-    """Count all words and pairs of ``docs`` and build the automaton.
 
-    A null text is an empty one, which is an end mark alone.
-    """
-    texts = docs.select(text_of(text_column).alias("text"))
-    n_texts = texts.count()
+BLOCK = "slice long, level int, shard int, keys binary, counts binary"
+ANSWER = (
+    "slice long, level int, shard int, counts binary, tokens long, distinct long, once long, twice long"
+)
 
-    def counts(keys_of, label: str) -> DataFrame:
-        found = texts.mapInArrow(lambda b: _counted(b, keys_of), "key long, n long")
-        return scratch.stage(found.groupBy("key").agg(F.sum("n").alias("n")), label)
 
-    words = counts(_word_counts, "words")
-    once, twice = (F.count_if(F.col("n") == k) for k in (1, 2))
-    n_words, kinds, n1, n2 = words.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), once, twice
-    ).first()
-    total = n_words + n_texts
-    discount = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
-    frequent, often = _sorted_words(words.filter(F.col("n") >= max(1, total * FREQUENT_SHARE)))
-    is_state = often >= max(1, total * STATE_SHARE)
-    states = frequent[is_state]
-    pairs = counts(lambda t: _pair_counts(t, states), "pairs")
-    arcs, n_arcs = _sorted_words(pairs.filter(F.col("n") >= max(1, total * ARC_SHARE)))
-
-    mark, n_state = len(frequent), len(states) + 2
-    state = np.zeros(mark + 1, np.int64)
-    state[:mark][is_state] = np.arange(1, len(states) + 1)
-    state[mark] = n_state - 1
-    # Pair numbers name the end mark 0 and states from 1 on.
-    as_state = np.concatenate([[n_state - 1], np.arange(1, len(states) + 1)])
-    as_word = np.concatenate([[mark], np.flatnonzero(is_state)])
-    all_counts = np.append(often, n_texts)
-    count_of_state = np.ones(n_state)
-    count_of_state[state[state > 0]] = all_counts[state > 0]
-    first, second = as_state[arcs >> 32], as_word[arcs & 0xFFFFFFFF]
-    weight = np.maximum(n_arcs - PAIR_DISCOUNT, 0) / count_of_state[first]
-    fail = 1 - np.bincount(first, weight, n_state)
-    fail[0] = 1
-    keys = first * (mark + 1) + second
-    order = np.argsort(keys)
-    root = np.maximum(all_counts - discount, 0) / max(total, 1)
-    if not n_texts:
-        root[mark] = 1.0
-    automaton = Automaton(frequent, root, state, fail, keys[order], weight[order])
-    distinct = kinds + (n_texts > 0)
-    return Model(automaton, often, words, n_texts, total, distinct, discount)
-
-
-def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of one task's texts with their numbers; the same whenever it runs."""
+    number = TaskContext.get().partitionId() << 33
     for batch in batches:
-        before, last = (np.asarray(batch.column(c)) for c in ("before", "last"))
-        key = pa.array(_joined(before, last))
-        yield pa.RecordBatch.from_arrays([key, *batch.columns], names=["key", *batch.schema.names])
-
-
-def train_grams(
-    docs: DataFrame, *, scratch: Scratch, text_column: str = "text", order: int = ORDER
-) -> GramModel:
-    """Count all n-grams of ``docs`` up to ``order`` words and give each its value.
-
-    A null text is an empty one, which is an end mark alone.
-    """
-    context = docs.sparkSession.sparkContext
-    texts = docs.select(text_of(text_column).alias("text"))
-    end, n = int(END_KEY), F.col("n")
-
-    def word_keys(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = _word_counts(part)
-        return np.append(keys, END_KEY), np.append(counts, len(part))
-
-    counted = texts.mapInArrow(lambda b: _counted(b, word_keys), "key long, n long")
-    words = scratch.stage(counted.groupBy("key").agg(F.sum("n").alias("n")), "words")
-    is_word = F.col("key") != end
-    once, twice, n_texts = (F.count_if(is_word & (n == 1)), F.count_if(is_word & (n == 2)),
-                            F.sum(F.when(~is_word, n)))
-    total, kinds, n1, n2, n_texts = words.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), once, twice, F.coalesce(n_texts, F.lit(0))
-    ).first()
-    discount = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
-
-    def arcs(length: int, bits) -> DataFrame:
-        """N-grams seen often enough; both their parts are, too."""
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece in byte_slices(batch, "text", _SLICE):
-                    found = grams(piece.column("text"), length)[0][-1]
-                    before, last, key = found.before, found.last, found.key
-                    if bits is not None:
-                        both = _may_have(bits.value, before) & _may_have(bits.value, last)
-                        before, last, key = before[both], last[both], key[both]
-                    _, place, times = np.unique(key, return_index=True, return_counts=True)
-                    for at in range(0, len(place), 1 << 16):
-                        some = place[at : at + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(before[some]), pa.array(last[some]),
-                             pa.array(times[at : at + (1 << 16)])],
-                            names=["before", "last", "n"],
-                        )
-
-        found = texts.mapInArrow(count, "before long, last long, n long")
-        found = found.groupBy("before", "last").agg(F.sum("n").alias("n"))
-        found = found.filter(n >= LEAST_COUNT)
-        return scratch.stage(
-            found.mapInArrow(_with_keys, "key long, before long, last long, n long"), "arcs"
-        )
-
-    probability = (n - discount) / max(total, 1)
-    shorter = words.select("key", "n", probability.alias("p"), F.log10(probability).alias("value"))
-    levels, bits = [], None
-    for length in range(2, order + 1):
-        longer = arcs(length, bits)
-        taken = longer.groupBy(F.col("before").alias("key")).agg(
-            F.sum(n - PAIR_DISCOUNT).alias("taken")
-        )
-        # What the arcs of a state leave over is the weight of its failure arc.
-        rest = n - F.coalesce("taken", F.lit(0.0))
-        states = shorter.join(taken, "key", "left").select(
-            "key", "n", "p", rest.alias("rest"), (F.col("value") + F.log10(rest / n)).alias("value")
-        )
-        states = scratch.stage(states, "states")
-        levels.append(states.select("key", "n", "value"))
-        left = states.select(F.col("key").alias("before"), F.col("n").alias("all"), "rest")
-        right = states.select(F.col("key").alias("last"), "p")
-        failed, own = F.col("rest") * F.col("p"), n - PAIR_DISCOUNT
-        shorter = scratch.stage(
-            longer.join(left, "before").join(right, "last").select(
-                "key", "n", ((own + failed) / F.col("all")).alias("p"),
-                F.log10(1 + own / failed).alias("value"),
-            ),
-            "grams",
-        )
-        bits = context.broadcast(_filter(longer)) if length < order else None
-    levels.append(shorter.select("key", "n", "value"))
-
-    rare, often = [], []
-    for level, share in zip(levels, [FREQUENT_SHARE] + [ARC_SHARE] * len(levels)):
-        frequent = n >= max(1, total * share)
-        count = F.when(is_word, n) if not rare else F.lit(None).cast("long")
-        level = level.withColumn("frequent", frequent).withColumn("n", count)
-        often.append(level.filter("frequent").drop("frequent").toArrow())
-        rare.append(level.filter("NOT frequent").drop("frequent"))
-    known = pa.concat_tables(often).sort_by("key")
-    everything = levels[0].select("key")
-    for level in levels[1:]:
-        everything = everything.unionByName(level.select("key"))
-    table = rare[0]
-    for more in rare[1:]:
-        table = table.unionByName(more)
-    return GramModel(
-        np.asarray(known.column("key")).astype(np.int64),
-        np.asarray(pc.fill_null(known.column("n"), -1)).astype(np.int64),
-        np.asarray(known.column("value")).astype(float),
-        _filter(everything), order, table, n_texts, total, kinds, discount,
+        for piece in byte_slices(batch, "text", SLICE):
+            yield number, piece
+            number += 1
+
+
+def _ask(rows: DataFrame, shards: int) -> DataFrame:
+    """Blocks of the distinct words and pairs of each slice, with the counts it adds."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, piece in _slices(batches):
+            found = Slice.of(piece.column("text"))
+            counts = found.counts(np.asarray(piece.column("learned")))
+            blocks = []
+            for level, (keys, n) in enumerate(zip((found.word_keys, found.pair_keys), counts)):
+                bounds = _bounds(keys, shards).tolist()
+                for shard, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    if a < b:
+                        gaps = np.diff(keys[a:b], prepend=np.uint64(0))
+                        gaps[0] -= np.uint64((shard << 64) // shards)
+                        blocks.append((number, level, shard, packed(gaps), packed(n[a:b])))
+            yield _batch(blocks, BLOCK)
+
+    return rows.mapInArrow(ask, BLOCK)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [field.split() for field in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    arrays = [pa.array(column, kinds[kind]) for column, (_, kind) in zip(columns, fields)]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
+
+
+def _answered(blocks: pa.Table, shards: int) -> pa.Table:
+    """What all blocks of a shard count together, for each block, and totals of words."""
+    level, shard = blocks.column("level")[0].as_py(), blocks.column("shard")[0].as_py()
+    start = np.uint64((shard << 64) // shards)
+    keys = [np.cumsum(unpacked(k.as_py()), dtype=np.uint64) + start for k in blocks.column("keys")]
+    ends = np.cumsum([len(k) for k in keys])
+    counts = np.concatenate([unpacked(n.as_py()) for n in blocks.column("counts")]).astype(np.int64)
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    first = np.searchsorted(place[order], np.arange(len(distinct)))
+    totals = np.add.reduceat(counts[order], first)
+    rows = [
+        (number, level, shard, packed(totals[place[end - len(k) : end]]), 0, 0, 0, 0)
+        for number, k, end in zip(blocks.column("slice").to_pylist(), keys, ends)
+    ]
+    if level == 0:
+        words = totals[distinct != END_KEY.view(np.uint64)]
+        numbers = (totals.sum(), (totals > 0).sum(), (words == 1).sum(), (words == 2).sum())
+        rows.append((-1, level, shard, b"", *map(int, numbers)))
+    return pa.Table.from_batches([_batch(rows, ANSWER)])
+
+
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _walked(table: pa.Table, totals: Totals, strength: float) -> pa.Table:
+    """Scores of the texts of one slice, with the answers it got."""
+    is_text = np.asarray(table.column("is_text"))
+    texts = table.filter(pa.array(is_text)).sort_by("place")
+    answers = table.filter(pa.array(~is_text)).sort_by([("level", "ascending"), ("shard", "ascending")])
+    found = Slice.of(texts.column("text").combine_chunks())
+    level = np.asarray(answers.column("level"))
+    counts = []
+    for number, keys in enumerate((found.word_keys, found.pair_keys)):
+        parts = [unpacked(a.as_py()) for a in answers.column("counts").filter(pa.array(level == number))]
+        counts.append(np.concatenate([np.zeros(0, np.uint64), *parts]).astype(np.int64))
+        if len(counts[-1]) != len(keys):
+            raise RuntimeError("A slice was read anew with other texts; write the documents out first.")
+    words, pairs = counts[0][found.rank], counts[1][found.pair_rank]
+    learned = pairs > 0
+    automaton = Automaton.of_counts(words, found.pairs[learned], pairs[learned], totals, strength)
+    weights = walk(automaton, found.path, found.ends)
+    text = np.repeat(np.arange(len(texts)), np.diff(found.ends, prepend=0))
+    base = np.log10((words + 1) / (totals.tokens + totals.distinct + 1))
+    return pa.table(
+        {
+            "doc_id": texts.column("doc_id"),
+            "n_tokens": np.diff(found.ends, prepend=0),
+            "n_known": np.bincount(text, words[found.path] > 0, len(texts)).astype(np.int64),
+            "base_score": np.bincount(text, base[found.path], len(texts)),
+            "score": np.bincount(text, weights, len(texts)),
+        }
     )
 
 
-SCORED = (
-    "row long, doc_id long, n_tokens long, n_known long, logs double, path double, "
-    "rare array<long>, times array<int>"
-)
+def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
+    """Whether a row is kept from training; a null id is not."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
 def score_texts(
     docs: DataFrame,
-    model: Model | GramModel,
+    learn: Column,
     *,
     scratch: Scratch,
+    strength: float = STRENGTH,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (words
-    alone, add-one) and ``score`` (the automaton) of every row, whole texts.
+    """Scores of every row, whole texts, by the model of the rows where ``learn`` is true.
 
-    Tokens are words and one end mark; a null text is an empty one. Words are counted
-    by 64-bit hashes. Repeated rows are scored each; an empty table gives an empty
+    ``doc_id``, ``n_tokens``, ``n_known`` (tokens learned), ``train_tokens``,
+    ``base_score`` (words alone, add-one) and ``score`` (the automaton). Tokens are words
+    and one end mark; a null text is an empty one. Words and pairs are counted by 64-bit
+    hashes. Repeated rows are learned and scored each; an empty table gives an empty
     result, and a model of no texts scores of 0; other columns are ignored.
+
+    Texts are read twice and must come in the same order both times, as from files;
+    other frames are written out first.
     """
     rows = docs.select(
-        named(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("text")
+        named(id_column).cast("long").alias("doc_id"),
+        text_of(text_column).alias("text"),
+        F.coalesce(learn, F.lit(False)).alias("learned"),
     )
-    context = docs.sparkSession.sparkContext
-    if isinstance(model, GramModel):
-        scored = rows.mapInArrow(_gram_scorer(model, context), SCORED)
-        return _with_rare(scratch.stage(scored, "scored"), model.rare, model)
-    shared = context.broadcast((model.automaton, np.log10(model.frequent_counts + 1.0)))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, logs_of = shared.value
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for piece in byte_slices(batch, "text", _SLICE):
-                n = len(piece)
-                data, ends, words = plain_bytes(piece.column("text"))
-                hashes, codes = word_codes(data, ends)
-                owner = np.repeat(np.arange(n), words)
-                number = automaton.number(hashes)
-                often = number >= 0
-                per_word = np.zeros(len(hashes))
-                per_word[often] = logs_of[number[often]]
-                known = often[codes]
-                path, stops = with_end_marks(number[codes], words, len(automaton.words))
-                weights, _ = walk(automaton, path, stops)
-                in_text = np.repeat(np.arange(n), words + 1)
-                keys = owner[~known] * max(len(hashes), 1) + codes[~known]
-                keys, times = np.unique(keys, return_counts=True)
-                whose, which = keys // max(len(hashes), 1), keys % max(len(hashes), 1)
-                bounds = pa.array(np.searchsorted(whose, np.arange(n + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + n)),
-                        piece.column("doc_id"),
-                        pa.array(words + 1),
-                        pa.array(np.bincount(owner[known], minlength=n)),
-                        pa.array(np.bincount(owner, per_word[codes], n)),
-                        pa.array(np.bincount(in_text, weights, n)),
-                        pa.ListArray.from_arrays(bounds, pa.array(hashes[which])),
-                        pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32())),
-                    ],
-                    names=[f.split()[0] for f in SCORED.split(", ")],
-                )
-                row += n
-
-    scored = scratch.stage(rows.mapInArrow(score, SCORED), "scored")
-    weight = F.log10((F.col("n") - model.discount) / max(model.n_tokens, 1))
-    return _with_rare(scored, model.words.withColumn("value", weight), model)
-
-
-def _gram_scorer(model: GramModel, context: SparkContext):
-    """Scores of texts by frequent n-grams, and the others that the model may have."""
-    shared = context.broadcast((model.keys, model.counts, model.values, model.bits))
-    order = model.order
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, values, bits = shared.value
-        logs_of = np.log10(np.maximum(counts, 0) + 1.0)
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for piece in byte_slices(batch, "text", _SLICE):
-                n = len(piece)
-                levels, words = grams(piece.column("text"), order)
-                in_text = np.repeat(np.arange(n), words + 1)
-                known, logs, path = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-                owners, others = [], []
-                for found in levels:
-                    some = np.flatnonzero(_may_have(bits, found.key))
-                    key, owner = found.key[some], in_text[found.at[some]]
-                    often = np.zeros(len(key), bool)
-                    if len(keys):
-                        place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                        often = keys[place] == key
-                        at, whose = place[often], owner[often]
-                        known += np.bincount(whose[counts[at] >= 0], minlength=n)
-                        logs += np.bincount(whose, logs_of[at], n)
-                        path += np.bincount(whose, values[at], n)
-                    owners.append(owner[~often])
-                    others.append(key[~often])
-                owner, other = np.concatenate(owners), np.concatenate(others)
-                by = np.lexsort((other, owner))
-                owner, other = owner[by], other[by]
-                new = np.ones(len(by), bool)
-                new[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])
-                new = np.flatnonzero(new)
-                times = np.diff(np.append(new, len(by)))
-                bounds = pa.array(np.searchsorted(owner[new], np.arange(n + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + n)),
-                        piece.column("doc_id"),
-                        pa.array(words + 1),
-                        pa.array(known),
-                        pa.array(logs),
-                        pa.array(path),
-                        pa.ListArray.from_arrays(bounds, pa.array(other[new])),
-                        pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32())),
-                    ],
-                    names=[f.split()[0] for f in SCORED.split(", ")],
-                )
-                row += n
-
-    return score
-
-
-def _with_rare(scored: DataFrame, table: DataFrame, model: Model | GramModel) -> DataFrame:
-    """Scores with what the words and n-grams outside of tasks add, by row."""
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("z"))
-    rare = rare.select("row", F.col("z.rare").alias("key"), F.col("z.times").alias("times"))
-    total, kinds, d = model.n_tokens, model.n_distinct, model.discount
-    times = F.col("times")
-    met = rare.join(table, "key").groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), times)).alias("more_known"),
-        F.sum(times * F.log10(F.col("n") + 1)).alias("more_logs"),
-        F.sum(times * F.col("value")).alias("more_path"),
+    if UNMEASURED.search(rows._jdf.queryExecution().optimizedPlan().toString()):
+        rows = scratch.stage(rows, "texts")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(tasks, planned_bytes(rows) // SHARD_BYTES)
+    blocks = _ask(rows, shards).groupBy("level", "shard")
+    answers = scratch.stage(blocks.applyInArrow(lambda t: _answered(t, shards), ANSWER), "answers")
+    tokens, distinct, once, twice = answers.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "distinct", "once", "twice")]
+    ).first()
+    totals = Totals(tokens, distinct, min(max(once / max(once + 2 * twice, 1), 0.1), 0.9))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for slice_, piece in _slices(batches):
+            n = len(piece)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, slice_)), pa.array(np.arange(n)), *piece.columns],
+                names=["slice", "place", *piece.schema.names],
+            )
+
+    texts = rows.mapInArrow(number, "slice long, place long, doc_id long, text string, learned boolean")
+    texts = texts.select("slice", "place", "doc_id", "text", F.lit(True).alias("is_text"))
+    replies = answers.filter("slice >= 0").select(
+        "slice", "level", "shard", "counts", F.lit(False).alias("is_text")
     )
-    # The end mark is a token as well.
-    end_known, end_log = int(model.n_texts > 0), float(np.log10(model.n_texts + 1))
-    all_log = float(np.log10(total + kinds + 1))
-    unknown_log = float(np.log10(d * kinds / total)) if total else 0.0
-    joined = scored.drop("rare", "times").join(met, "row", "left")
-    joined = joined.fillna(0, ["more_known", "more_logs", "more_path"])
-    joined = joined.withColumn("known", F.col("n_known") + F.col("more_known") + end_known)
-    unknown = F.col("n_tokens") - F.col("known") if total else F.lit(0)
-    return joined.select(
-        "doc_id",
-        "n_tokens",
-        F.col("known").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.col("more_logs") + end_log - F.col("n_tokens") * all_log).alias(
-            "base_score"
-        ),
-        (F.col("path") + F.col("more_path") + unknown * unknown_log).alias("score"),
+    meeting = texts.unionByName(replies, allowMissingColumns=True)
+    scored = meeting.groupBy("slice").applyInArrow(lambda t: _walked(t, totals, strength), SCORED)
+    return scored.select(
+        "doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
     )

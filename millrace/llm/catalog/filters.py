@@ -171,9 +171,7 @@ def hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_backoff_automaton")
 def backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document; a seventh of them is never learned from."""
-    scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     held = backoff.held_out(F.col("doc_id"))
-    model = backoff.train_grams(docs.filter(~held), scratch=scratch)
-    scores = backoff.score_texts(docs, model, scratch=scratch)
+    scores = backoff.score_texts(docs, ~held, scratch=Scratch(spark))
     return scores.select("doc_id", held.alias("held_out"), *scores.columns[1:])

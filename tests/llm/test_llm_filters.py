@@ -182,121 +182,96 @@ def tokens_of(text):
     return [w for w in low.split(" ") if w] + [None]
 
 
-@pytest.mark.parametrize("share", [1 / (1 << 18), 0.02])
-def test_language_model(spark, scratch, monkeypatch, share):
-    monkeypatch.setattr(lm, "FREQUENT_SHARE", share)
-    monkeypatch.setattr(lm, "STATE_SHARE", 0.03)
-    docs = odd_documents(spark)
-    rows = docs.select("doc_id", "text").collect()
-    train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
-    counts = Counter(w for t in train for w in tokens_of(t))
+def zipf_texts():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 30) % 500) for _ in range(200)]
+    return [*texts, "seldom seen words", "seldom seen words here", "", None, "quite new"]
+
+
+def brute_scores(rows, learned, strength):
+    """Tokens, known ones, add-one score and score of each text, and the model's parts."""
+    train = [tokens_of(t) for t, known in zip(rows, learned) if known]
+    counts = Counter(w for t in train for w in t)
+    pairs = Counter(pair for t in train for pair in zip([None, *t[:-1]], t))
     total, kinds = sum(counts.values()), len(counts)
-    model = lm.train(docs.filter(~lm.held_out(F.col("doc_id"))), scratch=scratch)
-    got = lm.score_texts(docs, model, scratch=scratch).collect()
-    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
-    found = sorted(((r.doc_id, r.n_tokens, r.n_known, r.base_score) for r in got), key=key)
-    expected = sorted(
-        (
-            (i, len(tokens_of(t)), sum(counts[w] > 0 for w in tokens_of(t)),
-             sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in tokens_of(t)))
-            for i, t in rows
-        ),
-        key=key,
-    )
-    for a, b in zip(found, expected):
-        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], rel=1e-9)
-    assert {r.train_tokens for r in got} == {total}
-    # The score is the product of the probabilities of the formula.
-    pairs = Counter()
-    for t in train:
-        w = tokens_of(t)
-        pairs.update(zip([None, *w[:-1]], w))
-    n1, n2 = (sum(1 for w, c in counts.items() if c == k and w is not None) for k in (1, 2))
+    n1, n2 = (sum(c == k for w, c in counts.items() if w is not None) for k in (1, 2))
     d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
-    frequent = {w for w, c in counts.items() if c >= max(1, total * share) or w is None}
-    states = {w for w in frequent if w is None or counts[w] >= total * 0.03}
-
-    def root(w):
-        return (counts[w] - d) / total if counts[w] else d * kinds / total
 
     def probability(v, w):
-        if v not in states:
-            return root(w)
-        arcs = {x: max(c - 0.75, 0) / counts[v] for (u, x), c in pairs.items()
-                if u == v and x in states}
-        return arcs.get(w, 0) + (1 - sum(arcs.values())) * root(w)
-
-    some = {r.doc_id: r.score for r in got if r.doc_id in (1, 3, 7, 10)}
-    for i, t in rows:
-        if i in some:
-            w = tokens_of(t)
-            truth = sum(math.log10(probability(v, x)) for v, x in zip([None, *w[:-1]], w))
-            assert some[i] == pytest.approx(truth, rel=1e-9)
-    for v in list(states)[:3]:
-        assert sum(probability(v, w) for w in counts) + probability(v, "unseen!") == pytest.approx(1)
-
-
-@pytest.mark.parametrize("share", [1 / (1 << 20), 0.02])
-def test_language_model_of_all_grams(spark, scratch, monkeypatch, share):
-    """Pairs and triples of rare words count, whether or not tasks hold them."""
-    monkeypatch.setattr(lm, "FREQUENT_SHARE", share)
-    monkeypatch.setattr(lm, "ARC_SHARE", share)
-    rng = np.random.default_rng(5)
-    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 30) % 500) for _ in range(200)]
-    texts += ["seldom seen words", "seldom seen words here", "", None, "quite new"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = lm.train_grams(docs.filter("doc_id < 204"), scratch=scratch)
-    got = {r.doc_id: r for r in lm.score_texts(docs, model, scratch=scratch).collect()}
-    counts, follow = Counter(), Counter()
-    for t in texts[:204]:
-        w = [None, *tokens_of(t)]
-        for k in range(1, 4):
-            counts.update(tuple(w[i : i + k]) for i in range(k == 1, len(w) - k + 1))
-    words = {g[0]: c for g, c in counts.items() if len(g) == 1}
-    total = sum(words.values())
-    n1, n2 = (sum(c == k for w, c in words.items() if w is not None) for k in (1, 2))
-    d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
-    taken = Counter()
-    for g, c in counts.items():
-        if len(g) > 1 and c >= 2:
-            taken[g[:-1]] += c - 0.75
-
-    def probability(before, w):
-        if not before:
-            return (words[w] - d) / total if w in words else d * len(words) / total
-        shorter = probability(before[1:], w)
-        if before not in counts:
-            return shorter
-        arc, c = counts[(*before, w)], counts[before]
-        return (max(arc - 0.75, 0) if arc >= 2 else 0) / c + (1 - taken[before] / c) * shorter
-
-    for i, t in enumerate(texts):
-        w = [None, *tokens_of(t)]
-        truth = sum(
-            math.log10(probability(tuple(w[max(k - 2, 0) : k]), w[k])) for k in range(1, len(w))
-        )
-        assert got[i].score == pytest.approx(truth, rel=1e-9)
-        assert got[i].n_known == sum(x in words for x in w[1:])
-    assert counts[("seldom", "seen", "words")] == 2
-    assert sum(probability(("seldom", "seen"), w) for w in words) + probability(
-        ("seldom", "seen"), "unseen!"
-    ) == pytest.approx(1)
+        root = 1.0
+        if total:
+            root = (counts[w] - d) / total if counts[w] else d * kinds / total
+        return (pairs[v, w] + strength * root) / (counts[v] + strength) if counts[v] else root
+
+    out = []
+    for text in rows:
+        t = tokens_of(text)
+        base = sum(math.log10((counts[w] + 1) / (total + kinds + 1)) for w in t)
+        score = sum(math.log10(probability(v, w)) for v, w in zip([None, *t[:-1]], t))
+        out.append((len(t), sum(counts[w] > 0 for w in t), base, score))
+    return out, total, counts, probability
+
+
+def check_scores(got, rows, learned, strength=lm.STRENGTH):
+    expected, total, *_ = brute_scores([t for _, t in rows], learned, strength)
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    want = sorted(((i, *e) for (i, _), e in zip(rows, expected)), key=key)
+    found = sorted(((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got), key=key)
+    assert len(found) == len(want) and {r.train_tokens for r in got} <= {total}
+    for a, b in zip(found, want):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9)
+
+
+@pytest.mark.parametrize("shards", [None, 1])
+def test_language_model(spark, scratch, monkeypatch, shards):
+    """Odd texts, a seventh held out; with many shards most blocks hold a key or two."""
+    if shards:
+        monkeypatch.setattr(lm, "SHARD_BYTES", 1 << 40)
+    docs = odd_documents(spark)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    learned = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    got = lm.score_texts(docs, ~lm.held_out(F.col("doc_id")), scratch=scratch).collect()
+    check_scores(got, rows, learned)
+
+
+def test_language_model_of_files(spark, scratch, tmp_path):
+    """Read twice from files, in several slices."""
+    texts = zipf_texts()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(
+        5
+    ).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = lm.score_texts(docs, F.col("doc_id") < 204, scratch=scratch, strength=3.0).collect()
+    check_scores(got, list(enumerate(texts)), [i < 204 for i in range(len(texts))], 3.0)
+    _, _, counts, probability = brute_scores(texts, [i < 204 for i in range(len(texts))], 3.0)
+    for v in (None, "w1", "seldom", "unseen!"):
+        total = sum(probability(v, w) for w in counts) + probability(v, "unseen!")
+        assert total == pytest.approx(1)
 
 
 def test_language_model_of_nothing(spark, scratch):
     empty = spark.createDataFrame([], EMPTY_SCHEMA)
-    model = lm.train(empty, scratch=scratch)
-    got = lm.score_texts(odd_documents(spark), model, scratch=scratch).collect()
+    got = lm.score_texts(odd_documents(spark), F.lit(False), scratch=scratch).collect()
     assert {(r.base_score, r.score, r.n_known) for r in got} == {(0.0, 0.0, 0)}
-    assert lm.score_texts(empty, model, scratch=scratch).count() == 0
+    assert len(got) == odd_documents(spark).count()
+    assert lm.score_texts(empty, F.lit(True), scratch=scratch).count() == 0
 
 
-def test_gram_model_of_nothing(spark, scratch):
-    empty = spark.createDataFrame([], EMPTY_SCHEMA)
-    model = lm.train_grams(empty, scratch=scratch)
-    got = lm.score_texts(odd_documents(spark), model, scratch=scratch).collect()
-    assert {(r.base_score, r.score, r.n_known) for r in got} == {(0.0, 0.0, 0)}
-    model = lm.train_grams(odd_documents(spark), scratch=scratch)
-    assert lm.score_texts(empty, model, scratch=scratch).count() == 0
-    odd = odd_documents(spark)
-    assert lm.score_texts(odd, model, scratch=scratch).count() == odd.count()
+def test_packed_numbers():
+    for numbers in ([], [0], [0, 255], [256, 1], [(1 << 64) - 1, 0, 7]):
+        assert lm.unpacked(lm.packed(np.array(numbers, np.uint64))).tolist() == numbers
+
+
+def test_the_walk_follows_failure_arcs():
+    """By hand: word 0 is a state with one arc, word 1 was never learned, 2 is the end."""
+    totals = lm.Totals(10, 2, 0.5)
+    automaton = lm.Automaton.of_counts(
+        np.array([4, 0, 6]), np.array([0 * 3 + 2]), np.array([3]), totals, 2.0
+    )
+    assert automaton.state.tolist() == [1, 0, 3]
+    path, ends = np.array([0, 2, 1, 0, 2]), np.array([2, 5])
+    root = totals.root(np.array([4, 0, 6]))
+    end_fails, word_fails = 2 / (6 + 2), 2 / (4 + 2)
+    want = [end_fails * root[0], 3 / 6 + word_fails * root[2], end_fails * root[1], root[0],
+            3 / 6 + word_fails * root[2]]
+    assert 10 ** lm.walk(automaton, path, ends) == pytest.approx(want)
