@@ -28,6 +28,9 @@ from millrace.scratch import Scratch
 SLOTS = 1 << 18
 FACTORS = 8
 
+# Bytes of text turned into terms at a time: that takes ten times as much memory.
+SLICE = 4 << 20
+
 # Bound of the labelled rows the machine is fitted on, those with the smallest hashes.
 SAMPLE_ROWS = 20_000
 
@@ -192,7 +195,7 @@ def fit_toxicity(
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in byte_slices(batch, "text"):
+            for piece in byte_slices(batch, "text", SLICE):
                 row, slot = slot_pairs(piece.column("text"))
                 cells = np.split(slot.astype("<i4"), np.searchsorted(row, np.arange(1, len(piece))))
                 yield pa.RecordBatch.from_arrays(
@@ -226,7 +229,7 @@ def score_texts(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in byte_slices(batch, "text"):
+            for piece in byte_slices(batch, "text", SLICE):
                 scores = pa.array(shared.value.scores(piece.column("text")))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc_id"), scores], names=["doc_id", "score"]
@@ -246,7 +249,7 @@ def without_toxic(
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
-            scores = [shared.value.scores(p.column("text")) for p in byte_slices(texts, "text")]
+            scores = [shared.value.scores(p.column("text")) for p in byte_slices(texts, "text", SLICE)]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) < limit))
 
