@@ -54,7 +54,7 @@ SLOT_WIDTH = 3.0
 SLOTS_IN_USE = 2.3
 
 # Rows of one side of a tile, and of queries scored at a time.
-TILE_ROWS = 2_048
+TILE_ROWS = 8_192
 SLICE_ROWS = 256
 
 
