@@ -46,7 +46,7 @@ BLANK = 32
 STRENGTH = 200.0
 
 # Bytes of text in a slice, and bytes of stored documents for each shard.
-SLICE = 12 << 20
+SLICE = 8 << 20
 SHARD_BYTES = 8 << 20
 
 END_KEY = np.int64(xxhash.xxh64_intdigest(b"\n") - (1 << 64))
