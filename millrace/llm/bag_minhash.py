@@ -40,6 +40,9 @@ BAND_ROWS = 4
 COMPARISONS = 2
 SAVING = 0.05
 
+# Rarest shingles of a text by which a pair that met already is recognised.
+FIRST_SHINGLES = 16
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SLICE = 4 << 20
 
@@ -326,14 +329,18 @@ def _link(texts: DataFrame, docs: DataFrame, limit: float, k: int, scratch: Scra
         first.select(F.col("a").alias("node"), F.lit(1).alias("p"))
     )
     used = used.groupBy("node").agg((F.max("p") == 1).alias("pivot"))
-    wanted = texts.select("node", "rep", "words").join(used, "node")
-    wanted = scratch.stage(wanted, "wanted").hint("merge")
-    source = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
-    source = source.select("node", "pivot", "words", "text")
+    wanted = texts.select("node", "rep", "rep_key", "words").join(used, "node")
+    wanted = scratch.stage(wanted, "wanted")
+    # The key of the text keeps rows without an id, or of one id, from meeting all others.
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_key"))
+    source = docs.join(wanted.hint("merge"), same).select("node", "pivot", "words", "text")
     sets = source.mapInArrow(
         lambda b: _shingle_sets(b, k), "node long, pivot boolean, shingles binary"
     )
     sets = scratch.stage(sets, "shingle-sets")
+    if sets.count() > wanted.count():
+        # Rows that repeat an id and a text bring the same set again.
+        sets = scratch.stage(sets.dropDuplicates(["node"]), "distinct-sets")
     run = _Buckets(members, sets, limit, scratch)
     # Staged, so that adaptive execution can split the join of a hot pivot.
     pivots = scratch.stage(sets.filter("pivot").dropDuplicates(["node"]), "pivot-sets")
@@ -410,11 +417,23 @@ def _possible_pairs(
     rarest = Window.partitionBy("a", "b").orderBy("often", "shingle")
     ranked = outside.join(often, ["a", "shingle"]).withColumn("place", F.row_number().over(rarest))
     prefix = scratch.stage(ranked.filter("place <= reach and often > 1"), "rare-shingles")
+    # Two texts that have several rare shingles in common meet by the first of them, as
+    # far as their rarest ones tell.
+    rarest_ones = F.array_sort(F.collect_list(F.struct("place", "shingle")))
+    heads = prefix.filter(F.col("place") <= FIRST_SHINGLES).groupBy("a", "b").agg(
+        rarest_ones.alias("heads")
+    )
+    rarer = F.filter("heads", lambda x: x["place"] < F.col("place"))
+    prefix = prefix.join(heads, ["a", "b"], "left").withColumn(
+        "rarer", F.coalesce(F.transform(rarer, lambda x: x["shingle"]), F.array().cast("array<long>"))
+    )
+    prefix = scratch.stage(prefix.select("a", "b", "root", "shingle", "rarer"), "rare-heads")
     p1, p2 = (
-        prefix.select("a", "shingle", *[F.col(c).alias(f"{c}{i}") for c in ("b", "root")])
+        prefix.select("a", "shingle", *[F.col(c).alias(f"{c}{i}") for c in ("b", "root", "rarer")])
         for i in (1, 2)
     )
-    met = p1.join(p2, ["a", "shingle"]).filter(distinct).select("a", "b1", "b2").distinct()
+    first_met = distinct & ~F.arrays_overlap("rarer1", "rarer2")
+    met = p1.join(p2, ["a", "shingle"]).filter(first_met).select("a", "b1", "b2").distinct()
     by_outside = met.select("b1", "b2")
     pairs = by_pivot.unionByName(by_outside).distinct()
     return scratch.stage(pairs.select(F.col("b1").alias("a"), F.col("b2").alias("b")), "pairs")
@@ -450,13 +469,16 @@ def near_duplicates(
     signed = scratch.stage(
         keyed.mapInArrow(lambda b: _sign(b, shingle_words), schema), "signatures"
     )
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "any", "bands"))
+    first = F.min(
+        F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "any", "bands")
+    )
     texts = signed.groupBy("words").agg(first.alias("f")).select(
         F.monotonically_increasing_id().alias("node"), "words", F.col("f.doc_id").alias("rep"),
-        F.col("f.any").alias("any"), F.col("f.bands").alias("bands"),
+        F.col("f.text_key").alias("rep_key"), F.col("f.any").alias("any"),
+        F.col("f.bands").alias("bands"),
     )
     texts = scratch.stage(texts, "texts")
-    linked = _link(texts, rows, similarity, shingle_words, scratch)
+    linked = _link(texts, keyed, similarity, shingle_words, scratch)
     placed = texts.select("node", "words", "rep").join(linked, "node", "left")
     placed = placed.withColumn("root", F.coalesce("component", "node"))
     classes = placed.groupBy("root").agg(F.min("rep").alias("class_id"))

@@ -91,6 +91,25 @@ def test_near_duplicates(spark, scratch, monkeypatch, rounds):
     assert got == classes_of(range(len(texts)), pairs)
 
 
+def test_rows_without_ids_do_not_meet_each_other(spark, scratch):
+    """Many rows without an id, copies among them, are near duplicates of their own kind."""
+    texts = edited_texts(12, seed=9)
+    rows = [(None, t) for t in texts] + [(None, texts[0])] * 500 + [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = near_duplicates(docs, scratch=scratch).collect()
+    assert len(got) == len(rows)
+    by_text = {}
+    for r in got:
+        by_text.setdefault(bytes(r.text_key), set()).add(r.class_id)
+    assert all(len(classes) == 1 for classes in by_text.values())
+    counts = [shingle_counts(t) for t in texts]
+    pairs = [
+        (i, j) for i, j in combinations(range(len(texts)), 2) if similar(counts[i], counts[j]) >= 0.8
+    ]
+    want = classes_of(range(len(texts)), pairs)
+    assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == want
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     values = rng.integers(1, 1 << 62, 400).astype(np.uint64)
