@@ -206,7 +206,11 @@ READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long, ids array
 def read_token_files(files: DataFrame, folder: str, *, with_ids: bool = True) -> DataFrame:
     """Every document in the listed files: ``doc_id``, ``start`` (ids of all documents
     before it), ``n_tokens``, ``ids_crc32`` (of the ids as little-endian unsigned
-    32-bit integers) and, unless switched off, ``ids``."""
+    32-bit integers) and, unless switched off, ``ids``.
+
+    Files are read in a row; the last id of every document is also fetched by its place,
+    and a file whose levels, bitmaps and ranks do not agree is an error.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = open_folder(folder)
@@ -216,6 +220,10 @@ def read_token_files(files: DataFrame, folder: str, *, with_ids: bool = True) ->
                     file = TokenFile(source.read())
                 ids = file.ids().astype("<u4")
                 starts = np.concatenate([[0], file.ends[:-1]]).astype(np.int64)
+                # The last id of each document once more, by its place alone.
+                last = file.ends[file.ends > starts] - 1
+                if (file.get(last) != ids[last]).any():
+                    raise ValueError(f"'{row['path']}' does not read alike by place and in a row.")
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts, file.ends)]
                 columns = [
                     pa.array(file.document_ids, mask=~file.id_known),
