@@ -38,6 +38,15 @@ SAMPLE_ROWS = 20_000
 # statistic 2 ln L: by chance about one term in 100,000 reaches it.
 LEAST_EVIDENCE = 20.0
 
+# Two terms that tell nothing alone can tell together. Pairs are looked at among the terms
+# in at least this share of the labelled texts, and give weights to both terms if they tell
+# so much more than their terms do; by chance one pair in 4 billion reaches it.
+PAIR_SUPPORT = 0.02
+LEAST_PAIR_EVIDENCE = 40.0
+
+# Terms whose pairs are counted at a time, as columns of a matrix of all labelled texts.
+PAIR_BLOCK = 256
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -71,7 +80,7 @@ def slot_pairs(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.nd
 
 @dataclass(frozen=True)
 class Machine:
-    """Weights by slot; slots that tell nothing about the labels have none."""
+    """Weights by slot; slots that tell nothing, alone or in a pair, have none."""
 
     bias: float
     weights: np.ndarray
@@ -86,7 +95,7 @@ class Machine:
         return total
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        rows, slots = slot_pairs(texts, self.weights != 0)
+        rows, slots = slot_pairs(texts, (self.weights != 0) | self.factors.any(1))
         return 1 / (1 + np.exp(-np.clip(self.logits(rows, slots, len(texts)), -40, 40)))
 
 
@@ -104,6 +113,70 @@ def evidence(terms: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return total
 
 
+def _self_log(counts: np.ndarray) -> np.ndarray:
+    """``n ln n`` of whole numbers."""
+    return counts * np.log(np.maximum(counts, 1.0))
+
+
+def _label_evidence(cells: list[tuple[np.ndarray, np.ndarray]], whole: float) -> np.ndarray:
+    """Likelihood ratio statistic of texts parted into cells, given as (all, label 1)."""
+    total = whole
+    for all_, ones in cells:
+        total = total + _self_log(ones) + _self_log(all_ - ones) - _self_log(all_)
+    return 2 * total
+
+
+def paired_terms(terms: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Slots of pairs that tell more about the labels than their two terms do.
+
+    All pairs of terms with ``PAIR_SUPPORT`` are counted, block by block, so that memory
+    is that of two blocks whatever the number of terms.
+    """
+    sizes = [len(t) for t in terms]
+    slots = np.concatenate(terms)
+    row = np.repeat(np.arange(len(terms)), sizes)
+    seen = np.bincount(slots, minlength=SLOTS)
+    common = np.flatnonzero(seen >= max(2, PAIR_SUPPORT * len(terms)))
+    place = np.full(SLOTS, -1)
+    place[common] = np.arange(len(common))
+    at = place[slots]
+    row, at = row[at >= 0], at[at >= 0]
+    n, n1 = float(len(terms)), float(labels.sum())
+    whole = float(_self_log(np.array(n)) - _self_log(np.array([n1, n - n1])).sum())
+    # Counts below 2^24 are exact in single precision.
+    y = labels.astype(np.float32)[:, None]
+
+    def block(first: int) -> np.ndarray:
+        inside = (at >= first) & (at < first + PAIR_BLOCK)
+        cells = np.zeros((len(terms), min(PAIR_BLOCK, len(common) - first)), np.float32)
+        cells[row[inside], at[inside] - first] = 1
+        return cells
+
+    all_ = seen[common].astype(float)
+    ones = np.bincount(at, labels[row], len(common))
+    alone = _label_evidence([(all_, ones), (n - all_, n1 - ones)], whole)
+    told = np.zeros(len(common), bool)
+    for a in range(0, len(common), PAIR_BLOCK):
+        left = block(a)
+        i = slice(a, a + left.shape[1])
+        for b in range(a, len(common), PAIR_BLOCK):
+            right = left if b == a else block(b)
+            j = slice(b, b + right.shape[1])
+            both, both1 = (left.T @ right).astype(float), ((left * y).T @ right).astype(float)
+            ai, aj, oi, oj = all_[i, None], all_[None, j], ones[i, None], ones[None, j]
+            cells = [
+                (both, both1), (ai - both, oi - both1), (aj - both, oj - both1),
+                (n - ai - aj + both, n1 - oi - oj + both1),
+            ]
+            more = _label_evidence(cells, whole) - alone[i, None] - alone[None, j]
+            hit = more >= LEAST_PAIR_EVIDENCE
+            if b == a:
+                np.fill_diagonal(hit, False)
+            told[i] |= hit.any(1)
+            told[j] |= hit.any(0)
+    return common[told]
+
+
 def fit(
     terms: list[np.ndarray],
     labels: np.ndarray,
@@ -124,6 +197,7 @@ def fit(
         bias = 40.0 if share else -40.0
         return Machine(bias, np.zeros(SLOTS, np.float32), np.zeros((SLOTS, FACTORS), np.float32))
     used = np.flatnonzero(evidence(terms, labels) >= LEAST_EVIDENCE)
+    used = np.union1d(used, paired_terms(terms, labels))
     place = np.full(SLOTS, -1)
     place[used] = np.arange(len(used))
     terms = [p[p >= 0] for p in (place[t] for t in terms)]
@@ -242,7 +316,11 @@ def score_texts(
 def without_toxic(
     docs: DataFrame, machine: Machine, *, text_column: str = "text", limit: float = 0.5
 ) -> DataFrame:
-    """The rows whose texts score below ``limit``, all their columns unchanged."""
+    """The rows whose texts score below ``limit``, all their columns unchanged.
+
+    A null text scores as an empty one and stays null; ids are not looked at; repeated
+    rows go or stay alike; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     at = docs.columns.index(text_column)
 
