@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from millrace.llm.common import named
 from millrace.llm.components import connected_components
@@ -35,7 +36,12 @@ TILE_ROWS = 2_048
 # Vectors a cell should hold; it decides how many dimensions cells are cut in.
 CELL_ROWS = 800
 
-CELLS = "node long, copies long, unit array<float>, block int, cell string, home boolean"
+# Pairs of a tile compared in one block at a time, and numbers of whole vectors gathered
+# for those that are close there.
+STRIP_PAIRS = 1 << 18
+GATHERED = 1 << 21
+
+CELLS = "node long, copies long, unit array<{0}>, block int, cell string, home boolean"
 FOUND = "node long, links long, other long"
 
 
@@ -145,29 +151,38 @@ def tile_links(tile: pa.Table, cosine: float) -> pa.Table:
     turned = rotated(vectors)
     part = blocks(dims)[block]
     budgets = block_budgets(dims, cosine)
-    x, y = turned[left][:, part], turned[right][:, part]
-    square = (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T
-    i, j = np.nonzero(square <= budgets[block] + 1e-9)
-    i, j = left[i], right[j]
-    node, home = tile.column("node").to_numpy(), tile.column("home").to_numpy()
-    # Two vectors at home here meet once; a visitor meets those at home.
-    once = home[i] & (~home[j] | (node[i] < node[j]))
-    i, j = i[once], j[once]
-    for number in range(block + 1):
-        gap = turned[i][:, blocks(dims)[number]] - turned[j][:, blocks(dims)[number]]
-        close = np.einsum("ij,ij->i", gap, gap) <= budgets[number]
-        pick = close if number == block else ~close
-        i, j = i[pick], j[pick]
-    if not len(i):
-        return empty
     length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-    dots = np.einsum("ij,ij->i", vectors[i], vectors[j])
-    linked = dots / (length[i] * length[j]) >= cosine
-    i, j = i[linked], j[linked]
+    node, home = tile.column("node").to_numpy(), tile.column("home").to_numpy()
     copies = tile.column("copies").to_numpy()
     n = tile.num_rows
-    links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
-    root = _roots(n, i, j)
+    links, root = np.zeros(n), np.arange(n)
+    y = turned[right, part]
+    y_square = (y * y).sum(1)
+    strip = max(1, STRIP_PAIRS // len(right))
+    for start in range(0, len(left), strip):
+        rows = left[start : start + strip]
+        x = turned[rows, part]
+        square = (x * x).sum(1)[:, None] + y_square - 2 * x @ y.T
+        i, j = np.nonzero(square <= budgets[block] + 1e-9)
+        i, j = rows[i], right[j]
+        # Two vectors at home here meet once; a visitor meets those at home.
+        once = home[i] & (~home[j] | (node[i] < node[j]))
+        i, j = i[once], j[once]
+        for number in range(block + 1):
+            there = blocks(dims)[number]
+            gap = turned[i, there] - turned[j, there]
+            close = np.einsum("ij,ij->i", gap, gap) <= budgets[number]
+            pick = close if number == block else ~close
+            i, j = i[pick], j[pick]
+        some = max(1, GATHERED // dims)
+        for at in range(0, len(i), some):
+            a, b = i[at : at + some], j[at : at + some]
+            dots = np.einsum("ij,ij->i", vectors[a], vectors[b])
+            linked = dots / (length[a] * length[b]) >= cosine
+            a, b = a[linked], b[linked]
+            links += np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
+            every = np.arange(n)
+            root = _roots(n, np.concatenate([a, every]), np.concatenate([b, root]))
     hit = np.flatnonzero(links)
     return pa.table(
         {"node": node[hit], "links": links[hit].astype("int64"), "other": node[root[hit]]}
@@ -189,14 +204,18 @@ def near_vectors(
     Rows are linked when their labels are equal and the cosine of their vectors is
     ``cosine`` or more. A null label, a null, empty or zero vector and one with null
     or non-finite components link with nothing, nor do vectors of different lengths.
+    Singles are compared as such, all other numbers as doubles.
     Repeated vectors are joined once and counted as often. Rows that share an id
     each have their row; ids are whole numbers, and a null id is the smallest of its
     component only if there is no other. An empty table gives an empty result; other
     columns are ignored.
     """
+    given = vectors.select(named(vector_column)).schema[0].dataType
+    single = isinstance(given, ArrayType) and isinstance(given.elementType, FloatType)
+    number_type = "float" if single else "double"
     rows = vectors.select(
         named(id_column).cast("long").alias("vec_id"),
-        named(vector_column).cast("array<float>").alias("unit"),
+        named(vector_column).cast(f"array<{number_type}>").alias("unit"),
         named(label_column).cast("string").alias("kind"),
     )
     good = F.col("kind").isNotNull() & usable(F.col("unit"))
@@ -212,7 +231,7 @@ def near_vectors(
     cut_dims = min(cut_dims, BLOCK_DIMS)
     placed = scratch.stage(
         distinct.select("node", "copies", "unit", "kind").mapInArrow(
-            lambda b: _assign(b, cosine, cut_dims), CELLS
+            lambda b: _assign(b, cosine, cut_dims), CELLS.format(number_type)
         ),
         "cells",
     )

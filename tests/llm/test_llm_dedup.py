@@ -1,10 +1,12 @@
 """Duplicates against brute force."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +185,34 @@ def test_near_vectors(spark, scratch, monkeypatch, tile, cell):
     assert {i: r.component_id for i, r in got.items()} == classes
     assert all(r.kept == (i == classes[i]) for i, r in got.items())
     assert near_vectors(df.filter("false"), scratch=scratch).count() == 0
+
+
+def test_vectors_keep_the_precision_of_their_column(spark, scratch):
+    """Two doubles a little below the threshold, which rounds above it in singles."""
+    y = np.sqrt(1 - 0.93**2)
+    rows = [(1, [1.0, 0.0], 0), (2, [0.93 - 1e-9, float(y)], 0), (3, [0.93 + 1e-9, -float(y)], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in near_vectors(df, scratch=scratch).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
+
+
+def test_dense_tiles_take_little_memory():
+    """All pairs of a tile are close: a block of them is held, never all."""
+    n, dims = 1500, 64
+    rng = np.random.default_rng(2)
+    vectors = np.ones(dims) + rng.normal(size=(n, dims)) * 0.02
+    flat = pa.array(vectors.ravel())
+    offsets = pa.array(np.arange(n + 1) * dims, pa.int32())
+    true = pa.array(np.ones(n, bool))
+    tile = pa.table({
+        "node": pa.array(np.arange(n)), "copies": pa.array(np.ones(n, np.int64)),
+        "unit": pa.ListArray.from_arrays(offsets, flat), "block": pa.array(np.zeros(n, np.int32)),
+        "home": true, "left": true, "right": true,
+    })
+    tracemalloc.start()
+    found = pigeonhole_join.tile_links(tile, 0.93)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20
+    assert found.column("links").to_pylist() == [n - 1] * n
+    assert set(found.column("other").to_pylist()) == {0}
