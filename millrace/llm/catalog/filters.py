@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import backoff_automaton as backoff
 from millrace.llm.catalog.registry import query, table
-from millrace.llm.line_spread import without_boilerplate
+from millrace.llm.line_spread import CHANCE_WORDS, LONG_WORDS, SLACK, without_boilerplate
 from millrace.llm.mixing import mix_sources
 from millrace.llm.toxicity import fit_toxicity, held_out, score_texts
 from millrace.scratch import Scratch
@@ -26,7 +26,13 @@ def factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Sites that make a line boilerplate, and those that do for one of 50 words or more.
 MIN_SITES = 8
+LONG_SITES = 3
+
+# Two texts that share a part f of each have a Jaccard similarity of f / (2 - f), which
+# is the 0.8 of near duplicates from here on. Below, no document dedup takes anything.
+COPY_SHARE = 8 / 9
 
 
 @query(
@@ -40,20 +46,49 @@ MIN_SITES = 8
     lines AS (
         SELECT doc_id, text, place, trim(line, ' ') AS line, line AS raw FROM places
     ),
+    seen AS (
+        SELECT line, len(string_split_regex(line, ' +')) AS n_words, count(*) AS n,
+               count(DISTINCT source) AS sites
+        FROM (
+            SELECT source, trim(line, ' ') AS line
+            FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM rows)
+        ) WHERE line <> '' GROUP BY line
+    ),
+    alike AS (SELECT n_words, sum(n)::DOUBLE AS alike FROM seen GROUP BY n_words),
     spread AS (
-        SELECT trim(line, ' ') AS line FROM (
-            SELECT source, unnest(string_split(text, chr(10))) AS line FROM rows
-        ) WHERE trim(line, ' ') <> ''
-        GROUP BY 1 HAVING count(DISTINCT source) >= {MIN_SITES}
+        SELECT * FROM seen
+        WHERE sites >= CASE WHEN n_words >= {LONG_WORDS} THEN {LONG_SITES} ELSE {MIN_SITES} END
+    ),
+    words AS (
+        SELECT word, count(*) AS times FROM (
+            SELECT unnest(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM rows
+        ) WHERE word <> '' GROUP BY word
+    ),
+    short_words AS (
+        SELECT line, n, word, count(*) AS k FROM (
+            SELECT line, n, unnest(string_split_regex(lower(line), '[^\\p{{L}}\\p{{N}}]+')) AS word
+            FROM spread WHERE n_words <= {CHANCE_WORDS}
+        ) WHERE word <> '' GROUP BY line, n, word
+    ),
+    likely AS (
+        SELECT line, sum(k) AS k, bool_or(times <= n * k) AS own_words,
+               sum(CASE WHEN times > n * k THEN k * (ln(times - n * k) + ln({SLACK})) END) AS logs
+        FROM short_words JOIN words USING (word) GROUP BY line
+    ),
+    boilerplate AS (
+        SELECT line FROM spread JOIN alike USING (n_words) LEFT JOIN likely USING (line)
+        WHERE n_words > {CHANCE_WORDS} OR k IS NULL OR own_words
+           OR n > (alike - n) * exp(
+               logs - k * ln(greatest((SELECT sum(times) FROM words) - n * k, 1)))
     ),
     marked AS (
         SELECT l.*, l.line <> '' AS counted, s.line IS NOT NULL AS wide
-        FROM lines l LEFT JOIN spread s ON l.line = s.line
+        FROM lines l LEFT JOIN boilerplate s ON l.line = s.line
     ),
     sizes AS (
         SELECT doc_id, text, count(*) FILTER (counted) AS n_lines, count(*) FILTER (wide) AS n_wide,
                coalesce(sum(length(line)) FILTER (wide), 0)
-                   <= 0.5 * coalesce(sum(length(line)) FILTER (counted), 0) AS cut,
+                   <= 8::DOUBLE / 9 * coalesce(sum(length(line)) FILTER (counted), 0) AS cut,
                coalesce(string_agg(raw, chr(10) ORDER BY place) FILTER (NOT wide), '') AS rest
         FROM marked GROUP BY doc_id, text
     )
@@ -64,13 +99,23 @@ MIN_SITES = 8
     """,
 )
 def line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that stand on eight sites or more."""
-    cleaned = without_boilerplate(
-        table(spark, sf_dir, "documents"), scratch=Scratch(spark), min_sites=MIN_SITES
-    )
+    """Every document without the lines that stand on many sites for their length."""
+    cleaned = without_widespread(table(spark, sf_dir, "documents"), Scratch(spark))
     return cleaned.select("doc_id", "cleaned_text", "n_lines", "n_removed")
 
 
+def without_widespread(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``without_boilerplate`` with the parameters of the query and the pipeline."""
+    return without_boilerplate(
+        docs,
+        scratch=scratch,
+        min_sites=MIN_SITES,
+        max_share=COPY_SHARE,
+        long_sites=LONG_SITES,
+        by_chance=True,
+    )
+
+
 MIX_WEIGHTS = {
     "domain": {"web": 5, "reference": 3, "forum": 2},
     "lang": {"en": 6, "de": 2, "fr": 2, "es": 1},

@@ -169,7 +169,7 @@ def without_boilerplate(
     cuts = scratch.stage(
         cuts.select(
             F.col("id").alias("cut_id"), "t1", "t2",
-            F.col("cuts.place").alias("places"),
+            F.array_sort("cuts.place").alias("places"),
             F.aggregate("cuts.size", F.lit(0).cast("long"), lambda a, b: a + b).alias("cut_size"),
         ),
         "cuts",
@@ -181,13 +181,16 @@ def without_boilerplate(
     joined = whole.alias("whole").join(
         cuts.alias("cuts"), [F.col("id").eqNullSafe(F.col("cut_id")), *same], "left"
     )
-    lines = F.split("text", "\n", -1)
-    counted = F.filter(lines, lambda line: F.trim(line) != "")
+    joined = joined.withColumn("lines", F.split("text", "\n", -1))
+    counted = F.filter("lines", lambda line: F.trim(line) != "")
     total = F.aggregate(
         counted, F.lit(0).cast("long"), lambda a, line: a + F.length(F.trim(line))
     )
     cut = F.col("cut_size").isNotNull() & (F.col("cut_size") <= total * F.lit(max_share))
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("places", i))
+    # What is left is the lines between neighbouring cuts.
+    first = F.concat(F.array(F.lit(0)), F.transform("places", lambda place: place + 1))
+    last = F.concat("places", F.array(F.size("lines")))
+    kept = F.flatten(F.zip_with(first, last, lambda a, b: F.slice("lines", a + 1, b - a)))
     original = F.col(f"row.c{docs.columns.index(text_column)}")
     new = {
         "cleaned_text": F.when(cut, F.array_join(kept, "\n")).otherwise(original),

@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from llm_cases import EMPTY_SCHEMA, odd_documents
 from millrace.llm import backoff_automaton as lm
-from millrace.llm import line_spread
+from millrace.llm import line_spread, toxicity
 from millrace.llm.line_spread import without_boilerplate
 from millrace.llm.mixing import leaf_budgets, mix_sources
 from millrace.llm.toxicity import fit, fit_toxicity, score_texts, slot_pairs, without_toxic
@@ -43,6 +44,63 @@ def test_pairs_of_terms_are_learned():
     assert (predicted == np.array(labels)).mean() > 0.97
 
 
+def either(n, seed):
+    """One of the words makes a text toxic, both together do not: each tells nothing."""
+    rng = np.random.default_rng(seed)
+    texts, labels = [], []
+    for _ in range(n):
+        has = rng.random(2) < 0.5
+        words = [f"w{i}" for i in rng.integers(0, 300, 10)]
+        texts.append(" ".join(words + [w for w, h in zip(("silly", "people"), has) if h]))
+        labels.append(int(has[0] != has[1]))
+    return texts, np.array(labels)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_pairs_of_terms_that_tell_nothing_alone_are_learned(turned):
+    texts, labels = either(4000, 5)
+    machine = fitted(texts, labels ^ turned)
+    texts, labels = either(500, 6)
+    predicted = machine.scores(pa.array(texts)) >= 0.5
+    assert (predicted == (labels ^ turned)).mean() > 0.97
+
+
+def pairs_by_count(terms, labels):
+    """Terms of telling pairs, one pair after the other."""
+
+    def told(cells):
+        total = 0.0
+        for cell in set(cells):
+            inside = labels[[c == cell for c in cells]]
+            for k in (0, 1):
+                got, expected = (inside == k).sum(), len(inside) * (labels == k).mean()
+                total += 2 * got * np.log(got / expected) if got else 0
+        return total
+
+    seen = Counter(s for t in terms for s in t.tolist())
+    common = [s for s, c in seen.items() if c >= max(2, toxicity.PAIR_SUPPORT * len(terms))]
+    has = {s: [s in set(t.tolist()) for t in terms] for s in common}
+    alone = {s: told(has[s]) for s in common}
+    found = set()
+    for a, b in combinations(common, 2):
+        more = told(list(zip(has[a], has[b]))) - alone[a] - alone[b]
+        if more >= toxicity.LEAST_PAIR_EVIDENCE:
+            found |= {a, b}
+    return found
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_telling_pairs_are_found(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "PAIR_BLOCK", block)
+    monkeypatch.setattr(toxicity, "LEAST_PAIR_EVIDENCE", 4.0)
+    rng = np.random.default_rng(8)
+    terms = [np.flatnonzero(rng.random(14) < 0.3) * 1001 for _ in range(150)]
+    labels = np.array([(0 in t) != (1001 in t) for t in terms], float)
+    expected = pairs_by_count(terms, labels)
+    assert {0, 1001} <= expected and len(expected) < 14
+    assert set(toxicity.paired_terms(terms, labels).tolist()) == expected
+
+
 def test_toxicity(spark, scratch):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
