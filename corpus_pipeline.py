@@ -15,22 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bag_minhash import without_near_duplicates
-from millrace.llm.catalog.filters import MAX_EPOCHS, MIN_SITES, MIX_WEIGHTS, mix_levels
+from millrace.llm.catalog.filters import MAX_EPOCHS, MIX_WEIGHTS, mix_levels, without_widespread
 from millrace.llm.catalog.tokens import END_ID
 from millrace.llm.harmonic_packing import pack_documents
-from millrace.llm.line_spread import without_boilerplate
 from millrace.llm.mixing import mix_sources
 from millrace.llm.toxicity import fit_toxicity, without_toxic
 from millrace.scratch import Scratch
 
-# Sites that make a line of 50 words or more boilerplate.
-LONG_SITES = 3
-
-# Two texts that share a part f of each have a Jaccard similarity of f / (2 - f), which
-# is the 0.8 of near duplicates from here on. Below, no later stage takes anything.
-COPY_SHARE = 8 / 9
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half for toxicity."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -39,14 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that stand on many sites for their length."""
-    cleaned = without_boilerplate(
-        docs,
-        scratch=Scratch(spark),
-        min_sites=MIN_SITES,
-        max_share=COPY_SHARE,
-        long_sites=LONG_SITES,
-        by_chance=True,
-    )
+    cleaned = without_widespread(docs, Scratch(spark))
     text = F.col("cleaned_text")
     changed = F.col("n_removed") > 0
     n_chars = F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))
