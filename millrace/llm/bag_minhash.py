@@ -11,9 +11,9 @@ made. Signatures are cut into bands; texts with a band in common are compared ex
 
 Texts with the same words collapse first. Within a band's bucket, which may be large,
 texts are compared with a pivot, texts linked so are one component, and a few rounds
-with further pivots link what the first one missed. Of the pairs still in different
-components those are compared that can be similar by what each text shares with a
-pivot and what both have besides.
+with further pivots link what the first one missed. Pairs still in different components
+are compared tile by tile: a task counts what the texts of two bounded blocks have in
+common and reports a spanning forest of the links, never pairs.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import byte_slices, named, text_of
-from millrace.llm.components import connected_components
+from millrace.llm.components import connected_components, smallest_reachable
 from millrace.scratch import Scratch
 
 SHINGLE_WORDS = 5
@@ -37,11 +37,17 @@ BAND_ROWS = 4
 
 # Pivot rounds go on while exhaustion would cost more comparisons per member than
 # COMPARISONS, as long as a round saves at least SAVING of that cost.
-COMPARISONS = 2
+COMPARISONS = 128
 SAVING = 0.05
 
-# Rarest shingles of a text by which a pair that met already is recognised.
-FIRST_SHINGLES = 16
+# Texts and shingles of one side of a tile, and numbers a task counts with at a time.
+TILE_ROWS = 1_024
+TILE_SHINGLES = 1 << 19
+COUNTED = 1 << 22
+
+# Shingles that at least one of so many pairs of a tile share are counted by a matrix
+# product, the others pair by pair.
+DENSE = 64
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SLICE = 4 << 20
@@ -232,27 +238,81 @@ def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each text shares with its pivot, and its shingles that the pivot lacks."""
-    for batch in batches:
-        sizes, shared, outside = [], [], []
-        for left, right in zip(batch.column("sa"), batch.column("sb")):
-            a, b = (np.frombuffer(s.as_buffer(), np.int64) for s in (left, right))
-            own = np.setdiff1d(b, a, assume_unique=True)
-            sizes.append(len(b))
-            shared.append(len(b) - len(own))
-            outside.append(own)
-        bounds = np.concatenate([[0], np.cumsum([len(o) for o in outside])]).astype(np.int32)
-        values = np.concatenate([np.zeros(0, np.int64), *outside])
-        yield pa.RecordBatch.from_arrays(
-            [
-                *(batch.column(c) for c in ("a", "b", "root")),
-                pa.array(sizes, pa.int64()),
-                pa.array(shared, pa.int64()),
-                pa.ListArray.from_arrays(bounds, pa.array(values)),
-            ],
-            names=["a", "b", "root", "n", "shared", "outside"],
-        )
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set on the left shares with each on the right."""
+    n, m = len(left), len(right)
+    total = np.zeros(n * m)
+    codes = np.concatenate([*left, *right])
+    if not len(codes):
+        return total.reshape(n, m)
+    owner = np.repeat(np.arange(n + m), [len(s) for s in (*left, *right)])
+    # Of equal values those on the left come first.
+    order = np.argsort(codes, kind="stable")
+    codes, owner = codes[order], owner[order]
+    new = np.append(True, codes[1:] != codes[:-1])
+    first, column = np.flatnonzero(new), np.cumsum(new) - 1
+    on_left = owner < n
+    n_left = np.bincount(column[on_left], minlength=len(first))
+    n_right = np.diff(np.append(first, len(codes))) - n_left
+    often = n_left * n_right * DENSE > n * m
+    place = np.where(often, np.cumsum(often) - 1, -1)[column]
+    width = max(1, COUNTED // (n + m))
+    for start in range(0, int(often.sum()), width):
+        inside = (place >= start) & (place < start + width)
+        cells = np.zeros((n + m, min(width, int(often.sum()) - start)), np.float32)
+        cells[owner[inside], place[inside] - start] = 1
+        total += (cells[:n] @ cells[n:].T).ravel()
+    some = np.flatnonzero(on_left & ~often[column] & (n_right[column] > 0))
+    partners = n_right[column[some]]
+    begin = (first + n_left)[column[some]]
+    ends = np.cumsum(partners)
+    steps = np.arange(COUNTED, ends[-1] + COUNTED, COUNTED) if len(some) else np.zeros(0)
+    at = 0
+    for stop in np.searchsorted(ends, steps, side="right"):
+        stop = max(stop, min(at + 1, len(some)))
+        size = partners[at:stop]
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        there = owner[np.repeat(begin[at:stop], size) + inner] - n
+        here = np.repeat(owner[some[at:stop]], size)
+        total += np.bincount(here * m + there, minlength=n * m)
+        at = stop
+    return total.reshape(n, m)
+
+
+def tile_forest(tile: pa.Table, limit: float) -> pa.Table:
+    """Edges ``a``, ``b`` that connect what the links of a tile connect.
+
+    A tile holds the texts that met at one centre, or at several whole ones. Those on
+    the left are compared with those on the right of other components.
+    """
+    centre, node, root, main, on_left = (
+        tile.column(c).to_numpy() for c in ("a", "node", "root", "main", "left")
+    )
+    cells = tile.column("shingles").combine_chunks()
+    order = np.argsort(centre, kind="stable")
+    bounds = np.flatnonzero(np.append(True, np.diff(centre[order]) != 0))
+    low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for rows in np.split(order, bounds[1:]):
+        left, right = rows[on_left[rows]], rows[~on_left[rows]]
+        if not len(left) or not len(right):
+            continue
+        sets = [
+            [np.frombuffer(cells[int(i)].as_buffer(), np.int64) for i in side]
+            for side in (left, right)
+        ]
+        shared = common_counts(*sets)
+        n_left, n_right = (np.array([len(x) for x in side]) for side in sets)
+        # Two texts outside the main component meet twice, but count once.
+        once = main[right] | (node[left][:, None] < node[right])
+        close = shared / (n_left[:, None] + n_right - shared) >= limit
+        i, j = np.nonzero(close & once & (root[left][:, None] != root[right]))
+        if not len(i):
+            continue
+        nodes, number = np.unique(node[np.concatenate([left[i], right[j]])], return_inverse=True)
+        reached = nodes[smallest_reachable(len(nodes), number[: len(i)], number[len(i) :])]
+        low.append(reached[reached != nodes])
+        high.append(nodes[reached != nodes])
+    return pa.table({"a": np.concatenate(high), "b": np.concatenate(low)})
 
 
 class _Buckets:
@@ -270,9 +330,11 @@ class _Buckets:
         found = self.scratch.stage(joined.mapInArrow(_similarities, schema), label)
         return found
 
-    def components(self, measured: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
-        """Components of the earlier ones and the links among the pairs measured now."""
-        links = measured.filter(F.col("similarity") >= self.limit).select("a", "b")
+    def similar(self, measured: DataFrame) -> DataFrame:
+        return measured.filter(F.col("similarity") >= self.limit).select("a", "b")
+
+    def components(self, links: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+        """Components of the earlier ones and the links found now."""
         if earlier is not None:
             if links.isEmpty():
                 return earlier
@@ -282,14 +344,17 @@ class _Buckets:
         return self.scratch.stage(found, "components")
 
     def open_members(self, components: DataFrame) -> DataFrame:
-        """Members of buckets that still hold several components."""
+        """Members of buckets that still hold several components.
+
+        The two texts of a bucket of two were compared as pivot and member.
+        """
         placed = self.members.join(
             components.withColumnRenamed("component", "root"), "node", "left"
         ).withColumn("root", F.coalesce("root", "node"))
         mixed = placed.groupBy("band", "key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high")
+            F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")
         )
-        mixed = self.scratch.stage(mixed.filter("low < high").select("band", "key"), "mixed")
+        mixed = self.scratch.stage(mixed.filter("low < high AND n > 2").select("band", "key"), "mixed")
         return self.scratch.stage(placed.join(mixed, ["band", "key"], "left_semi"), "open")
 
     def largest(self, open_: DataFrame, number: int) -> DataFrame:
@@ -313,6 +378,52 @@ class _Buckets:
         )
         return self.scratch.stage(found, "largest")
 
+    def links_by_tiles(self, open_: DataFrame, largest: DataFrame) -> DataFrame:
+        """Links between different components within buckets, as spanning forests.
+
+        Texts that met at one centre, a text of their bucket's largest component, are
+        dealt into blocks of bounded size, those outside that component on the left and
+        all on the right. Centres of one block a side share tasks.
+        """
+        near = open_.join(largest.select("band", "key", "a", "main"), ["band", "key"])
+        near = near.select("a", "node", "root", (F.col("root") == F.col("main")).alias("main"))
+        near = near.distinct().join(self.sets.select("node", "shingles"), "node")
+        near = self.scratch.stage(near, "near")
+        n_shingles = F.octet_length("shingles") / 8
+
+        def blocks(these: Column) -> Column:
+            by_shingles = F.ceil(F.sum(F.when(these, n_shingles).otherwise(0)) / TILE_SHINGLES)
+            by_rows = F.ceil(F.count_if(these) / TILE_ROWS)
+            return F.greatest(by_shingles, by_rows).cast("int")
+
+        centres = near.groupBy("a").agg(
+            blocks(~F.col("main")).alias("n_left"), blocks(F.lit(True)).alias("n_right"),
+            F.sum(n_shingles).alias("size"), F.count("*").alias("rows"),
+        )
+        centres = self.scratch.stage(centres.filter("n_left > 0"), "centres")
+        single = (F.col("n_left") == 1) & (F.col("n_right") == 1)
+        tasks = F.greatest(F.sum("size") / TILE_SHINGLES, F.sum("rows") / (8 * TILE_ROWS))
+        packs = int(centres.filter(single).agg(tasks).first()[0] or 0) + 1
+        pack = F.when(single, F.pmod(F.xxhash64("a"), F.lit(packs)) - packs).otherwise(F.col("a"))
+        dealt = near.join(centres.select("a", "n_left", "n_right", pack.alias("pack")), "a")
+        block = [F.pmod(F.xxhash64("node"), F.col(n)).cast("int") for n in ("n_left", "n_right")]
+        all_blocks = [
+            F.explode(F.sequence(F.lit(0), F.col(n) - 1)) for n in ("n_left", "n_right")
+        ]
+        columns = ["pack", "a", "node", "root", "main", "shingles"]
+        tiles = dealt.filter("not main").select(
+            *columns, F.lit(True).alias("left"), block[0].alias("p"), all_blocks[1].alias("q")
+        ).unionByName(
+            dealt.select(
+                *columns, F.lit(False).alias("left"), all_blocks[0].alias("p"), block[1].alias("q")
+            )
+        )
+        limit = self.limit
+        found = tiles.groupBy("pack", "p", "q").applyInArrow(
+            lambda tile: tile_forest(tile, limit), "a long, b long"
+        )
+        return self.scratch.stage(found, "links-by-tiles")
+
 
 def _link(texts: DataFrame, docs: DataFrame, limit: float, k: int, scratch: Scratch) -> DataFrame:
     """Components of the texts, each by its number."""
@@ -345,7 +456,7 @@ def _link(texts: DataFrame, docs: DataFrame, limit: float, k: int, scratch: Scra
     # Staged, so that adaptive execution can split the join of a hot pivot.
     pivots = scratch.stage(sets.filter("pivot").dropDuplicates(["node"]), "pivot-sets")
     measured = run.measure(first, pivots, "similarities-0")
-    components = run.components(measured)
+    components = run.components(run.similar(measured))
     distance = measured.select(
         F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far")
     )
@@ -363,80 +474,10 @@ def _link(texts: DataFrame, docs: DataFrame, limit: float, k: int, scratch: Scra
         pairs = open_.join(largest, ["band", "key"]).filter("root != main")
         pairs = pairs.select("a", F.col("node").alias("b")).distinct()
         found = run.measure(scratch.stage(pairs, "pairs"), sets, f"similarities-{number}")
-        components = run.components(found, components)
+        components = run.components(run.similar(found), components)
     if open_.isEmpty():
         return components
-    pairs = _possible_pairs(run, open_, largest, limit, scratch)
-    found = run.measure(pairs, sets, "similarities-rest")
-    return run.components(found, components)
-
-
-def _possible_pairs(
-    run: _Buckets, open_: DataFrame, largest: DataFrame, limit: float, scratch: Scratch
-) -> DataFrame:
-    """Pairs of different components in a bucket that can be similar enough, all of them.
-
-    With a pivot P, two texts share at most the lesser of what each shares with P, and
-    the shingles outside P that both have. So either what they share with P is enough
-    by itself, or they have a shingle outside P in common, and enough of these.
-    """
-    near = open_.join(largest.select("band", "key", "a"), ["band", "key"])
-    near = scratch.stage(near.select("a", F.col("node").alias("b"), "root").distinct(), "near")
-    sets = run.sets
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    left = scratch.stage(near.select("a").distinct(), "centres").join(
-        sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a"
-    )
-    left = scratch.stage(left.dropDuplicates(["a"]), "centre-sets")
-    joined = near.join(right, "b").join(left, "a").select("a", "b", "root", "sa", "sb")
-    schema = "a long, b long, root long, n long, shared long, outside array<long>"
-    parts = scratch.stage(joined.mapInArrow(_outside, schema), "outside")
-    needed = limit / (1 + limit)
-    shared = F.least("shared1", "shared2")
-    wanted = needed * (F.col("n1") + F.col("n2")) - 1e-6
-    distinct = (F.col("root1") != F.col("root2")) & (F.col("b1") > F.col("b2"))
-    # Only texts that share enough with the pivot for the shortest partner come in question.
-    least = parts.groupBy("a").agg(F.min("n").alias("least"))
-    enough = F.col("shared") >= needed * (F.col("n") + F.col("least")) - 1e-6
-    able = parts.join(least, "a").filter(enough)
-    able = scratch.stage(able.drop("least", "outside"), "able")
-    a1, a2 = (
-        able.select("a", *[F.col(c).alias(f"{c}{i}") for c in ("b", "root", "n", "shared")])
-        for i in (1, 2)
-    )
-    by_pivot = a1.join(a2, "a").filter(distinct & (shared >= wanted)).select("b1", "b2")
-    # A text that needs k of its m outside shingles in a partner meets it by one of its
-    # m - k + 1 rarest at the latest.
-    k = F.greatest(F.ceil(needed * (F.col("n") + F.col("least")) - 1e-6) - F.col("shared"), F.lit(1))
-    outside = parts.join(least, "a").withColumn("reach", F.size("outside") - k + 1)
-    outside = outside.filter("reach > 0").select(
-        "a", "b", "root", "n", "shared", "reach", F.explode("outside").alias("shingle")
-    )
-    outside = scratch.stage(outside, "outside-shingles")
-    often = outside.groupBy("a", "shingle").agg(F.count("*").alias("often"))
-    rarest = Window.partitionBy("a", "b").orderBy("often", "shingle")
-    ranked = outside.join(often, ["a", "shingle"]).withColumn("place", F.row_number().over(rarest))
-    prefix = scratch.stage(ranked.filter("place <= reach and often > 1"), "rare-shingles")
-    # Two texts that have several rare shingles in common meet by the first of them, as
-    # far as their rarest ones tell.
-    rarest_ones = F.array_sort(F.collect_list(F.struct("place", "shingle")))
-    heads = prefix.filter(F.col("place") <= FIRST_SHINGLES).groupBy("a", "b").agg(
-        rarest_ones.alias("heads")
-    )
-    rarer = F.filter("heads", lambda x: x["place"] < F.col("place"))
-    prefix = prefix.join(heads, ["a", "b"], "left").withColumn(
-        "rarer", F.coalesce(F.transform(rarer, lambda x: x["shingle"]), F.array().cast("array<long>"))
-    )
-    prefix = scratch.stage(prefix.select("a", "b", "root", "shingle", "rarer"), "rare-heads")
-    p1, p2 = (
-        prefix.select("a", "shingle", *[F.col(c).alias(f"{c}{i}") for c in ("b", "root", "rarer")])
-        for i in (1, 2)
-    )
-    first_met = distinct & ~F.arrays_overlap("rarer1", "rarer2")
-    met = p1.join(p2, ["a", "shingle"]).filter(first_met).select("a", "b1", "b2").distinct()
-    by_outside = met.select("b1", "b2")
-    pairs = by_pivot.unionByName(by_outside).distinct()
-    return scratch.stage(pairs.select(F.col("b1").alias("a"), F.col("b2").alias("b")), "pairs")
+    return run.components(run.links_by_tiles(open_, largest), components)
 
 
 def near_duplicates(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from millrace.llm.common import named
-from millrace.llm.components import connected_components
+from millrace.llm.components import connected_components, smallest_reachable
 from millrace.scratch import Scratch
 
 BLOCK_DIMS = 8
@@ -119,20 +119,6 @@ def _assign(
                     )
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest reachable number of each of ``n`` nodes with edges ``a``, ``b``."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def tile_links(tile: pa.Table, cosine: float) -> pa.Table:
     """Links between the left and the right rows of a tile.
 
@@ -182,7 +168,7 @@ def tile_links(tile: pa.Table, cosine: float) -> pa.Table:
             a, b = a[linked], b[linked]
             links += np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
             every = np.arange(n)
-            root = _roots(n, np.concatenate([a, every]), np.concatenate([b, root]))
+            root = smallest_reachable(n, np.concatenate([a, every]), np.concatenate([b, root]))
     hit = np.flatnonzero(links)
     return pa.table(
         {"node": node[hit], "links": links[hit].astype("int64"), "other": node[root[hit]]}

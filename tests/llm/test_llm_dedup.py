@@ -79,9 +79,10 @@ def edited_texts(n, seed=5):
     return texts
 
 
-@pytest.mark.parametrize("rounds", [0, 12])
-def test_near_duplicates(spark, scratch, monkeypatch, rounds):
+@pytest.mark.parametrize("rounds,tile", [(0, 1024), (0, 2), (12, 1024)])
+def test_near_duplicates(spark, scratch, monkeypatch, rounds, tile):
     monkeypatch.setattr(bag_minhash, "COMPARISONS", 0 if rounds else 10**9)
+    monkeypatch.setattr(bag_minhash, "TILE_ROWS", tile)
     texts = edited_texts(25)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     counts = [shingle_counts(t) for t in texts]
@@ -93,6 +94,44 @@ def test_near_duplicates(spark, scratch, monkeypatch, rounds):
     assert got == classes_of(range(len(texts)), pairs)
 
 
+def test_a_large_group_of_near_copies(spark, scratch):
+    """No text is close to all others; the links among 2,000 are found in tiles."""
+    rng = np.random.default_rng(21)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for _ in range(2000):
+        words = list(base)
+        for at in rng.choice(90, int(rng.integers(1, 5)), replace=False):
+            words[at] = f"e{rng.integers(0, 40)}"
+        texts.append(" ".join(words))
+    number = {}
+    has = np.zeros((len(texts), 60_000), np.float32)
+    for i, text in enumerate(texts):
+        for shingle in shingle_counts(text):
+            has[i, number.setdefault(shingle, len(number))] = 1
+    shared = has[:, : len(number)] @ has[:, : len(number)].T
+    close = shared / (2 * 86 - shared) >= 0.8
+    pairs = zip(*(x.tolist() for x in np.nonzero(np.triu(close, 1))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs, scratch=scratch).collect()}
+    want = classes_of(range(len(texts)), pairs)
+    assert 1 < len(set(want.values())) < len(texts)
+    assert got == want
+
+
+@pytest.mark.parametrize("counted,dense", [(1 << 22, 64), (50, 64), (50, 1), (200, 10**9)])
+def test_common_counts(monkeypatch, counted, dense):
+    monkeypatch.setattr(bag_minhash, "COUNTED", counted)
+    monkeypatch.setattr(bag_minhash, "DENSE", dense)
+    rng = np.random.default_rng(counted)
+    draw = [rng.choice(60, int(rng.integers(0, 40)), replace=False) for _ in range(25)]
+    left, right = draw[:10], draw[10:]
+    want = [[len(set(a) & set(b)) for b in right] for a in left]
+    assert bag_minhash.common_counts(left, right).tolist() == want
+    nothing = [np.zeros(0, np.int64)]
+    assert bag_minhash.common_counts(nothing, nothing * 2).tolist() == [[0, 0]]
+
+
 def test_rows_without_ids_do_not_meet_each_other(spark, scratch):
     """Many rows without an id, copies among them, are near duplicates of their own kind."""
     texts = edited_texts(12, seed=9)
