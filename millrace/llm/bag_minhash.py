@@ -351,11 +351,11 @@ class _Buckets:
         placed = self.members.join(
             components.withColumnRenamed("component", "root"), "node", "left"
         ).withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("band", "key").agg(
+        mixed = placed.groupBy("pivot").agg(
             F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")
         )
-        mixed = self.scratch.stage(mixed.filter("low < high AND n > 2").select("band", "key"), "mixed")
-        return self.scratch.stage(placed.join(mixed, ["band", "key"], "left_semi"), "open")
+        mixed = self.scratch.stage(mixed.filter("low < high AND n > 2").select("pivot"), "mixed")
+        return self.scratch.stage(placed.join(mixed, "pivot", "left_semi"), "open")
 
     def largest(self, open_: DataFrame, number: int) -> DataFrame:
         """The largest component of each bucket, one of its texts, and the comparisons
@@ -367,13 +367,13 @@ class _Buckets:
         first = F.when(F.col("far") > 0, F.col("far")) if number == 0 else F.lit(0.0)
         first = F.coalesce(first, F.lit(2.0))
         order = F.struct(first, F.xxhash64(F.lit(number), "node"), "node")
-        sizes = open_.groupBy("band", "key", "root").agg(
+        sizes = open_.groupBy("pivot", "root").agg(
             F.count("*").alias("n"), F.min(order).alias("c")
         )
         main = F.max(F.struct("n", "root", "c.node")).alias("l")
-        found = sizes.groupBy("band", "key").agg(main, F.sum("n").alias("all"))
+        found = sizes.groupBy("pivot").agg(main, F.sum("n").alias("all"))
         found = found.select(
-            "band", "key", F.col("l.root").alias("main"), F.col("l.node").alias("a"),
+            "pivot", F.col("l.root").alias("main"), F.col("l.node").alias("a"),
             ((F.col("all") - F.col("l.n")) * F.col("all")).alias("cost"),
         )
         return self.scratch.stage(found, "largest")
@@ -385,7 +385,7 @@ class _Buckets:
         dealt into blocks of bounded size, those outside that component on the left and
         all on the right. Centres of one block a side share tasks.
         """
-        near = open_.join(largest.select("band", "key", "a", "main"), ["band", "key"])
+        near = open_.join(largest.select("pivot", "a", "main"), "pivot")
         near = near.select("a", "node", "root", (F.col("root") == F.col("main")).alias("main"))
         near = near.distinct().join(self.sets.select("node", "shingles"), "node")
         near = self.scratch.stage(near, "near")
@@ -430,12 +430,11 @@ def _link(texts: DataFrame, docs: DataFrame, limit: float, k: int, scratch: Scra
     rows = texts.filter("any").select("node", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("pivot"))
     buckets = scratch.stage(buckets.filter("n > 1").select("band", "key", "pivot"), "buckets")
-    members = scratch.stage(rows.join(buckets, ["band", "key"]), "members")
-    first = scratch.stage(
-        members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        .distinct(),
-        "pairs",
-    )
+    # Texts that share a bucket share its pivot, so all buckets of a pivot are taken as one.
+    members = rows.join(buckets, ["band", "key"]).select("pivot", "node").distinct()
+    members = scratch.stage(members, "members")
+    first = members.filter("node != pivot")
+    first = first.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     used = first.select(F.col("b").alias("node"), F.lit(0).alias("p")).unionByName(
         first.select(F.col("a").alias("node"), F.lit(1).alias("p"))
     )
@@ -471,7 +470,7 @@ def _link(texts: DataFrame, docs: DataFrame, limit: float, k: int, scratch: Scra
             break
         number, before = number + 1, cost
         # Another pivot out of each bucket's largest component, for all the others.
-        pairs = open_.join(largest, ["band", "key"]).filter("root != main")
+        pairs = open_.join(largest, "pivot").filter("root != main")
         pairs = pairs.select("a", F.col("node").alias("b")).distinct()
         found = run.measure(scratch.stage(pairs, "pairs"), sets, f"similarities-{number}")
         components = run.components(run.similar(found), components)
