@@ -180,9 +180,10 @@ def band_hashes(signature: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return total.view(np.int64)
 
 
-def _cells(values: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
+def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """The values of each of ``n`` owners, whose numbers ascend, as one list."""
     bounds = np.searchsorted(owner, np.arange(n + 1))
-    return [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
 
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -219,25 +220,12 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Reco
                 [
                     piece.column("node"),
                     piece.column("pivot"),
-                    pa.array(_cells(coded, owner, len(piece)), pa.binary()),
+                    _lists(coded, owner, len(piece)),
                 ],
                 names=["node", "pivot", "shingles"],
             ).filter(same)
 
 
-def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = []
-        for left, right in zip(batch.column("sa"), batch.column("sb")):
-            a, b = (np.frombuffer(s.as_buffer(), np.uint64) for s in (left, right))
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            found.append(shared / (len(a) + len(b) - shared))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(found, pa.float64())],
-            names=["a", "b", "similarity"],
-        )
-
-
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many values each set on the left shares with each on the right."""
     n, m = len(left), len(right)
@@ -288,7 +276,8 @@ def tile_forest(tile: pa.Table, limit: float) -> pa.Table:
     centre, node, root, main, on_left = (
         tile.column(c).to_numpy() for c in ("a", "node", "root", "main", "left")
     )
-    cells = tile.column("shingles").combine_chunks()
+    lists = tile.column("shingles").combine_chunks()
+    cells = np.split(lists.values.to_numpy(), lists.offsets.to_numpy())[1:]
     order = np.argsort(centre, kind="stable")
     bounds = np.flatnonzero(np.append(True, np.diff(centre[order]) != 0))
     low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -296,10 +285,7 @@ def tile_forest(tile: pa.Table, limit: float) -> pa.Table:
         left, right = rows[on_left[rows]], rows[~on_left[rows]]
         if not len(left) or not len(right):
             continue
-        sets = [
-            [np.frombuffer(cells[int(i)].as_buffer(), np.int64) for i in side]
-            for side in (left, right)
-        ]
+        sets = [[cells[i] for i in side] for side in (left, right)]
         shared = common_counts(*sets)
         n_left, n_right = (np.array([len(x) for x in side]) for side in sets)
         # Two texts outside the main component meet twice, but count once.
@@ -325,10 +311,12 @@ class _Buckets:
         """Exact similarity of pairs ``a``, ``b``."""
         right = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         left = sets_a.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-        joined = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
-        schema = "a long, b long, similarity double"
-        found = self.scratch.stage(joined.mapInArrow(_similarities, schema), label)
-        return found
+        shared = F.size(F.array_intersect("sa", "sb"))
+        similarity = shared / (F.size("sa") + F.size("sb") - shared)
+        found = pairs.join(right, "b").join(left, "a").select(
+            "a", "b", similarity.alias("similarity")
+        )
+        return self.scratch.stage(found, label)
 
     def similar(self, measured: DataFrame) -> DataFrame:
         return measured.filter(F.col("similarity") >= self.limit).select("a", "b")
@@ -389,7 +377,7 @@ class _Buckets:
         near = near.select("a", "node", "root", (F.col("root") == F.col("main")).alias("main"))
         near = near.distinct().join(self.sets.select("node", "shingles"), "node")
         near = self.scratch.stage(near, "near")
-        n_shingles = F.octet_length("shingles") / 8
+        n_shingles = F.size("shingles")
 
         def blocks(these: Column) -> Column:
             by_shingles = F.ceil(F.sum(F.when(these, n_shingles).otherwise(0)) / TILE_SHINGLES)
@@ -445,7 +433,7 @@ def _link(texts: DataFrame, docs: DataFrame, limit: float, k: int, scratch: Scra
     same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_key"))
     source = docs.join(wanted.hint("merge"), same).select("node", "pivot", "words", "text")
     sets = source.mapInArrow(
-        lambda b: _shingle_sets(b, k), "node long, pivot boolean, shingles binary"
+        lambda b: _shingle_sets(b, k), "node long, pivot boolean, shingles array<long>"
     )
     sets = scratch.stage(sets, "shingle-sets")
     if sets.count() > wanted.count():
