@@ -26,7 +26,7 @@ from millrace.plans.jobs import (
 )
 from millrace.scratch import Scratch
 from millrace.sources.tables import KeyCollision, TableStore
-from millrace.spec import Column, DocumentSpec, TableSpec, schema_gate
+from millrace.spec import Column, DocumentSpec, TableSpec, gate_errors
 
 PARTY_COLUMNS = ("id", "name", "nation", "balance")
 
@@ -656,19 +656,40 @@ def stage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "schema_gate",
     """
-SELECT * FROM (VALUES ('error', 'balance'), ('error', 'id'), ('warning', 'note'),
-  ('warning', '_file_hash'), ('warning', '_source_file')) g(severity, column_name),
-  (SELECT count(*) AS held_rows FROM customer)
+SELECT 'let in' AS outcome, c_mktsegment AS name, count(*) AS row_count
+FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment
+UNION ALL
+SELECT 'held', column_name, n FROM (VALUES ('balance'), ('id')) g(column_name),
+  (SELECT count(*) AS n FROM customer WHERE c_acctbal <= 0) WHERE n > 0
 """,
 )
 def schema_gate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Columns that a frame of customers lacks, and the rows that this keeps out."""
+    """Two sources of clients: one is let in, the other lacks columns and is held.
+
+    Rows let in by segment, and for each column that was lacking the rows it held.
+    """
     spec = TableSpec(
         "clients",
-        (Column("id", "int", key=True), Column("name"), Column("note", nullable=True),
-         Column("balance", "float", nullable=False)),
+        (Column("id", "int", key=True), Column("name"), Column("segment"),
+         Column("note", nullable=True), Column("balance", "float", nullable=False)),
+        load_mode="upsert",
+    )
+    customers = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"),
+        F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"),
+    )
+    sources = (
+        Source("in credit", lambda spark: customers.filter("balance > 0")),
+        Source("in debt", lambda spark: customers.filter("balance <= 0").drop("id", "balance")),
+    )
+    store = new_store(spark)
+    result = run_project(store, project_id="gate", canonical=[CanonicalTable(spec, sources)])
+    held = {(i.column, r.held_rows) for r in result.tables for i in gate_errors(r.issues)}
+    let_in = store.read("clients").groupBy(F.col("segment").alias("name")).agg(
+        F.count("*").alias("row_count")
+    )
+    found = spark.createDataFrame(sorted(held), "name string, row_count long").filter("row_count > 0")
+    columns = "name", "row_count"
+    return let_in.select(F.lit("let in").alias("outcome"), *columns).unionByName(
+        found.select(F.lit("held").alias("outcome"), *columns)
     )
-    rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
-    issues = {(i.severity, i.column) for i in schema_gate(rows, spec)}
-    found = spark.createDataFrame(sorted(issues), "severity string, column_name string")
-    return found.join(F.broadcast(rows.agg(F.count("*").alias("held_rows"))))

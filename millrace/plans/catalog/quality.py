@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.difference import row_difference
 from millrace.operators.merge import orphan_keys, orphan_rows
 from millrace.operators.quality import (
     ERROR_FLAG,
@@ -246,6 +247,32 @@ def reconcile_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "reconcile_rows",
+    """
+WITH heads AS (SELECT o_orderkey AS order_key, o_orderstatus AS status FROM orders),
+lines AS (
+  SELECT l_orderkey AS order_key, CASE WHEN min(l_linestatus) = max(l_linestatus)
+    THEN min(l_linestatus) ELSE 'P' END AS status
+  FROM lineitem GROUP BY l_orderkey)
+SELECT order_key, status, sum(s) AS source_rows, sum(t) AS target_rows FROM (
+  SELECT order_key, status, 1 AS s, 0 AS t FROM heads
+  UNION ALL SELECT order_key, status, 0, 1 FROM lines)
+GROUP BY order_key, status HAVING sum(s) <> sum(t)
+""",
+)
+def reconcile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose status is not the one their lines give them."""
+    heads = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status")
+    )
+    low, high = F.min("l_linestatus"), F.max("l_linestatus")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_key")).agg(
+        F.when(low == high, low).otherwise("P").alias("status")
+    )
+    return row_difference(heads, lines, ["order_key"], scratch=Scratch(spark))
+
+
 @query(
     "orphan_report",
     """

@@ -125,6 +125,7 @@ class TableResult:
     load: LoadResult | None = None
     valid_rows: int = 0
     invalid_rows: int = 0
+    held_rows: int = 0
     issues: list = field(default_factory=list)
     error: str | None = None
 
@@ -190,7 +191,11 @@ def load_canonical(
     hot_rows: int = HOT_ROWS,
     quarantine_table: str = QUARANTINE_TABLE,
 ) -> TableResult:
-    """Read, shape, check, quarantine and load one canonical table."""
+    """Read, shape, check, quarantine and load one canonical table.
+
+    A batch without the columns the table needs is held whole: nothing of it is loaded
+    or quarantined, and its rows are counted as held.
+    """
     spec = table.spec
     source_id = _source_ids(table)
     result = TableResult(spec.name, spec.kind, source_id)
@@ -202,6 +207,7 @@ def load_canonical(
     errors = gate_errors(result.issues)
     if errors:
         result.error = GATE_FAILED + "; ".join(i.reason for i in errors)
+        result.held_rows = 0 if batch is None else batch.count()
         return result
 
     batch = fill_required_defaults(fill_missing(batch, spec), spec)

@@ -298,11 +298,23 @@ def test_schema_gate_stops_the_table(store):
     result = run(store, FIRST, "r1", canonical=[table], derived=[], documents=[])
     assert result.error == CHILD_ERRORS
     assert "Schema validation failed" in result.tables[0].error
+    assert (result.tables[0].held_rows, result.tables[0].valid_rows) == (1, 0)
     assert not store.exists("companies")
     failed = audit.get_run(audit.run_records(store.read("etl_run_tracking")), "r1").first()
     assert (failed["status"], failed["error_message"]) == ("failed", CHILD_ERRORS)
 
 
+def test_the_gate_holds_one_source_and_lets_the_other_in(store):
+    spec = TableSpec("names", (Column("id", key=True), Column("name")), load_mode="upsert")
+    whole = store.spark.createDataFrame([("1", "x"), ("2", "y")], "id string, name string")
+    sources = Source("a", lambda spark: whole.drop("id")), Source("b", lambda spark: whole)
+    result = run(
+        store, FIRST, "r1", canonical=[CanonicalTable(spec, sources)], derived=[], documents=[]
+    )
+    assert [(r.source_id, r.held_rows, r.valid_rows) for r in result.tables] == [("a", 2, 0), ("b", 0, 2)]
+    assert store.read("names").count() == 2
+
+
 def test_a_failing_table_leaves_the_others(store):
     twice = TableSpec("twice", (Column("id", key=True),), kind="derived", depends_on=("companies",))
     derived = [
