@@ -41,8 +41,8 @@ DENSE_CELLS = 1 << 23
 # A group with at least one word in a slice for so many slots is counted densely.
 SLOTS_PER_WORD = 32
 
-# Bytes of text turned into words at a time.
-SLICE = 8 << 20
+# Bytes of text turned into words at a time: the arrays of a slice take many times its size.
+SLICE = 2 << 20
 
 # Cells of groups by slots in a block of the pairwise sums.
 BLOCK_CELLS = 1 << 21
@@ -68,7 +68,7 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     starts_at[firsts] = inside[firsts]
     starts = np.flatnonzero(starts_at)
     letters = _LOWER[data[inside]]
-    before = np.cumsum(inside)
+    before = np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
     offsets = np.append(before[starts] - 1, len(letters)).astype(np.int64)
     buffers = [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
     words = pa.Array.from_buffers(pa.large_string(), len(starts), buffers)
@@ -80,25 +80,31 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
+def count_documents(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Documents by language and word of each slice of ``size`` bytes of text."""
+    for batch in batches:
+        for part in byte_slices(batch, "text", size):
+            words, owner = words_of(part.column("text"))
+            if not len(words):
+                continue
+            code, terms = _codes(words)
+            lang, langs = _codes(part.column("lang"))
+            n = len(terms)
+            once = np.unique(owner * n + code)
+            pair, counts = np.unique(lang[once // n] * n + once % n, return_counts=True)
+            columns = [langs.take(pa.array(pair // n)), terms.take(pa.array(pair % n))]
+            columns = [c.cast(pa.string()) for c in columns]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(counts)], names=["lang", "term", "n"]
+            )
+
+
 def document_counts(rows: DataFrame) -> DataFrame:
     """Documents of each language by word: ``lang``, ``term``, ``n``."""
+    size = SLICE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in byte_slices(batch, "text", SLICE):
-                words, owner = words_of(part.column("text"))
-                if not len(words):
-                    continue
-                code, terms = _codes(words)
-                lang, langs = _codes(part.column("lang"))
-                n = len(terms)
-                once = np.unique(owner * n + code)
-                pair, counts = np.unique(lang[once // n] * n + once % n, return_counts=True)
-                columns = [langs.take(pa.array(pair // n)), terms.take(pa.array(pair % n))]
-                columns = [c.cast(pa.string()) for c in columns]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(counts)], names=["lang", "term", "n"]
-                )
+        return count_documents(batches, size)
 
     found = rows.select("lang", "text").mapInArrow(count, "lang string, term string, n long")
     return found.groupBy("lang", "term").agg(F.sum("n").alias("n"))

@@ -1,6 +1,7 @@
 """Source divergence and filter orders against brute force."""
 
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import permutations
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from llm_cases import EMPTY_SCHEMA, odd_documents
 from millrace.llm import divergence
-from millrace.llm.divergence import source_divergence, words_of
+from millrace.llm.divergence import SLICE, count_documents, source_divergence, words_of
 from millrace.llm.filter_orders import audit_filters, filter_orders
 from millrace.llm.perfect_hash import PerfectHash, build_shard, shard_numbers, word_hashes
 
@@ -111,6 +112,22 @@ def test_divergence(spark, scratch, monkeypatch, limits):
     assert got == brute_divergence(rows, 2, 5)
 
 
+def test_counting_documents_holds_little():
+    """Arrays of a task stay small against 24 MB of text, whose counts are whole."""
+    texts = [" ".join(f"word{chr(97 + (i + j) % 26)}" for j in range(400)) for i in range(10_000)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"]
+    )
+    counts = Counter()
+    tracemalloc.start()
+    for part in count_documents(iter([batch]), SLICE):
+        counts.update(dict(zip(part.column("term").to_pylist(), part.column("n").to_pylist())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts == {f"word{chr(97 + i)}": len(texts) for i in range(26)}
+    assert peak < 64 << 20
+
+
 def test_divergence_of_little(spark, scratch):
     empty = spark.createDataFrame([], EMPTY_SCHEMA)
     assert source_divergence(empty, scratch=scratch).count() == 0
