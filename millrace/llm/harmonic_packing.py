@@ -27,6 +27,9 @@ from millrace.scratch import Scratch
 # The smallest piece cut off on purpose is this part of the capacity.
 SMALLEST_SHARE = 32
 
+# Bytes of text tokenized at a time: the arrays of a slice take many times its size.
+SLICE_BYTES = 1 << 20
+
 PIECES = (
     "doc_id long, start long, length long, doc_tokens long, ids binary, "
     "part long, class long, number long"
@@ -73,6 +76,35 @@ def _binary(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), data])
 
 
+def cut_texts(
+    batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int | None, capacity: int, part: int
+) -> Iterator[pa.RecordBatch]:
+    """Pieces of all texts of one task, which is ``part``, numbered by class."""
+    tokens, seen = text_tokenizer(tokenizer), {}
+    for batch in batches:
+        for piece in byte_slices(batch, "text", SLICE_BYTES):
+            ids, counts = with_end(*tokens.encode(piece.column("text")), end_id)
+            lengths, pieces = cut_lengths(counts, capacity)
+            classes = np.minimum(lengths, capacity)
+            numbers = _numbers(classes, seen)
+            ends = np.cumsum(lengths)
+            starts = ends - lengths - np.repeat(np.cumsum(counts) - counts, pieces)
+            owner = np.repeat(np.arange(len(counts)), pieces)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    piece.column("doc_id").take(pa.array(owner)),
+                    pa.array(starts),
+                    pa.array(lengths),
+                    pa.array(counts[owner]),
+                    _binary(ids, lengths),
+                    pa.array(np.full(len(lengths), part)),
+                    pa.array(classes),
+                    pa.array(numbers),
+                ],
+                names=[f.split()[0] for f in PIECES.split(", ")],
+            )
+
+
 def pack_documents(
     docs: DataFrame,
     *,
@@ -99,30 +131,7 @@ def pack_documents(
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = text_tokenizer(tokenizer)
-        part, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
-            for piece in byte_slices(batch, "text", 8 << 20):
-                ids, counts = with_end(*tokens.encode(piece.column("text")), end_id)
-                lengths, pieces = cut_lengths(counts, capacity)
-                classes = np.minimum(lengths, capacity)
-                numbers = _numbers(classes, seen)
-                ends = np.cumsum(lengths)
-                starts = ends - lengths - np.repeat(np.cumsum(counts) - counts, pieces)
-                owner = np.repeat(np.arange(len(counts)), pieces)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("doc_id").take(pa.array(owner)),
-                        pa.array(starts),
-                        pa.array(lengths),
-                        pa.array(counts[owner]),
-                        _binary(ids, lengths),
-                        pa.array(np.full(len(lengths), part)),
-                        pa.array(classes),
-                        pa.array(numbers),
-                    ],
-                    names=[f.split()[0] for f in PIECES.split(", ")],
-                )
+        return cut_texts(batches, tokenizer, end_id, capacity, TaskContext.get().partitionId())
 
     pieces = scratch.stage(rows.mapInArrow(cut, PIECES), "pieces")
     counts = scratch.stage(

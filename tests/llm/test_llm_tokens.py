@@ -10,7 +10,8 @@ from tokenizers import Tokenizer
 
 from llm_cases import EMPTY_SCHEMA, odd_documents
 from millrace.llm.addressable_codes import TokenFile, read_token_files, write_token_files
-from millrace.llm.harmonic_packing import cut_lengths, pack_documents
+from millrace.llm import harmonic_packing
+from millrace.llm.harmonic_packing import cut_lengths, cut_texts, pack_documents
 from millrace.llm.tokens import text_tokenizer
 
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
@@ -108,6 +109,29 @@ def test_packing_holds_each_id_once(spark, scratch, capacity):
     assert len(sequences) <= total / capacity * 1.1 + 2
 
 
+def test_packing_tokenizes_small_slices(monkeypatch):
+    """A task makes arrays of a mebibyte of text at a time, and a long text alone."""
+    asked = []
+
+    class Bytes:
+        def encode(self, texts):
+            sizes = np.array([len(t) for t in texts.to_pylist()], np.int64)
+            asked.append(int(sizes.sum()))
+            return np.ones(sizes.sum(), np.uint16), sizes
+
+    monkeypatch.setattr(harmonic_packing, "text_tokenizer", lambda path: Bytes())
+    texts = ["a" * 1000] * 4000 + ["b" * 3_000_000, "c"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"]
+    )
+    pieces = pa.Table.from_batches(cut_texts(iter([batch]), "", 1, 2048, 0))
+    assert sum(asked) == 7_000_001
+    assert max(asked) == 3_000_000 and sorted(asked)[-2] <= 1 << 20
+    assert sum(pieces.column("length").to_pylist()) == sum(asked) + len(texts)
+    numbered = zip(pieces.column("class").to_pylist(), pieces.column("number").to_pylist())
+    assert len(set(numbered)) == pieces.num_rows
+
+
 def test_packing_repeats_and_nothing(spark, scratch):
     path = public_tokenizers.path(FILES[1])
     twice = spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")
