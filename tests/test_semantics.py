@@ -15,6 +15,7 @@ from millrace.operators.documents import (
 from millrace.operators.index import (
     cascade_vectors,
     get_chunk,
+    grid_shape,
     index_rows,
     merge_index,
     nearest_vectors,
@@ -235,3 +236,19 @@ def test_a_block_meets_its_vectors_in_one_task(spark, scratch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "RepartitionByExpression" in plan
     assert found.filter("query_id = vec_id").count() == 400
+
+
+def test_the_grid_moves_vectors_a_bounded_number_of_times():
+    """Small blocks share a task, so what is moved grows with the vectors, not their square."""
+    moved = []
+    for vectors in (100_000, 1_000_000):
+        groups, parts = grid_shape(200, vectors // 10, vectors, 64, 3, 64)
+        assert groups * parts >= 200
+        moved.append(groups * vectors + parts * vectors // 10)
+    assert moved[1] <= 10 * moved[0] * 1.01
+    assert moved[1] <= 20 * 1_000_000
+    # What a task holds stays within its limit: one block of many winners, or many of few.
+    for n, k in ((10**7, 3), (10**5, 100)):
+        groups, _ = grid_shape(200, n, n, 64, k, 64)
+        assert n / groups * (64 + 8 * k) <= 4_100_000
+    assert grid_shape(4, 10, 400, 2, 1, 50) == (1, 4)
