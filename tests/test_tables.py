@@ -3,7 +3,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.sources.tables import KeyCollision
+from millrace.sources.tables import KeyCollision, bucket_count
 from millrace.spec import Column, TableSpec
 
 KEYED = TableSpec(
@@ -167,3 +167,12 @@ def test_partitions(spark, store, rows):
     assert store.drop_partition("p", "c d") == 1
     assert store.drop_partition("p", "c d") == 0
     assert rows(store.read("p")) == [("a/b", 1)]
+
+
+def test_a_bucket_fits_one_merging_task(spark, monkeypatch):
+    """324 MB, such as 5.4 million clients take, are dealt between a dozen tasks or so."""
+    spec = TableSpec("t", (Column("id", key=True),), load_mode="upsert")
+    monkeypatch.setattr("millrace.sources.tables.planned_bytes", lambda frame: 324_000_000)
+    frame = spark.range(1)
+    assert bucket_count(spec, frame) >= 10
+    assert bucket_count(spec, frame, frame) >= 20
