@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators.lookups import hot_keys, join_lookup
 from millrace.operators.merge import (
@@ -47,6 +48,20 @@ def test_merge_buckets_equals_merge(spark, rows):
     assert got == rows(merge_rows(a, b, ["k"], nullable_key=True))
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_merging_task_holds_a_part_of_one_bucket(spark, rows, parts):
+    """By their hashes, or put together at run time, several buckets would share a task."""
+    a = spark.range(6000).selectExpr("cast(pmod(xxhash64(id), 6) as int) b", "id k", "'s' v")
+    b = a.filter("k % 2 = 0").withColumn("v", F.lit("b"))
+    merged = merge_buckets(a, b, ["k"], "b", n_buckets=6, parts=parts)
+    assert rows(merged.groupBy("v").count()) == [("b", 3000), ("s", 3000)]
+    tasks = merged.groupBy(F.spark_partition_id().alias("task")).agg(
+        F.count_distinct("b").alias("buckets"), F.count("*").alias("n")
+    ).collect()
+    assert len(tasks) == 6 * parts
+    assert all(t["buckets"] == 1 and t["n"] < 1.3 * 1000 / parts for t in tasks)
+
+
 def test_merge_buckets_shuffles_once(spark):
     a = spark.createDataFrame([(0, 1, "a")], "b int, k int, v string")
     plan = merge_buckets(a, a, ["k"], "b")._jdf.queryExecution().executedPlan().toString()

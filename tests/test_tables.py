@@ -176,3 +176,18 @@ def test_a_bucket_fits_one_merging_task(spark, monkeypatch):
     frame = spark.range(1)
     assert bucket_count(spec, frame) >= 10
     assert bucket_count(spec, frame, frame) >= 20
+
+
+def test_large_buckets_are_merged_in_parts(spark, store, scratch, monkeypatch):
+    """Two stated buckets of a few hundred kB, with parts of 50 kB: many tasks write each."""
+    spec = replace(KEYED, buckets=2)
+    wide = F.sha2(F.col("id").cast("string"), 256)
+    rows = scratch.stage(spark.range(10000).select(F.col("id").alias("k"), wide.alias("v")))
+    store.write(spec, rows, "upsert")
+    monkeypatch.setattr("millrace.sources.tables.BUCKET_BYTES", 50_000)
+    result = store.write(spec, rows, "upsert")
+    assert (result.inserted_rows, result.updated_rows) == (0, 10000)
+    stored = store.read("t")
+    assert len(store._commit("t").folders) == 2
+    assert sorted(stored.collect()) == sorted(rows.collect())
+    assert stored.select(F.input_file_name()).distinct().count() > 8
