@@ -12,7 +12,7 @@ It is fitted on a bounded sample of labelled rows; every text is scored in tasks
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +28,8 @@ from millrace.scratch import Scratch
 SLOTS = 1 << 18
 FACTORS = 8
 
-# Bytes of text turned into terms at a time: that takes ten times as much memory.
-SLICE = 4 << 20
+# Bytes of text turned into terms at a time: that takes ten times as much memory or more.
+SLICE = 1 << 20
 
 # Bound of the labelled rows the machine is fitted on, those with the smallest hashes.
 SAMPLE_ROWS = 20_000
@@ -78,6 +78,32 @@ def slot_pairs(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.nd
     return keys // SLOTS, keys % SLOTS
 
 
+def text_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in pieces of ``SLICE`` bytes of text.
+
+    The task's Python worker may come from another stage: what that one freed but
+    kept is given back first.
+    """
+    pa.default_memory_pool().release_unused()
+    for batch in batches:
+        yield from byte_slices(batch, "text", SLICE)
+
+
+def text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and labels of all texts of one task, with their slots as 32-bit integers."""
+    for piece in text_slices(batches):
+        row, slot = slot_pairs(piece.column("text"))
+        cells = np.split(slot.astype("<i4"), np.searchsorted(row, np.arange(1, len(piece))))
+        yield pa.RecordBatch.from_arrays(
+            [
+                piece.column("doc_id"),
+                piece.column("toxic"),
+                pa.array([c.tobytes() for c in cells[: len(piece)]], pa.binary()),
+            ],
+            names=["doc_id", "toxic", "terms"],
+        )
+
+
 @dataclass(frozen=True)
 class Machine:
     """Weights by slot; slots that tell nothing, alone or in a pair, have none."""
@@ -267,22 +293,8 @@ def fit_toxicity(
     texts = docs.select(named(id_column).alias("doc_id"), text_of(text_column).alias("text"))
     rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in byte_slices(batch, "text", SLICE):
-                row, slot = slot_pairs(piece.column("text"))
-                cells = np.split(slot.astype("<i4"), np.searchsorted(row, np.arange(1, len(piece))))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("doc_id"),
-                        piece.column("toxic"),
-                        pa.array([c.tobytes() for c in cells[: len(piece)]], pa.binary()),
-                    ],
-                    names=["doc_id", "toxic", "terms"],
-                )
-
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(extract, f"doc_id {id_type}, toxic int, terms binary")
+    found = rows.mapInArrow(text_terms, f"doc_id {id_type}, toxic int, terms binary")
     found = scratch.stage(found, "sample").orderBy(F.xxhash64("doc_id"), "doc_id", "terms")
     sample = found.limit(sample_rows).select("toxic", "terms").toArrow()
     terms = [np.frombuffer(t, "<i4") for t in sample.column("terms").to_pylist()]
@@ -302,12 +314,11 @@ def score_texts(
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in byte_slices(batch, "text", SLICE):
-                scores = pa.array(shared.value.scores(piece.column("text")))
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), scores], names=["doc_id", "score"]
-                )
+        for piece in text_slices(batches):
+            scores = pa.array(shared.value.scores(piece.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc_id"), scores], names=["doc_id", "score"]
+            )
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(score, f"doc_id {id_type}, score double")
@@ -327,7 +338,7 @@ def without_toxic(
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])
-            scores = [shared.value.scores(p.column("text")) for p in byte_slices(texts, "text", SLICE)]
+            scores = [shared.value.scores(p.column("text")) for p in text_slices([texts])]
             if scores:
                 yield batch.filter(pa.array(np.concatenate(scores) < limit))
 
