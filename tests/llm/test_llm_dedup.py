@@ -1,6 +1,8 @@
 """Duplicates against brute force."""
 
 import hashlib
+import json
+import os
 import tracemalloc
 from collections import Counter
 from itertools import combinations
@@ -16,6 +18,7 @@ from millrace.llm.bag_minhash import near_duplicates, without_near_duplicates
 from millrace.llm.components import connected_components
 from millrace.llm.exact_dedup import content_hash, exact_duplicates
 from millrace.llm.pigeonhole_join import near_vectors
+from millrace.scratch import Scratch
 
 
 def classes_of(nodes, pairs):
@@ -255,3 +258,90 @@ def test_dense_tiles_take_little_memory():
     assert peak < 250 << 20
     assert found.column("links").to_pylist() == [n - 1] * n
     assert set(found.column("other").to_pylist()) == {0}
+
+
+def near_and_far(n, dims, seed):
+    """Singles in groups whose cosines lie on both sides of 0.93, and copies with -0.0 for 0.0."""
+    rng = np.random.default_rng(seed)
+    center = rng.normal(size=(n // 8, dims))
+    vectors = center[rng.integers(0, len(center), n)] + rng.normal(size=(n, dims)) * rng.uniform(0, 0.4, (n, 1))
+    vectors[:20, 3] = 0.0
+    vectors = vectors.astype(np.float32)
+    vectors[:10] = vectors[10:20]
+    vectors[:10, 3] = -0.0
+    return vectors
+
+
+def cosines(vectors):
+    exact = vectors.astype(float)
+    length = np.sqrt((exact * exact).sum(1))
+    return exact @ exact.T / np.outer(length, length)
+
+
+def folder_bytes(path):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(path) for f in files)
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_a_vector_is_written_once_for_all_its_cells(spark, tmp_path, monkeypatch, clash):
+    """Staged tables hold each vector once, also where its range reaches many cells."""
+    if clash:
+        one = lambda kind, unit: [F.size(unit).alias("hash")]
+        monkeypatch.setattr(pigeonhole_join, "digest", one)
+    monkeypatch.setattr(pigeonhole_join, "TILE_ROWS", 700)
+    monkeypatch.setattr(pigeonhole_join, "CELL_ROWS", 50)
+    vectors = near_and_far(3000, 64, seed=4)
+    kinds = (np.arange(len(vectors)) // 10 % 7 > 0).astype(int)
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(vectors, kinds))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    scratch = Scratch(spark, str(tmp_path))
+    got = {r.vec_id: r for r in near_vectors(df, scratch=scratch).collect()}
+    linked = np.triu((cosines(vectors) >= 0.93) & (kinds[:, None] == kinds[None, :]), 1)
+    pairs = list(zip(*(x.tolist() for x in np.nonzero(linked))))
+    count = Counter(i for pair in pairs for i in pair)
+    classes = classes_of(range(len(rows)), pairs)
+    assert len(pairs) > 1000
+    assert {i: r.n_links for i, r in got.items()} == {i: count[i] for i in range(len(rows))}
+    assert {i: r.component_id for i, r in got.items()} == classes
+    assert folder_bytes(tmp_path) < (4 if clash else 3) * vectors.nbytes
+
+
+@pytest.mark.parametrize("dims,cell_rows", [(64, 20), (64, 10_000), (40, 7), (5, 3)])
+@pytest.mark.parametrize("sides", ["one", "two", "mixed"])
+def test_tile_links(dims, cell_rows, sides):
+    """Links by cells are those of all pairs of a left and a right row."""
+    vectors = near_and_far(400, dims, seed=dims)
+    n = len(vectors)
+    vectors[37] = 1e-30  # whose square is still a double
+    rng = np.random.default_rng(1)
+    left = rng.random(n) < {"one": 2, "two": 0.5, "mixed": 0.6}[sides]
+    right = ~left if sides == "two" else rng.random(n) < {"one": 2, "mixed": 0.6}[sides]
+    copies = rng.integers(1, 4, n)
+    offsets = pa.array(np.arange(n + 1) * dims, pa.int32())
+    tile = pa.table({
+        "node": pa.array(np.arange(n) + 1000), "copies": pa.array(copies),
+        "unit": pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel())),
+        "left": pa.array(left), "right": pa.array(right),
+    })
+    meet = left[:, None] & right[None, :]
+    linked = (cosines(vectors) >= 0.93) & (meet | meet.T) & ~np.eye(n, dtype=bool)
+    found = pigeonhole_join.tile_links(tile, 0.93, cell_rows).to_pydict()
+    want = linked @ copies
+    assert dict(zip(found["node"], found["links"])) == {i + 1000: int(want[i]) for i in np.flatnonzero(want)}
+    classes = classes_of(range(n), zip(*(x.tolist() for x in np.nonzero(linked))))
+    assert {i - 1000: j - 1000 for i, j in zip(found["node"], found["other"])} == {
+        i: classes[i] for i in np.flatnonzero(want)
+    }
+
+
+def test_tiles_of_groups():
+    """Shared groups meet themselves; of a large kind all pairs of sides meet once."""
+    held = [(g, f"file:/x/part-{g}.parquet", n) for g, n in enumerate([9, 3, 3, 3, 5, 7])]
+    tiles = []
+    for (task,) in pigeonhole_join._tasks(held, [(2, 6, 6)]):
+        task = json.loads(task)
+        for right in task["right"]:
+            tiles.append(tuple(tuple(g for _, g in side) for side in (task["left"], right)))
+    sides = [(2, 3), (4,), (5,)]
+    want = [((0,), ()), ((1,), ())] + [(s, ()) for s in sides] + list(combinations(sides, 2))
+    assert sorted(tiles) == sorted(want)
