@@ -35,9 +35,9 @@ BLOCK_DIMS = 16
 # Vectors of one side of a tile, and numbers in them; small tables have fewer, down to
 # the least, so that there are some tiles for each core.
 TILE_ROWS = 1 << 16
-TILE_NUMBERS = 1 << 22
+TILE_NUMBERS = 3 << 20
 LEAST_ROWS = 4_096
-SIDES = 32
+SIDES = 16
 
 # Vectors of a cell.
 CELL_ROWS = 1_024
@@ -304,7 +304,7 @@ def _links_of_tiles(
         for listed in batch.column("tiles").to_pylist():
             listed = json.loads(listed)
             for right in listed["right"]:
-                tile = _tile(store, at, listed["left"], right)
+                tile = _tile(store, at, listed["left"], right).combine_chunks()
                 codes = np.asarray(tile.column("kind").combine_chunks().dictionary_encode().indices)
                 order = np.argsort(codes, kind="stable")
                 ends = np.flatnonzero(np.diff(codes[order], append=-1)) + 1
@@ -409,7 +409,7 @@ def near_vectors(
     grouped = rows.filter("good").join(F.broadcast(of_kind), "kind", "left")
     grouped = grouped.select(group.cast("int").alias("group"), "kind", "unit", "vec_id")
     merged = grouped.mapInArrow(_merged, MERGED.format(number_type))
-    alike = merged.repartition(end, "group").groupBy("group", "kind", "unit")
+    alike = merged.repartitionById(end, "group").groupBy("group", "kind", "unit")
     distinct = alike.agg(F.sum("copies").alias("copies"), F.min("first").alias("first"))
     distinct = distinct.select(F.monotonically_increasing_id().alias("node"), "*")
     folder = scratch.path("distinct-vectors")
